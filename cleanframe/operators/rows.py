@@ -63,9 +63,10 @@ def insert_rows(df: DataFrame, values: list[dict], id_col: str = "id") -> DataFr
 
 def append_rows(df: DataFrame, more: DataFrame, order_by: list[str], id_col: str = "id") -> DataFrame:
     """Append a table without ids; its rows are numbered on after the largest id."""
-    body = conform(more, df, skip=(id_col,))
-    numbered = assign_id(body, order_by, id_col, max_id(df, id_col) + 1)
-    return df.unionByName(numbered.withColumn(id_col, ref(id_col).cast(data_type(df, id_col))))
+    extra = [c for c in order_by if c not in df.columns]
+    first = max_id(df, id_col) + 1
+    numbered = with_position(more, order_by, "_id", first).drop(*extra, id_col).withColumnRenamed("_id", id_col)
+    return df.unionByName(conform(numbered, df))
 
 
 def delete_ids(df: DataFrame, ids, id_col: str = "id") -> DataFrame:
