@@ -16,6 +16,7 @@ from cleanframe.functions.columns import NUMERIC, TEXT, TIMESTAMP, kind, ref, re
 from cleanframe.functions.text import clean_text
 from cleanframe.plans.ordering import with_position
 from cleanframe.plans.skew import spread_lookup
+from cleanframe.plans.storage import stored
 
 PAIR_COUNT = T.DecimalType(38, 0)
 
@@ -64,7 +65,7 @@ def rank_rows(df: DataFrame, id_col: str, key: str, dims: list[Dimension]) -> Da
     values = [F.when(v != "", v) if d.how == TEXTUAL else v for d, v in zip(dims, values)]
     rows = df.select(ref(id_col).alias("_id"), comparable(df, key).alias("_key"),
                      *[v.alias(f"v{i}") for i, v in enumerate(values)]).where(F.col("_key").isNotNull())
-    keys = with_position(rows.select("_key").distinct(), ["_key"], "_rank")
+    keys = with_position(stored(rows.select("_key").distinct()), ["_key"], "_rank")
     return spread_lookup(rows, keys, ["_key"]).drop("_key")
 
 
@@ -73,7 +74,7 @@ def block_sizes(df: DataFrame, key: str) -> DataFrame:
     require(df, key)
     counted = (df.select(comparable(df, key).alias("key")).where(F.col("key").isNotNull())
                .groupBy("key").agg(F.count("*").alias("n_rows")))
-    blocks = with_position(counted, ["key"], "rank")
+    blocks = with_position(stored(counted), ["key"], "rank")
     following = blocks.select((F.col("rank") - 1).alias("rank"), F.col("n_rows").alias("_next"))
     n, after = F.col("n_rows").cast("decimal(19,0)"), F.coalesce("_next", F.lit(0)).cast("decimal(19,0)")
     return blocks.join(following, "rank", "left").select(

@@ -16,7 +16,7 @@ from cleanframe.operators.dedup.vectors import (group_key, groups_of, level_colu
                                                 tuples_of, value_columns, vector_counts)
 from cleanframe.plans.ordering import with_position
 from cleanframe.plans.skew import spread_lookup
-from cleanframe.plans.storage import cut_lineage
+from cleanframe.plans.storage import cut_lineage, stored
 
 
 class Duplicates(NamedTuple):
@@ -91,7 +91,7 @@ def match_edges(tuples: DataFrame, dims: list[Dimension], rule: Rule) -> DataFra
 def number_clusters(labels: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, group_id, delete) from (id, component): components of two or more rows, numbered from 1 on."""
     several = labels.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1").select("component")
-    numbered = with_position(several, ["component"], "group_id", 1)
+    numbered = with_position(stored(several), ["component"], "group_id", 1)
     return spread_lookup(labels, numbered, ["component"]).select(ref(id_col), "group_id", F.lit(False).alias("delete"))
 
 
@@ -117,4 +117,4 @@ def find_duplicates(df: DataFrame, key: str, exact: list[str] = (), similar: lis
     component = spread_lookup(tuples.select(of_tuple.alias("_tuple"), F.col("_rep").alias("node")), labels, ["node"])
     labelled = spread_lookup(rows.select(F.col("_id").alias(id_col), of_tuple.alias("_tuple")),
                              component.select("_tuple", "component"), ["_tuple"]).select(ref(id_col), "component")
-    return Duplicates(reduced, cut_lineage(number_clusters(labelled, id_col)))
+    return Duplicates(reduced, cut_lineage(number_clusters(cut_lineage(labelled), id_col)))

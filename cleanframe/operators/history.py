@@ -32,7 +32,7 @@ def close_old_actions(log: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     oldest_open = newest.groupBy("table").agg(F.min("action_id").alias("_from"))
     return (spread_lookup(log, oldest_open, ["table"], "left")
             .withColumn("undone", F.col("undone") | (F.col("action_id") < F.col("_from")))
-            .fillna(True, ["undone"]).select(*log.columns))
+            .select(*log.columns))
 
 
 def log_action(log: DataFrame, table: str, desc: str, at: dt.datetime | None = None,

@@ -12,6 +12,7 @@ from cleanframe.operators.predicates import COMPARISONS
 from cleanframe.operators.schema import id_first
 from cleanframe.plans.inequality import inequality_join
 from cleanframe.plans.ordering import with_position
+from cleanframe.plans.storage import stored
 
 
 class Pair(NamedTuple):
@@ -104,4 +105,4 @@ def join_tables(tables: dict[str, DataFrame], pairs: list[Pair], id_col: str | N
     if not id_col:
         return joined
     source_ids = [f"{alias}_{id_col}" for alias in [first_alias, *(s.alias for s in steps)]]
-    return id_first(with_position(joined, source_ids, id_col, 1).drop(*source_ids), id_col)
+    return id_first(with_position(stored(joined), source_ids, id_col, 1).drop(*source_ids), id_col)

@@ -78,7 +78,7 @@ def apply_bins(df: DataFrame, column: str, edges: list[float], name: str, digits
         index = F.when(x == F.lit(float(edges[0])), F.lit(1)).otherwise(index)
     index = F.when((index >= 1) & (index < len(edges)), index)
     names = F.array(*[F.lit(text) for text in labels(edges, digits)])
-    out = df.withColumn(name, F.element_at(names, index))
+    out = df.withColumn(name, F.when(index.isNotNull(), F.element_at(names, F.coalesce(index, F.lit(1)))))
     return out.withColumn(index_name, index) if index_name else out
 
 

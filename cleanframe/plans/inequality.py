@@ -38,7 +38,7 @@ def inequality_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str)
     left, right = left.where(ref(a).isNotNull()), right.where(ref(b).isNotNull())
     right_key = key(ref(b), F.xxhash64(*[ref(c) for c in right.columns]))
     total = right.count()
-    bounds, dtype = sample_bounds(right, right_key, range_count(right, total), total)
+    bounds, dtype = sample_bounds(right, right_key, range_count(total), total)
     tie = F.lit(HIGHEST if op == ">=" else LOWEST)
     own = range_index(key(ref(a), tie), bounds, dtype)
     targets = F.sequence(own, F.lit(len(bounds))) if op in ("<", "<=") else F.sequence(F.lit(0), own)

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from cleanframe.functions.columns import ref, typed_literal
 
-ROWS_PER_RANGE = 4_000_000
-MAX_RANGES = 4096
+ROWS_PER_RANGE = 200_000
+MAX_RANGES = 8192
 SAMPLES_PER_RANGE = 20
 
 
@@ -28,9 +28,8 @@ def key_struct(columns: list[str]) -> Column:
     return F.struct(*parts)
 
 
-def range_count(df: DataFrame, total: int) -> int:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(MAX_RANGES, max(cores, math.ceil(total / ROWS_PER_RANGE))))
+def range_count(total: int) -> int:
+    return max(1, min(MAX_RANGES, math.ceil(total / ROWS_PER_RANGE)))
 
 
 def sample_bounds(df: DataFrame, key: Column, ranges: int, total: int) -> tuple[list, T.DataType]:
@@ -62,12 +61,15 @@ def range_index(key: Column, bounds: list, dtype: T.DataType) -> Column:
 def with_position(df: DataFrame, order_by: list[str], name: str, start: int = 0) -> DataFrame:
     """Add a dense LONG position in ascending order of `order_by` (NULLs last), counted from `start`.
 
-    The keys should identify a row; rows equal on all keys get their positions in any order.
+    The keys should identify a row; rows equal on all keys get their positions in any order. `df` is read up to
+    four times, all but the last time for its keys only: store it first if it is not a plain scan.
     """
     total = df.count()
-    bounds, dtype = sample_bounds(df, key_struct(order_by), range_count(df, total), total)
+    bounds, dtype = sample_bounds(df, key_struct(order_by), range_count(total), total)
     ranged = df.withColumn("_range", range_index(key_struct(order_by), bounds, dtype))
-    sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    sizes = {0: total}
+    if bounds:
+        sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
     offsets, seen = [], start
     for i in range(len(bounds) + 1):
         offsets.append(seen)
@@ -88,9 +90,11 @@ def values_at_ranks(df: DataFrame, column: str, ranks) -> tuple[int, list]:
     wanted = sorted(set(ranks(total))) if total else []
     if not wanted:
         return total, []
-    bounds, dtype = sample_bounds(values, F.col("_v"), range_count(df, total), total)
+    bounds, dtype = sample_bounds(values, F.col("_v"), range_count(total), total)
     ranged = values.withColumn("_range", range_index(F.col("_v"), bounds, dtype))
-    sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    sizes = {0: total}
+    if bounds:
+        sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
     local_ranks, seen = [], 0
     for i in range(len(bounds) + 1):
         inside = [r - seen for r in wanted if seen <= r < seen + sizes.get(i, 0)]

@@ -30,6 +30,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder as Parquet and read it back: for a result that several passes read, each of
+    them just some of its columns."""
+    folder = new_folder(df.sparkSession, "stored")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cleanframe.functions.columns import ref
 from cleanframe.operators.rows import append_rows, assign_id
 from cleanframe.operators.schema import parse_timestamp
+from cleanframe.plans.storage import stored
 
 # Texts read as NULL, and the words of a truth value.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "N/A", "NA",
@@ -56,9 +57,12 @@ def normalise_timestamps(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def finish(text: DataFrame, typed: bool, order_by: list[str], id_col: str | None) -> DataFrame:
-    """Common end of all loaders: NULL words, types, and a serial id in source order."""
+    """Common end of the CSV loaders: NULL words, types, and a serial id in source order.
+
+    The files are parsed once into a stored table, which the passes for types and ids read column by column.
+    """
     body = [c for c in text.columns if c not in order_by]
-    values = text.select(*order_by, *[F.when(~ref(c).isin(*MISSING), ref(c)).alias(c) for c in body])
+    values = stored(text.select(*order_by, *[F.when(~ref(c).isin(*MISSING), ref(c)).alias(c) for c in body]))
     types = infer_types(values.select(*[ref(c) for c in body]))
     values = apply_types(values, types) if typed else normalise_timestamps(values, types)
     if id_col is None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanframe.operators.rows import assign_id
+from cleanframe.plans.storage import stored
 
 # The parts of an INSERT statement. A ';' inside quotes is not supported.
 INSERT = r"(?is)^\s*INSERT\s"
@@ -49,7 +50,7 @@ def read_dump(spark: SparkSession, path: str, default_table: str = "dump", id_co
 
     Without a column list the columns are col1, col2, ... Only table and column names reach the driver.
     """
-    inserts = read_inserts(spark, path, default_table)
+    inserts = stored(read_inserts(spark, path, default_table))
     shapes = inserts.groupBy("table", "columns").agg(
         F.min(F.struct(*ORDER)).alias("first"), F.max(F.size("values")).alias("width")).collect()
     tables: dict[str, list[str]] = {}

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanframe.functions.columns import ref, require
+from cleanframe.functions.columns import data_type, ref, require
 
 # Fixed value: seconds after which a silent user counts as gone.
 TIMEOUT_SECONDS = 300
@@ -41,10 +41,13 @@ def rolling_active_users(events: DataFrame, group_col: str, user_col: str = "use
     dropped. On a table it is exact.
     """
     users = ref(user_col)
+    dtype = data_type(events, time_col)
     if events.isStreaming:
-        events = events.withWatermark(time_col, watermark)
+        # A watermark needs the zoned type; the window start is turned back into the type of the column.
+        events = events.withColumn(time_col, ref(time_col).cast("timestamp")).withWatermark(time_col, watermark)
         count = F.approx_count_distinct(users)
     else:
         count = F.count_distinct(users)
     return (events.groupBy(ref(group_col), F.window(ref(time_col), length, slide).alias("_window"))
-            .agg(count.alias("n_users")).select(ref(group_col), F.col("_window.start").alias("window_start"), "n_users"))
+            .agg(count.alias("n_users"))
+            .select(ref(group_col), F.col("_window.start").cast(dtype).alias("window_start"), "n_users"))
