@@ -8,6 +8,8 @@ from catalog.cleaning import clean_sql
 from catalog.registry import GAPS_TEXT, gaps_text, query, table
 from cleanframe.functions import similarity
 from cleanframe.operators.dedup import blocks, classify, components, detect, exact, review
+from cleanframe.plans.skew import spread_lookup
+from cleanframe.plans.storage import cut_lineage
 
 PART_KEY, PART_EXACT, PART_SIMILAR = "p_name", ["p_brand"], ["p_type", "p_retailprice"]
 
@@ -97,9 +99,14 @@ def compare_date(spark, d):
 
 
 # All candidate pairs of parts with their similarities, by comparing every pair.
-PART_VECTORS = f"""
-    WITH c AS (SELECT p_partkey AS id, {clean_sql('p_name')} AS k, {clean_sql('p_brand')} AS b, {clean_sql('p_type')} AS t,
-        p_retailprice AS x FROM part),
+PART_DIMS = ["p_name", "p_brand", "p_type", "p_retailprice"]
+PART_ONCE = """(SELECT min(p_partkey) AS p_partkey, * EXCLUDE (p_partkey) FROM part GROUP BY ALL)"""
+
+
+def part_vectors_sql(source: str) -> str:
+    return f"""
+    WITH RECURSIVE c AS (SELECT p_partkey AS id, {clean_sql('p_name')} AS k, {clean_sql('p_brand')} AS b,
+        {clean_sql('p_type')} AS t, p_retailprice AS x FROM {source}),
     r AS (SELECT *, dense_rank() OVER (ORDER BY k) AS rank FROM c),
     p AS (SELECT u.id AS ida, v.id AS idb, CAST(u.rank = v.rank AS DOUBLE) AS p_name, CAST(u.b = v.b AS DOUBLE) AS p_brand,
         CASE WHEN damerau_levenshtein(u.t, v.t) <= 0.25 * greatest(len(u.t), len(v.t)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
@@ -115,42 +122,40 @@ def _part_vectors(spark, d):
             .agg(F.sum("pairs").cast("double").alias("pairs")))
 
 
-@query("pair_vectors", f"{PART_VECTORS} SELECT * FROM h")
+@query("pair_vectors", f"{part_vectors_sql('part')} SELECT * FROM h")
 def pair_vectors(spark, d):
     return _part_vectors(spark, d)
 
 
-def two_means_sql(rounds: int = 12) -> str:
-    """The clustering with its rounds written out; after the stop the centres stay as they are."""
-    dims = ["p_name", "p_brand", "p_type", "p_retailprice"]
-    var = " + ".join(f"(sum(pairs * {c} * {c}) / sum(pairs) - pow(sum(pairs * {c}) / sum(pairs), 2))" for c in dims)
+def _score_sql(vector: str) -> str:
+    return " + ".join(f"(z.m{i} - z.n{i}) * {vector}.{c} - (z.m{i} * z.m{i} - z.n{i} * z.n{i}) / 2"
+                      for i, c in enumerate(PART_DIMS))
+
+
+def two_means_sql(source: str, rounds: int = 12) -> str:
+    """The clustering with its rounds written out, up to the last centres z; after the stop they stay as they are."""
+    var = " + ".join(f"(sum(pairs * {c} * {c}) / sum(pairs) - pow(sum(pairs * {c}) / sum(pairs), 2))" for c in PART_DIMS)
     start = ", ".join([f"0.05::DOUBLE AS n{i}, 0.95::DOUBLE AS m{i}" for i in range(4)])
     parts = [f"z0 AS (SELECT {start}, false AS stop, 1e-4 * ({var}) / 4 AS tol FROM h)"]
     for r in range(1, rounds + 1):
-        score = " + ".join(f"(z.m{i} - z.n{i}) * h.{c} - (z.m{i} * z.m{i} - z.n{i} * z.n{i}) / 2" for i, c in enumerate(dims))
         means = ", ".join(
             f"coalesce(sum(CASE WHEN NOT hit THEN pairs * {c} END) / sum(CASE WHEN NOT hit THEN pairs END), any_value(n{i})) AS a{i}, "
             f"coalesce(sum(CASE WHEN hit THEN pairs * {c} END) / sum(CASE WHEN hit THEN pairs END), any_value(m{i})) AS b{i}"
-            for i, c in enumerate(dims))
+            for i, c in enumerate(PART_DIMS))
         keep = ", ".join(f"any_value(n{i}) AS n{i}, any_value(m{i}) AS m{i}" for i in range(4))
         shift = " + ".join(f"pow(a{i} - n{i}, 2) + pow(b{i} - m{i}, 2)" for i in range(4))
         choose = ", ".join(f"CASE WHEN stop THEN n{i} ELSE a{i} END AS n{i}, CASE WHEN stop THEN m{i} ELSE b{i} END AS m{i}"
                            for i in range(4))
-        parts.append(f"s{r} AS (SELECT h.*, z.*, {score} > 1e-9 AS hit FROM h, z{r - 1} z)")
+        parts.append(f"s{r} AS (SELECT h.*, z.*, {_score_sql('h')} > 1e-9 AS hit FROM h, z{r - 1} z)")
         parts.append(f"t{r} AS (SELECT {means}, {keep}, any_value(stop) AS stop, any_value(tol) AS tol FROM s{r})")
         parts.append(f"z{r} AS (SELECT {choose}, stop OR {shift} <= tol AS stop, tol FROM t{r})")
-    score = " + ".join(f"(z.m{i} - z.n{i}) * h.{c} - (z.m{i} * z.m{i} - z.n{i} * z.n{i}) / 2" for i, c in enumerate(dims))
-    return (f"{PART_VECTORS}, {', '.join(parts)} SELECT p_name, p_brand, p_type, p_retailprice, pairs, "
-            f"{score} > 1e-9 AS match FROM h, z{rounds} z")
+    return f"{part_vectors_sql(source)}, {', '.join(parts)}, z AS (SELECT * FROM z{rounds})"
 
 
-@query("classify_pairs", two_means_sql())
+@query("classify_pairs", f"{two_means_sql('part')} SELECT h.*, {_score_sql('h')} > 1e-9 AS match FROM h, z")
 def classify_pairs(spark, d):
-    from cleanframe.plans.storage import cut_lineage
     vectors = cut_lineage(_part_vectors(spark, d))
-    columns = ["p_name", "p_brand", "p_type", "p_retailprice"]
-    rule = classify.two_means(vectors, columns)
-    return classify.classify(vectors, columns, rule)
+    return classify.classify(vectors, PART_DIMS, classify.two_means(vectors, PART_DIMS))
 
 
 @query("components", """
@@ -169,7 +174,6 @@ def components_of_runs(spark, d):
 def _same_text(spark, d):
     documents = table(spark, d, "documents").select("doc_id", "text")
     first = documents.groupBy("text").agg(F.min("doc_id").alias("component"))
-    from cleanframe.plans.skew import spread_lookup
     labels = spread_lookup(documents, first, ["text"]).select("doc_id", "component")
     return documents, detect.number_clusters(labels, "doc_id")
 
@@ -214,7 +218,13 @@ def dedup_marked(spark, d):
     return review.mark_and_finish(documents, clusters, marks, "doc_id").rows
 
 
-@query("find_duplicates")
+@query("find_duplicates", f"""
+    {two_means_sql(PART_ONCE)},
+    e AS (SELECT ida, idb FROM p, z WHERE {_score_sql('p')} > 1e-9),
+    b AS (SELECT ida AS a, idb AS b FROM e UNION ALL SELECT idb, ida FROM e),
+    reach AS (SELECT DISTINCT a AS node, a AS label FROM b UNION SELECT b.b, reach.label FROM reach JOIN b ON b.a = node),
+    l AS (SELECT node, min(label) AS label FROM reach GROUP BY node)
+    SELECT node AS p_partkey, dense_rank() OVER (ORDER BY label) AS group_id, false AS delete FROM l""")
 def find_duplicates(spark, d):
     found = detect.find_duplicates(table(spark, d, "part"), PART_KEY, PART_EXACT, PART_SIMILAR, "p_partkey")
     return found.clusters
