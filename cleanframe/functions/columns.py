@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 INTEGER, DOUBLE, REAL, TEXT, TIMESTAMP, BIT = "integer", "double", "real", "text", "timestamp", "bit"
 NUMERIC = (INTEGER, DOUBLE, REAL)
 
+TREE_BOUNDS = 16
+
 
 def ref(name: str) -> Column:
     """Reference a column by its literal name; blanks, dots and brackets are allowed in names."""
@@ -60,11 +62,33 @@ def typed_literal(value, dtype: T.DataType) -> Column:
         value = value.isoformat(sep=" ") if isinstance(value, dt.datetime) else value.isoformat()
     if isinstance(value, T.Row):
         return F.struct(*[typed_literal(v, f.dataType).alias(f.name) for v, f in zip(value, dtype.fields)])
+    if (isinstance(value, float) and isinstance(dtype, T.DoubleType)) or (
+            isinstance(value, str) and isinstance(dtype, T.StringType)):
+        return F.lit(value)
     return F.lit(value).cast(dtype)
 
 
+def bisect(bounds: list[Column], reached) -> Column:
+    """How many of the ascending bounds are reached, where `reached(bound)` holds for the first so many of them.
+
+    Binary search: a few bounds as a tree of comparisons, many by halving steps over a constant array (past its
+    end the bound is NULL and not reached).
+    """
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(reached(bounds[middle]), search(middle + 1, high)).otherwise(search(low, middle))
+
+    if len(bounds) <= TREE_BOUNDS:
+        return search(0, len(bounds))
+    array = F.array(*bounds)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        reached(F.get(array, at + step - 1)), at + step).otherwise(at))
+
+
 def bound_index(value: Column, edges: list[float]) -> Column:
     """How many of the given ascending edges lie strictly below `value`; NULL for a NULL value."""
-    edge_array = F.array(*[F.lit(float(e)) for e in edges])
-    below = F.size(F.filter(edge_array, lambda e: e < value.cast("double")))
-    return F.when(value.isNotNull(), below)
+    index = bisect([F.lit(float(e)) for e in edges], lambda e: e < value.cast("double"))
+    return F.when(value.isNotNull(), index)

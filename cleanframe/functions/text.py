@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of the cleaning rule.
-BRACKETED = r"(\[.*?\]|\(.*?\)|\{.*?\})"
+BRACKETED = r"\[[^\]\n]*\]|\([^)\n]*\)|\{[^}\n]*\}"
 NOT_ALLOWED = r"[^ \-_A-Za-z0-9]+"
-BLANK_LIKE = r"[\-_]"
+BLANK_LIKE = "-_"
 
 
 def replace_literal(text: Column, find: str, put: str) -> Column:
@@ -51,5 +51,5 @@ def clean_text(text: Column) -> Column:
     """Lower-case, without bracketed parts and unusual characters, - and _ as blanks, blanks squeezed."""
     text = F.regexp_replace(F.lower(text), BRACKETED, "")
     text = F.regexp_replace(text, NOT_ALLOWED, "")
-    text = F.regexp_replace(text, BLANK_LIKE, " ")
-    return F.trim(F.regexp_replace(text, r"\s\s+", " "))
+    text = F.translate(text, BLANK_LIKE, " " * len(BLANK_LIKE))
+    return F.trim(F.regexp_replace(text, " {2,}", " "))

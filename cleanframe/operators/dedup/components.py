@@ -15,8 +15,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Hang the larger neighbours of each node below its smallest neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (spread_lookup(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct())
+    return spread_lookup(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,9 +27,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _is_star(edges: DataFrame) -> bool:
     """Every node has one parent, and no parent is itself a child."""
-    several = edges.groupBy("u").count().where("count > 1")
-    inner = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-    return several.isEmpty() and inner.isEmpty()
+    roles = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))).alias("r")).select("r.*")
+    counted = roles.groupBy("node").agg(F.sum("child").alias("parents"), F.max("parent").alias("is_parent"))
+    return counted.where((F.col("parents") > 1) | ((F.col("parents") == 1) & (F.col("is_parent") == 1))).isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:

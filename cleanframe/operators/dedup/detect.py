@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref
-from cleanframe.operators.dedup.blocks import Dimension, dimensions, rank_rows
+from cleanframe.functions.similarity import date_level, exact_level, number_level, text_level
+from cleanframe.operators.dedup.blocks import DATE, EXACT, NUMBER, TEXTUAL, Dimension, dimensions, rank_rows
 from cleanframe.operators.dedup.classify import TIE, Rule, classify, two_means
 from cleanframe.operators.dedup.components import connected_components
 from cleanframe.operators.dedup.exact import remove_identical_rows
@@ -18,6 +19,8 @@ from cleanframe.plans.ordering import with_position
 from cleanframe.plans.skew import spread_lookup
 from cleanframe.plans.storage import cut_lineage, stored
 
+LEVELS = {EXACT: exact_level, NUMBER: number_level, DATE: date_level, TEXTUAL: text_level}
+
 
 class Duplicates(NamedTuple):
     """`rows` without identical copies, and `clusters` (id, group_id from 1 on, delete = false)."""
@@ -36,56 +39,94 @@ def pair_vectors(df: DataFrame, key: str, exact: list[str], similar: list[str],
         F.col(level).alias(d.column) for level, d in zip(level_columns(dims), dims)], "pairs")
 
 
-def deciding_subsets(rule: Rule, dims: list[Dimension]) -> list[int]:
-    """Subsets of columns on which similarity can be enough for a match, without those that add nothing.
+def _against(rule: Rule) -> float:
+    """What the columns that speak against a match can take off a score at most."""
+    return sum(w for w in rule.weights[1:] if w < 0)
+
+
+def deciding_subsets(rule: Rule, dims: list[Dimension], undecided: bool) -> list[int]:
+    """Subsets of the columns speaking for a match on which similarity can be enough, without those that add nothing.
 
-    A column that speaks against a match counts as if it agreed. A subset adds nothing when one column less
-    is enough already at the lowest similarities.
+    A subset adds nothing when one column less is enough already at the lowest similarities, with all other
+    columns against it. `undecided` keeps subsets that are enough only if some column speaks not against it.
     """
     same, *weights = rule.weights
-    against = sum(w for w in weights if w < 0)
     helpful = sum(1 << i for i, w in enumerate(weights) if w > 0)
 
-    def enough(subset: int, key_agrees: int, lowest: bool) -> bool:
+    def score(subset: int, key_agrees: int, lowest: bool) -> float:
         gained = sum(w * (d.least_level if lowest else 1.0)
                      for i, (w, d) in enumerate(zip(weights, dims)) if subset >> i & 1)
-        return same * key_agrees + gained + against - rule.limit > TIE
+        return same * key_agrees + gained - rule.limit
 
     def adds(subset: int, key_agrees: int) -> bool:
         smaller = [subset & ~(1 << i) for i in range(len(dims)) if subset >> i & 1]
-        return enough(subset, key_agrees, False) and not any(enough(s, key_agrees, True) for s in smaller)
+        best = score(subset, key_agrees, False) + (0 if undecided else _against(rule))
+        return best > TIE and not any(score(s, key_agrees, True) + _against(rule) > TIE for s in smaller)
 
     return [s for s in range(1 << len(dims)) if s & helpful == s and (adds(s, 0) or adds(s, 1))]
 
 
-def _check_decidable(vectors: DataFrame, rule: Rule, levels: list[str]) -> None:
-    """Every matching vector must still match when the columns that speak against a match are taken to agree."""
+def _helpful_score(rule: Rule, dims: list[Dimension]) -> Column:
+    """The score of a pair without the columns that speak against a match."""
     same, *weights = rule.weights
-    worst = rule.score([F.col("same"), *[F.lit(1.0) if w < 0 else F.col(c) for w, c in zip(weights, levels)]])
-    if same < 0 or not classify(vectors, ["same", *levels], rule).where("match").where(worst <= TIE).isEmpty():
-        raise ValueError("agreement on some column speaks against a match; choose other columns to compare")
+    return sum((max(w, 0.0) * F.col(c) for w, c in zip(weights, level_columns(dims))),
+               F.col("same") * same - rule.limit)
+
+
+def has_undecided(vectors: DataFrame, dims: list[Dimension], rule: Rule) -> bool:
+    """Does some vector match that would not if the columns against a match all agreed?"""
+    matching = classify(vectors, ["same", *level_columns(dims)], rule).where("match")
+    return _against(rule) < 0 and not matching.where(_helpful_score(rule, dims) + _against(rule) <= TIE).isEmpty()
+
 
+def _tie(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges for links (_own, _rep, _other, _rep_other) between groups whose members all match each other.
 
-def match_edges(tuples: DataFrame, dims: list[Dimension], rule: Rule) -> DataFrame:
+    The smallest ids of two linked groups are tied, and each member (src, _group) to the smallest id of one group
+    that its own is linked to.
+    """
+    across = links.select(F.col("_rep").alias("src"), F.col("_rep_other").alias("dst"))
+    partners = (links.select(F.col("_own").alias("_group"), F.col("_rep_other").alias("dst"))
+                .unionByName(links.select(F.col("_other").alias("_group"), F.col("_rep").alias("dst")))
+                .groupBy("_group").agg(F.min("dst").alias("dst")))
+    return across.unionByName(spread_lookup(members, partners, ["_group"]).select("src", "dst")).distinct()
+
+
+def match_edges(tuples: DataFrame, dims: list[Dimension], rule: Rule, undecided: bool = False) -> DataFrame:
     """(src, dst) whose components are those of the graph of all matching pairs.
 
-    Tuples alike on a deciding subset all match each other: each is tied to the smallest id among them. Two such
-    groups are tied together when their similarities are enough. A lone tuple is tied to itself.
+    Groups of tuples alike on a deciding subset are linked, to themselves or to each other, when their
+    similarities are enough whatever the other columns say. With `undecided`, groups for which the columns
+    against a match decide are divided by the values of these columns, and the parts are compared.
     """
-    levels = level_columns(dims)
-    same, *weights = rule.weights
-    against = sum(w for w in weights if w < 0)
-    spread = subsets_of(tuples, dims, deciding_subsets(rule, dims))
+    spread = subsets_of(tuples, dims, deciding_subsets(rule, dims, undecided))
     groups = groups_of(spread, dims)
-    score = sum((max(w, 0.0) * F.col(c) for w, c in zip(weights, levels)),
-                F.col("same") * same + (against - rule.limit))
-    linked = similar_groups(groups, tuples, dims).where(score > TIE)
-    targets = groups.select(group_key("_rank", value_columns(dims)).alias("_target"), F.col("_rep").alias("dst"))
-    across = spread_lookup(linked.where("_own != _target").select(F.col("_rep").alias("src"), "_target"),
-                           targets, ["_target"]).select("src", "dst")
-    members = spread.select(F.col("_rep").alias("src"), group_key("_rank", value_columns(dims)).alias("_target"))
-    inside = spread_lookup(members, targets, ["_target"]).select("src", "dst")
-    return inside.unionByName(across).distinct()
+    pairs = similar_groups(groups, tuples, dims)
+    score = _helpful_score(rule, dims)
+    links = pairs.where(score + _against(rule) > TIE).select("_own", "_rep", "_other", "_rep_other")
+    # NULLs inside a struct compare as equal, which a column left out of the subset needs.
+    members = spread.select(F.col("_rep").alias("src"), group_key(dims).alias("_group"))
+    edges = _tie(links, members)
+    if not undecided:
+        return edges
+
+    doubtful = [i for i, w in enumerate(rule.weights[1:]) if w < 0]
+    values = tuples.select("_rank", "_rep", *[F.col(f"v{i}").alias(f"x{i}") for i in doubtful])
+    held = spread.join(values, ["_rank", "_rep"])
+    part_key = F.struct(group_key(dims).alias("g"), *[F.col(f"x{i}") for i in doubtful])
+    parts = (held.withColumn("_group", group_key(dims)).withColumn("_part", part_key)
+             .groupBy("_group", "_part").agg(F.min("_rep").alias("_rep_part")))
+    open_pairs = pairs.where((score > TIE) & (score + _against(rule) <= TIE)).select("_own", "_other", score.alias("_score"))
+    compared = (spread_lookup(open_pairs.withColumnRenamed("_own", "_group"), parts, ["_group"])
+                .select("_score", F.col("_part").alias("_own"), F.col("_rep_part").alias("_rep"),
+                        F.col("_other").alias("_group")))
+    compared = (spread_lookup(compared, parts, ["_group"])
+                .select("_score", "_own", "_rep", F.col("_part").alias("_other"), F.col("_rep_part").alias("_rep_other")))
+    for i in doubtful:
+        level = LEVELS[dims[i].how](F.col(f"_own.x{i}"), F.col(f"_other.x{i}"))
+        compared = compared.withColumn("_score", F.col("_score") + rule.weights[i + 1] * level)
+    links = compared.where(F.col("_score") > TIE)
+    return edges.unionByName(_tie(links, held.select(F.col("_rep").alias("src"), part_key.alias("_group")))).distinct()
 
 
 def number_clusters(labels: DataFrame, id_col: str = "id") -> DataFrame:
@@ -111,8 +152,7 @@ def find_duplicates(df: DataFrame, key: str, exact: list[str] = (), similar: lis
     if rule is None:
         nothing = reduced.select(ref(id_col), F.lit(0).cast("long").alias("group_id"), F.lit(False).alias("delete"))
         return Duplicates(reduced, nothing.where(F.lit(False)))
-    _check_decidable(vectors, rule, levels)
-    labels = connected_components(match_edges(tuples, dims, rule))
+    labels = connected_components(match_edges(tuples, dims, rule, has_undecided(vectors, dims, rule)))
     of_tuple = F.struct(F.col("_rank").alias("r"), *[F.col(v) for v in value_columns(dims)])
     component = spread_lookup(tuples.select(of_tuple.alias("_tuple"), F.col("_rep").alias("node")), labels, ["node"])
     labelled = spread_lookup(rows.select(F.col("_id").alias(id_col), of_tuple.alias("_tuple")),

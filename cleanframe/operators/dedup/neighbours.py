@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.similarity import (CONFUSED_MONTHS, DATE_SLIP, NUMBER_REACH, allowed_edits, date_level,
-                                             number_level, text_level)
-
-OUT = ["_rank", "v", "_rank_b", "b", "level"]
+                                             text_level)
+from cleanframe.plans.skew import spread_lookup
 
 
 def _same_and_next() -> Column:
@@ -28,16 +27,10 @@ def _identical(values: DataFrame) -> DataFrame:
             .select("_rank", "v", "_rank_b", "b", F.lit(1.0).alias("level")))
 
 
-def number_neighbours(values: DataFrame) -> DataFrame:
-    """Numbers closer than the reach of the similarity lie in the same or an adjacent bucket of that width."""
+def number_bucket(value: Column) -> Column:
+    """Numbers closer than the reach of the similarity lie in the same or an adjacent bucket."""
     limit = F.lit(9.0e15)
-    bucket = F.floor(F.least(F.greatest(F.col("v").cast("double") / NUMBER_REACH, -limit), limit)).cast("long")
-    placed = values.withColumn("_bucket", bucket)
-    first = placed.withColumn("_rank_b", _same_and_next()).withColumn(
-        "_bucket", F.explode(F.array(*[F.col("_bucket") + i for i in (-1, 0, 1)])))
-    other = placed.select(F.col("_rank").alias("_rank_b"), F.col("v").alias("b"), "_bucket")
-    pairs = first.join(other, ["_rank_b", "_bucket"]).withColumn("level", number_level(F.col("v"), F.col("b")))
-    return pairs.where("level > 0").select(*OUT)
+    return F.floor(F.least(F.greatest(value.cast("double") / NUMBER_REACH, -limit), limit)).cast("long")
 
 
 def date_neighbours(values: DataFrame) -> DataFrame:
@@ -97,7 +90,7 @@ def text_neighbours(values: DataFrame) -> DataFrame:
     fits = ((F.col("lb") >= F.col("la") - F.col("edits"))
             & ((F.col("lb") < F.col("la")) | ((F.col("lb") == F.col("la")) & (F.col("b") < F.col("a"))))
             & (F.abs(F.col("at_a") - F.col("at_b")) <= F.col("edits")))
-    found = longer.join(shorter, ["rb", "token"]).where(fits).select("ra", "a", "rb", "b").distinct()
+    found = spread_lookup(longer, shorter, ["rb", "token"]).where(fits).select("ra", "a", "rb", "b").distinct()
     similar = found.where(text_level(F.col("a"), F.col("b")) > 0)
     ways = F.filter(F.array(
         F.when(F.col("rb") >= F.col("ra"), F.struct(F.col("ra").alias("_rank"), F.col("a").alias("v"),

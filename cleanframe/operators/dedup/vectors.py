@@ -14,12 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cleanframe.functions.similarity import number_level
 from cleanframe.operators.dedup.blocks import DATE, EXACT, NUMBER, PAIR_COUNT, TEXTUAL, Dimension
-from cleanframe.operators.dedup.neighbours import date_neighbours, number_neighbours, text_neighbours
-from cleanframe.plans.skew import spread_lookup
+from cleanframe.operators.dedup.neighbours import date_neighbours, number_bucket, text_neighbours
+from cleanframe.plans.skew import all_salts, spread_lookup
 
-NEIGHBOURS = {NUMBER: number_neighbours, DATE: date_neighbours, TEXTUAL: text_neighbours}
+NEIGHBOURS = {DATE: date_neighbours, TEXTUAL: text_neighbours}
 MAX_DIMENSIONS = 12
+NUMBER_SALTS = 8
 
 
 def value_columns(dims: list[Dimension]) -> list[str]:
@@ -59,42 +61,74 @@ def groups_of(spread: DataFrame, dims: list[Dimension]) -> DataFrame:
             .agg(F.sum("_n").alias("_n"), F.min("_rep").alias("_rep")))
 
 
-def group_key(rank: str, values: list[str]) -> Column:
-    return F.struct(F.col(rank).alias("r"), F.col("_set").alias("s"),
-                    *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+def _struct_key(rank: str, parts: list[Column]) -> Column:
+    return F.struct(F.col(rank).alias("r"), F.col("_set").alias("s"), *[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+
+def group_key(dims: list[Dimension]) -> Column:
+    """One value that identifies a group."""
+    return _struct_key("_rank", [F.col(v) for v in value_columns(dims)])
 
 
 def similar_groups(groups: DataFrame, tuples: DataFrame, dims: list[Dimension]) -> DataFrame:
-    """Each group with the key `_target` of every similar group in its block or the next, and levels l0, l1, ..."""
+    """Each group beside every similar group of its block or the next:
+    (_set, same, l0, l1, ..., _own, _n, _rep, _other, _n_other, _rep_other).
+
+    Columns compared exactly, by text or by date lead to the other group's values by equality or through the list
+    of similar values. Numbers lead to the bucket of the other group and its two neighbours; groups compared by
+    number are salted, since a bucket may hold many values.
+    """
+    values = value_columns(dims)
+    numbers = [i for i, d in enumerate(dims) if d.how == NUMBER]
+    by_number = reduce(lambda a, b: a | b, [_has(F.col("_set"), i) for i in numbers], F.lit(False))
+    no_salt = F.lit(0).cast("long")
+
     out = groups.withColumn("_rank_b", F.explode(F.array(F.col("_rank"), F.col("_rank") + 1)))
     for i, d in enumerate(dims):
         if d.how == EXACT:
             out = out.withColumn(f"b{i}", F.col(f"v{i}")).withColumn(f"l{i}", _has(F.col("_set"), i).cast("double"))
-            continue
-        values = tuples.select("_rank", F.col(f"v{i}").alias("v")).where("v IS NOT NULL").distinct()
-        near = NEIGHBOURS[d.how](values).select(
-            "_rank", F.col("v").alias(f"v{i}"), "_rank_b", F.col("b").alias(f"b{i}"), F.col("level").alias(f"l{i}"))
-        out = spread_lookup(out, near, ["_rank", f"v{i}", "_rank_b"], "left")
-        out = out.where(~_has(F.col("_set"), i) | F.col(f"l{i}").isNotNull()).fillna(0.0, [f"l{i}"])
-    same = (F.col("_rank") == F.col("_rank_b"))
-    own, target = group_key("_rank", value_columns(dims)), group_key("_rank_b", [f"b{i}" for i in range(len(dims))])
-    return out.select("_set", "_n", "_rep", own.alias("_own"), target.alias("_target"),
-                      same.cast("double").alias("same"), *level_columns(dims))
+        elif d.how == NUMBER:
+            bucket = number_bucket(F.col(f"v{i}"))
+            reach = F.array(*[bucket + step for step in (-1, 0, 1)])
+            out = out.withColumn(f"b{i}", F.explode(F.when(_has(F.col("_set"), i), reach).otherwise(F.array(bucket))))
+        else:
+            distinct = tuples.select("_rank", F.col(f"v{i}").alias("v")).where("v IS NOT NULL").distinct()
+            near = NEIGHBOURS[d.how](distinct).select(
+                "_rank", F.col("v").alias(f"v{i}"), "_rank_b", F.col("b").alias(f"b{i}"), F.col("level").alias(f"l{i}"))
+            out = spread_lookup(out, near, ["_rank", f"v{i}", "_rank_b"], "left")
+            out = out.where(~_has(F.col("_set"), i) | F.col(f"l{i}").isNotNull()).fillna(0.0, [f"l{i}"])
+
+    own = group_key(dims)
+    salt = F.pmod(F.xxhash64(own), F.lit(NUMBER_SALTS).cast("long"))
+    sources = out.select(
+        _struct_key("_rank_b", [F.col(f"b{i}") for i in range(len(dims))]).alias("_key"),
+        F.when(by_number, salt).otherwise(no_salt).alias("_salt"), "_set", own.alias("_own"), "_n", "_rep",
+        (F.col("_rank") == F.col("_rank_b")).cast("double").alias("same"),
+        *[F.col(f"l{i}") for i in range(len(dims)) if i not in numbers], *[F.col(f"v{i}") for i in numbers])
+    targets = groups.select(
+        _struct_key("_rank", [number_bucket(F.col(v)) if i in numbers else F.col(v) for i, v in enumerate(values)]).alias("_key"),
+        F.explode(F.when(by_number, all_salts(NUMBER_SALTS)).otherwise(F.array(no_salt))).alias("_salt"),
+        own.alias("_other"), F.col("_n").alias("_n_other"), F.col("_rep").alias("_rep_other"),
+        *[F.col(f"v{i}").alias(f"w{i}") for i in numbers])
+    pairs = sources.join(targets, ["_key", "_salt"])
+    for i in numbers:
+        level = F.when(_has(F.col("_set"), i), number_level(F.col(f"v{i}"), F.col(f"w{i}"))).otherwise(0.0)
+        pairs = pairs.withColumn(f"l{i}", level).where(~_has(F.col("_set"), i) | (F.col(f"l{i}") > 0))
+    return pairs.select("_set", "same", *level_columns(dims), "_own", "_n", "_rep", "_other", "_n_other", "_rep_other")
 
 
 def vector_counts(tuples: DataFrame, dims: list[Dimension]) -> DataFrame:
     """(same, l0, l1, ..., pairs): the number of candidate pairs per comparison vector; `same` is the key's part."""
     levels = level_columns(dims)
-    groups = groups_of(subsets_of(tuples, dims), dims)
-    sources = similar_groups(groups, tuples, dims)
-    sources = (sources.withColumn("_self", F.col("_own") == F.col("_target"))
-               .groupBy("_target", "_self", "same", *levels).agg(F.sum("_n").alias("_from")))
-    targets = groups.select(group_key("_rank", value_columns(dims)).alias("_target"), F.col("_n").alias("_to"))
-    n, m = F.col("_from").cast("decimal(19,0)"), F.col("_to").cast("decimal(19,0)")
-    ordered = n * m - F.when(F.col("_self"), m).otherwise(F.lit(0).cast("decimal(19,0)"))
-    twice = F.when(F.col("same") == 1, ordered).otherwise(2 * ordered).cast(PAIR_COUNT)
-    agreeing = (sources.join(targets, "_target").select("same", *levels, twice.alias("_pairs"))
-                .groupBy("same", *levels).agg(F.sum("_pairs").cast(PAIR_COUNT).alias("_pairs")))
+    similar = similar_groups(groups_of(subsets_of(tuples, dims), dims), tuples, dims)
+    # Counting equal sizes first leaves the wide decimals to few rows.
+    sized = (similar.withColumn("_self", F.col("_own") == F.col("_other"))
+             .groupBy("same", *levels, "_n", "_n_other", "_self").agg(F.count("*").alias("_times")))
+    n, m, times = [F.col(c).cast("decimal(19,0)") for c in ("_n", "_n_other", "_times")]
+    ordered = (n * m - F.when(F.col("_self"), m).otherwise(F.lit(0).cast("decimal(19,0)"))).cast(PAIR_COUNT)
+    # Inside a block each pair is met from both sides, so pairs between blocks count twice as well until the end.
+    twice = (F.when(F.col("same") == 1, ordered).otherwise(2 * ordered) * times).cast(PAIR_COUNT)
+    agreeing = sized.groupBy("same", *levels).agg(F.sum(twice).cast(PAIR_COUNT).alias("_pairs"))
     signed = agreeing.withColumn("_sign", F.lit(1))
     for level in levels:
         keep = F.struct(F.col(level).alias("l"), F.lit(1).alias("s"))

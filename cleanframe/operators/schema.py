@@ -16,8 +16,9 @@ USER_TYPES: dict[str, T.DataType] = {
     "VARCHAR(255)": T.StringType(),
     "BIT": T.BooleanType(),
 }
-# Month-day-year forms tried after ISO.
-MONTH_FIRST_FORMATS = ("M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "M/d/yyyy", "M-d-yyyy HH:mm:ss", "M-d-yyyy HH:mm", "M-d-yyyy")
+# A date in month-day-year order, and its ISO form.
+MONTH_FIRST = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
+MONTH_FIRST_AS_ISO = "$3-$1-$2"
 
 
 def user_type(name: str) -> T.DataType:
@@ -51,11 +52,8 @@ def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def parse_timestamp(text):
-    """ISO first, then month-day-year; NULL when neither fits."""
-    text = F.trim(text)
-    tries = [text.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in MONTH_FIRST_FORMATS]
-    return F.coalesce(*tries)
+    """ISO or month-day-year; NULL when neither fits."""
+    return F.regexp_replace(F.trim(text), MONTH_FIRST, MONTH_FIRST_AS_ISO).try_cast("timestamp_ntz")
 
 
 def change_type(df: DataFrame, name: str, type_name: str) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import types as T
 from cleanframe.functions.columns import ref
 from cleanframe.operators.predicates import COMPARISONS
 from cleanframe.plans.ordering import range_count, range_index, sample_bounds
-from cleanframe.plans.skew import SALTS
+from cleanframe.plans.skew import all_salts, row_salt
 
 LOWEST, HIGHEST = -2**63, 2**63 - 1
+LEFT_SALTS = 8
 
 
 def _common_type(left: DataFrame, a: str, right: DataFrame, b: str) -> T.DataType:
@@ -42,9 +43,9 @@ def inequality_join(left: DataFrame, right: DataFrame, a: str, op: str, b: str)
     tie = F.lit(HIGHEST if op == ">=" else LOWEST)
     own = range_index(key(ref(a), tie), bounds, dtype)
     targets = F.sequence(own, F.lit(len(bounds))) if op in ("<", "<=") else F.sequence(F.lit(0), own)
-    left_side = (left.withColumn("_salt", F.pmod(F.xxhash64(*[ref(c) for c in left.columns]), F.lit(SALTS)))
+    left_side = (left.withColumn("_salt", row_salt(left, LEFT_SALTS))
                  .withColumn("_range", F.explode(targets)))
     right_side = (right.withColumn("_range", range_index(right_key, bounds, dtype))
-                  .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))))
+                  .withColumn("_salt", F.explode(all_salts(LEFT_SALTS))))
     return (left_side.join(right_side, ["_range", "_salt"]).where(COMPARISONS[op](ref(a), ref(b)))
             .drop("_range", "_salt"))

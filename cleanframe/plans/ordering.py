@@ -13,19 +13,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cleanframe.functions.columns import ref, typed_literal
+from cleanframe.functions.columns import bisect, ref, typed_literal
 
 ROWS_PER_RANGE = 200_000
 MAX_RANGES = 8192
 SAMPLES_PER_RANGE = 20
+RANK_RANGES = 64
 
 
-def key_struct(columns: list[str]) -> Column:
+def key_struct(columns: list[str], tie: Column | None = None) -> Column:
     """Sort key with NULLs last, comparable as one value."""
     parts = []
     for i, name in enumerate(columns):
         parts += [ref(name).isNull().alias(f"n{i}"), ref(name).alias(f"k{i}")]
-    return F.struct(*parts)
+    return F.struct(*parts) if tie is None else F.struct(*parts, tie.alias("tie"))
 
 
 def range_count(total: int) -> int:
@@ -47,15 +48,8 @@ def sample_bounds(df: DataFrame, key: Column, ranges: int, total: int) -> tuple[
 
 
 def range_index(key: Column, bounds: list, dtype: T.DataType) -> Column:
-    """Number of boundaries at or below `key`: a coarse pass over every step-th one, then one step of fine ones."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(bounds)))
-    fine = F.array(*[typed_literal(b, dtype) for b in bounds])
-    coarse = [typed_literal(b, dtype) for b in bounds[step - 1::step]]
-    block = F.size(F.filter(F.array(*coarse), lambda b: b <= key)) * step
-    inside = F.size(F.filter(F.slice(fine, block + 1, F.lit(step)), lambda b: b <= key))
-    return (block + inside).cast("int")
+    """Number of boundaries at or below `key`."""
+    return bisect([typed_literal(b, dtype) for b in bounds], lambda b: b <= key)
 
 
 def with_position(df: DataFrame, order_by: list[str], name: str, start: int = 0) -> DataFrame:
@@ -65,8 +59,13 @@ def with_position(df: DataFrame, order_by: list[str], name: str, start: int = 0)
     four times, all but the last time for its keys only: store it first if it is not a plain scan.
     """
     total = df.count()
-    bounds, dtype = sample_bounds(df, key_struct(order_by), range_count(total), total)
-    ranged = df.withColumn("_range", range_index(key_struct(order_by), bounds, dtype))
+    ranges, key = range_count(total), key_struct(order_by)
+    bounds, dtype = sample_bounds(df, key, ranges, total)
+    if len(bounds) < ranges - 1:
+        # A key that fills whole ranges: a hash of the row spreads its rows over them.
+        key = key_struct(order_by, F.xxhash64(*[ref(c) for c in df.columns]))
+        bounds, dtype = sample_bounds(df, key, ranges, total)
+    ranged = df.withColumn("_range", range_index(key, bounds, dtype))
     sizes = {0: total}
     if bounds:
         sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
@@ -75,7 +74,7 @@ def with_position(df: DataFrame, order_by: list[str], name: str, start: int = 0)
         offsets.append(seen)
         seen += sizes.get(i, 0)
     offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_range") + 1)
-    window = Window.partitionBy("_range").orderBy(key_struct(order_by))
+    window = Window.partitionBy("_range").orderBy(key)
     return ranged.withColumn(name, F.row_number().over(window) - 1 + offset).drop("_range")
 
 
@@ -90,7 +89,8 @@ def values_at_ranks(df: DataFrame, column: str, ranks) -> tuple[int, list]:
     wanted = sorted(set(ranks(total))) if total else []
     if not wanted:
         return total, []
-    bounds, dtype = sample_bounds(values, F.col("_v"), range_count(total), total)
+    ranges = max(range_count(total), min(RANK_RANGES, total // SAMPLES_PER_RANGE))
+    bounds, dtype = sample_bounds(values, F.col("_v"), ranges, total)
     ranged = values.withColumn("_range", range_index(F.col("_v"), bounds, dtype))
     sizes = {0: total}
     if bounds:

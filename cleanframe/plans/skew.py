@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref
 
-SALTS = 8
+HOT_ROWS = 1_000_000
+SALTS = 64
 
 
-def spread_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                  salts: int = SALTS) -> DataFrame:
-    """Equi-join `big` to `small`, where `small` holds few rows per key.
+def row_salt(df: DataFrame, salts: int = SALTS) -> Column:
+    """A number below `salts` from a hash of the whole row: the same again when a lost task is repeated."""
+    return F.pmod(F.xxhash64(*[ref(c) for c in df.columns]), F.lit(salts).cast("long"))
 
-    Rows of `big` that share a key are divided among `salts` tasks by a hash of the whole row; `small` is
-    repeated once per salt. No broadcast hint: the adaptive planner broadcasts only a side it has measured.
+
+def all_salts(salts: int = SALTS) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+
+
+def spread_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join `big` to `small`, where `small` holds few rows per key but a key of `big` may be hot.
+
+    Keys with more than HOT_ROWS rows are found by a count over key hashes, which is combined before it is
+    shuffled. Only their rows are divided into salts, and only their rows in `small` are repeated. There are at
+    most rows / HOT_ROWS of them (a million for 10^12 rows), which bounds what is broadcast.
     """
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*[ref(c) for c in big.columns]), F.lit(salts)))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    def key_hash() -> Column:
+        return F.xxhash64(*[ref(k).cast(big.schema[k].dataType) for k in keys])
+
+    hot = (big.select(key_hash().alias("_hash")).groupBy("_hash").agg(F.count("*").alias("_n"))
+           .where(F.col("_n") > HOT_ROWS).select("_hash", F.lit(True).alias("_hot")))
+
+    def salted(df: DataFrame, salt: Column) -> DataFrame:
+        flagged = df.withColumn("_hash", key_hash()).join(F.broadcast(hot), "_hash", "left")
+        return flagged.withColumn("_salt", salt).drop("_hash", "_hot")
+
+    none = F.lit(0).cast("long")
+    spread = salted(big, F.when(F.col("_hot"), row_salt(big)).otherwise(none))
+    repeated = salted(small, F.explode(F.when(F.col("_hot"), all_salts()).otherwise(F.array(none))))
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")

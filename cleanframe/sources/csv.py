@@ -25,22 +25,17 @@ def missing_to_null(df: DataFrame) -> DataFrame:
 def infer_types(df: DataFrame) -> dict[str, str]:
     """bigint, double, boolean, timestamp_ntz or string per text column: the narrowest that every value fits.
 
-    One aggregate over one scan. Columns without values stay text.
+    One aggregate over one scan: each value has one class, a bit, and a column collects the bits of its values.
+    Columns without values stay text.
     """
-    def tests(i: int, c: Column) -> list[Column]:
-        number = c.rlike(NUMBER)
-        return [F.count(c).alias(f"n{i}"), F.count_if(c.try_cast("bigint").isNotNull() & number).alias(f"i{i}"),
-                F.count_if(number).alias(f"d{i}"), F.count_if(c.isin(*TRUTH_WORDS)).alias(f"b{i}"),
-                F.count(F.when(~number, parse_timestamp(c))).alias(f"t{i}")]
-
-    found = df.agg(*[t for i, name in enumerate(df.columns) for t in tests(i, ref(name))]).first()
-    types = {}
-    for i, name in enumerate(df.columns):
-        n = found[f"n{i}"]
-        fits = [t for letter, t in zip("idbt", ("bigint", "double", "boolean", "timestamp_ntz"))
-                if n and found[f"{letter}{i}"] == n]
-        types[name] = fits[0] if fits else "string"
-    return types
+    def value_class(c: Column) -> Column:
+        number = F.when(c.try_cast("bigint").isNotNull(), 1).otherwise(2)
+        return (F.when(c.isNull(), 0).when(c.rlike(NUMBER), number).when(c.isin(*TRUTH_WORDS), 4)
+                .when(parse_timestamp(c).isNotNull(), 8).otherwise(16))
+
+    found = df.agg(*[F.bit_or(value_class(ref(c))).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    fitting = {1: "bigint", 2: "double", 3: "double", 4: "boolean", 8: "timestamp_ntz"}
+    return {c: fitting.get(found[f"c{i}"], "string") for i, c in enumerate(df.columns)}
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:

@@ -10,12 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleanframe.functions.similarity import edit_distance, text_level
-from cleanframe.operators.dedup.blocks import block_sizes
-from cleanframe.operators.dedup.classify import two_means
+from cleanframe.operators.dedup.blocks import block_sizes, dimensions, rank_rows
+from cleanframe.operators.dedup.classify import Rule, two_means
 from cleanframe.operators.dedup.components import connected_components
-from cleanframe.operators.dedup.detect import find_duplicates, pair_vectors
+from cleanframe.operators.dedup.detect import find_duplicates, has_undecided, match_edges, pair_vectors
 from cleanframe.operators.dedup.exact import remove_identical_rows
 from cleanframe.operators.dedup import review
+from cleanframe.operators.dedup.vectors import tuples_of, vector_counts
+from cleanframe.plans.storage import cut_lineage
 from tests.conftest import rows
 
 SCHEMA = "id long, city string, name string, kind string, amount double, born timestamp_ntz"
@@ -144,6 +146,37 @@ def test_clusters_equal_all_pairs(spark, exact, similar, seed):
     assert sorted(found) == list(range(1, len(want) + 1))
 
 
+def random_rule(rng, dims):
+    """Any two centres: some columns speak against a match, and so may the key."""
+    return Rule(tuple(rng.random() * 0.5 for _ in range(dims + 1)), tuple(rng.random() for _ in range(dims + 1)))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_edges_for_any_rule(spark, seed):
+    """The clusters of all matching pairs, also where agreement on a column speaks against a match."""
+    rng = random.Random(seed)
+    exact, similar = COMPARISONS[rng.randrange(1, len(COMPARISONS))]
+    table = people(45, seed + 50, hot=0.3)
+    df = spark.createDataFrame(table, SCHEMA)
+    dims = dimensions(df, "city", exact, similar)
+    rule = random_rule(rng, len(dims))
+    rows_ranked = rank_rows(df, "id", "city", dims)
+    tuples = cut_lineage(tuples_of(rows_ranked, dims))
+    undecided = has_undecided(vector_counts(tuples, dims), dims, rule)
+    labels = dict(connected_components(match_edges(tuples, dims, rule, undecided)).collect())
+    of_rep = defaultdict(list)
+    values = ["_rank", *[f"v{i}" for i in range(len(dims))]]
+    rep_of = {tuple(r[c] for c in values): r["_rep"] for r in tuples.collect()}
+    for r in rows_ranked.collect():
+        of_rep[rep_of[tuple(r[c] for c in values)]].append(r["_id"])
+    found = defaultdict(set)
+    for rep, component in labels.items():
+        found[component].update(of_rep[rep])
+    pairs = list(brute(table, "city", exact, similar))
+    want = groups_of([(a, b) for a, b, v in pairs if rule.score(v) > 1e-9])
+    assert sorted(sorted(g) for g in found.values() if len(g) > 1) == want
+
+
 def test_centres_equal_plain_lloyd(spark):
     rng = random.Random(5)
     vectors = [(rng.choice([0.0, 1.0]), rng.choice([0.0, 0.5, 1.0]), rng.random()) for _ in range(300)]
