@@ -285,3 +285,13 @@ def delete_ids(spark, d):
 def keep_ids(spark, d):
     wanted = table(spark, d, "lineitem").where("l_quantity > 48").select("l_orderkey")
     return rows.keep_ids(table(spark, d, "orders"), wanted, "o_orderkey")
+
+
+@query("select_values", f"SELECT {LINE}, l_quantity FROM {GAPS} WHERE l_quantity IS NOT NULL")
+def select_values(spark, d):
+    return predicates.non_nulls_of(gaps(spark, d), "l_quantity").select(*LINE_KEYS, "l_quantity")
+
+
+@query("id_first", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders")
+def id_first(spark, d):
+    return schema.id_first(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey")

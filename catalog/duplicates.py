@@ -214,10 +214,28 @@ def dedup_marked(spark, d):
     """All but the first member of the first cluster are marked, then the review ends."""
     documents, clusters = _same_text(spark, d)
     current = clusters.where(F.col("group_id") == review.next_group(clusters))
-    marks = current.join(current.agg(F.min("doc_id").alias("_first")), F.col("doc_id") > F.col("_first")).select("doc_id")
+    first = current.agg(F.min("doc_id")).first()[0]
+    marks = current.where(F.col("doc_id") > first).select("doc_id")
     return review.mark_and_finish(documents, clusters, marks, "doc_id").rows
 
 
+@query("cluster_members", f"{SAME_TEXT} SELECT doc_id, text, group_id FROM documents JOIN g USING (text)")
+def cluster_members(spark, d):
+    return review.cluster_rows(*_same_text(spark, d), "doc_id")
+
+
+@query("review_next", f"""
+    {SAME_TEXT} SELECT doc_id, group_id, group_id = 1 AS delete FROM documents JOIN g USING (text)
+    WHERE group_id > 1 OR doc_id > first""")
+def review_next(spark, d):
+    """The first cluster is closed with all but its first member marked; the review goes on with the others."""
+    documents, clusters = _same_text(spark, d)
+    current = clusters.where(F.col("group_id") == review.next_group(clusters))
+    first = current.agg(F.min("doc_id")).first()[0]
+    marks = current.where(F.col("doc_id") > first).select("doc_id")
+    return review.mark_and_next(documents, clusters, marks, "doc_id").clusters
+
+
 @query("find_duplicates", f"""
     {two_means_sql(PART_ONCE)},
     e AS (SELECT ida, idb FROM p, z WHERE {_score_sql('p')} > 1e-9),

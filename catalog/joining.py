@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query, table
 from cleanframe.operators.joins import Pair, join_tables
-from cleanframe.operators.schema import change_type  # noqa: F401
 
 
 def _with_id(df, key):

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import io
 import zipfile
 
 from pyspark.sql import functions as F
 
 from catalog.registry import query, table
-from cleanframe.operators import changes, history, impute, predicates, replace, versions
+from cleanframe.operators import changes, dates, history, impute, page, predicates, replace, rows, versions
 from cleanframe.plans.storage import new_folder
 from cleanframe.sources import csv as csv_files
-from cleanframe.sources import dump, zipped
+from cleanframe.sources import dump, load, zipped
 from cleanframe.streaming import activity, cleaning
 
 
@@ -39,8 +40,7 @@ def csv_text(spark, d):
     FROM customer""")
 def csv_append(spark, d):
     """Customers, written in key order as one sorted export, appended to the suppliers."""
-    from cleanframe.operators.rows import assign_id
-    first = assign_id(table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name"),
+    first = rows.assign_id(table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name"),
                                                          F.col("s_acctbal").alias("balance")), ["s_suppkey"]).drop("s_suppkey")
     folder = new_folder(spark, "csv")
     more = table(spark, d, "customer").orderBy("c_custkey").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
@@ -97,6 +97,19 @@ def zip_load(spark, d):
     return zipped.read_zip(spark, folder, typed=True)["events"].drop("id")
 
 
+@query("copy_table", "SELECT * FROM part")
+def copy_table(spark, d):
+    return rows.copy_table(table(spark, d, "part"), new_folder(spark, "copy"))
+
+
+@query("load_by_extension", "SELECT c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def load_by_extension(spark, d):
+    folder = new_folder(spark, "load") + ".csv"
+    csv_files.write_csv(table(spark, d, "customer"), folder, id_col="c_custkey")
+    return load.load(spark, folder, "customer", typed=True)["customer"].drop("id").withColumn(
+        "c_nationkey", F.col("c_nationkey").cast("int"))
+
+
 # --- versions ---------------------------------------------------------------------------------------------
 
 def _before_and_after(spark, d):
@@ -138,6 +151,26 @@ def snapshot_restore(spark, d):
     return store.restore(name)
 
 
+@query("raw_page", "SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 40 OFFSET 60")
+def raw_page(spark, d):
+    store = versions.VersionStore(spark, new_folder(spark, "versions"))
+    raw = store.write_raw(table(spark, d, "orders"))
+    return page.page(raw, 60, 40, "o_totalprice", True, "o_orderkey")
+
+
+@query("snapshot_list", """
+    SELECT * FROM (VALUES ('backup_20200102030406', 2::BIGINT, 'second', TIMESTAMP '2020-01-02 03:04:06'),
+        ('backup_20200102030407', 3::BIGINT, 'third', TIMESTAMP '2020-01-02 03:04:07')) AS t(name, version, note, "at")""")
+def snapshot_list(spark, d):
+    """Three snapshots of the suppliers, the first one deleted."""
+    store = versions.VersionStore(spark, new_folder(spark, "versions"))
+    current = store.write_raw(table(spark, d, "supplier"))
+    names = [store.snapshot(current, note, dt.datetime(2020, 1, 2, 3, 4, 5 + i))
+             for i, note in enumerate(("first", "second", "third"))]
+    store.delete(names[0])
+    return store.snapshots()
+
+
 @query("revert_to_raw", "SELECT * FROM nation")
 def revert_to_raw(spark, d):
     store = versions.VersionStore(spark, new_folder(spark, "versions"))
@@ -171,6 +204,18 @@ def history_list(spark, d):
     return history.actions(_log(spark, d), "view", "1", 0, 30, "date", False)
 
 
+@query("history_after_restore", f"""
+    SELECT * FROM {LOG_SQL} WHERE "table" <> 'click' OR date <= TIMESTAMP '2024-01-15'""")
+def history_after_restore(spark, d):
+    return history.keep_until(_log(spark, d), "click", dt.datetime(2024, 1, 15))
+
+
+@query("history_after_revert", f"""
+    SELECT * FROM {LOG_SQL} WHERE "table" <> 'click' OR action_id = (SELECT min(action_id) FROM {LOG_SQL} WHERE "table" = 'click')""")
+def history_after_revert(spark, d):
+    return history.keep_first(_log(spark, d), "click")
+
+
 # --- streams ----------------------------------------------------------------------------------------------
 
 @query("stream_clean", """
@@ -180,8 +225,6 @@ def history_list(spark, d):
     FROM events WHERE NOT coalesce(CASE WHEN event_id % 5 <> 0 THEN value END > 90, false)""")
 def stream_clean(spark, d):
     """A table of events cleaned as a stream; the average comes from a pass over the table."""
-    from cleanframe.operators.dates import extract_part
-
     def holes(df):
         return df.withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
 
@@ -190,7 +233,7 @@ def stream_clean(spark, d):
     stream = cleaning.read_stream(spark, f"{d}/events.parque[t]", events.schema)
     cleaned = cleaning.apply_steps(stream, [
         holes, lambda df: predicates.remove_outliers(df, "value", 90), lambda df: impute.fill(df, "value", average),
-        lambda df: replace.find_replace(df, "event_type", "substring", "c", "C"), lambda df: extract_part(df, "ts", "DOW")])
+        lambda df: replace.find_replace(df, "event_type", "substring", "c", "C"), lambda df: dates.extract_part(df, "ts", "DOW")])
     shown = cleaned.select("event_id", "ts (DOW)", "event_type", (F.col("value") > 0).alias("positive"))
     return cleaning.run_available(shown)
 

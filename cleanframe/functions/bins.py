@@ -37,7 +37,7 @@ def _rounded(x, digits: int):
         return x
     if abs(x) < 1:
         digits += -int(math.floor(math.log10(abs(x)))) - 1
-    return x if isinstance(x, int) else float(np.around(x, digits))
+    return x if isinstance(x, int) or digits > 300 else float(np.around(x, digits))
 
 
 def labels(edges: list[float], digits: int) -> list[str]:

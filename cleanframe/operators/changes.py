@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,16 +28,22 @@ def diff(before: DataFrame, after: DataFrame, id_col: str = "id") -> ChangeSet:
     require(after, id_col)
     columns = list(dict.fromkeys(before.columns + after.columns))
 
+    def typed(df: DataFrame, name: str) -> Column:
+        return ref(name) if name in df.columns else F.lit(None).cast("string")
+
+    def same_type(name: str) -> bool:
+        return name in before.columns and name in after.columns and before.schema[name].dataType == after.schema[name].dataType
+
     def side(df: DataFrame, prefix: str) -> DataFrame:
-        cells = [(ref(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(f"{prefix}{i}")
+        cells = [(typed(df, c) if same_type(c) else typed(df, c).cast("string")).alias(f"{prefix}{i}")
                  for i, c in enumerate(columns)]
         return df.select(ref(id_col).alias("_id"), F.lit(True).alias(f"{prefix}_here"), *cells)
 
     both = side(before, "o").join(side(after, "n"), "_id", "full")
     change = (F.when(F.col("n_here").isNull(), "delete").when(F.col("o_here").isNull(), "insert").otherwise("update"))
     differs = reduce(lambda a, b: a | b, [~F.col(f"o{i}").eqNullSafe(F.col(f"n{i}")) for i in range(len(columns))])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"o{i}").alias("old"), F.col(f"n{i}").alias("new"))
-                      for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"o{i}").cast("string").alias("old"),
+                               F.col(f"n{i}").cast("string").alias("new")) for i, c in enumerate(columns)])
     touched = (both.withColumn("change", change).where((F.col("change") != "update") | differs)
                .select(F.col("_id").alias("id"), "change", F.explode(cells).alias("cell")))
     changes = touched.select("id", "change", "cell.*").where(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import TEXT, data_type, friendly_type, ref, require, typed_literal
 
-# Comparison operators and connectors of a predicate.
+# Comparison operators of a predicate with their negations, and its connectors.
 COMPARISONS = {
     "=": lambda a, b: a == b,
     "<>": lambda a, b: a != b,
@@ -18,6 +18,7 @@ COMPARISONS = {
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
 }
+NEGATIONS = {"=": "<>", "<>": "=", "<": ">=", "<=": ">", ">": "<=", ">=": "<"}
 CONNECTORS = ("AND", "OR")
 
 
@@ -35,20 +36,41 @@ def comparison(df: DataFrame, column: str, op: str, value, wildcards: bool = Tru
     return COMPARISONS[op](ref(column), typed_literal(value, dtype))
 
 
-def predicate(df: DataFrame, predicates: list[tuple], wildcards: bool = True) -> Column:
-    """[(connector, column, op, value), ...] as one condition; AND binds before OR, the first connector is ignored."""
+def not_true(df: DataFrame, column: str, op: str, value, wildcards: bool = True) -> Column:
+    """The comparison is false or NULL, in a form that can be pushed into a scan."""
+    test = comparison(df, column, op, value, wildcards)
+    if op == "CONTAINS":
+        return ~test | ref(column).isNull()
+    unknown = ref(column).isNull() if value is not None else F.lit(True)
+    return comparison(df, column, NEGATIONS[op], value) | unknown
+
+
+def any_of_all(df: DataFrame, predicates: list[tuple]) -> list[list[tuple]]:
+    """[(connector, column, op, value), ...] as an OR of ANDs: AND binds first, the first connector is ignored."""
     if not predicates:
         raise ValueError("no predicate given")
-    any_of: list[list[Column]] = []
-    for i, (connector, column, op, value) in enumerate(predicates):
-        test = comparison(df, column, op, value, wildcards)
+    groups: list[list[tuple]] = []
+    for i, (connector, *test) in enumerate(predicates):
         if i and connector not in CONNECTORS:
             raise ValueError(f"unknown connector {connector!r}; choose AND or OR")
         if i and connector == "AND":
-            any_of[-1].append(test)
+            groups[-1].append(tuple(test))
         else:
-            any_of.append([test])
-    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, group) for group in any_of])
+            groups.append([tuple(test)])
+    return groups
+
+
+def _all(tests) -> Column:
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _any(tests) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def predicate(df: DataFrame, predicates: list[tuple], wildcards: bool = True) -> Column:
+    """The predicate list as one condition."""
+    return _any(_all(comparison(df, *t, wildcards) for t in group) for group in any_of_all(df, predicates))
 
 
 def select_where(df: DataFrame, predicates: list[tuple], wildcards: bool = True) -> DataFrame:
@@ -57,7 +79,7 @@ def select_where(df: DataFrame, predicates: list[tuple], wildcards: bool = True)
 
 def remove_where(df: DataFrame, predicates: list[tuple], wildcards: bool = True) -> DataFrame:
     """Drop rows for which the predicate list is true; rows where it is NULL stay."""
-    return df.where(~F.coalesce(predicate(df, predicates, wildcards), F.lit(False)))
+    return df.where(_all(_any(not_true(df, *t, wildcards) for t in group) for group in any_of_all(df, predicates)))
 
 
 def remove_outliers(df: DataFrame, column: str, value, less_than: bool = False) -> DataFrame:
@@ -70,7 +92,7 @@ def search(df: DataFrame, text: str | None, id_col: str = "id") -> DataFrame:
     if not text:
         return df
     tests = [F.coalesce(like_anywhere(ref(c).cast("string"), text), F.lit(False)) for c in df.columns if c != id_col]
-    return df.where(reduce(lambda a, b: a | b, tests)) if tests else df.where(F.lit(False))
+    return df.where(_any(tests)) if tests else df.where(F.lit(False))
 
 
 def nulls_of(df: DataFrame, column: str) -> DataFrame:

@@ -76,7 +76,7 @@ def delete_ids(df: DataFrame, ids, id_col: str = "id") -> DataFrame:
         gone = ids.select(ref(ids.columns[0]).alias(id_col)).where(ref(id_col).isNotNull()).distinct()
         return df.join(gone, id_col, "left_anti").select(*[ref(c) for c in df.columns])
     if len(ids) <= 1000:
-        return df.where(~F.coalesce(ref(id_col).isin(list(ids)), F.lit(False))) if ids else df
+        return df.where(~ref(id_col).isin(list(ids)) | ref(id_col).isNull()) if ids else df
     frame = df.sparkSession.createDataFrame([(i,) for i in ids], f"_id {data_type(df, id_col).simpleString()}")
     return delete_ids(df, frame, id_col)
 

@@ -76,7 +76,7 @@ def test_values_at_ranks(spark, monkeypatch, range_rows):
     assert ordering.values_at_ranks(df.where("x > 1000"), "x", lambda n: [0]) == (0, [])
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=30))
 def test_quantile_bins_hold_every_value(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
@@ -86,7 +86,7 @@ def test_quantile_bins_hold_every_value(spark, values):
     assert [b for _, b in by_value] == sorted(b for _, b in by_value)
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.floats(-100, 100, allow_nan=False), min_size=1, max_size=40, unique=True), st.integers(0, 60))
 def test_bound_index(spark, edges, seed):
     edges = sorted(edges)
@@ -96,7 +96,7 @@ def test_bound_index(spark, edges, seed):
     assert [r[0] for r in got] == [None if v is None else sum(e < v for e in edges) for v in values]
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=25))
 def test_median(spark, values):
     from cleanframe.operators.profile import median
@@ -112,3 +112,29 @@ def test_storage(spark):
     df = spark.createDataFrame([(1, "a")], "id long, `a (b)` string")
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert rows(stored(df)) == rows(cut_lineage(df)) == [(1, "a")]
+
+
+def scan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark, data):
+    from cleanframe.operators import predicates, rows as row_ops
+    line = spark.read.parquet(f"{data}/lineitem.parquet")
+    plan = scan_of(predicates.remove_outliers(line, "l_quantity", 40).select("l_orderkey"))
+    assert "PushedFilters: [Or(LessThanOrEqual(l_quantity,40.0),IsNull(l_quantity))]" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+    plan = scan_of(predicates.remove_where(line, [("", "l_tax", ">", "0.05"), ("AND", "l_returnflag", "=", "R")]))
+    assert "PushedFilters: [Or(Or(LessThanOrEqual(l_tax,0.05),IsNull(l_tax)),Or(Not(" in plan
+    plan = scan_of(predicates.select_where(line, [("", "l_shipdate", "<", "1995-01-01")]).select("l_tax"))
+    assert "LessThan(l_shipdate,1995-01-01T00:00)" in plan
+    assert "In(l_orderkey" in scan_of(row_ops.delete_ids(line, [1, 2, 3], "l_orderkey"))
+
+
+def test_row_wise_operators_stay_in_one_stage(spark, data):
+    from cleanframe.operators import dates, impute, numeric, replace
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    df = numeric.equal_width(impute.impute(orders, "o_totalprice", "AVG"), "o_totalprice", 5)
+    df = dates.extract_part(replace.find_replace(df, "o_orderpriority", "regex", "H", "h"), "o_orderdate", "DOW")
+    plan = scan_of(df)
+    assert "Exchange" not in plan and "Python" not in plan and "Join" not in plan and "*(1)" in plan

@@ -58,3 +58,27 @@ def test_restart_writes_rows_once(spark):
     df.where("id >= 30").write.mode("append").parquet(source)
     result = cleaning.run_available(cleaning.read_stream(spark, source, df.schema), out)
     assert result.select(F.count_distinct("id"), F.count("*")).first() == (60, 60)
+
+
+def test_row_wise_operators_on_a_stream(spark):
+    from cleanframe.operators import encode, rows as row_ops, schema
+    from cleanframe.operators.joins import Pair, join_tables
+    df = events(spark)
+    folder = new_folder(spark, "in")
+    df.write.parquet(folder)
+    kinds = spark.createDataFrame([("a", "first"), ("b", "second")], "kind string, label string")
+    gone = spark.createDataFrame([(3,), (5,)], "id long")
+    operators = [
+        lambda d: schema.change_type(d, "value", "INT"), lambda d: schema.change_type(d, "id", "VARCHAR(255)"),
+        lambda d: schema.rename_column(schema.add_column(d, "x", "BIT"), "kind", "sort of"), lambda d: schema.drop_column(d, "ts"),
+        lambda d: row_ops.delete_ids(d, [1, 2]), lambda d: row_ops.delete_ids(d, gone), lambda d: row_ops.keep_ids(d, gone),
+        lambda d: row_ops.conform(d.select("id", "kind"), df), lambda d: predicates.nulls_of(d, "value"),
+        lambda d: predicates.remove_where(d, [("", "kind", "CONTAINS", "a"), ("OR", "value", ">", "30")]),
+        lambda d: numeric.apply_normalize(d, "value", 2.0, 3.0), lambda d: numeric.manual_bins(d, "value", "0,10,20"),
+        lambda d: encode.apply_one_hot(d, "kind", ["a", "b"]), lambda d: replace.clean_column(d, "kind"),
+        lambda d: replace.find_replace(d, "user_id", "full replace", "1", "9"),
+        lambda d: join_tables({"e": d, "k": kinds}, [Pair("e", "kind", "=", "k", "kind")], id_col=None),
+    ]
+    stream = cleaning.read_stream(spark, folder, df.schema)
+    for operator in operators:
+        assert rows(cleaning.run_available(operator(stream))) == rows(operator(df))
