@@ -63,8 +63,8 @@ def rank_rows(df: DataFrame, id_col: str, key: str, dims: list[Dimension]) -> Da
     require(df, id_col)
     values = [comparable(df, d.column) for d in dims]
     values = [F.when(v != "", v) if d.how == TEXTUAL else v for d, v in zip(dims, values)]
-    rows = df.select(ref(id_col).alias("_id"), comparable(df, key).alias("_key"),
-                     *[v.alias(f"v{i}") for i, v in enumerate(values)]).where(F.col("_key").isNotNull())
+    rows = stored(df.select(ref(id_col).alias("_id"), comparable(df, key).alias("_key"),
+                            *[v.alias(f"v{i}") for i, v in enumerate(values)]).where(F.col("_key").isNotNull()))
     keys = with_position(stored(rows.select("_key").distinct()), ["_key"], "_rank")
     return spread_lookup(rows, keys, ["_key"]).drop("_key")
 

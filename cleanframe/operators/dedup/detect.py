@@ -103,7 +103,7 @@ def match_edges(tuples: DataFrame, dims: list[Dimension], rule: Rule, undecided:
     groups = groups_of(spread, dims)
     pairs = similar_groups(groups, tuples, dims)
     score = _helpful_score(rule, dims)
-    links = pairs.where(score + _against(rule) > TIE).select("_own", "_rep", "_other", "_rep_other")
+    links = cut_lineage(pairs.where(score + _against(rule) > TIE).select("_own", "_rep", "_other", "_rep_other"))
     # NULLs inside a struct compare as equal, which a column left out of the subset needs.
     members = spread.select(F.col("_rep").alias("src"), group_key(dims).alias("_group"))
     edges = _tie(links, members)
@@ -114,9 +114,10 @@ def match_edges(tuples: DataFrame, dims: list[Dimension], rule: Rule, undecided:
     values = tuples.select("_rank", "_rep", *[F.col(f"v{i}").alias(f"x{i}") for i in doubtful])
     held = spread.join(values, ["_rank", "_rep"])
     part_key = F.struct(group_key(dims).alias("g"), *[F.col(f"x{i}") for i in doubtful])
-    parts = (held.withColumn("_group", group_key(dims)).withColumn("_part", part_key)
-             .groupBy("_group", "_part").agg(F.min("_rep").alias("_rep_part")))
-    open_pairs = pairs.where((score > TIE) & (score + _against(rule) <= TIE)).select("_own", "_other", score.alias("_score"))
+    parts = cut_lineage(held.withColumn("_group", group_key(dims)).withColumn("_part", part_key)
+                        .groupBy("_group", "_part").agg(F.min("_rep").alias("_rep_part")))
+    open_pairs = cut_lineage(pairs.where((score > TIE) & (score + _against(rule) <= TIE))
+                             .select("_own", "_other", score.alias("_score")))
     compared = (spread_lookup(open_pairs.withColumnRenamed("_own", "_group"), parts, ["_group"])
                 .select("_score", F.col("_part").alias("_own"), F.col("_rep_part").alias("_rep"),
                         F.col("_other").alias("_group")))
@@ -125,7 +126,7 @@ def match_edges(tuples: DataFrame, dims: list[Dimension], rule: Rule, undecided:
     for i in doubtful:
         level = LEVELS[dims[i].how](F.col(f"_own.x{i}"), F.col(f"_other.x{i}"))
         compared = compared.withColumn("_score", F.col("_score") + rule.weights[i + 1] * level)
-    links = compared.where(F.col("_score") > TIE)
+    links = cut_lineage(compared.where(F.col("_score") > TIE))
     return edges.unionByName(_tie(links, held.select(F.col("_rep").alias("src"), part_key.alias("_group")))).distinct()
 
 

@@ -18,6 +18,7 @@ from cleanframe.functions.similarity import number_level
 from cleanframe.operators.dedup.blocks import DATE, EXACT, NUMBER, PAIR_COUNT, TEXTUAL, Dimension
 from cleanframe.operators.dedup.neighbours import date_neighbours, number_bucket, text_neighbours
 from cleanframe.plans.skew import all_salts, spread_lookup
+from cleanframe.plans.storage import cut_lineage
 
 NEIGHBOURS = {DATE: date_neighbours, TEXTUAL: text_neighbours}
 MAX_DIMENSIONS = 12
@@ -83,7 +84,8 @@ def similar_groups(groups: DataFrame, tuples: DataFrame, dims: list[Dimension])
     by_number = reduce(lambda a, b: a | b, [_has(F.col("_set"), i) for i in numbers], F.lit(False))
     no_salt = F.lit(0).cast("long")
 
-    out = groups.withColumn("_rank_b", F.explode(F.array(F.col("_rank"), F.col("_rank") + 1)))
+    groups = cut_lineage(groups)
+    around = out = groups.withColumn("_rank_b", F.explode(F.array(F.col("_rank"), F.col("_rank") + 1)))
     for i, d in enumerate(dims):
         if d.how == EXACT:
             out = out.withColumn(f"b{i}", F.col(f"v{i}")).withColumn(f"l{i}", _has(F.col("_set"), i).cast("double"))
@@ -95,7 +97,7 @@ def similar_groups(groups: DataFrame, tuples: DataFrame, dims: list[Dimension])
             distinct = tuples.select("_rank", F.col(f"v{i}").alias("v")).where("v IS NOT NULL").distinct()
             near = NEIGHBOURS[d.how](distinct).select(
                 "_rank", F.col("v").alias(f"v{i}"), "_rank_b", F.col("b").alias(f"b{i}"), F.col("level").alias(f"l{i}"))
-            out = spread_lookup(out, near, ["_rank", f"v{i}", "_rank_b"], "left")
+            out = spread_lookup(out, near, ["_rank", f"v{i}", "_rank_b"], "left", counted=around)
             out = out.where(~_has(F.col("_set"), i) | F.col(f"l{i}").isNotNull()).fillna(0.0, [f"l{i}"])
 
     own = group_key(dims)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cleanframe.operators.page import page
 from cleanframe.operators.predicates import like_anywhere
 from cleanframe.plans.skew import spread_lookup
+from cleanframe.plans.storage import cut_lineage
 
 # Fixed value: undoable actions kept per table.
 HISTORY_LIMIT = 20
@@ -37,10 +38,11 @@ def close_old_actions(log: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
 
 def log_action(log: DataFrame, table: str, desc: str, at: dt.datetime | None = None,
                limit: int = HISTORY_LIMIT) -> DataFrame:
-    """Append an action under the next id, then close what is over the limit."""
+    """Append an action under the next id, then close what is over the limit. The new log is written out, so that
+    a long series of actions does not pile up in one plan."""
     last = log.agg(F.max("action_id")).first()[0] or 0
     row = log.sparkSession.createDataFrame([(last + 1, table, at or dt.datetime.now(), desc, False)], LOG)
-    return close_old_actions(log.unionByName(row), limit)
+    return cut_lineage(close_old_actions(cut_lineage(log.unionByName(row)), limit))
 
 
 def actions(log: DataFrame, table: str, text: str | None = None, offset: int = 0, limit: int | None = None,

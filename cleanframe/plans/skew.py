@@ -21,21 +21,25 @@ def all_salts(salts: int = SALTS) -> Column:
 
 
 def spread_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                  most_rows: int | None = None) -> DataFrame:
+                  counted: DataFrame | None = None, most_rows: int | None = None) -> DataFrame:
     """Equi-join `big` to `small`, where `small` holds few rows per key but a key of `big` may be hot.
 
     Keys with more than HOT_ROWS rows are found by a count over key hashes, which is combined before it is
     shuffled. Only their rows are divided into salts, and only their rows in `small` are repeated. There are at
-    most rows / HOT_ROWS of them (a million for 10^12 rows), which bounds what is broadcast. A caller who knows
-    that `big` has at most `most_rows` rows, too few for a hot key, saves the count.
+    most rows / HOT_ROWS of them (a million for 10^12 rows), which bounds what is broadcast.
+
+    The keys are counted in `counted` if given: the table `big` was derived from, when deriving it again for the
+    count would cost more. A caller who knows that `big` has at most `most_rows` rows, too few for a hot key,
+    saves the count.
     """
+    counted = big if counted is None else counted
     if most_rows is not None and most_rows <= HOT_ROWS:
         return big.join(small, keys, how)
 
     def key_hash() -> Column:
         return F.xxhash64(*[ref(k).cast(big.schema[k].dataType) for k in keys])
 
-    hot = (big.select(key_hash().alias("_hash")).groupBy("_hash").agg(F.count("*").alias("_n"))
+    hot = (counted.select(key_hash().alias("_hash")).groupBy("_hash").agg(F.count("*").alias("_n"))
            .where(F.col("_n") > HOT_ROWS).select("_hash", F.lit(True).alias("_hot")))
 
     def salted(df: DataFrame, salt: Column) -> DataFrame:

@@ -130,7 +130,7 @@ def test_vectors_equal_all_pairs(spark, exact, similar):
 
 
 @pytest.mark.parametrize("exact,similar", COMPARISONS)
-@pytest.mark.parametrize("seed", [2, 3])
+@pytest.mark.parametrize("seed", [3])
 def test_clusters_equal_all_pairs(spark, exact, similar, seed):
     table = people(90, seed, hot=0.2)
     df = spark.createDataFrame(table, SCHEMA)
@@ -151,7 +151,7 @@ def random_rule(rng, dims):
     return Rule(tuple(rng.random() * 0.5 for _ in range(dims + 1)), tuple(rng.random() for _ in range(dims + 1)))
 
 
-@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("seed", range(6))
 def test_edges_for_any_rule(spark, seed):
     """The clusters of all matching pairs, also where agreement on a column speaks against a match."""
     rng = random.Random(seed)
@@ -234,11 +234,11 @@ def test_block_sizes(spark):
 
 
 def test_components(spark):
-    path = [(i, i + 1) for i in range(1, 400)] + [(1000, 1001), (1002, 1001), (5000, 5000)]
+    path = [(i, i + 1) for i in range(1, 200)] + [(1000, 1001), (1002, 1001), (5000, 5000)]
     random.Random(1).shuffle(path)
     found = connected_components(spark.createDataFrame(path, "src long, dst long"))
     got = dict(found.collect())
-    assert all(got[i] == 1 for i in range(1, 401)) and got[1002] == got[1001] == 1000 and got[5000] == 5000
+    assert all(got[i] == 1 for i in range(1, 201)) and got[1002] == got[1001] == 1000 and got[5000] == 5000
     hub = [(0, i) for i in range(1, 500)]
     assert {r[1] for r in connected_components(spark.createDataFrame(hub, "src long, dst long")).collect()} == {0}
 
