@@ -39,17 +39,17 @@ def fit_equal_width(df: DataFrame, column: str, bins: int) -> list[float]:
     return equal_width_edges(low, high, bins)
 
 
-def fit_equal_frequency(df: DataFrame, column: str, bins: int, mode: str = "reference") -> list[float]:
+def fit_equal_frequency(df: DataFrame, column: str, bins: int, mode: str = "lowered") -> list[float]:
     """Edges from exact order statistics of the non-NULL values.
 
-    `reference`: each k-th value from the smallest on (k = count // bins), lowered by a thousandth of itself.
+    `lowered`: each k-th value from the smallest on (k = count // bins), lowered by a thousandth of itself.
     Values above the last edge, and a negative minimum, get no bin; repeated edges are an error.
     `quantile`: first values of equal shares plus the maximum, repeated edges merged; every value gets a bin.
     """
     require_numeric(df, column)
     if bins < 1:
         raise ValueError("at least one bin is needed")
-    if mode == "reference":
+    if mode == "lowered":
         total, values = values_at_ranks(df, column, lambda n: range(0, n, n // bins) if n >= bins else [])
         if total < bins:
             raise ValueError(f"{bins} bins need at least as many values, there are {total}")
@@ -57,7 +57,7 @@ def fit_equal_frequency(df: DataFrame, column: str, bins: int, mode: str = "refe
         check_increasing(edges)
         return edges
     if mode != "quantile":
-        raise ValueError(f"unknown mode {mode!r}; choose reference or quantile")
+        raise ValueError(f"unknown mode {mode!r}; choose lowered or quantile")
     total, values = values_at_ranks(df, column, lambda n: [n * i // bins for i in range(bins)] + [n - 1])
     if not total:
         raise ValueError(f"column {column!r} holds no values")
@@ -87,7 +87,7 @@ def equal_width(df: DataFrame, column: str, bins: int, index_name: str | None =
     return apply_bins(df, column, edges, WIDTH_NAME.format(column=column, bins=bins), index_name=index_name)
 
 
-def equal_frequency(df: DataFrame, column: str, bins: int, mode: str = "reference",
+def equal_frequency(df: DataFrame, column: str, bins: int, mode: str = "lowered",
                     index_name: str | None = None) -> DataFrame:
     edges = fit_equal_frequency(df, column, bins, mode)
     return apply_bins(df, column, edges, FREQUENCY_NAME.format(column=column, bins=bins),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cleanframe.functions.columns import ref
 from cleanframe.operators.rows import append_rows, assign_id
@@ -16,6 +17,7 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 TRUTH_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 ORDER = ["_file", "_block", "_line"]
+EXTRA = "_extra"
 
 
 def missing_to_null(df: DataFrame) -> DataFrame:
@@ -67,16 +69,22 @@ def finish(text: DataFrame, typed: bool, order_by: list[str], id_col: str | None
 
 def read_csv(spark: SparkSession, path: str, typed: bool = False, id_col: str | None = "id",
              multiline: bool = False) -> DataFrame:
-    """Header row, then values; a short row ends in NULLs. All text unless `typed`. Ids follow the file order.
+    """Header row, then values; a short row ends in NULLs, a row with more values than the header is an error.
 
-    `multiline` allows line ends inside quotes, at the price of one task per file.
+    All text unless `typed`. Ids follow the file order. `multiline` allows line ends inside quotes, at the price
+    of one task per file.
     """
-    raw = (spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-           .option("encoding", "UTF-8").csv(path))
-    names = [c.replace('"', "") for c in raw.columns]
+    reader = (spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+              .option("encoding", "UTF-8"))
+    columns = reader.csv(path).columns
+    names = [c.replace('"', "") for c in columns]
+    places = [f"_c{i}" for i in range(len(columns))]
+    raw = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in [*places, EXTRA]])).csv(path)
+    too_long = F.raise_error(F.concat(F.lit("a row has more values than the header, the first one is: "), F.col(EXTRA)))
     text = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                      F.monotonically_increasing_id().alias("_line"),
-                      *[ref(c).alias(n) for c, n in zip(raw.columns, names)])
+                      F.when(F.col(EXTRA).isNull(), F.monotonically_increasing_id())
+                      .otherwise(too_long.cast("long")).alias("_line"),
+                      *[F.col(c).alias(n) for c, n in zip(places, names)])
     return finish(text, typed, ORDER, id_col)
 
 

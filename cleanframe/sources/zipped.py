@@ -52,6 +52,8 @@ def _reader(columns: list[str]):
                     place = [header.index(c) if c in header else None for c in columns]
                     block = []
                     for number, line in enumerate(lines):
+                        if any(line[len(header):]):
+                            raise ValueError(f"{member}: a row has more values than the header")
                         if line:
                             block.append((uri, position, number, *[
                                 line[i] if i is not None and i < len(line) else None for i in place]))

@@ -9,9 +9,8 @@ from cleanframe.sources.dump import read_dump
 from cleanframe.sources.load import load
 from tests.conftest import rows
 
-# Small tables in the shape of the sample files.
-SAMPLES = {"tijgers.csv": "color,name\nred,pumba\norange,coco\n", "tijgers2.csv": "color,name\ngreen,downie\nbrown,chris",
-           "mammals/dolfijnen.csv": "color,name\nblue,kraken\n", "mammals/honden.csv": "name,test,tok\nbrown,rex\n"}
+SAMPLES = {"cars.csv": "paint,model\nred,fox\nblack,lynx\n", "cars2.csv": "paint,model\ngreen,hare\nwhite,mole",
+           "boats/sail.csv": "paint,model\nblue,gull\n", "boats/motor.csv": "model,year,port\ntern,1999\n"}
 
 
 def write(folder, name, text):
@@ -30,14 +29,25 @@ def folder(tmp_path):
 
 
 def test_csv(spark, folder):
-    df = read_csv(spark, f"{folder}/tijgers.csv")
-    assert df.dtypes == [("id", "bigint"), ("color", "string"), ("name", "string")]
-    assert rows(df) == [(1, "red", "pumba"), (2, "orange", "coco")]
-    more = append_csv(df, f"{folder}/tijgers2.csv")
-    assert rows(more)[2:] == [(3, "green", "downie"), (4, "brown", "chris")]
-    assert rows(read_csv(spark, f"{folder}/mammals/honden.csv")) == [(1, "brown", "rex", None)]
+    df = read_csv(spark, f"{folder}/cars.csv")
+    assert df.dtypes == [("id", "bigint"), ("paint", "string"), ("model", "string")]
+    assert rows(df) == [(1, "red", "fox"), (2, "black", "lynx")]
+    more = append_csv(df, f"{folder}/cars2.csv")
+    assert rows(more)[2:] == [(3, "green", "hare"), (4, "white", "mole")]
+    assert rows(read_csv(spark, f"{folder}/boats/motor.csv")) == [(1, "tern", "1999", None)]
     with pytest.raises(ValueError, match="lacks columns"):
-        append_csv(df, f"{folder}/mammals/honden.csv")
+        append_csv(df, f"{folder}/boats/motor.csv")
+
+
+def test_too_long_rows(spark, folder):
+    with pytest.raises(Exception, match="more values than the header"):
+        read_csv(spark, write(folder, "wide.csv", "a,b\n1,2\n1,2,3\n"))
+    assert rows(read_csv(spark, write(folder, "comma.csv", "a,b\n1,2,\n"))) == [(1, "1", "2")]
+    path = os.path.join(folder, "wide.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        archive.writestr("wide.csv", "a,b\n1,2\n1,2,3\n")
+    with pytest.raises(Exception, match="more values than the header"):
+        load(spark, path)["wide"].collect()
 
 
 def test_csv_types(spark, folder):
@@ -84,12 +94,12 @@ def test_zip(spark, folder):
     with zipfile.ZipFile(path, "w") as archive:
         for name, text in SAMPLES.items():
             archive.writestr(f"data/{name}", text)
-        archive.writestr("more/tijgers.csv", "name,color\nlast,white\n")
+        archive.writestr("more/cars.csv", "model,paint\nlast,grey\n")
         archive.writestr("readme.txt", "no table")
     tables = load(spark, path)
-    assert sorted(tables) == ["dolfijnen", "honden", "tijgers", "tijgers2"]
-    assert rows(tables["tijgers"]) == [(1, "red", "pumba"), (2, "orange", "coco"), (3, "white", "last")]
-    assert rows(tables["honden"]) == [(1, "brown", "rex", None)]
+    assert sorted(tables) == ["cars", "cars2", "motor", "sail"]
+    assert rows(tables["cars"]) == [(1, "red", "fox"), (2, "black", "lynx"), (3, "grey", "last")]
+    assert rows(tables["motor"]) == [(1, "tern", "1999", None)]
 
 
 DUMP = """DROP TABLE fruit;
@@ -109,7 +119,7 @@ def test_dump(spark, folder):
 
 
 def test_dispatch(spark, folder):
-    assert list(load(spark, f"{folder}/tijgers.csv")) == ["tijgers"]
-    assert list(load(spark, f"{folder}/tijgers.csv", "cats")) == ["cats"]
+    assert list(load(spark, f"{folder}/cars.csv")) == ["cars"]
+    assert list(load(spark, f"{folder}/cars.csv", "cats")) == ["cats"]
     with pytest.raises(ValueError, match="cannot load"):
         load(spark, "table.xlsx")

@@ -21,7 +21,7 @@ def range_rows(request, monkeypatch):
 # --- imputation, replacement ------------------------------------------------------------------------------
 
 def numbers(spark, values, kind="double"):
-    return spark.createDataFrame([(i, "1", v) for i, v in enumerate(values, 1)], f"id long, test1 string, test2 {kind}")
+    return spark.createDataFrame([(i, "1", v) for i, v in enumerate(values, 1)], f"id long, note string, x {kind}")
 
 
 def column(df, name):
@@ -29,16 +29,16 @@ def column(df, name):
 
 
 def test_impute_average(spark):
-    assert column(impute.impute(numbers(spark, [1.0, 2.0, 6.0, None]), "test2", "AVG"), "test2")[-1] == 3
-    assert column(impute.impute(numbers(spark, [2, 3, None], "int"), "test2", "AVG"), "test2")[-1] == 2
-    assert column(impute.impute(numbers(spark, [3, 4, None], "int"), "test2", "AVG"), "test2")[-1] == 4
-    assert column(impute.impute(numbers(spark, [None], "double"), "test2", "AVG"), "test2") == [0.0]
+    assert column(impute.impute(numbers(spark, [2.0, 3.0, 7.0, None]), "x", "AVG"), "x")[-1] == 4
+    assert column(impute.impute(numbers(spark, [2, 3, None], "int"), "x", "AVG"), "x")[-1] == 2
+    assert column(impute.impute(numbers(spark, [3, 4, None], "int"), "x", "AVG"), "x")[-1] == 4
+    assert column(impute.impute(numbers(spark, [None], "double"), "x", "AVG"), "x") == [0.0]
 
 
 def test_impute_median(spark, range_rows):
-    assert column(impute.impute(numbers(spark, [1.0, 1.0, 6.0, 8.0, None]), "test2", "MEDIAN"), "test2")[-1] == 3.5
-    assert column(impute.impute(numbers(spark, [1, 2, None], "int"), "test2", "MEDIAN"), "test2")[-1] == 2
-    assert column(impute.impute(numbers(spark, [None], "int"), "test2", "MEDIAN"), "test2") == [0]
+    assert column(impute.impute(numbers(spark, [1.0, 1.0, 6.0, 8.0, None]), "x", "MEDIAN"), "x")[-1] == 3.5
+    assert column(impute.impute(numbers(spark, [1, 2, None], "int"), "x", "MEDIAN"), "x")[-1] == 2
+    assert column(impute.impute(numbers(spark, [None], "int"), "x", "MEDIAN"), "x") == [0]
 
 
 def test_impute_most_common_and_custom(spark):
@@ -55,16 +55,16 @@ def test_impute_most_common_and_custom(spark):
 
 @pytest.fixture
 def fruit(spark):
-    return spark.createDataFrame([(1, "appel"), (2, "citroen")], "id long, test string")
+    return spark.createDataFrame([(1, "apple"), (2, "lemon")], "id long, word string")
 
 
 def test_replace(fruit):
-    assert column(replace.find_replace(fruit, "test", "substring", "ap", "banaan"), "test") == ["banaanpel", "citroen"]
-    assert column(replace.find_replace(fruit, "test", "full replace", "citroen", "druif"), "test") == ["appel", "druif"]
-    assert column(replace.find_replace(fruit, "test", "regex", "a.*", "banaan"), "test") == ["banaan", "citroen"]
-    assert column(replace.find_replace(fruit, "test", "substring", "", "x"), "test") == ["appel", "citroen"]
+    assert column(replace.find_replace(fruit, "word", "substring", "ap", "pine"), "word") == ["pineple", "lemon"]
+    assert column(replace.find_replace(fruit, "word", "full replace", "lemon", "grape"), "word") == ["apple", "grape"]
+    assert column(replace.find_replace(fruit, "word", "regex", "a.*", "plum"), "word") == ["plum", "lemon"]
+    assert column(replace.find_replace(fruit, "word", "substring", "", "x"), "word") == ["apple", "lemon"]
     with pytest.raises(ValueError):
-        replace.find_replace(fruit, "test", "soundex", "a", "b")
+        replace.find_replace(fruit, "word", "soundex", "a", "b")
 
 
 @pytest.mark.parametrize("text,pattern,put,first,every", [
@@ -108,44 +108,44 @@ def test_date_parts(spark):
 # --- numbers ----------------------------------------------------------------------------------------------
 
 def test_normalize(spark):
-    got = column(numeric.normalize(numbers(spark, [1.0, 3.0, None]), "test2"), "test2_norm")
+    got = column(numeric.normalize(numbers(spark, [1.0, 3.0, None]), "x"), "x_norm")
     assert got == [-1.0, 1.0, None]
-    assert column(numeric.normalize(numbers(spark, [5, 5], "int"), "test2"), "test2_norm") == [5.0, 5.0]
-    assert column(numeric.normalize(numbers(spark, [None]), "test2"), "test2_norm") == [None]
+    assert column(numeric.normalize(numbers(spark, [5, 5], "int"), "x"), "x_norm") == [5.0, 5.0]
+    assert column(numeric.normalize(numbers(spark, [None]), "x"), "x_norm") == [None]
 
 
 def test_equal_width(spark):
-    df = numeric.equal_width(numbers(spark, [0.0, 5.0, 5.1, 10.0, None]), "test2", 2, index_name="bin")
+    df = numeric.equal_width(numbers(spark, [0.0, 5.0, 5.1, 10.0, None]), "x", 2, index_name="bin")
     assert column(df, "bin") == [1, 1, 2, 2, None]
-    assert column(df, "test2_intervals_eq_w_2") == ["(-0.01, 5.0]", "(-0.01, 5.0]", "(5.0, 10.0]", "(5.0, 10.0]", None]
-    same = numeric.equal_width(numbers(spark, [4.0, 4.0]), "test2", 2, index_name="bin")
+    assert column(df, "x_intervals_eq_w_2") == ["(-0.01, 5.0]", "(-0.01, 5.0]", "(5.0, 10.0]", "(5.0, 10.0]", None]
+    same = numeric.equal_width(numbers(spark, [4.0, 4.0]), "x", 2, index_name="bin")
     assert column(same, "bin") == [1, 1]
 
 
-def test_equal_frequency_reference(spark, range_rows):
-    df = numeric.equal_frequency(numbers(spark, [10.0, 20.0, 30.0, 40.0, None]), "test2", 2, index_name="bin")
+def test_equal_frequency_lowered(spark, range_rows):
+    df = numeric.equal_frequency(numbers(spark, [10.0, 20.0, 30.0, 40.0, None]), "x", 2, index_name="bin")
     assert column(df, "bin") == [1, 1, None, None, None]
-    assert column(df, "test2_intervals_eq_f_2")[0] == "(9.99, 29.97]"
-    below = numeric.equal_frequency(numbers(spark, [-10.0, 1.0, 2.0, 3.0]), "test2", 2, index_name="bin")
+    assert column(df, "x_intervals_eq_f_2")[0] == "(9.99, 29.97]"
+    below = numeric.equal_frequency(numbers(spark, [-10.0, 1.0, 2.0, 3.0]), "x", 2, index_name="bin")
     assert column(below, "bin") == [None, 1, None, None]
     with pytest.raises(ValueError, match="increasing"):
-        numeric.equal_frequency(numbers(spark, [1.0, 1.0, 1.0, 1.0]), "test2", 2)
+        numeric.equal_frequency(numbers(spark, [1.0, 1.0, 1.0, 1.0]), "x", 2)
     with pytest.raises(ValueError, match="at least as many"):
-        numeric.equal_frequency(numbers(spark, [1.0, 2.0]), "test2", 3)
+        numeric.equal_frequency(numbers(spark, [1.0, 2.0]), "x", 3)
 
 
 def test_equal_frequency_quantile(spark, range_rows):
     values = [-10.0, 1.0, 2.0, 2.0, 2.0, 2.0, 9.0, None]
-    got = column(numeric.equal_frequency(numbers(spark, values), "test2", 3, "quantile", "bin"), "bin")
+    got = column(numeric.equal_frequency(numbers(spark, values), "x", 3, "quantile", "bin"), "bin")
     assert got == [1, 1, 1, 1, 1, 1, 2, None]
-    assert column(numeric.equal_frequency(numbers(spark, [3.0, 3.0]), "test2", 2, "quantile", "bin"), "bin") == [1, 1]
+    assert column(numeric.equal_frequency(numbers(spark, [3.0, 3.0]), "x", 2, "quantile", "bin"), "bin") == [1, 1]
 
 
 def test_manual_bins(spark):
-    df = numeric.manual_bins(numbers(spark, [0, 1, 10, 11, 25, None], "int"), "test2", "0,10,20")
-    assert column(df, "test2_intervals_custom") == [None, "(0, 10]", "(0, 10]", "(10, 20]", None, None]
+    df = numeric.manual_bins(numbers(spark, [0, 1, 10, 11, 25, None], "int"), "x", "0,10,20")
+    assert column(df, "x_intervals_custom") == [None, "(0, 10]", "(0, 10]", "(10, 20]", None, None]
     with pytest.raises(ValueError):
-        numeric.discretize(df, "test2", "magic")
+        numeric.discretize(df, "x", "magic")
 
 
 def test_labels():
@@ -237,18 +237,18 @@ def test_profile(spark):
 
 def test_histogram(spark):
     df = numbers(spark, [0.0, 1.0, 1.5, 10.0, None])
-    got = profile.histogram(df, "test2").collect()
+    got = profile.histogram(df, "x").collect()
     assert [r["n"] for r in got] == [2, 1, 0, 0, 0, 0, 0, 0, 0, 1]
     assert got[0]["label"] == "(-0.01, 1.0]" and got[9]["label"] == "(9.0, 10.0]"
-    assert profile.histogram(df.where("id > 9"), "test2").count() == 0
+    assert profile.histogram(df.where("id > 9"), "x").count() == 0
     assert rows(profile.value_counts(df.withColumn("k", F.col("id") % 2), "k")) == [(0, 2), (1, 3)]
 
 
 # --- schema, rows -----------------------------------------------------------------------------------------
 
 def test_casts(spark):
-    text = spark.createDataFrame([(1, "12"), (2, None)], "id long, `test-column` string")
-    assert schema.schema_report(schema.change_type(text, "test-column", "INT")).collect()[1]["type"] == "integer"
+    text = spark.createDataFrame([(1, "12"), (2, None)], "id long, `my-column` string")
+    assert schema.schema_report(schema.change_type(text, "my-column", "INT")).collect()[1]["type"] == "integer"
     bad = spark.createDataFrame([(1, "2.5")], "id long, s string")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         schema.change_type(bad, "s", "INT").collect()
@@ -269,14 +269,14 @@ def test_casts(spark):
 
 
 def test_columns(fruit):
-    assert schema.add_column(fruit, "x", "INT").columns == ["id", "test", "x"]
-    assert schema.add_column(fruit, "test", "INT") is fruit
-    assert schema.drop_column(fruit, "test").columns == ["id"]
-    assert schema.rename_column(fruit, "test", 'new"-test').columns == ["id", "new-test"]
-    for new in ("", "  ", "test", "id"):
+    assert schema.add_column(fruit, "x", "INT").columns == ["id", "word", "x"]
+    assert schema.add_column(fruit, "word", "INT") is fruit
+    assert schema.drop_column(fruit, "word").columns == ["id"]
+    assert schema.rename_column(fruit, "word", 'new"-test').columns == ["id", "new-test"]
+    for new in ("", "  ", "word", "id"):
         with pytest.raises(ValueError):
-            schema.rename_column(fruit, "test", new)
-    assert schema.id_first(fruit.select("test", "id")).columns == ["id", "test"]
+            schema.rename_column(fruit, "word", new)
+    assert schema.id_first(fruit.select("word", "id")).columns == ["id", "word"]
 
 
 def test_ids(spark, range_rows):
@@ -289,13 +289,13 @@ def test_ids(spark, range_rows):
 
 
 def test_insert_and_delete(fruit, spark):
-    more = row_ops.insert_rows(fruit, [{"test": "peer"}, {"test": ""}, {}])
-    assert rows(more) == [(1, "appel"), (2, "citroen"), (3, "peer"), (4, None), (5, None)]
+    more = row_ops.insert_rows(fruit, [{"word": "pear"}, {"word": ""}, {}])
+    assert rows(more) == [(1, "apple"), (2, "lemon"), (3, "pear"), (4, None), (5, None)]
     with pytest.raises(ValueError):
         row_ops.insert_rows(fruit, [{"nope": 1}])
-    assert rows(row_ops.delete_ids(more, [1, 3])) == [(2, "citroen"), (4, None), (5, None)]
+    assert rows(row_ops.delete_ids(more, [1, 3])) == [(2, "lemon"), (4, None), (5, None)]
     assert rows(row_ops.delete_ids(more, list(range(3, 2000)))) == rows(fruit)
-    assert rows(row_ops.keep_ids(more, spark.createDataFrame([(2,), (2,)], "x long"))) == [(2, "citroen")]
+    assert rows(row_ops.keep_ids(more, spark.createDataFrame([(2,), (2,)], "x long"))) == [(2, "lemon")]
     assert row_ops.max_id(more) == 5 and row_ops.min_id(more) == 1
-    tail = spark.createDataFrame([("z", "kiwi"), ("a", "mango")], "k string, test string")
+    tail = spark.createDataFrame([("z", "kiwi"), ("a", "mango")], "k string, word string")
     assert rows(row_ops.append_rows(fruit, tail, ["k"]))[2:] == [(3, "mango"), (4, "kiwi")]

@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cleanframe.operators import changes, history
@@ -32,6 +34,18 @@ def test_undo_of_schema_changes(before):
         assert rows(changes.undo(after, changes.diff(before, after))) == rows(before)
 
 
+CELLS = st.tuples(st.one_of(st.none(), st.sampled_from(["a", "b", ""])), st.one_of(st.none(), st.floats(allow_nan=False)))
+TABLES = st.dictionaries(st.integers(1, 12), CELLS, max_size=8)
+
+
+@settings(max_examples=5, deadline=None)
+@given(TABLES, TABLES)
+def test_undo_takes_any_change_back(spark, old, new):
+    schema = "id long, s string, n double"
+    before, after = [spark.createDataFrame([(k, *v) for k, v in t.items()], schema) for t in (old, new)]
+    assert rows(changes.undo(after, changes.diff(before, after))) == rows(before)
+
+
 def test_snapshots(spark, before):
     store = VersionStore(spark, new_folder(spark, "t"), limit=2)
     store.write_raw(before.withColumnRenamed("n", "ts (DOW)"), T0)
