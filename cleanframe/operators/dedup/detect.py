@@ -34,7 +34,7 @@ class Duplicates(NamedTuple):
 def pair_vectors(df: DataFrame, key: str, exact: list[str], similar: list[str], id_col: str = "id") -> DataFrame:
     """(key, one column per compared column, pairs): how many candidate pairs have which similarities."""
     dims = dimensions(df, key, exact, similar)
-    counted = vector_counts(tuples_of(rank_rows(df, id_col, key, dims), dims), dims)
+    counted = vector_counts(cut_lineage(tuples_of(rank_rows(df, id_col, key, dims), dims)), dims)
     return counted.select(F.col("same").alias(key), *[
         F.col(level).alias(d.column) for level, d in zip(level_columns(dims), dims)], "pairs")
 
@@ -131,10 +131,15 @@ def match_edges(tuples: DataFrame, dims: list[Dimension], rule: Rule, undecided:
 
 
 def number_clusters(labels: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, group_id, delete) from (id, component): components of two or more rows, numbered from 1 on."""
+    """(id, group_id, delete) from (id, component): components of two or more rows, numbered from 1 on.
+
+    The cluster table is written out, since a review reads it again and again.
+    """
+    labels = cut_lineage(labels)
     several = labels.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1").select("component")
     numbered = with_position(stored(several), ["component"], "group_id", 1)
-    return spread_lookup(labels, numbered, ["component"]).select(ref(id_col), "group_id", F.lit(False).alias("delete"))
+    clusters = spread_lookup(labels, numbered, ["component"])
+    return cut_lineage(clusters.select(ref(id_col), "group_id", F.lit(False).alias("delete")))
 
 
 def find_duplicates(df: DataFrame, key: str, exact: list[str] = (), similar: list[str] = (),
@@ -158,4 +163,4 @@ def find_duplicates(df: DataFrame, key: str, exact: list[str] = (), similar: lis
     component = spread_lookup(tuples.select(of_tuple.alias("_tuple"), F.col("_rep").alias("node")), labels, ["node"])
     labelled = spread_lookup(rows.select(F.col("_id").alias(id_col), of_tuple.alias("_tuple")),
                              component.select("_tuple", "component"), ["_tuple"]).select(ref(id_col), "component")
-    return Duplicates(reduced, cut_lineage(number_clusters(cut_lineage(labelled), id_col)))
+    return Duplicates(reduced, number_clusters(labelled, id_col))
