@@ -123,8 +123,9 @@ def vector_counts(tuples: DataFrame, dims: list[Dimension]) -> DataFrame:
     """(same, l0, l1, ..., pairs): the number of candidate pairs per comparison vector; `same` is the key's part."""
     levels = level_columns(dims)
     similar = similar_groups(groups_of(subsets_of(tuples, dims), dims), tuples, dims)
-    # Counting equal sizes first leaves the wide decimals to few rows.
-    sized = (similar.withColumn("_self", F.col("_own") == F.col("_other"))
+    # Groups of one subset share no row, so equal smallest ids mean the same group. Counting equal sizes first
+    # leaves the wide decimals to few rows.
+    sized = (similar.withColumn("_self", F.col("_rep") == F.col("_rep_other"))
              .groupBy("same", *levels, "_n", "_n_other", "_self").agg(F.count("*").alias("_times")))
     n, m, times = [F.col(c).cast("decimal(19,0)") for c in ("_n", "_n_other", "_times")]
     ordered = (n * m - F.when(F.col("_self"), m).otherwise(F.lit(0).cast("decimal(19,0)"))).cast(PAIR_COUNT)
