@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cleanframe.llm.common import documents
+from cleanframe.llm import toxicity
+from cleanframe.llm.common import documents, folds
 from cleanframe.llm.packing import pack_documents
 from cleanframe.llm.tokens import VOCABULARY
 
@@ -20,6 +22,17 @@ def query(function):
     return function
 
 
+def toxicity_model(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, documents(spark, folder, "labels"), folds(F.col("doc_id"), 3) != 1)
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    scored = toxicity.classify(docs, toxicity_model(spark, folder, docs))
+    return scored.select("doc_id", F.coalesce(folds(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), public_tokenizers.path(VOCABULARY))

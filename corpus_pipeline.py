@@ -5,17 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cleanframe.llm import toxicity
 from cleanframe.llm.packing import pack_documents
+from cleanframe.llm.queries import toxicity_model
 from cleanframe.llm.tokens import VOCABULARY
 from cleanframe.plans.storage import stored
 
 
+def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; it learns from the labelled ones among them."""
+    return toxicity.keep_harmless(docs, toxicity_model(spark, sf_dir, docs))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place; replaces the documents' columns."""
     return pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
-STAGES = [("best-fit packing", packing)]
+STAGES = [("toxicity", harmless), ("best-fit packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
