@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cleanframe.llm import toxicity
 from cleanframe.llm.common import documents, folds
+from cleanframe.llm.jaccard import Rule, jaccard_groups
 from cleanframe.llm.packing import pack_documents
 from cleanframe.llm.tokens import VOCABULARY
 
@@ -36,3 +37,8 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_groups(documents(spark, folder), Rule(words=4, num=85, den=100))

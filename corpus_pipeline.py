@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cleanframe.llm import toxicity
+from cleanframe.llm.jaccard import Rule, one_of_each_group
 from cleanframe.llm.packing import pack_documents
 from cleanframe.llm.queries import toxicity_model
 from cleanframe.llm.tokens import VOCABULARY
@@ -17,12 +18,17 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_harmless(docs, toxicity_model(spark, sf_dir, docs))
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return one_of_each_group(docs, Rule(words=5, num=80, den=100))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place; replaces the documents' columns."""
     return pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
-STAGES = [("toxicity", harmless), ("best-fit packing", packing)]
+STAGES = [("toxicity", harmless), ("n-gram Jaccard join", distinct), ("best-fit packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
