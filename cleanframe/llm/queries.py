@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanframe.llm import toxicity
+from cleanframe.llm import secrets, toxicity
 from cleanframe.llm.common import documents, folds
+from cleanframe.llm.decontaminate import contaminated
 from cleanframe.llm.jaccard import Rule, jaccard_groups
 from cleanframe.llm.packing import pack_documents
 from cleanframe.llm.tokens import VOCABULARY
@@ -18,27 +19,75 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(function):
-    QUERIES[function.__name__] = function
-    return function
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+    return add
+
+
+def _secret_matches(kind: str) -> str:
+    pattern = secrets.PATTERNS_ALL[kind].replace("'", "''")
+    return f"""SELECT doc_id, source, lang, {secrets.KINDS.index(kind)} AS no, '{kind}' AS kind,
+        regexp_extract_all(coalesce(text, ''), '{pattern}') AS m, string_split_regex(coalesce(text, ''), '{pattern}') AS p
+        FROM documents"""
+
+
+_ASSIGN = secrets.PATTERNS["assign"].replace("'", "''")
+SECRETS_SQL = f"""
+    WITH f AS ({" UNION ALL ".join(_secret_matches(k) for k in secrets.KINDS)}),
+    i AS (SELECT doc_id, source, lang, no, kind, m, p, unnest(range(1, len(m) + 1)) AS i FROM f),
+    s AS (SELECT doc_id, source, lang, no, kind, m[i] AS v, CAST(list_sum(list_transform(p[1:i], lambda x: length(x)))
+          + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM i),
+    v AS (SELECT *, a + length(v) AS e, CASE WHEN no = 0 THEN regexp_extract(v, '{_ASSIGN}', 2) ELSE v END AS w FROM s),
+    k AS (SELECT * FROM v WHERE CASE no WHEN 0 THEN length(w) >= 12 WHEN 1 THEN length(w) >= 18 WHEN 2 THEN length(w) >= 16
+          ELSE regexp_matches(w, '[0-9]') AND regexp_matches(w, '[a-z]') AND regexp_matches(w, '[A-Z]')
+               AND len(list_distinct(string_split(w, ''))) >= {secrets.DISTINCT_CHARACTERS} END),
+    c AS (SELECT * FROM k WHERE no < 3 UNION ALL
+          SELECT * FROM k x WHERE no = 3 AND NOT EXISTS (
+              SELECT 1 FROM k b WHERE b.no < 3 AND b.doc_id = x.doc_id AND b.a < x.e AND x.a < b.e)),
+    o AS (SELECT w, count(DISTINCT source) <= {secrets.MOST_OWNERS}
+          AND count(DISTINCT (source, lang)) <= {secrets.MOST_REPOSITORIES} AS owned FROM c GROUP BY w),
+    j AS (SELECT * FROM c JOIN o USING (w)),
+    r AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access,
+          count(*) FILTER (no = 2) AS n_hex,
+          string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, no) FILTER (no < 3) AS b,
+          string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, no) FILTER (no < 3 OR owned) AS spans,
+          count(*) FILTER (owned) AS n_owned, count(*) FILTER (NOT owned) AS n_shared FROM j GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned,
+        coalesce(n_shared, 0) AS n_shared
+    FROM documents LEFT JOIN r USING (doc_id)"""
+
+
+@query(SECRETS_SQL)
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(documents(spark, folder)))
+
+
+@query()
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(documents(spark, folder), documents(spark, folder, "benchmark"))
 
 
 def toxicity_model(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Model:
     return toxicity.fit(docs, documents(spark, folder, "labels"), folds(F.col("doc_id"), 3) != 1)
 
 
-@query
+@query()
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     scored = toxicity.classify(docs, toxicity_model(spark, folder, docs))
     return scored.select("doc_id", F.coalesce(folds(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-@query
+@query()
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), public_tokenizers.path(VOCABULARY))
 
 
-@query
+@query()
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_groups(documents(spark, folder), Rule(words=4, num=85, den=100))

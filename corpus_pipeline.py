@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cleanframe.llm import toxicity
+from cleanframe.llm import decontaminate, secrets, toxicity
 from cleanframe.llm.jaccard import Rule, one_of_each_group
 from cleanframe.llm.packing import pack_documents
 from cleanframe.llm.queries import toxicity_model
@@ -23,12 +23,23 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each_group(docs, Rule(words=5, num=80, den=100))
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets masked."""
+    return secrets.mask(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place; replaces the documents' columns."""
     return pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
-STAGES = [("toxicity", harmless), ("n-gram Jaccard join", distinct), ("best-fit packing", packing)]
+STAGES = [("toxicity", harmless), ("n-gram Jaccard join", distinct), ("benchmark decontamination", decontaminated), ("secret scans", masked),
+          ("best-fit packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
