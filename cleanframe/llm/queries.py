@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanframe.llm import secrets, toxicity
+from cleanframe.llm import langid, secrets, toxicity
 from cleanframe.llm.common import documents, folds
 from cleanframe.llm.decontaminate import contaminated
 from cleanframe.llm.jaccard import Rule, jaccard_groups
 from cleanframe.llm.packing import pack_documents
+from cleanframe.llm.repetition import repetition
 from cleanframe.llm.tokens import VOCABULARY
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,19 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    field = langid.fit(docs, folds(F.col("doc_id"), 4) != 2)
+    return langid.identify(docs, field).select(
+        "doc_id", F.coalesce(folds(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixed")
+
+
+@query()
+def op4_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition(documents(spark, folder))
+
+
 def _secret_matches(kind: str) -> str:
     pattern = secrets.PATTERNS_ALL[kind].replace("'", "''")
     return f"""SELECT doc_id, source, lang, {secrets.KINDS.index(kind)} AS no, '{kind}' AS kind,
