@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanframe.llm import langid, secrets, toxicity
+from cleanframe.llm import chunks, langid, secrets, toxicity
 from cleanframe.llm.common import documents, folds
 from cleanframe.llm.decontaminate import contaminated
 from cleanframe.llm.jaccard import Rule, jaccard_groups
 from cleanframe.llm.packing import pack_documents
 from cleanframe.llm.repetition import repetition
-from cleanframe.llm.tokens import VOCABULARY
+from cleanframe.llm.separators import token_counts, write_tokens
+from cleanframe.llm.toolcalls import link_tool_calls
+from cleanframe.llm.tokens import MANY_LANGUAGES, VOCABULARY
+from cleanframe.plans.storage import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,11 +41,89 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce(folds(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixed")
 
 
+@query()
+def op2_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
+    files = new_folder(spark, "tokens")
+    write_tokens(documents(spark, folder), public_tokenizers.path(MANY_LANGUAGES), files)
+    shard = F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("shard")
+    return token_counts(spark, files).select(shard, "document", "start", "n_tokens", "closed")
+
+
+@query()
+def op3_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.repeated_spans(documents(spark, folder))
+
+
 @query()
 def op4_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(documents(spark, folder))
 
 
+TOOLS = {
+    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}, "after": {"type": "string"}},
+               "required": ["query", "limit"], "additionalProperties": False},
+    "lookup": {"properties": {"query": {"type": "string"}, "limit": {"type": "number"}}, "required": ["query"],
+               "additionalProperties": False},
+    "calculate": {"properties": {"limit": {"type": "integer"}}, "required": ["limit"]},
+}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """The test conversations hold no tools, so each assistant turn becomes a call made from its text, and each user turn the
+    result of a call of the turn before. Some calls need an earlier one, some break their schema."""
+    name = F.element_at(F.array(*[F.lit(n) for n in [*TOOLS, "translate"]]), F.pmod(F.col("turn"), F.lit(4)).cast("int") + 1)
+    size = F.char_length("text")
+    arguments = F.struct(
+        F.when(size % 7 != 0, F.md5(F.col("text").cast("binary"))).alias("query"),
+        F.when(size % 5 != 0, size).alias("limit"), F.when(size % 5 == 0, size.cast("string")).alias("LIMIT"),
+        F.when(F.col("turn") >= 2, F.concat(F.lit("$c"), (F.col("turn") - 2).cast("string"))).alias("after"))
+    written = F.regexp_replace(F.to_json(arguments), "LIMIT", "limit")
+    call = F.concat(F.lit('{"tool_calls":[{"id":"c'), F.col("turn").cast("string"), F.lit('","name":"'), name,
+                    F.lit('","arguments":'), written, F.lit("}]}"))
+    result = F.to_json(F.struct(F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("tool_call_id"),
+                                F.md5(F.col("text").cast("binary")).alias("content")))
+    role = F.when(F.col("role") == "user", "tool").otherwise(F.col("role"))
+    return conversations.where("role IN ('assistant', 'user')").select(
+        "conv_id", "turn", role.alias("role"), F.when(F.col("role") == "user", result).otherwise(call).alias("text"))
+
+
+TOOLS_SQL = """
+    WITH c AS (SELECT DISTINCT conv_id, turn, role, md5(text) AS h, length(text) AS n FROM conversations),
+    a AS (SELECT conv_id, turn, 'c' || turn AS call_id, ['search', 'lookup', 'calculate', 'translate'][turn % 4 + 1] AS name,
+          n % 7 <> 0 AS has_query, n % 5 = 0 AS textual, turn >= 2 AS has_after, h, n FROM c WHERE role = 'assistant'),
+    r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS result_turn, min(h) AS result, count(DISTINCT h) AS results
+          FROM c WHERE role = 'user' GROUP BY conv_id, turn),
+    g AS (SELECT conv_id, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run, turn FROM a),
+    l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level FROM g),
+    j AS (SELECT a.*, CAST(l.level AS INTEGER) AS level, r.result_turn, r.result, r.results, p.turn IS NULL AND a.has_after AS lost
+          FROM a JOIN l USING (conv_id, turn) LEFT JOIN r USING (conv_id, call_id)
+          LEFT JOIN a p ON p.conv_id = a.conv_id AND p.turn = a.turn - 2)
+    SELECT conv_id, call_id, turn, 0 AS place, name, level, result_turn, coalesce(results, 0) AS results,
+        CASE WHEN result_turn IS NULL THEN 'no result' ELSE 'linked' END AS status,
+        array_to_string(list_filter([
+            CASE WHEN name = 'translate' THEN 'no schema' END,
+            CASE WHEN name IN ('search', 'lookup') AND NOT has_query THEN 'missing:query' END,
+            CASE WHEN name <> 'translate' AND textual THEN 'type:limit' END,
+            CASE WHEN name = 'lookup' AND has_after THEN 'unknown:after' END,
+            CASE WHEN lost THEN 'unresolved:c' || (turn - 2) END], lambda x: x IS NOT NULL), ',') AS errors,
+        '{"arguments":{' || array_to_string(list_filter([
+            CASE WHEN has_after THEN '"after":"$c' || (turn - 2) || '"' END,
+            CASE WHEN textual THEN '"limit":"' || n || '"' ELSE '"limit":' || n END,
+            CASE WHEN has_query THEN '"query":"' || h || '"' END], lambda x: x IS NOT NULL), ',')
+        || '},"id":"' || call_id || '","name":"' || name || '"' || coalesce(',"result":"' || result || '"', '') || '}' AS canonical
+    FROM j
+    UNION ALL
+    SELECT conv_id, call_id, NULL, NULL, NULL, NULL, result_turn, results, 'orphan', '',
+        '{"id":"' || call_id || '","result":"' || result || '"}'
+    FROM r WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.conv_id = r.conv_id AND a.call_id = r.call_id)"""
+
+
+@query(TOOLS_SQL)
+def op5_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    schemas = spark.createDataFrame([(name, json.dumps(schema)) for name, schema in TOOLS.items()], "name string, schema string")
+    return link_tool_calls(tool_messages(documents(spark, folder, "conversations")), schemas)
+
+
 def _secret_matches(kind: str) -> str:
     pattern = secrets.PATTERNS_ALL[kind].replace("'", "''")
     return f"""SELECT doc_id, source, lang, {secrets.KINDS.index(kind)} AS no, '{kind}' AS kind,
