@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import GAPS, GAPS_TEXT, LINE, LINE_KEYS, gaps, gaps_text, query, table
+from catalog.registry import GAPS, GAPS_TEXT, LINE, LINE_KEYS, WITHOUT_NAN, gaps, gaps_text, query, table, with_nan
 from cleanframe.operators import dates, encode, impute, numeric, predicates, replace, rows, schema
 
 
@@ -14,6 +14,14 @@ def _rounded(df, keys, column):
 
 # --- schema -----------------------------------------------------------------------------------------------
 
+@query("schema_report", """
+    SELECT CAST(column_index AS INTEGER) AS position, column_name AS name, CASE data_type WHEN 'DOUBLE' THEN 'double'
+        WHEN 'VARCHAR' THEN 'text' WHEN 'TIMESTAMP' THEN 'timestamp' ELSE 'integer' END AS type
+    FROM (SELECT row_number() OVER () - 1 AS column_index, column_name, column_type AS data_type FROM (DESCRIBE orders))""")
+def schema_report(spark, d):
+    return schema.schema_report(table(spark, d, "orders"))
+
+
 @query("cast_int", "SELECT o_orderkey, CAST(round_even(o_totalprice, 0) AS INTEGER) AS o_totalprice FROM orders")
 def cast_int(spark, d):
     return schema.change_type(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "INT")
@@ -180,6 +188,34 @@ def normalize(spark, d):
     return _rounded(df, ["o_orderkey"], "o_totalprice_norm")
 
 
+@query("normalize_nan", f"""
+    SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM {WITHOUT_NAN}))
+        / (SELECT stddev_pop(o_totalprice) FROM {WITHOUT_NAN}), 6) AS o_totalprice_norm FROM {WITHOUT_NAN}""")
+def normalize_nan(spark, d):
+    return _rounded(numeric.normalize(with_nan(spark, d), "o_totalprice"), ["o_orderkey"], "o_totalprice_norm")
+
+
+@query("bins_width_nan", f"""
+    WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM {WITHOUT_NAN}),
+    e AS (SELECT CASE WHEN i = 0 THEN lo - 0.001 * (hi - lo) WHEN i = 7 THEN hi ELSE lo + i * ((hi - lo) / 7) END AS edge
+          FROM r, generate_series(0, 7) AS s(i)),
+    l AS (SELECT list(edge) AS edges FROM e)
+    SELECT o_orderkey, CASE WHEN o_totalprice IS NOT NULL THEN
+        CAST(len(list_filter(edges, lambda x: x < o_totalprice)) AS INTEGER) END AS bin FROM {WITHOUT_NAN}, l""")
+def bins_width_nan(spark, d):
+    return numeric.discretize(with_nan(spark, d), "o_totalprice", "eq-width", 7, index_name="bin").select("o_orderkey", "bin")
+
+
+@query("bins_frequency_nan", f"""
+    WITH s AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) - 1 AS r, count(*) OVER () AS n
+               FROM {WITHOUT_NAN} WHERE o_totalprice IS NOT NULL),
+    l AS (SELECT list(x - x / 1000) AS edges FROM s WHERE r % (n // 6) = 0),
+    b AS (SELECT o_orderkey, len(list_filter(edges, lambda x: x < o_totalprice)) AS bin, len(edges) AS n FROM {WITHOUT_NAN}, l)
+    SELECT o_orderkey, CAST(CASE WHEN bin BETWEEN 1 AND n - 1 THEN bin END AS INTEGER) AS bin FROM b""")
+def bins_frequency_nan(spark, d):
+    return numeric.discretize(with_nan(spark, d), "o_totalprice", "eq-freq", 6, index_name="bin").select("o_orderkey", "bin")
+
+
 @query("normalize_constant", "SELECT o_orderkey, CAST(5 AS DOUBLE) AS five_norm FROM orders")
 def normalize_constant(spark, d):
     df = table(spark, d, "orders").select("o_orderkey", F.lit(5).alias("five"))
@@ -281,6 +317,13 @@ def delete_ids(spark, d):
     return rows.delete_ids(table(spark, d, "orders"), gone, "o_orderkey")
 
 
+@query("delete_ids_list", "SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT n_nationkey * 3 FROM nation)")
+def delete_ids_list(spark, d):
+    """Ids as a list, a None among them."""
+    ids = [r[0] for r in table(spark, d, "nation").select(F.col("n_nationkey") * 3).collect()]
+    return rows.delete_ids(table(spark, d, "orders"), [*ids, None], "o_orderkey")
+
+
 @query("keep_ids", "SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48)")
 def keep_ids(spark, d):
     wanted = table(spark, d, "lineitem").where("l_quantity > 48").select("l_orderkey")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import GAPS, GAPS_TEXT, gaps, gaps_text, query, table
+from catalog.registry import GAPS, GAPS_TEXT, WITHOUT_NAN, gaps, gaps_text, query, table, with_nan
 from cleanframe.operators import page, predicates, profile
 from cleanframe.streaming import activity
 
@@ -74,6 +74,11 @@ def histogram_number(spark, d):
     return profile.histogram(table(spark, d, "orders"), "o_totalprice").select("bin", "n")
 
 
+@query("histogram_nan", histogram_sql(WITHOUT_NAN, "o_totalprice"))
+def histogram_nan(spark, d):
+    return profile.histogram(with_nan(spark, d), "o_totalprice").select("bin", "n")
+
+
 @query("histogram_timestamp", histogram_sql("events", "CAST(epoch_us(ts) AS DOUBLE)"))
 def histogram_timestamp(spark, d):
     return profile.histogram(table(spark, d, "events"), "ts").select("bin", "n")
@@ -106,6 +111,14 @@ def page_rest(spark, d):
     return page.page(gaps_text(spark, d).select("o_orderkey", "o_orderpriority"), 700, None, "o_orderpriority", True, "o_orderkey")
 
 
+@query("grid_totals", """
+    SELECT (SELECT count(*) FROM part) AS total, count(*) AS matching FROM part WHERE p_name LIKE '%an%'
+        OR p_brand LIKE '%an%' OR p_type LIKE '%an%' OR CAST(p_size AS VARCHAR) LIKE '%an%' OR CAST(p_retailprice AS VARCHAR) LIKE '%an%'""")
+def grid_totals(spark, d):
+    _, total, matching = page.grid(table(spark, d, "part"), 10, 25, "p_name", True, "an", "p_partkey")
+    return spark.createDataFrame([(total, matching)], "total long, matching long")
+
+
 @query("page_search", """
     SELECT * FROM part WHERE p_name LIKE '%an%' OR p_brand LIKE '%an%' OR p_type LIKE '%an%'
         OR CAST(p_size AS VARCHAR) LIKE '%an%' OR CAST(p_retailprice AS VARCHAR) LIKE '%an%'

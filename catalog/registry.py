@@ -34,6 +34,13 @@ def gaps_text(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderpriority", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")))
 
 
+def with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """orders with NaN in o_totalprice."""
+    return table(spark, folder, "orders").select("o_orderkey", F.when(
+        F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).otherwise(F.lit(float("nan"))).alias("o_totalprice"))
+
+
+WITHOUT_NAN = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS o_totalprice FROM orders)"
 GAPS = "(SELECT * REPLACE (CASE WHEN l_linenumber <> 3 THEN l_quantity END AS l_quantity) FROM lineitem)"
 GAPS_TEXT = "(SELECT * REPLACE (CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS o_orderpriority) FROM orders)"
 LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]

@@ -62,7 +62,37 @@ def dump_load(spark, d):
     return dump.read_dump(spark, folder)["customer"].drop("id")
 
 
-def _zip_writer(folder):
+@query("dump_documents", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN text <> '' THEN text END AS text, lang FROM documents")
+def dump_documents(spark, d):
+    """All texts, with their quotes, line ends, brackets and semicolons."""
+    folder = new_folder(spark, "dump")
+    docs = table(spark, d, "documents")
+    text = F.concat(F.lit("'"), F.replace(F.concat(F.col("text")), F.lit("'"), F.lit("''")), F.lit("'"))
+    statement = F.concat(F.lit("INSERT INTO docs (doc_id, text, lang) VALUES ("), F.concat_ws(
+        ", ", F.col("doc_id").cast("string"), text, F.concat(F.lit("'"), F.col("lang"), F.lit("'"))), F.lit(");"))
+    docs.select(statement.alias("value")).write.text(folder)
+    return dump.read_dump(spark, folder)["docs"].drop("id")
+
+
+@query("csv_documents", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
+def csv_documents(spark, d):
+    """All texts, with line ends inside quotes."""
+    folder = new_folder(spark, "csv")
+    csv_files.write_csv(table(spark, d, "documents").select("doc_id", "text", "lang"), folder)
+    return csv_files.read_csv(spark, folder).drop("id")
+
+
+@query("load_append", """
+    SELECT row_number() OVER (ORDER BY s_suppkey) AS id, s_name AS name FROM supplier
+    UNION ALL SELECT (SELECT count(*) FROM supplier) + row_number() OVER (ORDER BY c_custkey), c_name FROM customer""")
+def load_append(spark, d):
+    first = rows.assign_id(table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name")), ["s_suppkey"]).drop("s_suppkey")
+    folder = new_folder(spark, "load") + ".csv"
+    csv_files.write_csv(table(spark, d, "customer").orderBy("c_custkey").select(F.col("c_name").alias("name")), folder)
+    return load.load(spark, folder, "people", existing={"people": first})["people"]
+
+
+def _zip_writer(folder, member_name=None):
     """Write each task's rows as one archive with one CSV member; yield its path."""
     def write(batches):
         import pandas as pd
@@ -75,7 +105,7 @@ def _zip_writer(folder):
         system, path = fs.FileSystem.from_uri(base)
         system.create_dir(path, recursive=True)
         with system.open_output_stream(f"{path}/part-{task}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            with archive.open(f"nested/{task}/events.csv", "w") as member:
+            with archive.open(member_name or f"nested/{task}/events.csv", "w") as member:
                 text = io.TextIOWrapper(member, "utf-8", newline="")
                 writer = csv.writer(text)
                 header = False
@@ -97,6 +127,15 @@ def zip_load(spark, d):
     return zipped.read_zip(spark, folder, typed=True)["events"].drop("id")
 
 
+@query("zip_same_member", "SELECT event_id, user_id FROM events")
+def zip_same_member(spark, d):
+    """Archives that all hold a member of the same name."""
+    folder = new_folder(spark, "zip")
+    events = table(spark, d, "events").select("event_id", "user_id").repartition(12)
+    events.mapInPandas(_zip_writer(folder, "events.csv"), "path string").count()
+    return zipped.read_zip(spark, folder, typed=True)["events"].drop("id")
+
+
 @query("copy_table", "SELECT * FROM part")
 def copy_table(spark, d):
     return rows.copy_table(table(spark, d, "part"), new_folder(spark, "copy"))
@@ -159,16 +198,19 @@ def raw_page(spark, d):
 
 
 @query("snapshot_list", """
-    SELECT * FROM (VALUES ('backup_20200102030406', 2::BIGINT, 'second', TIMESTAMP '2020-01-02 03:04:06'),
-        ('backup_20200102030407', 3::BIGINT, 'third', TIMESTAMP '2020-01-02 03:04:07')) AS t(name, version, note, "at")""")
+    SELECT name, version, note, "at", n FROM (VALUES ('backup_20200102030406', 2::BIGINT, 'second', TIMESTAMP '2020-01-02 03:04:06'),
+        ('backup_20200102030407', 3::BIGINT, 'third', TIMESTAMP '2020-01-02 03:04:07')) AS t(name, version, note, "at")
+    JOIN (SELECT 2 AS version, count(*) AS n FROM supplier WHERE s_suppkey >= 20
+          UNION ALL SELECT 3, count(*) FROM supplier WHERE s_suppkey >= 30) USING (version)""")
 def snapshot_list(spark, d):
-    """Three snapshots of the suppliers, the first one deleted."""
+    """Three snapshots of the suppliers with ever fewer rows, the first one deleted, and the rows of each."""
     store = versions.VersionStore(spark, new_folder(spark, "versions"))
     current = store.write_raw(table(spark, d, "supplier"))
-    names = [store.snapshot(current, note, dt.datetime(2020, 1, 2, 3, 4, 5 + i))
+    names = [store.snapshot(current.where(F.col("s_suppkey") >= 10 * (i + 1)), note, dt.datetime(2020, 1, 2, 3, 4, 5 + i))
              for i, note in enumerate(("first", "second", "third"))]
     store.delete(names[0])
-    return store.snapshots()
+    counts = [store.restore(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in names[1:]]
+    return store.snapshots().join(counts[0].unionByName(counts[1]), "name")
 
 
 @query("revert_to_raw", "SELECT * FROM nation")
@@ -204,6 +246,18 @@ def history_list(spark, d):
     return history.actions(_log(spark, d), "view", "1", 0, 30, "date", False)
 
 
+@query("log_actions", """
+    WITH l AS (SELECT row_number() OVER (ORDER BY r_regionkey) AS action_id, r_name AS action_desc, count(*) OVER () AS n FROM region)
+    SELECT action_id, 'region' AS "table", action_desc, action_id = n OR action_id < n - 3 AS undone FROM l""")
+def log_actions(spark, d):
+    """An action per region in a lasting log of at most three open actions, the last one undone."""
+    log = history.ActionLog(spark, new_folder(spark, "log"), limit=3)
+    for r in table(spark, d, "region").orderBy("r_regionkey").collect():
+        last = log.add("region", r["r_name"])
+    log.undo(last)
+    return log.read().select("action_id", "table", "action_desc", "undone")
+
+
 @query("history_after_restore", f"""
     SELECT * FROM {LOG_SQL} WHERE "table" <> 'click' OR date <= TIMESTAMP '2024-01-15'""")
 def history_after_restore(spark, d):
@@ -238,8 +292,12 @@ def stream_clean(spark, d):
     return cleaning.run_available(shown)
 
 
-@query("stream_rolling_users")
+@query("stream_rolling_users", """
+    SELECT * FROM (SELECT event_type, date_trunc('minute', ts) - INTERVAL (i) MINUTE AS window_start,
+        count(DISTINCT user_id) AS n_users FROM events, generate_series(0, 4) AS g(i) GROUP BY ALL)
+    WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_rolling_users(spark, d):
+    """The windows that the stream's watermark has closed."""
     events = table(spark, d, "events")
     stream = cleaning.read_stream(spark, f"{d}/events.parque[t]", events.schema)
     return cleaning.run_available(activity.rolling_active_users(stream, "event_type"))

@@ -56,6 +56,13 @@ def require_numeric(df: DataFrame, name: str) -> None:
         raise ValueError(f"column {name!r} is {kind(df, name)}, a number is needed")
 
 
+def number_or_null(df: DataFrame, name: str) -> Column:
+    """A numeric column in which NaN counts as missing."""
+    require_numeric(df, name)
+    value = ref(name)
+    return F.when(~F.isnan(value), value) if kind(df, name) in (DOUBLE, REAL) else value
+
+
 def typed_literal(value, dtype: T.DataType) -> Column:
     """A literal of exactly `dtype`. Text is parsed by an ANSI cast, so a bad value fails the query."""
     if isinstance(value, (dt.datetime, dt.date)):

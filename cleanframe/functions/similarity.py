@@ -36,16 +36,23 @@ def date_level(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(slip, DATE_SLIP).otherwise(0.0)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Damerau-Levenshtein distance without the restriction that a transposed pair is never edited again."""
+def edit_distance(a: str, b: str, limit: int | None = None) -> int:
+    """Damerau-Levenshtein distance without the restriction that a transposed pair is never edited again.
+
+    With a limit only the band of cells that a distance within it can pass is filled; a larger distance comes out as any
+    number above the limit."""
     last_row: dict[str, int] = {}
-    far = len(a) + len(b)
+    far = len(a) + len(b) + 1
+    band = max(len(a), len(b)) if limit is None else limit
+    if abs(len(a) - len(b)) > band:
+        return far
     table = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
-        row = [far, i]
-        last_column = 0
-        for j, y in enumerate(b, 1):
-            above = table[i]
+        start, stop = max(1, i - band), min(len(b), i + band)
+        row = [far, i if start == 1 else far, *[far] * (start - 1)]
+        last_column = b.rfind(x, 0, start - 1) + 1
+        above = table[i]
+        for j, y in enumerate(b[start - 1:stop], start):
             swap_row, swap_column = last_row.get(y, 0), last_column
             best = min(above[j] + (x != y), above[j + 1] + 1, row[j] + 1)
             if swap_row and swap_column:
@@ -54,14 +61,14 @@ def edit_distance(a: str, b: str) -> int:
             row.append(best)
             if x == y:
                 last_column = j
-        table.append(row)
+        table.append(row + [far] * (len(b) - stop))
         last_row[x] = i
     return table[-1][-1]
 
 
 @F.pandas_udf(T.IntegerType())
-def edit_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+def edit_distance_udf(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance(x, y, int(n)) for x, y, n in zip(a, b, limit)], dtype="Int32")
 
 
 def allowed_edits(a: Column, b: Column) -> Column:
@@ -72,12 +79,12 @@ def text_level(a: Column, b: Column) -> Column:
     """1 when the similarity 1 - distance / longer length reaches the threshold, else 0.
 
     The plain Levenshtein distance, computed in the JVM, bounds the wanted one from both sides (a transposition
-    counts as two edits there), so only pairs between the bounds go through Python.
+    counts as two edits there); it gives up beyond twice the allowed edits, and only pairs between go through Python.
     """
     allowed = allowed_edits(a, b)
-    plain = F.levenshtein(a, b)
-    open_a = F.when((plain > allowed) & (plain <= 2 * allowed), a)
-    exact = edit_distance_udf(open_a, F.when(open_a.isNotNull(), b))
-    hit = F.when(plain <= allowed, True).otherwise(F.coalesce(exact <= allowed, F.lit(False)))
+    plain = F.call_function("levenshtein", a, b, 2 * allowed)
+    open_a = F.when(plain > allowed, a)
+    exact = edit_distance_udf(open_a, F.when(open_a.isNotNull(), b), allowed)
+    hit = F.when((plain >= 0) & (plain <= allowed), True).otherwise(F.coalesce(exact <= allowed, F.lit(False)))
     usable = (F.length(a) > 0) & (F.length(b) > 0)
     return F.when(usable & hit, 1.0).otherwise(0.0)

@@ -36,8 +36,10 @@ class Rule:
 TIE = 1e-9
 
 
-def two_means(vectors: DataFrame, columns: list[str], weight: str = "pairs") -> Rule | None:
-    """Cluster weighted vectors from fixed start centres; None when no vector is nearer to the match centre.
+def two_means(vectors: DataFrame, columns: list[str], weight: str = "pairs",
+              max_rounds: int = MAX_ROUNDS) -> Rule | None:
+    """Cluster weighted vectors from fixed start centres; None when no vector is nearer to the match centre,
+    an error when the centres have not settled after `max_rounds`.
 
     Each round is one aggregate over distinct vectors, and the driver sees the two centres only.
     """
@@ -49,7 +51,7 @@ def two_means(vectors: DataFrame, columns: list[str], weight: str = "pairs") ->
     variances = [spread[f"q{i}"] / spread["n"] - (spread[f"s{i}"] / spread["n"]) ** 2 for i in range(len(columns))]
     enough = TOLERANCE * sum(variances) / len(variances)
     rule = Rule((START_NO_MATCH,) * len(columns), (START_MATCH,) * len(columns))
-    for _ in range(MAX_ROUNDS):
+    for _ in range(max_rounds):
         match = (rule.score([F.col(c) for c in columns]) > TIE).alias("match")
         sums = {r["match"]: r for r in vectors.groupBy(match).agg(
             F.sum(w).alias("n"), *[F.sum(w * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)]).collect()}
@@ -63,8 +65,8 @@ def two_means(vectors: DataFrame, columns: list[str], weight: str = "pairs") ->
         shift = sum((a - b) ** 2 for a, b in zip(moved.no_match + moved.match, rule.no_match + rule.match))
         rule = moved
         if shift <= enough:
-            break
-    return rule
+            return rule
+    raise RuntimeError(f"the centres still move after {max_rounds} rounds")
 
 
 def classify(vectors: DataFrame, columns: list[str], rule: Rule) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cleanframe.functions.columns import ref
 from cleanframe.operators.page import page
 from cleanframe.operators.predicates import search
-from cleanframe.operators.rows import delete_ids
+from cleanframe.operators.rows import delete_ids, id_frame
 from cleanframe.plans.skew import spread_lookup
 
 
@@ -53,10 +53,10 @@ def show_cluster(rows: DataFrame, clusters: DataFrame, group_id: int, offset: in
 
 
 def mark_rows(clusters: DataFrame, ids: DataFrame | list, id_col: str = "id") -> DataFrame:
-    """Mark members for deletion."""
+    """Mark members for deletion. A NULL among the ids names no row."""
     if not isinstance(ids, DataFrame):
-        return clusters.withColumn("delete", F.col("delete") | ref(id_col).isin(list(ids))) if ids else clusters
-    marks = ids.select(ref(ids.columns[0]).alias(id_col)).distinct().withColumn("_mark", F.lit(True))
+        ids = id_frame(clusters, ids, id_col)
+    marks = ids.select(ref(ids.columns[0]).alias(id_col)).where(ref(id_col).isNotNull()).distinct().withColumn("_mark", F.lit(True))
     return (clusters.join(marks, id_col, "left")
             .withColumn("delete", F.col("delete") | F.coalesce("_mark", F.lit(False)))
             .select(ref(id_col), "group_id", "delete"))

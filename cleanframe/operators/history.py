@@ -22,11 +22,15 @@ def empty_log(spark: SparkSession) -> DataFrame:
 
 
 def close_old_actions(log: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
-    """Of each table's open actions only the newest `limit` stay open.
+    """Of each table's open actions only the newest `limit` stay open; a limit of 0 closes nothing.
 
     The rank filter lets Spark keep `limit` rows per table and task before the shuffle, so a table with most of
     the log does not gather in one task.
     """
+    if limit < 0:
+        raise ValueError("the limit must not be negative")
+    if limit == 0:
+        return log
     newest_first = Window.partitionBy("table").orderBy(F.desc("action_id"))
     newest = log.where(~F.col("undone")).select("table", "action_id").withColumn(
         "_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= limit)
@@ -38,11 +42,48 @@ def close_old_actions(log: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
 
 def log_action(log: DataFrame, table: str, desc: str, at: dt.datetime | None = None,
                limit: int = HISTORY_LIMIT) -> DataFrame:
-    """Append an action under the next id, then close what is over the limit. The new log is written out, so that
-    a long series of actions does not pile up in one plan."""
+    """The log with one more action under the next id, what is over the limit closed. For a log that lasts see ActionLog."""
     last = log.agg(F.max("action_id")).first()[0] or 0
     row = log.sparkSession.createDataFrame([(last + 1, table, at or dt.datetime.now(), desc, False)], LOG)
-    return cut_lineage(close_old_actions(cut_lineage(log.unionByName(row)), limit))
+    return cut_lineage(close_old_actions(log.unionByName(row), limit))
+
+
+class ActionLog:
+    """A log in a folder. Each action and each undo appends one small file; which actions are open follows when it is read."""
+
+    def __init__(self, spark: SparkSession, folder: str, limit: int = HISTORY_LIMIT):
+        if limit < 0:
+            raise ValueError("the limit must not be negative")
+        self.spark, self.folder, self.limit = spark, folder, limit
+
+    def _written(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return empty_log(self.spark)
+        return self.spark.read.schema(LOG).parquet(self.folder)
+
+    def _append(self, *row) -> None:
+        self.spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def add(self, table: str, desc: str, at: dt.datetime | None = None) -> int:
+        """Append an action and return its id."""
+        last = self._written().agg(F.max("action_id")).first()[0] or 0
+        self._append(last + 1, table, at or dt.datetime.now(), desc, False)
+        return last + 1
+
+    def undo(self, action_id: int) -> None:
+        """Close an open action; an error for any other."""
+        mark_undone(self.read(), action_id)
+        self._append(action_id, None, None, None, True)
+
+    def read(self) -> DataFrame:
+        """The actions; an undone one and those over the limit are closed."""
+        written = self._written()
+        undone = written.where("table IS NULL").select("action_id").distinct()
+        own = written.where("table IS NOT NULL")
+        marked = own.join(undone.withColumn("_gone", F.lit(True)), "action_id", "left").select(
+            *[(F.col("undone") | F.coalesce("_gone", F.lit(False))).alias("undone") if c == "undone" else F.col(c) for c in own.columns])
+        return close_old_actions(marked, self.limit)
 
 
 def actions(log: DataFrame, table: str, text: str | None = None, offset: int = 0, limit: int | None = None,

@@ -1,4 +1,4 @@
-"""Z-scores and bins. The `fit_*` functions read a few numbers; the rest is row-wise and works on streams."""
+"""Z-scores and bins; NaN counts as missing. The `fit_*` functions read a few numbers; the rest is row-wise and works on streams."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.bins import check_increasing, equal_width_edges, labels
-from cleanframe.functions.columns import bound_index, ref, require_numeric
+from cleanframe.functions.columns import bound_index, number_or_null
 from cleanframe.operators.profile import mean_and_std
 from cleanframe.plans.ordering import values_at_ranks
 
@@ -22,8 +22,7 @@ FREQUENCY_STEP_DOWN = 1000
 
 def apply_normalize(df: DataFrame, column: str, mean: float | None, std: float | None) -> DataFrame:
     """(x - mean) / std; a column without spread is copied."""
-    require_numeric(df, column)
-    x = ref(column).cast("double")
+    x = number_or_null(df, column).cast("double")
     return df.withColumn(NORM_NAME.format(column=column), (x - F.lit(mean)) / F.lit(std) if std else x)
 
 
@@ -32,8 +31,8 @@ def normalize(df: DataFrame, column: str) -> DataFrame:
 
 
 def fit_equal_width(df: DataFrame, column: str, bins: int) -> list[float]:
-    require_numeric(df, column)
-    low, high = df.agg(F.min(ref(column)), F.max(ref(column))).first()
+    value = number_or_null(df, column)
+    low, high = df.agg(F.min(value), F.max(value)).first()
     if low is None:
         raise ValueError(f"column {column!r} holds no values")
     return equal_width_edges(low, high, bins)
@@ -46,7 +45,7 @@ def fit_equal_frequency(df: DataFrame, column: str, bins: int, mode: str = "lowe
     Values above the last edge, and a negative minimum, get no bin; repeated edges are an error.
     `quantile`: first values of equal shares plus the maximum, repeated edges merged; every value gets a bin.
     """
-    require_numeric(df, column)
+    df = df.select(number_or_null(df, column).alias(column))
     if bins < 1:
         raise ValueError("at least one bin is needed")
     if mode == "lowered":
@@ -71,8 +70,7 @@ def apply_bins(df: DataFrame, column: str, edges: list[float], name: str, digits
 
     Values outside all bins get NULL. `close_first` puts the lowest edge itself into the first bin.
     """
-    require_numeric(df, column)
-    x = ref(column).cast("double")
+    x = number_or_null(df, column).cast("double")
     index = bound_index(x, edges)
     if close_first:
         index = F.when(x == F.lit(float(edges[0])), F.lit(1)).otherwise(index)

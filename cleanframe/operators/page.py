@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref, require
-from cleanframe.operators.predicates import search
+from cleanframe.operators.predicates import matches, search
 from cleanframe.plans.ordering import with_position
 
 SHALLOW_ROWS = 100_000
@@ -47,5 +47,8 @@ def grid(df: DataFrame, offset: int = 0, limit: int | None = None, column: str |
          text: str | None = None, id_col: str = "id") -> tuple[DataFrame, int, int]:
     """(page of the matching rows, rows in the table, rows matching the search)."""
     matching = search(df, text, id_col)
-    total = df.count()
-    return page(matching, offset, limit, column, ascending, id_col), total, matching.count() if text else total
+    if text:
+        total, found = df.agg(F.count("*"), F.count_if(matches(df, text, id_col))).first()
+    else:
+        total = found = df.count()
+    return page(matching, offset, limit, column, ascending, id_col), total, found

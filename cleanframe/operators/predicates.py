@@ -89,10 +89,13 @@ def remove_outliers(df: DataFrame, column: str, value, less_than: bool = False)
 
 def search(df: DataFrame, text: str | None, id_col: str = "id") -> DataFrame:
     """Rows where any column but the id, as text, contains `text`."""
-    if not text:
-        return df
+    return df.where(matches(df, text, id_col)) if text else df
+
+
+def matches(df: DataFrame, text: str, id_col: str = "id") -> Column:
+    """Whether any column but the id, as text, contains `text`."""
     tests = [F.coalesce(like_anywhere(ref(c).cast("string"), text), F.lit(False)) for c in df.columns if c != id_col]
-    return df.where(_any(tests)) if tests else df.where(F.lit(False))
+    return _any(tests) if tests else F.lit(False)
 
 
 def nulls_of(df: DataFrame, column: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.bins import equal_width_edges, labels
-from cleanframe.functions.columns import NUMERIC, TIMESTAMP, bound_index, kind, ref, require, require_numeric
+from cleanframe.functions.columns import NUMERIC, TIMESTAMP, bound_index, kind, number_or_null, ref, require, require_numeric
 from cleanframe.plans.ordering import values_at_ranks
 
 # Bins of the numeric histogram and digits of its labels.
@@ -70,9 +70,9 @@ def median(df: DataFrame, column: str) -> float | None:
 
 
 def mean_and_std(df: DataFrame, column: str) -> tuple[float | None, float | None]:
-    """Population mean and standard deviation."""
-    require_numeric(df, column)
-    row = df.agg(F.avg(ref(column)).alias("m"), F.stddev_pop(ref(column)).alias("s")).first()
+    """Population mean and standard deviation; NaN counts as missing."""
+    value = number_or_null(df, column)
+    row = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).first()
     return row["m"], row["s"]
 
 
@@ -113,22 +113,21 @@ def column_profile(df: DataFrame, column: str, zero_if_empty: bool = True) -> Da
 
 
 def as_number(df: DataFrame, column: str) -> Column:
-    """The column as DOUBLE; a timestamp as microseconds since 1970."""
+    """The column as DOUBLE, NaN as NULL; a timestamp as microseconds since 1970."""
     if kind(df, column) == TIMESTAMP:
         return F.unix_micros(ref(column).cast("timestamp")).cast("double")
-    require_numeric(df, column)
-    return ref(column).cast("double")
+    return number_or_null(df, column).cast("double")
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """(bin, label, n) for equal-width, right-closed bins over the column's range, empty bins included."""
     numbers = df.select(as_number(df, column).alias("x"))
     low, high = numbers.agg(F.min("x"), F.max("x")).first()
-    spark = df.sparkSession
     if low is None:
-        return spark.createDataFrame([], "bin int, label string, n long")
+        return df.sparkSession.createDataFrame([], "bin int, label string, n long")
     edges = equal_width_edges(low, high, bins)
-    counted = numbers.groupBy(bound_index(F.col("x"), edges).alias("bin")).agg(F.count("*").alias("n"))
-    names = spark.createDataFrame(list(enumerate(labels(edges, HISTOGRAM_DIGITS), 1)), "bin int, label string")
-    return (names.join(counted, "bin", "left")
-            .select("bin", "label", F.coalesce("n", F.lit(0).cast("long")).alias("n")).orderBy("bin"))
+    placed = numbers.select(bound_index(F.col("x"), edges).alias("b"))
+    counted = placed.agg(*[F.count_if(F.col("b") == i).alias(f"n{i}") for i in range(1, bins + 1)])
+    rows = [F.struct(F.lit(i).alias("bin"), F.lit(label).alias("label"), F.col(f"n{i}").alias("n"))
+            for i, label in enumerate(labels(edges, HISTOGRAM_DIGITS), 1)]
+    return counted.select(F.inline(F.array(*rows)))

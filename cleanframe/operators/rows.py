@@ -70,15 +70,18 @@ def append_rows(df: DataFrame, more: DataFrame, order_by: list[str], id_col: str
 
 
 def delete_ids(df: DataFrame, ids, id_col: str = "id") -> DataFrame:
-    """Drop rows by id: a short Python list is a filter, a DataFrame (its first column) an anti join."""
+    """Drop rows by id, given as a list or as the first column of a DataFrame. A NULL among the ids names no row."""
     require(df, id_col)
     if isinstance(ids, DataFrame):
         gone = ids.select(ref(ids.columns[0]).alias(id_col)).where(ref(id_col).isNotNull()).distinct()
         return df.join(gone, id_col, "left_anti").select(*[ref(c) for c in df.columns])
-    if len(ids) <= 1000:
-        return df.where(~ref(id_col).isin(list(ids)) | ref(id_col).isNull()) if ids else df
-    frame = df.sparkSession.createDataFrame([(i,) for i in ids], f"_id {data_type(df, id_col).simpleString()}")
-    return delete_ids(df, frame, id_col)
+    return delete_ids(df, id_frame(df, ids, id_col), id_col)
+
+
+def id_frame(df: DataFrame, ids: list, id_col: str) -> DataFrame:
+    """A list of ids as a table of the id's type, without None."""
+    given = [(i,) for i in ids if i is not None]
+    return df.sparkSession.createDataFrame(given, f"_id {data_type(df, id_col).simpleString()}")
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 # Most snapshots per table, and the time stamp in their names.
@@ -38,11 +38,14 @@ class VersionStore:
         deleted = events.where("event = 'delete'").select("version")
         return events.where("event = 'write'").join(deleted, "version", "left_anti")
 
-    def _version_of(self, name: str) -> int:
-        found = self._alive().where(F.col("name") == name).select("version").first()
+    def _find(self, name: str) -> Row:
+        found = self._alive().where(F.col("name") == name).first()
         if found is None:
             raise ValueError(f"no such snapshot: {name}")
-        return found[0]
+        return found
+
+    def _version_of(self, name: str) -> int:
+        return self._find(name)["version"]
 
     def write_raw(self, df: DataFrame, at: dt.datetime | None = None) -> DataFrame:
         """Version 0, written once."""
@@ -72,14 +75,17 @@ class VersionStore:
         return self._alive().where(F.col("name") != RAW).select("name", "version", "note", "at").orderBy("version")
 
     def note(self, name: str) -> str:
-        return self._alive().where(F.col("name") == name).select("note").first()[0]
+        return self._find(name)["note"]
 
     def restore(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(self._version_of(name)))
 
     def taken_at(self, name: str) -> dt.datetime:
-        return self._alive().where(F.col("name") == name).select("at").first()[0]
+        return self._find(name)["at"]
 
     def delete(self, name: str, at: dt.datetime | None = None) -> None:
-        """Mark a snapshot deleted; the files stay until the folder is cleaned up."""
-        self._record(name, self._version_of(name), None, at or dt.datetime.now(), "delete")
+        """Mark a snapshot deleted, then free its files."""
+        version = self._version_of(name)
+        self._record(name, version, None, at or dt.datetime.now(), "delete")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(version))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

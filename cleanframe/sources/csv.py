@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cleanframe.functions.columns import ref
-from cleanframe.operators.rows import append_rows, assign_id
+from cleanframe.operators.rows import assign_id, conform, max_id
 from cleanframe.operators.schema import parse_timestamp
 from cleanframe.plans.storage import stored
 
@@ -53,8 +53,8 @@ def normalise_timestamps(df: DataFrame, types: dict[str, str]) -> DataFrame:
                        for c in df.columns])
 
 
-def finish(text: DataFrame, typed: bool, order_by: list[str], id_col: str | None) -> DataFrame:
-    """Common end of the CSV loaders: NULL words, types, and a serial id in source order.
+def finish(text: DataFrame, typed: bool, order_by: list[str], id_col: str | None, start: int = 1) -> DataFrame:
+    """Common end of the CSV loaders: NULL words, types, and a serial id from `start` on in source order.
 
     The files are parsed once into a stored table, which the passes for types and ids read column by column.
     """
@@ -64,16 +64,26 @@ def finish(text: DataFrame, typed: bool, order_by: list[str], id_col: str | None
     values = apply_types(values, types) if typed else normalise_timestamps(values, types)
     if id_col is None:
         return values.drop(*order_by)
-    return assign_id(values, order_by, id_col).drop(*order_by)
+    return assign_id(values, order_by, id_col, start).drop(*order_by)
+
+
+def has_quoted_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether a value may hold a line end. The line where such a value begins has an odd number of quotes, since quotes
+    inside a value are doubled; without such a line, lines are rows."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
 def read_csv(spark: SparkSession, path: str, typed: bool = False, id_col: str | None = "id",
-             multiline: bool = False) -> DataFrame:
+             multiline: bool | None = None, start: int = 1) -> DataFrame:
     """Header row, then values; a short row ends in NULLs, a row with more values than the header is an error.
 
-    All text unless `typed`. Ids follow the file order. `multiline` allows line ends inside quotes, at the price
-    of one task per file.
+    All text unless `typed`. Ids follow the order of the files' paths as text, then of their lines. Line ends inside quotes
+    cost one task per file, so lines are taken for rows where a look at their quotes proves it right; `multiline` says it
+    beforehand.
     """
+    if multiline is None:
+        multiline = has_quoted_line_ends(spark, path)
     reader = (spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
               .option("encoding", "UTF-8"))
     columns = reader.csv(path).columns
@@ -85,16 +95,16 @@ def read_csv(spark: SparkSession, path: str, typed: bool = False, id_col: str |
                       F.when(F.col(EXTRA).isNull(), F.monotonically_increasing_id())
                       .otherwise(too_long.cast("long")).alias("_line"),
                       *[F.col(c).alias(n) for c, n in zip(places, names)])
-    return finish(text, typed, ORDER, id_col)
+    return finish(text, typed, ORDER, id_col, start)
 
 
-def append_csv(df: DataFrame, path: str, id_col: str = "id", multiline: bool = False) -> DataFrame:
+def append_csv(df: DataFrame, path: str, id_col: str = "id", multiline: bool | None = None) -> DataFrame:
     """Append a file to a table; its columns must be the table's, and ids go on after the largest one."""
-    more = read_csv(df.sparkSession, path, False, "_order", multiline)
+    more = read_csv(df.sparkSession, path, False, id_col, multiline, max_id(df, id_col) + 1)
     missing = [c for c in df.columns if c not in more.columns and c != id_col]
     if missing:
         raise ValueError(f"the file lacks columns: {', '.join(missing)}")
-    return append_rows(df, more, ["_order"], id_col)
+    return df.unionByName(conform(more, df))
 
 
 def write_csv(df: DataFrame, path: str, separator: str | None = ",", quote: str | None = '"',

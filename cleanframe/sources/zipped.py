@@ -86,7 +86,7 @@ def read_zip(spark: SparkSession, path: str, typed: bool = False, id_col: str |
             if unknown:
                 raise ValueError(f"{m['member']}: no such column: {', '.join(sorted(unknown))}")
         parts = spark.createDataFrame([(m["archive"], m["position"], m["member"]) for m in members],
-                                      "archive string, position long, member string").repartition(len(members), "member")
+                                      "archive string, position long, member string").repartition(len(members), "archive", "position")
         fields = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
         text = parts.mapInPandas(_reader(columns), f"_archive string, _member long, _line long, {fields}")
         result[name] = finish(text, typed, ORDER, id_col)

@@ -37,17 +37,20 @@ def rolling_active_users(events: DataFrame, group_col: str, user_col: str = "use
                          watermark: str = "10 minutes", length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
     """(group, window_start, n_users) per sliding window.
 
-    On a stream the count is approximate, which keeps the state small, and rows later than the watermark are
-    dropped. On a table it is exact.
+    On a stream each user is let through once per group and window, then users are counted. A window is shown when it is
+    closed: when a row `watermark` later than its end has come. Rows later than the watermark are dropped. On a table all
+    windows are shown.
     """
     users = ref(user_col)
     dtype = data_type(events, time_col)
     if events.isStreaming:
         # A watermark needs the zoned type; the window start is turned back into the type of the column.
         events = events.withColumn(time_col, ref(time_col).cast("timestamp")).withWatermark(time_col, watermark)
-        count = F.approx_count_distinct(users)
+        placed = events.where(users.isNotNull()).select(
+            ref(group_col), users, F.window(ref(time_col), length, slide).alias("_window"))
+        counted = placed.dropDuplicates([group_col, user_col, "_window"]).groupBy(ref(group_col), "_window").agg(
+            F.count("*").alias("n_users"))
     else:
-        count = F.count_distinct(users)
-    return (events.groupBy(ref(group_col), F.window(ref(time_col), length, slide).alias("_window"))
-            .agg(count.alias("n_users"))
-            .select(ref(group_col), F.col("_window.start").cast(dtype).alias("window_start"), "n_users"))
+        counted = events.groupBy(ref(group_col), F.window(ref(time_col), length, slide).alias("_window")).agg(
+            F.count_distinct(users).alias("n_users"))
+    return counted.select(ref(group_col), F.col("_window.start").cast(dtype).alias("window_start"), "n_users")

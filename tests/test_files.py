@@ -123,3 +123,32 @@ def test_dispatch(spark, folder):
     assert list(load(spark, f"{folder}/cars.csv", "cats")) == ["cats"]
     with pytest.raises(ValueError, match="cannot load"):
         load(spark, "table.xlsx")
+
+
+def test_dump_with_quotes(spark, folder):
+    long = "x''y;(z)" * 150_000
+    path = write(folder, "hard.sql", "INSERT INTO t VALUES (1,'one'),(2,'tw;o'),(3,'th\nree');\nDELETE FROM t;\n"
+                 f"INSERT INTO t VALUES (4,'{long}'),(5,lower('A, B')),(6,'');INSERT INTO t VALUES (7,'a;'),(8,';b');")
+    got = {r["col1"]: r["col2"] for r in read_dump(spark, path, id_col=None)["t"].collect()}
+    assert got == {"1": "one", "2": "tw;o", "3": "th\nree", "4": long.replace("''", "'"), "5": "lower('A, B')", "6": None,
+                   "7": "a;", "8": ";b"}
+    with pytest.raises(Exception, match="not closed|text between"):
+        read_dump(spark, write(folder, "slash.sql", r"INSERT INTO t VALUES (4,'it\'s'),(5,'f'),(6,'x''');"))
+    with pytest.raises(Exception, match="quote is not closed"):
+        read_dump(spark, write(folder, "odd.sql", "INSERT INTO t VALUES (1,'a);"))
+
+
+def test_csv_with_quoted_line_ends(spark, folder):
+    path = write(folder, "lines.csv", 'a,b\n"one\ntwo",3\n"say ""x""",4\n')
+    assert rows(read_csv(spark, path)) == [(1, "one\ntwo", "3"), (2, 'say "x"', "4")]
+    assert rows(load(spark, path)["lines"]) == rows(read_csv(spark, path))
+
+
+def test_load_appends(spark, folder):
+    cars = load(spark, f"{folder}/cars.csv")["cars"]
+    more = load(spark, f"{folder}/cars2.csv", "cars", existing={"cars": cars})["cars"]
+    assert rows(more, "id") == [(1,), (2,), (3,), (4,)]
+    with pytest.raises(ValueError, match="no such table"):
+        load(spark, f"{folder}/cars2.csv", "cats", existing={"cars": cars}, append=True)
+    with pytest.raises(ValueError, match="exist already"):
+        load(spark, f"{folder}/cars2.csv", "cars", existing={"cars": cars}, append=False)

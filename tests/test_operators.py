@@ -299,3 +299,20 @@ def test_insert_and_delete(fruit, spark):
     assert row_ops.max_id(more) == 5 and row_ops.min_id(more) == 1
     tail = spark.createDataFrame([("z", "kiwi"), ("a", "mango")], "k string, word string")
     assert rows(row_ops.append_rows(fruit, tail, ["k"]))[2:] == [(3, "mango"), (4, "kiwi")]
+
+
+def test_ids_with_none(spark):
+    df = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
+    assert rows(row_ops.delete_ids(df, [1, None])) == [(2,), (3,), (4,), (5,)]
+    assert rows(row_ops.delete_ids(df, [1, None, *range(10, 2000)])) == [(2,), (3,), (4,), (5,)]
+    assert rows(row_ops.delete_ids(df, [])) == [(i,) for i in range(1, 6)]
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (9.0,)], "x double")
+    assert [r["n"] for r in profile.histogram(df, "x").collect()] == [1, 1, 0, 0, 0, 0, 0, 0, 0, 1]
+    assert profile.mean_and_std(df, "x")[0] == 4.0
+    assert numeric.fit_equal_frequency(df, "x", 3, "quantile") == [1.0, 2.0, 9.0]
+    binned = numeric.equal_width(df, "x", 2, index_name="b")
+    assert [r["b"] for r in binned.collect()] == [1, 1, None, 2]
+    assert [r["x_norm"] is None for r in numeric.normalize(df, "x").collect()] == [False, False, True, False]

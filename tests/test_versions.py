@@ -85,3 +85,30 @@ def test_history(spark):
         history.mark_undone(log, 1)
     assert rows(history.keep_until(log, "t", T0 + dt.timedelta(minutes=1)), "action_id") == [(1,), (2,), (6,)]
     assert rows(history.keep_first(log, "t"), "action_id") == [(1,), (6,)]
+
+
+def test_lasting_log(spark):
+    log = history.ActionLog(spark, new_folder(spark, "log"), limit=2)
+    assert log.read().count() == 0
+    assert [log.add("t", f"step {i}", T0) for i in range(3)] == [1, 2, 3]
+    assert rows(log.read(), "action_id", "undone") == [(1, True), (2, False), (3, False)]
+    log.undo(3)
+    assert rows(log.read(), "action_id", "undone") == [(1, False), (2, False), (3, True)]
+    with pytest.raises(ValueError):
+        log.undo(3)
+    with pytest.raises(ValueError):
+        history.ActionLog(spark, "x", limit=-1)
+    assert history.close_old_actions(log.read(), 0).where("undone").count() == 1
+
+
+def test_unknown_and_deleted_snapshots(spark, before):
+    store = VersionStore(spark, new_folder(spark, "t"))
+    store.write_raw(before, T0)
+    name = store.snapshot(before, "", T0)
+    path = store._path(store._version_of(name))
+    store.delete(name)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    for read in (store.note, store.taken_at):
+        with pytest.raises(ValueError, match="no such snapshot"):
+            read("x")
