@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref
-from cleanframe.llm.common import map_texts, mix
+from cleanframe.llm.common import map_texts, mix, unused
 
 SHORTEST, LONGEST, BITS = 16, 256, 5
 LEAST_WORDS = 12
@@ -120,15 +120,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, less the spans that a document with a smaller id keeps."""
-    spans = (repeated_spans(docs, id_col, text).where("NOT is_first").groupBy(F.col("doc_id").alias("_id"))
-             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans")))
+    key, gone = unused(docs, "_key"), unused(docs, "_spans")
+    spans = (repeated_spans(docs, id_col, text).where("NOT is_first").groupBy(F.col("doc_id").alias(key))
+             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(gone)))
 
     def step(state, span):
         gap = F.substring(ref(text), state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
 
-    left = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(
+    left = F.aggregate(gone, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(
         s["out"], F.substring(ref(text), s["at"] + 1, F.char_length(ref(text)))))
-    joined = docs.join(spans, ref(id_col) == F.col("_id"), "left")
-    return joined.select(*[F.when(F.col("_spans").isNull(), ref(c)).otherwise(left).alias(c) if c == text else ref(c)
+    joined = docs.join(spans, ref(id_col) == F.col(key), "left")
+    return joined.select(*[F.when(F.col(gone).isNull(), ref(c)).otherwise(left).alias(c) if c == text else ref(c)
                            for c in docs.columns])

@@ -25,8 +25,12 @@ def folds(doc_id: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))
 
 
-def long_list(values: pa.Array) -> list:
-    return values.to_pylist()
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

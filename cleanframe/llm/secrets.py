@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref
+from cleanframe.llm.common import unused
 from cleanframe.plans.storage import stored
 
 # The patterns and least lengths of the kinds that are always reported.
@@ -146,11 +147,12 @@ def mask(docs: DataFrame, owner: str = "source", repository: str = "lang", id_co
     here = docs.select(ref(id_col).alias("_id"), ref(text).alias("_text"), ref(owner).alias("_owner"),
                        ref(repository).alias("_repository"), F.xxhash64(ref(text)).alias("_hash"))
     keyed = here.select(F.struct("_id", "_hash").alias("_key"), "_text", "_owner", "_repository")
+    key, digest, spans = (unused(docs, name) for name in ("_key", "_digest", "_spans"))
     found = (find_secrets(keyed, "_owner", "_repository", "_key", "_text").where(F.size("spans") > 0)
              .groupBy("doc_id").agg(F.max(F.transform("spans", lambda x: F.struct(
-                 x["start"].alias("start"), x["end"].alias("end")))).alias("_spans")))
-    named = found.select(F.col("doc_id._id").alias("_id"), F.col("doc_id._hash").alias("_hash"), "_spans")
-    joined = docs.join(named, ref(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(ref(text)) == F.col("_hash")), "left")
+                 x["start"].alias("start"), x["end"].alias("end")))).alias(spans)))
+    named = found.select(F.col("doc_id._id").alias(key), F.col("doc_id._hash").alias(digest), spans)
+    joined = docs.join(named, ref(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(ref(text)) == F.col(digest)), "left")
 
     def step(state: Column, span: Column) -> Column:
         fresh = span["start"] >= state["at"]
@@ -158,10 +160,10 @@ def mask(docs: DataFrame, owner: str = "source", repository: str = "lang", id_co
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"),
                         F.when(fresh, F.concat(state["out"], gap, F.lit(MASK))).otherwise(state["out"]).alias("out"))
 
-    rest = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(
+    rest = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(
         s["out"], F.substring(ref(text), s["at"] + 1, F.char_length(ref(text)))))
-    masked = F.when(F.col("_spans").isNull(), ref(text)).otherwise(rest)
-    columns = [masked.alias(text) if c == text
-               else F.when(F.col("_spans").isNull(), ref(c)).otherwise(F.char_length(masked)).cast(docs.schema[c].dataType).alias(c)
-               if c == length else ref(c) for c in docs.columns]
-    return joined.select(*columns)
+    new = unused(docs, "_masked")
+    masked = joined.withColumn(new, F.when(F.col(spans).isNull(), ref(text)).otherwise(rest))
+    return masked.select(*[
+        ref(new).alias(c) if c == text else F.when(F.col(spans).isNull(), ref(c)).otherwise(F.char_length(new))
+        .cast(docs.schema[c].dataType).alias(c) if c == length else ref(c) for c in docs.columns])
