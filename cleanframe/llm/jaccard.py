@@ -2,11 +2,16 @@
 
 A document is the set of its distinct k-word shingles. Two documents link when den * |A and B| >= num * |A or B|.
 
-Equal sets are one node. For unequal ones, the sets of a link differ in at most d = (|A| + |B|) (den - num) / (den + num)
+Equal sets are one node, described once. For unequal ones, the sets of a link differ in at most d = (|A| + |B|) (den - num) / (den + num)
 shingles. Shingles are hashed into more than d groups, so some group holds the same shingles in both: documents meet in a
 bucket for each (size level, group, group's shingles), and no link can miss all of its buckets. In a bucket
 
-1. every document is held against the bucket's smallest and largest node, which joins groups of near copies in linear work;
+Buckets with the same members count once. Then
+
+1. the two nodes of a bucket of two are a candidate pair; in a larger bucket every node is held against the bucket's smallest
+   and largest node, and it keeps the one of these that it meets in most buckets. Where a bucket then holds several
+   components, each node outside the largest one is held against one node of it, chosen anew in every round, until a round
+   links nothing or `ROUNDS` are over. This joins groups of near copies in linear work a round;
 2. where a bucket still holds several components, its documents become points: their shingles are hashed into `DIMENSIONS`
    groups, and the group counts are the coordinates. Points are packed into the nodes of an R-tree. The overlap of two sets is at
    most the sum of the smaller coordinates; two tree nodes whose upper corners sum to less than a link of their sizes needs, or
@@ -25,19 +30,22 @@ from math import ceil, exp, floor, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref
 from cleanframe.llm.common import map_texts, mix
 from cleanframe.operators.dedup.components import connected_components
-from cleanframe.plans.storage import stored
+from cleanframe.plans.storage import new_folder, stored
 
-DIMENSIONS = 32
+DIMENSIONS = 256
+MOST = 0xFFFF
 LEAF = 32
 BLOCK = 2_000
 LEVEL_RATIO = 1.6
+ROUNDS = 8
 MAP_BITS = 1 << 26
+BROADCAST_NODES = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,7 +127,9 @@ def _node(found: np.ndarray) -> int:
 
 
 def _counts(found: np.ndarray) -> bytes:
-    return np.bincount((found >> np.uint64(8)) % np.uint64(DIMENSIONS), minlength=DIMENSIONS).astype("<i4").tobytes()
+    """The group counts. A set with a count too large for 16 bits gets the largest everywhere, which no bound excludes."""
+    counts = np.bincount((found >> np.uint64(8)) % np.uint64(DIMENSIONS), minlength=DIMENSIONS)
+    return (counts if counts.max() < MOST else np.full(DIMENSIONS, MOST)).astype("<u2").tobytes()
 
 
 def bucket_keys(found: np.ndarray, rule: Rule) -> np.ndarray:
@@ -141,90 +151,80 @@ def bucket_keys(found: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def _described(docs: DataFrame, rule: Rule, id_col: str, text: str) -> DataFrame:
-    """(doc_id, n, node, counts): node is NULL for an empty set."""
+    """(doc_id, n, node, counts, keys). node is NULL for an empty set; counts and keys are given once per node and task."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def step(batch: pa.RecordBatch) -> dict:
-        sets = shingle_sets(batch.column("_text").to_pylist(), rule.words)
-        return {"doc_id": batch.column("_id"), "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets],
-                "counts": [_counts(s) if len(s) else None for s in sets]}
-
-    named = docs.select(ref(id_col).alias("_id"), ref(text).alias("_text"))
-    return map_texts(named, "_text", f"doc_id {kind}, n long, node long, counts binary", lambda: step)
-
-
-def _signatures(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
-    """(key, node), a node at most once per task: copies within a task are not sent on."""
-
     def work():
         seen: set[int] = set()
 
         def step(batch: pa.RecordBatch) -> dict:
-            keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for found in shingle_sets(batch.column("_text").to_pylist(), rule.words):
-                if len(found) and (node := _node(found)) not in seen:
-                    seen.add(node)
-                    keys.append(bucket_keys(found, rule))
-                    nodes.append(np.full(len(keys[-1]), node, np.int64))
-            return {"key": np.concatenate(keys), "node": np.concatenate(nodes)}
+            sets = shingle_sets(batch.column("_text").to_pylist(), rule.words)
+            nodes = [_node(s) if len(s) else None for s in sets]
+            fresh = [not (v is None or v in seen or seen.add(v)) for v in nodes]
+            return {"doc_id": batch.column("_id"), "n": [len(s) for s in sets], "node": nodes,
+                    "counts": [_counts(s) if f else None for s, f in zip(sets, fresh)],
+                    "keys": [bucket_keys(s, rule) if f else None for s, f in zip(sets, fresh)]}
 
         return step
 
-    return map_texts(docs.select(ref(text).alias("_text")), "_text", "key long, node long", work)
+    named = docs.select(ref(id_col).alias("_id"), ref(text).alias("_text"))
+    return map_texts(named, "_text", f"doc_id {kind}, n long, node long, counts binary, keys array<long>", work)
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, rule: Rule, text: str) -> DataFrame:
-    """(node, shingles) of the nodes listed. A bitmap of at most `MAP_BITS` bits, which every listed node passes, keeps most
-    other documents from being shuffled; the join decides."""
-    bits = min(MAP_BITS, 1 << max(10, (32 * nodes.count()).bit_length()))
-    place = F.pmod(F.col("node"), F.lit(bits))
-    cells = (nodes.groupBy(F.shiftright(place, 5).alias("cell"))
+def _sets_of(docs: DataFrame, holders: DataFrame, rule: Rule, id_col: str, text: str) -> DataFrame:
+    """(node, shingles) of the documents whose ids are in `holders` (doc_id). A bitmap of at most `MAP_BITS` bits, which every
+    holder passes, keeps most other documents out; some may be listed that are no holders, and nodes more than once."""
+    bits = min(MAP_BITS, 1 << max(10, (32 * holders.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    cells = (holders.groupBy(F.shiftright(place, 5).alias("cell"))
              .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(31).cast("int"))).alias("set")).toPandas())
     bitmap = np.zeros(bits >> 5, np.uint32)
     bitmap[cells["cell"].to_numpy(np.int64)] = cells["set"].to_numpy(np.int64).astype(np.uint32)
 
     def work():
-        seen: set[int] = set()
-
         def step(batch: pa.RecordBatch) -> dict:
-            nodes, sets = [], []
-            for found in shingle_sets(batch.column("_text").to_pylist(), rule.words):
-                if not len(found) or (node := _node(found)) in seen:
-                    continue
-                at = node % bits
-                if bitmap[at >> 5] >> np.uint32(at & 31) & 1:
-                    seen.add(node)
-                    nodes.append(node)
-                    sets.append(found.tobytes())
-            return {"node": nodes, "shingles": sets}
+            at = batch.column("_place").to_numpy()
+            held = (bitmap[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+            sets = shingle_sets(batch.column("_text").filter(pa.array(held)).to_pylist(), rule.words)
+            sets = [s for s in sets if len(s)]
+            return {"node": [_node(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
 
         return step
 
-    found = map_texts(docs.select(ref(text).alias("_text")), "_text", "node long, shingles binary", work)
-    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    named = docs.select(F.pmod(F.xxhash64(ref(id_col)), F.lit(bits)).alias("_place"), ref(text).alias("_text"))
+    return map_texts(named, "_text", "node long, shingles binary", work)
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose sizes and summed smaller coordinates allow a link."""
+    pairs = stored(pairs)
+    points = _of_pairs(points.select("node", "n", "counts"), pairs)
     both = (pairs.join(points.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("counts").alias("ac")), "a")
             .join(points.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("counts").alias("bc")), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column("an").to_numpy() + batch.column("bn").to_numpy()
-            least = np.minimum(_points(batch.column("ac")), _points(batch.column("bc"))).sum(axis=1)
+            least = np.minimum(_points(batch.column("ac")), _points(batch.column("bc"))).sum(axis=1, dtype=np.int64)
             yield batch.select(["a", "b"]).filter(pa.array(least >= rule.needed(total)))
 
     return both.select("a", "b", "an", "bn", "ac", "bc").mapInArrow(run, "a long, b long")
 
 
+def _of_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The table's rows of nodes in the pairs, so that no others are shuffled. Up to BROADCAST_NODES ids are broadcast."""
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return table.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node", "left_semi")
+
+
 def _points(column: pa.Array) -> np.ndarray:
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), "<i4").reshape(len(values), DIMENSIONS)
+    return np.frombuffer(b"".join(values), "<u2").reshape(len(values), DIMENSIONS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs that are links."""
+    sets = _of_pairs(sets, pairs)
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("as")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("bs")), "b"))
 
@@ -237,7 +237,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 keep.append(rule.den * common >= rule.num * (len(one) + len(two) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "as", "bs").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "as", "bs").mapInArrow(run, "a long, b long").distinct()
 
 
 class Tree:
@@ -277,7 +277,7 @@ class Tree:
         found = []
         for i, j in zip(left.tolist(), right.tolist()):
             x, y = slice(i * LEAF, (i + 1) * LEAF), slice(j * LEAF, (j + 1) * LEAF)
-            least = np.minimum(self.points[x][:, None, :], other.points[y][None, :, :]).sum(axis=2)
+            least = np.minimum(self.points[x][:, None, :], other.points[y][None, :, :]).sum(axis=2, dtype=np.int64)
             total = self.sizes[x][:, None] + other.sizes[y][None, :]
             p, q = np.nonzero((least >= rule.needed(total)) & (mine[x][:, None] != theirs[y][None, :]))
             if len(p):
@@ -287,11 +287,11 @@ class Tree:
     @staticmethod
     def _may_link(a, b, left, right, rule: Rule) -> np.ndarray:
         keep = np.zeros(len(left), bool)
-        for s in range(0, len(left), 65_536):
-            i, j = left[s:s + 65_536], right[s:s + 65_536]
-            least = np.minimum(a[0][i], b[0][j]).sum(axis=1)
+        for s in range(0, len(left), 16_384):
+            i, j = left[s:s + 16_384], right[s:s + 16_384]
+            least = np.minimum(a[0][i], b[0][j]).sum(axis=1, dtype=np.int64)
             sizes = (rule.den * b[2][j] >= rule.num * a[1][i]) & (rule.den * a[2][i] >= rule.num * b[1][j])
-            keep[s:s + 65_536] = (least >= rule.needed(a[1][i] + b[1][j])) & sizes & ((a[3][i] < 0) | (a[3][i] != b[3][j]))
+            keep[s:s + 16_384] = (least >= rule.needed(a[1][i] + b[1][j])) & sizes & ((a[3][i] < 0) | (a[3][i] != b[3][j]))
         return keep
 
 
@@ -339,16 +339,13 @@ def _cross_component(table: pa.Table, rule: Rule) -> pa.Table:
     return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
 
 
-def _residual(members: DataFrame, points: DataFrame, component: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs across components in buckets of three or more nodes that hold several components.
+def _residual(placed: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs across components in the buckets that hold several.
 
     The rows of a bucket's largest component form one side, all others the other; both are cut into blocks by a hash. Only
     the smaller side is repeated, once per block of the larger."""
-    placed = (members.where("nodes > 2").join(component.select("node", "component"), "node", "left")
-              .select("key", "node", F.coalesce("component", "node").alias("component")))
     per = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    buckets = (per.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"),
-                                      F.count("*").alias("components")).where("components > 1")
+    buckets = (per.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"))
                .select("key", F.col("main.component").alias("main"), F.ceil(F.col("main.rows") / BLOCK).cast("int").alias("mains"),
                        F.ceil((F.col("all") - F.col("main.rows")) / BLOCK).cast("int").alias("others")))
     own = placed.join(buckets, "key").withColumn("is_main", F.col("component") == F.col("main"))
@@ -378,34 +375,89 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     A NULL text or one without words has no shingles and stays alone. Rows that repeat an id or a text are linked like any
     others; a row without id is linked too and gets the smallest id of its group, NULL if there is none. No rows give none.
     """
-    described = stored(_described(docs, rule, id_col, text))
-    named = described.where(F.col("node").isNotNull())
-    points = stored(named.groupBy("node").agg(F.first("n").alias("n"), F.first("counts").alias("counts"),
-                                              F.min("doc_id").alias("smallest")))
-    signatures = _signatures(docs, rule, text)
-    shared = (signatures.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high"))
-    met = stored(signatures.join(shared, "key").select("key", "node", "low", "high").distinct())
-    members = met.join(met.groupBy("key").agg(F.count("*").alias("nodes")), "key")
-
-    ends = met.select("node", F.explode(F.array("low", "high")).alias("end")).where("node != end")
-    star = ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-    near = stored(_bounded(star, points, rule))
-    links = _links(docs, near, rule, text)
-    first = connected_components(links, "a", "b")
-    further = stored(_residual(members, points.select("node", "n", "counts"), first, rule).join(near, ["a", "b"], "left_anti"))
-    component = connected_components(links.unionByName(_links(docs, further, rule, text)), "a", "b")
+    described, folder = _written(_described(docs, rule, id_col, text))
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "counts", "keys")]
+    points = stored(described.where(F.col("node").isNotNull()).groupBy("node").agg(*first, F.min("doc_id").alias("smallest")))
+    named = stored(described.select("doc_id", "n", "node"))
+    _remove(docs.sparkSession, folder)
+    met = stored(_buckets(points.select("node", F.explode("keys").alias("key"))))
+    sets = stored(_sets_of(docs, points.join(met.select("node").distinct(), "node", "left_semi").select(F.col("smallest").alias("doc_id")),
+                           rule, id_col, text))
+
+    ends = met.where("nodes > 2").select("node", F.explode(F.array("low", "high")).alias("end")).where("node != end")
+    star = _most_often(ends).unionByName(met.where("nodes = 2 AND node = low").select("node", F.col("high").alias("end")))
+    members = met.where("nodes > 2").select("key", "node")
+    tried = stored(_bounded(_pairs(star), points, rule))
+    links = stored(_verified(tried, sets, rule))
+    component = connected_components(links, "a", "b")
+    for turn in range(ROUNDS):
+        members = stored(_divided(members, component))
+        pivots = stored(_bounded(_pairs(_most_often(_pivots(members, turn))).join(tried, ["a", "b"], "left_anti"), points, rule))
+        fresh = stored(_verified(pivots, sets, rule))
+        tried = tried.unionByName(pivots)
+        if fresh.isEmpty():
+            break
+        links = links.unionByName(fresh)
+        component = connected_components(links, "a", "b")
+    further = stored(_residual(_divided(members, component), points.select("node", "n", "counts"), rule).join(tried, ["a", "b"], "left_anti"))
+    if not further.isEmpty():
+        component = connected_components(links.unionByName(stored(_verified(further, sets, rule))), "a", "b")
 
     placed = points.join(component, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("smallest").alias("component_id"))
     known = placed.join(smallest, "component").select("node", "component_id")
-    return (described.join(known, "node", "left")
+    return (named.join(known, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, rule: Rule, text: str) -> DataFrame:
-    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    return stored(_verified(pairs, _sets_of(docs, nodes, rule, text), rule))
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table as written to the shared folder, and where, so that it can go before the result does."""
+    folder = new_folder(df.sparkSession, "sets")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _pairs(ends: DataFrame) -> DataFrame:
+    return ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+
+
+def _most_often(ends: DataFrame) -> DataFrame:
+    """(node, end): for each node the end that it is listed with most often."""
+    times = ends.groupBy("node", "end").agg(F.count("*").alias("times"))
+    return times.groupBy("node").agg(F.max(F.struct("times", "end")).alias("best")).select("node", F.col("best.end").alias("end"))
+
+
+def _divided(members: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, node, component) in the buckets that hold several components; others need no further look."""
+    placed = (members.select("key", "node").join(component.select("node", "component"), "node", "left")
+              .select("key", "node", F.coalesce("component", "node").alias("component")))
+    several = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+               .where("low != high").select("key"))
+    return placed.join(several, "key", "left_semi")
+
+
+def _pivots(placed: DataFrame, turn: int) -> DataFrame:
+    """(node, end): in each bucket, every node outside the largest component with one node of the largest."""
+    per = placed.groupBy("key", "component").agg(
+        F.count("*").alias("rows"), F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node")).alias("pivot"))
+    main = (per.groupBy("key").agg(F.max(F.struct("rows", "component", "pivot")).alias("main"))
+            .select("key", F.col("main.component").alias("main"), F.col("main.pivot.node").alias("end")))
+    return placed.join(main, "key").where("component != main").select("node", "end")
+
+
+def _buckets(signatures: DataFrame) -> DataFrame:
+    """(key, node, low, high, nodes) of the buckets of several nodes; of buckets with the same members one. Their smallest
+    and largest node, their number and the members' hashes together tell whether they are the same."""
+    held = (signatures.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("nodes"),
+                                          F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark")).where("nodes > 1"))
+    one = held.groupBy("low", "high", "nodes", "mark").agg(F.min("key").alias("key"))
+    return signatures.join(one.select("key", "low", "high", "nodes"), "key")
 
 
 def one_of_each_group(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
