@@ -265,7 +265,7 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text: str = "text"
     for one in counts:
         rank = F.xxhash64("_id", F.lit(3))
         own = known.where(F.col("_lang") == one["_lang"]).orderBy(rank, "_id").limit(rows)
-        names |= {r["_id"]: r["_lang"] for r in own.select("_id").collect()}
+        names |= {r["_id"]: one["_lang"] for r in own.select("_id").collect()}
     if not names:
         return train([], [])
     sample = (docs.where(ref(id_col).isin(list(names)) & (F.length(ref(text)) <= chars) & ref(lang).isNotNull())
