@@ -281,3 +281,12 @@ def test_resolve_keeps_smallest_unmarked(clustered):
     table, clusters = clustered
     marked = review.mark_rows(clusters, [1])
     assert [r[0] for r in rows(review.apply_marks(table, review.resolve_rest(marked)))] == [2, 4, 6, 7]
+
+
+@pytest.mark.parametrize("limit", [0, 1, 2, 4])
+def test_edit_distance_within_a_band(limit):
+    rng = random.Random(limit)
+    for _ in range(500):
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(10))) for _ in range(2))
+        whole, near = edit_distance(a, b), edit_distance(a, b, limit)
+        assert near == whole if whole <= limit else near > limit
