@@ -9,6 +9,8 @@ from cleanframe.functions.columns import TEXT, data_type, friendly_type, ref, re
 from cleanframe.operators.schema import id_first
 from cleanframe.plans.ordering import with_position
 
+FILTER_IDS = 1_000
+
 
 def assign_id(df: DataFrame, order_by: list[str], id_col: str = "id", start: int = 1) -> DataFrame:
     """Give rows a dense serial id in the order of `order_by`; the id column comes first."""
@@ -70,12 +72,17 @@ def append_rows(df: DataFrame, more: DataFrame, order_by: list[str], id_col: str
 
 
 def delete_ids(df: DataFrame, ids, id_col: str = "id") -> DataFrame:
-    """Drop rows by id, given as a list or as the first column of a DataFrame. A NULL among the ids names no row."""
+    """Drop rows by id, given as a list or as the first column of a DataFrame. A NULL among the ids names no row.
+
+    A list of up to FILTER_IDS ids is a filter that reaches the scan, a longer one an anti join; both drop the same rows."""
     require(df, id_col)
     if isinstance(ids, DataFrame):
         gone = ids.select(ref(ids.columns[0]).alias(id_col)).where(ref(id_col).isNotNull()).distinct()
         return df.join(gone, id_col, "left_anti").select(*[ref(c) for c in df.columns])
-    return delete_ids(df, id_frame(df, ids, id_col), id_col)
+    given = [i for i in ids if i is not None]
+    if len(given) <= FILTER_IDS:
+        return df.where(~ref(id_col).isin(given) | ref(id_col).isNull()) if given else df
+    return delete_ids(df, id_frame(df, given, id_col), id_col)
 
 
 def id_frame(df: DataFrame, ids: list, id_col: str) -> DataFrame:
