@@ -1,11 +1,12 @@
-"""Benchmark passages in documents, by SimHash over windows as long as the item, in DataFrame functions alone.
-
-1. Words are runs without ASCII white space, letters lowered. A window can only be similar to an item if they share a five-word
-   shingle; each shared shingle aligns the item with the document, and the aligned window of as many words is taken.
-2. Window and item get a 64-bit SimHash of their words. Fingerprints are cut into RADIUS + 1 blocks, so two within RADIUS bits
-   agree on a whole block: windows and items of one length meet on (length, block, its bits), and the distance decides.
-3. Candidates are verified on their distinct five-word shingles, each weighted by its number of characters: the weight of common
-   shingles must be at least THRESHOLD of the weight of all.
+"""Benchmark passages in documents, over all windows as long as the item, in DataFrame functions alone.
+
+1. Words are runs without ASCII white space, letters lowered. Texts are compared by their distinct five-word shingles, each weighted
+   by its number of characters: the weight of common shingles must be at least THRESHOLD of the weight of all.
+2. Shingles that a document shares with an item are joined by their hash. Documents are cut into stretches as long as the item; a
+   window that begins in one ends in the next at the latest, so the hits in both hold all that it has in common with the item.
+3. Stretches whose hits weigh less than THRESHOLD of the item hold no similar window. In the others the hits of every window are
+   weighed; those that have enough are compared in full, and the most similar one counts.
+4. Nothing else drops a window. The 64-bit SimHash of the words only tells how far the best window is from the item.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from cleanframe.plans.storage import stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 12
 BROADCAST_ROWS = 2_000_000
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -59,62 +59,105 @@ def simhash(words: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda all_bits, b: all_bits.bitwiseOR(sign(b)))
 
 
-def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """(block, its bits): radius + 1 blocks, as even as 64 bits allow."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    parts = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft(fingerprint, 64 - b), 64 - b + a).alias("bits"))
-             for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return F.array(*parts)
-
-
 def weight(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0).cast("long"), lambda s, x: s + x["weight"])
 
 
-def items_of(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
-    named = benchmark.select(ref(id_col).alias("item_id"), words_of(ref(text)).alias("item_words")).distinct()
-    named = named.withColumn("n_words", F.size("item_words")).where(F.col("n_words") >= SHINGLE)
-    return named.select("item_id", "n_words", "item_words", simhash(F.col("item_words")).alias("item_print"),
-                        weighted_shingles(F.col("item_words")).alias("item_shingles"))
+def distinct_weight(hashes: Column, weights: Column) -> Column:
+    """The weight of the distinct shingles among some with repeats."""
+    each = F.array_distinct(F.arrays_zip(hashes.alias("hash"), weights.alias("weight")))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.aggregate(weights, F.lit(0).cast("long"), lambda s, w: s + w)) \
+        .otherwise(weight(each))
 
 
-def windows_of(docs: DataFrame, items: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc_id, n_words, start, window): the windows that a shared shingle aligns with an item, each once."""
-    places = items.select("n_words", F.posexplode(shingle_hashes(F.col("item_words"))).alias("place", "hash")).distinct()
+def items_of(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(item, n_words, item_weight, item_print, item_shingles, item_ids): each text of enough words once."""
+    named = benchmark.select(ref(id_col).alias("item_id"), words_of(ref(text)).alias("words")).where(F.size("words") >= SHINGLE)
+    # A struct, as NULL ids count too.
+    texts = named.groupBy("words").agg(F.collect_set(F.struct("item_id")).alias("item_ids"))
+    shingled = texts.withColumn("item_shingles", weighted_shingles(F.col("words")))
+    return shingled.select(F.sha2(F.array_join("words", " "), 256).alias("item"), F.size("words").alias("n_words"),
+                           weight(F.col("item_shingles")).alias("item_weight"), simhash(F.col("words")).alias("item_print"),
+                           "item_shingles", "item_ids")
+
+
+def stretches_of(docs: DataFrame, items: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
+    """(doc_id, digest, item, n_words, item_weight, windows): the windows (start, common weight) whose common shingles alone could make
+    them similar, by stretches of the document. `digest` tells apart the rows of an id."""
+    places = items.select("item", "n_words", "item_weight", F.inline("item_shingles"))
     if places.count() <= BROADCAST_ROWS:
         places = F.broadcast(places)
     # posexplode_outer: for posexplode a filter on the array's size is inferred, which would hash every text twice.
-    positions = (docs.select(ref(id_col).alias("doc_id"), words_of(ref(text)).alias("words"))
-                 .select("doc_id", "words", shingle_hashes(F.col("words")).alias("hashes"))
-                 .select("doc_id", "words", F.posexplode_outer("hashes").alias("at", "hash")))
-    met = positions.join(places, "hash")
-    start = F.greatest(F.least(F.col("at") - F.col("place"), F.size("words") - F.col("n_words")), F.lit(0))
-    return (met.select("doc_id", "n_words", start.alias("start"), F.slice("words", start + 1, F.col("n_words")).alias("window"))
-            .distinct())
+    positions = (docs.select(ref(id_col).alias("doc_id"), F.xxhash64(ref(text)).alias("digest"), words_of(ref(text)).alias("words"))
+                 .select("doc_id", "digest", F.size("words").alias("doc_words"), shingle_hashes(F.col("words")).alias("hashes"))
+                 .select("doc_id", "digest", "doc_words", F.posexplode_outer("hashes").alias("at", "hash")))
+    own = F.floor(F.col("at") / F.col("n_words")).cast("int")
+    met = (positions.join(places, "hash").withColumn("stretch", F.explode(F.array(own, own - 1)))
+           .where(F.col("stretch") >= 0))
+    key = ["doc_id", "digest", "doc_words", "item", "n_words", "item_weight", "stretch"]
+    hits = met.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("at", "hash", "weight"))).alias("hits"))
+    enough = F.lit(threshold) * F.col("item_weight")
+    near = hits.where(distinct_weight(F.col("hits.hash"), F.col("hits.weight")) >= enough)
+    first = F.col("stretch") * F.col("n_words")
+    last = F.least(first + F.col("n_words") - 1, F.greatest(F.col("doc_words") - F.col("n_words"), F.lit(0)))
+
+    def window(s):
+        inside = F.filter("hits", lambda h: (h["at"] >= s) & (h["at"] <= s + F.col("n_words") - SHINGLE))
+        return F.struct(s.alias("start"), inside.alias("hits"))
+
+    found = F.transform(F.sequence(first, last), window)
+    common = F.transform(found, lambda w: F.struct(w["start"].alias("start"), distinct_weight(
+        w["hits"]["hash"], w["hits"]["weight"]).alias("common")))
+    able = near.where(first <= last).withColumn("windows", F.filter(common, lambda w: w["common"] >= enough))
+    return able.where(F.size("windows") > 0).select("doc_id", "digest", "item", "n_words", "item_weight", "windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                 item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+                 item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, start, n_words, distance, similarity): the most similar window for each document and item found in it;
     start counts words before it. Clean documents give no row.
 
-    NULL or empty texts give none. Items with fewer words than a shingle are too short to tell from chance and match nothing.
-    Rows that repeat an id are searched like others, and the best window of the id counts. Equal items are all listed.
+    Every window of as many words as the item counts, or the whole of a shorter document. NULL or empty texts give none. Items with
+    fewer words than a shingle are too short to tell from chance and match nothing. Rows that repeat an id are searched like others, and
+    the best window of the id counts. Equal items are all listed.
     """
     items = stored(items_of(benchmark, item_id, item_text))
-    windows = stored(windows_of(docs, items, id_col, text))
-    printed = windows.withColumn("print", simhash(F.col("window"))).withColumn("shingles", weighted_shingles(F.col("window")))
-    mine = printed.select("doc_id", "n_words", "start", "print", "shingles", F.inline(blocks(F.col("print"), radius)))
-    theirs = items.select("item_id", "n_words", "item_print", "item_shingles", F.inline(blocks(F.col("item_print"), radius)))
-    met = mine.join(theirs, ["n_words", "block", "bits"])
+    able = stored(stretches_of(docs, items, id_col, text, threshold))
+    if able.count() <= BROADCAST_ROWS:
+        able = F.broadcast(able)
+    named = docs.select(ref(id_col).alias("text_id"), F.xxhash64(ref(text)).alias("text_digest"), ref(text).alias("text"))
+    same = F.col("text_id").eqNullSafe(F.col("doc_id")) & (F.col("text_digest") == F.col("digest"))
+    first = F.array_min("windows.start")
+    whole = F.array_max("windows.start") - first + F.col("n_words")
+    # Written out, so that no window works out its text anew.
+    cut = stored(named.join(able, same).select("doc_id", "item", "n_words", "item_weight", "windows", first.alias("first"),
+                                               F.slice(words_of(F.col("text")), first + 1, whole).alias("words"))
+                 .distinct())
+    last = F.size("words") - SHINGLE
+    lengths = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(
+        F.slice("words", i + 1, SHINGLE), F.lit(0).cast("long"), lambda s, w: s + F.char_length(w)))
+    shingled = stored(cut.withColumn("hashes", shingle_hashes(F.col("words"))).withColumn("weights", lengths))
+
+    def parts(w):
+        at = w["start"] - F.col("first") + 1
+        return F.struct(w["start"].alias("start"), w["common"].alias("common"), F.slice("hashes", at, F.col("n_words") - SHINGLE + 1).alias("h"),
+                        F.slice("weights", at, F.col("n_words") - SHINGLE + 1).alias("w"))
+
+    sums = F.transform(F.transform("windows", parts), lambda p: F.struct(
+        p["start"].alias("start"), p["common"].alias("common"), distinct_weight(p["h"], p["w"]).alias("own")))
+    alike = F.transform(sums, lambda p: F.struct(
+        (p["common"] / (p["own"] + F.col("item_weight") - p["common"])).alias("similarity"), p["start"].alias("start")))
+    rated = stored(shingled.select("doc_id", "item", "n_words", "words", "first", alike.alias("alike")))
+    top = F.array_max("alike.similarity")
+    best = (rated.withColumn("top", top).where(F.col("top") >= threshold)
+            .select("doc_id", "item", "n_words", "words", "first", F.explode(F.filter("alike", lambda p: p["similarity"] == F.col("top"))).alias("p")))
+    window = F.slice("words", F.col("p.start") - F.col("first") + 1, F.col("n_words"))
+    printed = best.select("doc_id", "item", "n_words", "p", simhash(window).alias("print")).join(
+        items.select("item", "item_print", "item_ids"), "item")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    common = weight(F.array_intersect("shingles", "item_shingles"))
-    either = weight(F.col("shingles")) + weight(F.col("item_shingles")) - F.col("common")
-    close = (met.withColumn("distance", distance).where((F.col("distance") <= radius) & F.col("shingles").isNotNull())
-             .withColumn("common", common).withColumn("similarity", F.col("common") / either)
-             .where(F.col("similarity") >= threshold))
-    best = F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), "n_words"))
-    return (close.groupBy("doc_id", "item_id").agg(best.alias("best"))
+    closest = F.max(F.struct(F.col("p.similarity").alias("similarity"), (-distance).alias("d"), (-F.col("p.start")).alias("s"), "n_words"))
+    named_items = printed.withColumn("item_id", F.explode("item_ids.item_id"))
+    return (named_items.groupBy("doc_id", "item_id").agg(closest.alias("best"))
             .select("doc_id", "item_id", (-F.col("best.s")).alias("start"), F.col("best.n_words").alias("n_words"),
                     (-F.col("best.d")).alias("distance"), F.col("best.similarity").alias("similarity")))
 

@@ -194,6 +194,54 @@ def test_contaminated(spark, odd, empty):  # noqa: F811
     assert decontaminate.clean(odd, bench.limit(0)).count() == len(ODD_DOCS) and decontaminate.clean(empty, bench).count() == 0
 
 
+def test_no_similar_window_is_lost(spark):
+    """Against all windows: changed, dropped, inserted and moved words, passages cut off by either end, repeats."""
+    rng = random.Random(21)
+
+    def word():
+        return "".join(rng.choices("abcdefgh", k=rng.randint(1, 9)))
+
+    items = [[word() for _ in range(n)] for n in [5, 6, 9, 13, 14, 22, 31, 40, 58, 58, 76, 120, 200]]
+    items += [["la", "le", "li", "lo", "lu", "ly"] * 6, items[6][:30] + ["other"]]
+    docs = []
+    for i in range(1200):
+        passage = list(items[i % len(items)])
+        kind = i % 7
+        edits = 0 if kind == 1 else rng.randint(0, max(1, len(passage) // 12))
+        for _ in range(edits):
+            at = rng.randrange(len(passage))
+            passage[at:at + rng.choice([0, 1, 1, 1, 2])] = [word() for _ in range(rng.choice([0, 1, 1, 1, 2]))]
+        if kind == 1:
+            passage[len(passage) - len(passage) // 9:] = [word() for _ in range(len(passage) // 9)]
+        if kind == 2:
+            passage = passage[len(passage) // 2:] + passage[:len(passage) // 2]
+        before, after = ([word() for _ in range(rng.choice([0, 3, 30, 90]))] for _ in range(2))
+        if kind in (3, 4):
+            k = max(1, len(passage) // rng.randint(6, 12))
+            passage, after, before = (passage[:-k], [], before) if kind == 3 else (passage[k:], after, [])
+        if kind == 5:
+            passage, before, after = passage[:-max(1, len(passage) // 10)], [], []
+        docs.append((i, before + passage + after + (passage if kind == 6 else [])))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(map(" ".join, items)), (99, " ".join(items[3]))], "item_id long, text string")
+    want = {}
+    for i, words in docs:
+        shingles = set(weighted(words))
+        for k, item in [*enumerate(items), (99, items[3])]:
+            if shingles & set(weighted(item)):
+                n = len(item)
+                best = max(similarity(words[s:s + n], item) for s in range(max(1, len(words) - n + 1)))
+                if best >= 0.8:
+                    want[i, k] = best
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == set(want) and len(want) > 200
+    assert sum(r["distance"] > 12 for r in got.values()) > 3
+    for (i, k), r in got.items():
+        item = items[3 if k == 99 else k]
+        assert abs(r["similarity"] - want[i, k]) < 1e-9 and r["n_words"] == len(item)
+        assert abs(similarity(docs[i][1][r["start"]:r["start"] + len(item)], item) - want[i, k]) < 1e-9
+
+
 def test_decontamination_query(spark, data):
     docs = {r["doc_id"]: r["text"].lower().split() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     items = {r["item_id"]: r["text"].lower().split() for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
