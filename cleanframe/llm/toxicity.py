@@ -55,18 +55,21 @@ class Model:
 
 
 class Sentences:
-    """Distinct tokens of some texts, and the tokens of each sentence."""
+    """Distinct tokens of some texts, and the tokens of each sentence in pieces of at most SENTENCE_WORDS. Pieces only choose what to
+    learn from; letters are joined over whole sentences."""
 
     def __init__(self, texts: list[str | None]):
         index: dict[str, int] = {}
         places: list[int] = []
         lengths: list[int] = []
+        whole: list[int] = []
         counts = []
         for text in texts:
             before = len(lengths)
             for sentence in SENTENCE.split(text.lower()) if text else ():
                 tokens = sentence.split()
                 places.extend([index.setdefault(t, len(index)) for t in tokens])
+                whole.append(len(tokens))
                 for a in range(0, len(tokens), SENTENCE_WORDS):
                     lengths.append(min(SENTENCE_WORDS, len(tokens) - a))
             counts.append(len(lengths) - before)
@@ -74,17 +77,19 @@ class Sentences:
         self.places = np.array(places, np.int64)
         self.lengths = np.array(lengths, np.int64)
         self.counts = np.array(counts, np.int64)
-        self._join_spelled()
+        self._join_spelled(np.array(whole, np.int64))
 
-    def _join_spelled(self):
-        """Letters that stand alone, three or more in a row within a sentence, also count as the word they spell."""
+    def _join_spelled(self, whole: np.ndarray):
+        """Letters that stand alone, three or more in a row within a sentence, also count as the word they spell. It belongs to the
+        piece that holds the first of them. `whole` has the tokens of each sentence."""
         single = np.array([len(w) == 1 for w in self.words], bool)
         at = np.flatnonzero(single[self.places]) if len(self.places) else self.places
         self.spelled: list[tuple[int, int]] = []
         if len(at) < 3:
             return
         owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(owner[at]) > 0)) + 1
+        sentence = np.repeat(np.arange(len(whole)), whole)
+        cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(sentence[at]) > 0)) + 1
         for run in np.split(at, cut):
             if len(run) > 2:
                 self.words.append("".join(self.words[i] for i in self.places[run]))

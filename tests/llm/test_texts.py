@@ -382,6 +382,19 @@ def test_toxicity(spark, odd, empty):
     assert {r["score"] for r in toxicity.classify(odd, nothing).collect()} == {0.0}
 
 
+def test_spelled_words_at_every_place_of_a_sentence():
+    for at in range(61):
+        words = ["lemon"] * 60
+        words[at:at] = "s t u p i d".split()
+        parts = toxicity.Sentences(["a b. " + " ".join(words) + ". c d", "e"])
+        assert [parts.words[i] for _, i in parts.spelled] == ["stupid"]
+        value = np.array([float(w == "stupid") for w in parts.words])
+        assert parts.highest(value).tolist() == [1.0, 0.0]
+        high, word = parts.worst(value)
+        assert high.sum() == 1 and parts.words[word[high.argmax()]] == "stupid"
+    assert not toxicity.Sentences(["lemon s t. u p", "i d lemon"]).spelled
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     got = QUERIES["op8_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
