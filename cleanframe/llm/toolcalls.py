@@ -6,7 +6,9 @@ call whose arguments hold the text "$x" needs the result of the call x of its co
 Calls and results are joined by (conversation, id). Calls are ordered by levels: a call without needs has level 0, any other one
 more than the highest of those it needs, so (level, turn, place) is a topological order; rounds of joins take away what the last
 level satisfies, as many as the longest chain of needs. Calls that remain need each other. Arguments are parsed as variants,
-whose objects have sorted keys: types are checked against the tool's schema, and the canonical JSON is written from them.
+whose objects have sorted keys: the canonical JSON is written from them, and they are checked against the tool's schema from the
+outside in. Each step checks the values of one depth and pairs what they hold with its schema, so there are as many steps as the
+deepest schema has levels. Keywords of a schema that are not checked here are reported, not passed over.
 """
 
 from __future__ import annotations
@@ -19,10 +21,19 @@ from cleanframe.plans.storage import cut_lineage, stored
 
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
-SCHEMA = "struct<properties:map<string,struct<type:string>>,required:array<string>,additionalProperties:boolean>"
 #: JSON types of a variant's types, by how these begin.
 JSON_TYPES = [("BIGINT", "integer"), ("DECIMAL", "number"), ("DOUBLE", "number"), ("FLOAT", "number"), ("STRING", "string"),
               ("BOOLEAN", "boolean"), ("ARRAY", "array"), ("OBJECT", "object"), ("VOID", "null")]
+#: The keywords that are checked, with the JSON types that their values may have.
+KEYWORDS = {"type": ["string", "array"], "required": ["array"], "properties": ["object"], "additionalProperties": ["boolean", "object"],
+            "items": ["boolean", "object"], "enum": ["array"]} | dict.fromkeys(
+    ["minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"], ["integer", "number"]) | dict.fromkeys(
+    ["minLength", "maxLength", "minItems", "maxItems"], ["integer"])
+#: Keywords that no value can break; const may have any value.
+FREE = ["const", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment",
+        "$defs", "definitions"]
+#: A string of a JSON text, with the colon after it if it is a key.
+JSON_STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?+'
 
 
 def read_calls(messages: DataFrame) -> DataFrame:
@@ -69,28 +80,133 @@ def json_type(variant: Column) -> Column:
     return out
 
 
-def argument_errors(arguments: Column, schema: Column, known: Column) -> Column:
-    """Sorted errors of the arguments (text) against a tool's schema (text); `known` says whether the tool has one."""
-    given = F.from_json(arguments, "map<string,variant>")
-    types = F.transform_values(given, lambda _, v: json_type(v))
-    parsed = F.from_json(schema, SCHEMA)
-    properties = F.coalesce(parsed["properties"], F.create_map().cast("map<string,struct<type:string>>"))
-    required = F.coalesce(parsed["required"], F.array().cast("array<string>"))
-
-    def wrong(entry: Column) -> Column:
-        wanted = F.try_element_at(properties, entry["key"])["type"]
-        return wanted.isNotNull() & (wanted != entry["value"]) & ~((wanted == "number") & (entry["value"] == "integer"))
-
-    entries = F.map_entries(types)
-    missing = F.transform(F.filter(required, lambda k: ~F.map_contains_key(given, k)), lambda k: F.concat(F.lit("missing:"), k))
-    typed = F.transform(F.filter(entries, wrong), lambda e: F.concat(F.lit("type:"), e["key"]))
-    extra = F.transform(F.filter(F.map_keys(given), lambda k: ~F.map_contains_key(properties, k)),
-                        lambda k: F.concat(F.lit("unknown:"), k))
-    closed = F.coalesce(parsed["additionalProperties"], F.lit(True)) == F.lit(False)
-    none = F.array().cast("array<string>")
-    checked = F.concat(missing, typed, F.when(closed, extra).otherwise(none))
-    return (F.when(~known, F.array(F.lit("no schema"))).when(parsed.isNull(), F.array(F.lit("bad schema")))
-            .when(given.isNull(), F.array(F.lit("no object"))).otherwise(F.array_sort(checked)))
+def fields(variant: Column) -> Column:
+    """An object's fields, NULL for anything else."""
+    return F.when(json_type(variant) == "object", F.try_variant_get(variant, "$", "map<string,variant>"))
+
+
+def elements(variant: Column) -> Column:
+    """An array's elements, NULL for anything else."""
+    return F.when(json_type(variant) == "array", F.try_variant_get(variant, "$", "array<variant>"))
+
+
+def rule(node: Column, keyword: str) -> Column:
+    return F.try_element_at(node["rules"], F.lit(keyword))
+
+
+def same_value(a: Column, b: Column) -> Column:
+    numbers = json_type(a).isin("integer", "number") & json_type(b).isin("integer", "number")
+    return (F.to_json(a) == F.to_json(b)) | (numbers & ~(json_type(a).eqNullSafe("integer") & json_type(b).eqNullSafe("integer"))
+                                             & (F.try_variant_get(a, "$", "double") == F.try_variant_get(b, "$", "double")))
+
+
+def opened(nodes: Column) -> Column:
+    """Values (path, value, schema), with what they and their schemas hold."""
+    return F.transform(nodes, lambda n: F.struct(
+        n["path"].alias("path"), n["value"].alias("value"), json_type(n["value"]).alias("type"), fields(n["value"]).alias("fields"),
+        elements(n["value"]).alias("elements"), F.to_json(n["schema"]).alias("schema"), fields(n["schema"]).alias("rules")))
+
+
+def below(path: Column, key: Column) -> Column:
+    return F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
+
+
+def node_errors(node: Column) -> Column:
+    """What is wrong with one value, without what it holds."""
+    kind, value, path = node["type"], node["value"], node["path"]
+    no = F.array().cast("array<string>")
+
+    def found(wrong: Column, label: str) -> Column:
+        return F.when(wrong, F.array(F.concat(F.lit(f"{label}:"), path))).otherwise(no)
+
+    wanted = F.when(json_type(rule(node, "type")) == "array", F.try_variant_get(rule(node, "type"), "$", "array<string>")).otherwise(
+        F.array(F.try_variant_get(rule(node, "type"), "$", "string")))
+    double = F.try_variant_get(value, "$", "double")
+    whole = (kind == "number") & (double == F.floor(double))
+    fits = (F.exists(wanted, lambda t: t.eqNullSafe(kind)) | ((kind == "integer") & F.exists(wanted, lambda t: t.eqNullSafe("number")))
+            | (F.coalesce(whole, F.lit(False)) & F.exists(wanted, lambda t: t.eqNullSafe("integer"))))
+    allowed = F.create_map(*[x for k, types in KEYWORDS.items() for x in (F.lit(k), F.array(*map(F.lit, types)))])
+    strange = F.filter(F.map_entries(node["rules"]), lambda e: ~e["key"].isin(FREE) & ~F.coalesce(F.array_contains(
+        F.try_element_at(allowed, e["key"]), json_type(e["value"])), F.lit(False)))
+
+    def bound(keyword: str, breaks) -> Column:
+        limit, number = rule(node, keyword), kind.isin("integer", "number") & json_type(rule(node, keyword)).isin("integer", "number")
+        exact = (kind == "integer") & (json_type(limit) == "integer")
+        long = [F.try_variant_get(x, "$", "long") for x in (value, limit)]
+        return found(number & F.when(exact, breaks(*long)).otherwise(breaks(double, F.try_variant_get(limit, "$", "double"))), keyword)
+
+    def length(keyword: str, size: Column, breaks) -> Column:
+        return found(breaks(size, F.try_variant_get(rule(node, keyword), "$", "long")), keyword)
+
+    chars = F.when(kind == "string", F.char_length(F.try_variant_get(value, "$", "string")))
+    count = F.when(node["elements"].isNotNull(), F.size(node["elements"]))
+    required = F.coalesce(F.try_variant_get(F.when(json_type(rule(node, "required")) == "array", rule(node, "required")),
+                                            "$", "array<string>"), no)
+    missing = F.transform(F.filter(required, lambda k: ~F.map_contains_key(node["fields"], k)),
+                          lambda k: F.concat(F.lit("missing:"), below(path, k)))
+    less, more = (lambda a, b: a < b), (lambda a, b: a > b)
+    checked = F.concat(
+        found(rule(node, "type").isNotNull() & ~fits, "type"),
+        found(~F.exists(elements(rule(node, "enum")), lambda e: same_value(e, value)), "enum"),
+        found(~same_value(rule(node, "const"), value), "const"),
+        bound("minimum", less), bound("maximum", more), bound("exclusiveMinimum", lambda a, b: a <= b),
+        bound("exclusiveMaximum", lambda a, b: a >= b), length("minLength", chars, less), length("maxLength", chars, more),
+        length("minItems", count, less), length("maxItems", count, more), F.coalesce(missing, no),
+        F.transform(strange, lambda e: F.concat(F.lit("unsupported:"), e["key"])))
+    return F.when(node["rules"].isNotNull(), checked).otherwise(
+        F.when(node["schema"] == "true", no).when(node["schema"] == "false", F.array(F.concat(F.lit("unknown:"), path)))
+        .otherwise(F.array(F.lit("bad schema"))))
+
+
+def held_by(node: Column) -> Column:
+    """The values (path, value, schema) that an object or array holds, if there is a schema for them."""
+    none = F.array().cast("array<struct<path:string,value:variant,schema:variant>>")
+    properties = fields(rule(node, "properties"))
+    of_fields = F.transform(F.map_entries(node["fields"]), lambda e: F.struct(
+        below(node["path"], e["key"]).alias("path"), e["value"].alias("value"),
+        F.coalesce(F.try_element_at(properties, e["key"]), rule(node, "additionalProperties")).alias("schema")))
+    of_elements = F.transform(node["elements"], lambda v, i: F.struct(
+        F.concat(node["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"), v.alias("value"), rule(node, "items").alias("schema")))
+    return F.filter(F.coalesce(of_fields, of_elements, none), lambda n: n["schema"].isNotNull())
+
+
+def schema_depth(tools: DataFrame) -> int:
+    """How many levels the deepest schema has."""
+    level, depth = tools.select(F.try_parse_json("schema").alias("s")).where("s IS NOT NULL"), 0
+    while not level.isEmpty():
+        depth += 1
+        rules = fields(F.col("s"))
+        inner = F.filter(F.concat(F.coalesce(F.map_values(fields(F.try_element_at(rules, F.lit("properties")))), F.array().cast("array<variant>")),
+                                  F.array(F.try_element_at(rules, F.lit("items")), F.try_element_at(rules, F.lit("additionalProperties")))),
+                         lambda x: x.isNotNull())
+        level = level.select(F.explode(inner).alias("s"))
+    return depth
+
+
+def with_errors(calls: DataFrame, depth: int) -> DataFrame:
+    """`calls` with the column checked: sorted errors of `arguments` (text) against `schema` (text) of `depth` levels at most; `known` says
+    whether the tool has one."""
+    value, schema = F.try_parse_json("arguments"), F.try_parse_json("schema")
+    root = F.struct(F.lit("").alias("path"), value.alias("value"), schema.alias("schema"))
+    out = (calls.withColumn("_root", root).withColumn("_nodes", F.array("_root"))
+           .withColumn("_errors", F.array().cast("array<string>")))
+    for _ in range(depth):
+        out = (out.withColumn("_nodes", opened(F.col("_nodes")))
+               .withColumn("_errors", F.concat("_errors", F.flatten(F.transform("_nodes", node_errors))))
+               .withColumn("_nodes", F.flatten(F.transform("_nodes", held_by))))
+    errors = (F.when(~F.coalesce("known", F.lit(False)), F.array(F.lit("no schema")))
+              .when(json_type(F.col("_root.schema")).eqNullSafe("object") == F.lit(False), F.array(F.lit("bad schema")))
+              .when(json_type(F.col("_root.value")).eqNullSafe("object") == F.lit(False), F.array(F.lit("no object")))
+              .otherwise(F.array_sort(F.array_distinct("_errors"))))
+    return out.withColumn("checked", errors).drop("_root", "_nodes", "_errors")
+
+
+def references(arguments: Column) -> Column:
+    """x of all string values "$x" of the arguments (text), at any depth."""
+    tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(arguments)), F.lit(JSON_STRING), F.lit(0))
+    quoted = F.filter(tokens, lambda t: t.startswith('"$') & ~t.endswith(":"))
+    return F.array_distinct(F.transform(quoted, lambda t: F.substring(
+        F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0], 2, 1 << 30)))
 
 
 def link_tool_calls(messages: DataFrame, schemas: DataFrame, conversation: str = "conv_id", turn: str = "turn",
@@ -100,8 +216,9 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame, conversation: str =
 
     `schemas` has (name, schema), the schema as JSON text; of several for a name the smallest counts. status is `linked`, `no
     result`, `early result` (not after the call), `repeated` (a call of the conversation with that id comes before it), `circle`
-    or `orphan` (a result without call). errors lists what is wrong with the arguments and `unresolved:x` for needs without call,
-    joined by commas. canonical is JSON with sorted keys, without blanks and without what is NULL.
+    or `orphan` (a result without call). errors lists what is wrong with the arguments, as keyword:path (`missing` and
+    `unknown` for required and refused fields), `unsupported:keyword` for keywords of their schemas that are not checked, and
+    `unresolved:x` for needs without call, joined by commas. canonical is JSON with sorted keys, without blanks and without what is NULL.
     Messages that repeat in whole count once. Text that is not such JSON, NULL texts and NULL roles hold no calls. Calls
     without id are listed, never linked. NULL conversations are one conversation whose calls are never linked.
     """
@@ -113,24 +230,21 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame, conversation: str =
     firsts = calls.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("calls"))
     marked = calls.join(firsts, key, "left").withColumn(
         "repeated", F.coalesce((F.col("calls") > 1) & ~place.eqNullSafe(F.col("first")), F.lit(False)))
-    texts = F.map_values(F.from_json("arguments", "map<string,string>"))
-    wanted = F.transform(F.filter(texts, lambda v: v.startswith("$")), lambda v: F.substring(v, 2, 1 << 30))
-    needs = calls.select(*key, F.explode(F.array_distinct(wanted)).alias("need"))
+    needs = calls.select(*key, F.explode(references(F.col("arguments"))).alias("need"))
     there = firsts.select("conv_id", F.col("call_id").alias("need"))
     ordered = levels(firsts.select(*key).where("conv_id IS NOT NULL AND call_id IS NOT NULL"), stored(needs.join(there, ["conv_id", "need"])))
     unresolved = (needs.join(there, ["conv_id", "need"], "left_anti").groupBy(*key)
                   .agg(F.array_sort(F.collect_set(F.concat(F.lit("unresolved:"), "need"))).alias("unresolved")))
-    tools = schemas.groupBy("name").agg(F.min("schema").alias("schema")).withColumn("known", F.lit(True))
-    errors = F.concat(argument_errors(F.col("arguments"), F.col("schema"), F.coalesce("known", F.lit(False))),
-                      F.coalesce("unresolved", F.array().cast("array<string>")))
+    tools = stored(schemas.groupBy("name").agg(F.min("schema").alias("schema")).withColumn("known", F.lit(True)))
+    errors = F.concat("checked", F.coalesce("unresolved", F.array().cast("array<string>")))
     status = (F.when(F.col("repeated"), "repeated").when(F.col("level").isNull() & F.col("call_id").isNotNull()
                                                          & F.col("conv_id").isNotNull(), "circle")
               .when(F.col("result_turn").isNull(), "no result").when(F.col("result_turn") <= F.col("turn"), "early result")
               .otherwise("linked"))
     canonical = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "name",
                                    F.when(F.col("status") == "linked", F.col("result")).alias("result")))
-    linked = (marked.join(results, key, "left").join(ordered, key, "left").join(unresolved, key, "left")
-              .join(tools, "name", "left").withColumn("status", status)
+    tested = with_errors(marked.join(tools, "name", "left"), schema_depth(tools)).drop("schema", "known")
+    linked = (tested.join(results, key, "left").join(ordered, key, "left").join(unresolved, key, "left").withColumn("status", status)
               .select("conv_id", "call_id", "turn", "place", "name", "level", "result_turn", F.coalesce("results", F.lit(0)).alias("results"),
                       "status", F.array_join(errors, ",").alias("errors"), canonical.alias("canonical")))
     orphans = results.join(firsts.select(*key), key, "left_anti").select(

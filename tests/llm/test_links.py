@@ -344,6 +344,31 @@ def test_tool_calls(spark):
     assert toolcalls.link_tool_calls(df.limit(0), tools).count() == 0
 
 
+def test_nested_arguments(spark):
+    schema = {"type": "object", "title": "t", "required": ["a"], "additionalProperties": {"type": ["string", "null"]}, "properties": {
+        "a": {"type": "integer", "minimum": 1, "exclusiveMaximum": 10}, "kind": {"enum": ["x", 2, None, {"k": [1]}]}, "c": {"const": None},
+        "list": {"type": "array", "items": {"type": "object", "required": ["id"], "properties": {"id": {"type": ["integer", "string"]}},
+                                            "additionalProperties": False}, "maxItems": 2},
+        "deep": {"properties": {"in": {"properties": {"n": {"type": "number", "maximum": 1.5}}, "required": ["n"]}}},
+        "s": {"type": "string", "minLength": 2, "maxLength": 3}, "p": {"pattern": "^x", "multipleOf": 2}, "never": False, "any": True}}
+    cases = [
+        ({"a": 1, "kind": {"k": [1]}, "c": None, "list": [{"id": 1}, {"id": "z"}], "deep": {"in": {"n": 1.5}}, "s": "äö", "other": None,
+          "any": [{}]}, ""),
+        ({"a": 0, "kind": "y"}, "enum:kind,minimum:a"), ({"a": 10, "kind": 2.0}, "exclusiveMaximum:a"), ({"a": 2.0, "kind": None}, ""),
+        ({"a": 2.5, "c": 0}, "const:c,type:a"), ({"other": 1}, "missing:a,type:other"),
+        ({"a": 1, "list": [{"id": None}, {}, {"id": 1, "z": 2}]}, "maxItems:list,missing:list[1].id,type:list[0].id,unknown:list[2].z"),
+        ({"a": 1, "deep": {"in": {"n": 2}}}, "maximum:deep.in.n"), ({"a": 1, "deep": {"in": {}}}, "missing:deep.in.n"),
+        ({"a": 1, "s": "x"}, "minLength:s"), ({"a": 1, "s": "xxxx", "never": 1}, "maxLength:s,unknown:never"),
+        ({"a": 1, "p": "y"}, "unsupported:multipleOf,unsupported:pattern"),
+        ({"a": 1, "any": {"$no": [{"deep": ["$c1", "a \"$c2", "$q\"t"]}]}}, "unresolved:q\"t")]
+    messages = [(1, i, "assistant", json.dumps({"tool_calls": [{"id": f"c{i}", "name": "t", "arguments": a}]})) for i, (a, _) in enumerate(cases)]
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    tools = spark.createDataFrame([("t", json.dumps(schema))], "name string, schema string")
+    got = {r["turn"]: r for r in toolcalls.link_tool_calls(df, tools).collect()}
+    assert [got[i]["errors"] for i in range(len(cases))] == [e for _, e in cases]
+    assert [got[i]["level"] for i in range(len(cases))] == [0] * (len(cases) - 1) + [1]
+
+
 def test_native_operators_run_no_python(spark, data):
     for name in ("op5_tool_calls", "op6_secrets", "op7_decontamination"):
         plan = QUERIES[name](spark, data)._jdf.queryExecution().toString()
