@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanframe.llm import chunks, langid, secrets, toxicity
+from cleanframe.llm import chunks, langid, merkle, middle, secrets, toxicity
 from cleanframe.llm.common import documents, folds
 from cleanframe.llm.decontaminate import contaminated
 from cleanframe.llm.jaccard import Rule, jaccard_groups
@@ -187,3 +187,75 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_groups(documents(spark, folder), Rule(words=4, num=85, den=100))
+
+
+#: The CRC-32 of a value's decimal text, bit by bit.
+CRC_SQL = """xor(list_reduce(flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295), 4294967295)"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+MERKLE_SQL = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+            {_leaf_sql(f"(n_chars + CASE WHEN {CRC_SQL.format('doc_id')} % 7 = 0 THEN 1 ELSE 0 END)")} AS seen FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+          row_number() OVER () AS row FROM d),
+    t AS (SELECT lang, 0 AS level, pos, leaf AS digest, n FROM p UNION ALL
+          SELECT lang, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1
+          GROUP BY lang, level, pos // 2, n),
+    s AS (SELECT lang, digest AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+          FROM t WHERE n = 1),
+    u AS (SELECT 0 AS level, pos, subroot AS digest, n FROM s UNION ALL
+          SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, pos // 2, n),
+    g AS (SELECT row, lang, level, p.pos AS pos, seen AS digest, height FROM (SELECT row, lang, 0 AS level, pos, seen FROM p) p
+          JOIN (SELECT lang AS l, height FROM s) h ON p.lang IS NOT DISTINCT FROM h.l UNION ALL
+          SELECT g.row, g.lang, g.level + 1, g.pos // 2,
+                 sha256(CASE WHEN g.pos % 2 = 1 THEN o.digest || g.digest ELSE g.digest || coalesce(o.digest, '') END), g.height
+          FROM g LEFT JOIN t o ON o.lang IS NOT DISTINCT FROM g.lang AND o.level = g.level AND o.pos = xor(g.pos, 1) WHERE g.level < g.height),
+    b AS (SELECT g.row, s.pos AS place, 0 AS level, s.pos AS pos, g.digest FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang WHERE g.level = g.height UNION ALL
+          SELECT b.row, b.place, b.level + 1, b.pos // 2,
+                 sha256(CASE WHEN b.pos % 2 = 1 THEN o.digest || b.digest ELSE b.digest || coalesce(o.digest, '') END)
+          FROM b LEFT JOIN u o ON o.level = b.level AND o.pos = xor(b.pos, 1) WHERE b.level < (SELECT max(level) FROM u)),
+    q AS (SELECT g.row, 0 AS part, g.level, o.digest FROM g JOIN t o ON o.lang IS NOT DISTINCT FROM g.lang AND o.level = g.level AND o.pos = xor(g.pos, 1)
+          UNION ALL SELECT b.row, 1, b.level, o.digest FROM b JOIN u o ON o.level = b.level AND o.pos = xor(b.pos, 1)),
+    r AS (SELECT row, string_agg(digest, '' ORDER BY part, level) AS siblings FROM q GROUP BY row)
+    SELECT p.doc_id, p.leaf, s.subroot, z.digest AS root, sha256(coalesce(r.siblings, '')) AS proof_sha256, e.digest AS folded_root,
+        e.digest = z.digest AS verified
+    FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN u z ON z.n = 1 JOIN b e ON e.row = p.row AND e.level = (SELECT max(level) FROM u)
+    LEFT JOIN r ON r.row = p.row"""
+
+
+@query(MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    return merkle.fold(merkle.manifest(documents(spark, folder), seen={"n_chars": F.col("n_chars") + F.when(changed, 1).otherwise(0)}))
+
+
+def _unit_sql(a: str, b: str) -> str:
+    return f"array_to_string(u[{a}:{b}], '')"
+
+
+MIDDLE_SQL = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    u AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+          {", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))} FROM d),
+    c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM u),
+    f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+          WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, {_unit_sql('1', 'a')} AS p, {_unit_sql('a + 1', 'b')} AS m,
+          {_unit_sql('b + 1', 'n')} AS s FROM c)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+               ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+    FROM f"""
+
+
+@query(MIDDLE_SQL)
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    rows = middle.fill_in_middle(documents(spark, folder))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
