@@ -23,7 +23,6 @@ Buckets with the same members count once. Then
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 from math import ceil, exp, floor, sqrt
 
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref
 from cleanframe.llm.common import map_texts, mix
+from cleanframe.llm.shingles import ODD, Rule, shingle_sets
 from cleanframe.operators.dedup.components import connected_components
 from cleanframe.plans.storage import new_folder, stored
 
@@ -46,23 +46,6 @@ LEVEL_RATIO = 1.6
 ROUNDS = 8
 MAP_BITS = 1 << 26
 BROADCAST_NODES = 500_000
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-@dataclass(frozen=True)
-class Rule:
-    """What a set is and when two link: den * overlap >= num * union."""
-
-    words: int = 5
-    num: int = 80
-    den: int = 100
-
-    def needed(self, total):
-        """The least overlap of linked sets whose sizes add up to `total`."""
-        return -(-self.num * total // (self.num + self.den))
-
-    def smallest_partner(self, size: int) -> int:
-        return -(-self.num * size // self.den)
 
 
 @lru_cache(maxsize=None)
@@ -91,37 +74,6 @@ def _class_of(rule: Rule, size: int) -> int:
     return level
 
 
-def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the shingles of each text, A to Z lowered, words parted by ASCII white space. With
-    fewer words than a shingle, the whole sequence is one; without words there is none."""
-    index: dict[bytes, int] = {}
-    places: list[int] = []
-    counts = []
-    for text in texts:
-        tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
-        places.extend([index.setdefault(t, len(index)) for t in tokens])
-        counts.append(len(tokens))
-    hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in index], np.uint64)
-    flat = hashes[np.array(places, np.int64)] if places else np.zeros(0, np.uint64)
-    if len(flat) >= words:
-        rolled = np.zeros(len(flat) - words + 1, np.uint64)
-        for i in range(words):
-            rolled = mix(rolled * ODD + flat[i:len(flat) - words + 1 + i])
-    out, at = [], 0
-    for n in counts:
-        if n >= words:
-            out.append(np.unique(rolled[at:at + n - words + 1]))
-        elif n:
-            one = np.full(1, n, np.uint64)
-            for h in flat[at:at + n]:
-                one = mix(one * ODD + h)
-            out.append(one)
-        else:
-            out.append(np.zeros(0, np.uint64))
-        at += n
-    return out
-
-
 def _node(found: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(found.tobytes()), "little", signed=True)
 

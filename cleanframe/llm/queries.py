@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from cleanframe.llm import chunks, langid, merkle, middle, secrets, toxicity
 from cleanframe.llm.common import documents, folds
 from cleanframe.llm.decontaminate import contaminated
-from cleanframe.llm.jaccard import Rule, jaccard_groups
+from cleanframe.llm.jaccard import jaccard_groups
+from cleanframe.llm.minhash import minhash_groups
 from cleanframe.llm.packing import pack_documents
 from cleanframe.llm.repetition import repetition
 from cleanframe.llm.separators import token_counts, write_tokens
+from cleanframe.llm.shingles import Rule
 from cleanframe.llm.toolcalls import link_tool_calls
 from cleanframe.llm.tokens import MANY_LANGUAGES, VOCABULARY
 from cleanframe.plans.storage import new_folder
@@ -235,6 +237,12 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.fold(merkle.manifest(documents(spark, folder), seen={"n_chars": F.col("n_chars") + F.when(changed, 1).otherwise(0)}))
 
 
+@query()
+def op12_minhash_hamming(spark: SparkSession, folder: str) -> DataFrame:
+    groups = minhash_groups(documents(spark, folder), Rule(words=5, num=85, den=100))
+    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def _unit_sql(a: str, b: str) -> str:
     return f"array_to_string(u[{a}:{b}], '')"
 
