@@ -63,8 +63,9 @@ def _hashes(found: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def described(docs: DataFrame, rule: Rule, id_col: str, text: str, code: Callable[[list[np.ndarray]], list[bytes]]) -> DataFrame:
-    """(doc_id, n, h1, h2, code), the last three NULL for a set without shingles."""
+def described(docs: DataFrame, rule: Rule, id_col: str, text: str, code: Callable[[list[np.ndarray]], list[bytes]],
+              keys: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, n, h1, h2, code), the last three NULL for a set without shingles; also its buckets `keys` if these come from the set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work():
@@ -74,12 +75,13 @@ def described(docs: DataFrame, rule: Rule, id_col: str, text: str, code: Callabl
             names, codes = iter([_hashes(s) for s in full]), iter(code(full))
             rows = [(*next(names), next(codes)) if len(s) else (None, None, None) for s in sets]
             return {"doc_id": batch.column("_id"), "n": [len(s) for s in sets], "h1": [r[0] for r in rows], "h2": [r[1] for r in rows],
-                    "code": [r[2] for r in rows]}
+                    "code": [r[2] for r in rows], "keys": [keys(s) if keys and len(s) else None for s in sets]}
 
         return step
 
     named = docs.select(ref(id_col).alias("_id"), ref(text).alias("_text"))
-    return map_texts(named, "_text", f"doc_id {kind}, n long, h1 long, h2 long, code binary", work)
+    schema = f"doc_id {kind}, n long, h1 long, h2 long, code binary"
+    return map_texts(named, "_text", f"{schema}, keys array<long>" if keys else schema, work)
 
 
 def sets_of(docs: DataFrame, holders: DataFrame, rule: Rule, id_col: str, text: str) -> DataFrame:
@@ -113,8 +115,8 @@ class Nodes:
         self.scratch = scratch
         rows = scratch.put(rows)
         self.documents = scratch.put(rows.select("doc_id", "n", "h1", "h2"))
-        several = rows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("code").alias("code"),
-                                                                      F.min("doc_id").alias("smallest"))
+        described = [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "h1", "h2")]
+        several = rows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("smallest"), *described)
         several = scratch.put(several)
         #: First halves of the hash that unequal sets share: one in 10^10 sets or so. Normally there are none.
         self.shared = scratch.put(several.groupBy("h1").agg(F.count("*").alias("sets"), F.min("h2").alias("first")).where("sets > 1"))
@@ -133,6 +135,20 @@ class Nodes:
                 .withColumn("node", F.when(other, F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).drop("h1", "h2", "first"))
 
 
+def groups_of(nodes: Nodes, component: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of all documents; those without shingles stay alone. Clears the scratch tables but those that
+    this is read from."""
+    scratch = nodes.scratch
+    placed = nodes.points.join(component, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    known = scratch.put(placed.join(smallest, "component").select("node", "component_id"))
+    rows = scratch.put(nodes.named(nodes.documents)) if nodes.clash else nodes.documents
+    scratch.clear(known, rows)
+    return (rows.withColumnRenamed("h1", "node").join(known, "node", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+
+
 class Linker:
     """Verified links between nodes, and the groups they form so far."""
 

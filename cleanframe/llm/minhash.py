@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.llm.common import mix
-from cleanframe.llm.linking import Linker, Nodes, bounded_batches, buckets, described, every_pair, sets_of
+from cleanframe.llm.linking import Linker, Nodes, bounded_batches, buckets, described, every_pair, groups_of, sets_of
 from cleanframe.llm.shingles import ODD, Rule
 from cleanframe.plans.storage import Scratch
 
@@ -95,12 +95,4 @@ def minhash_groups(docs: DataFrame, rule: Rule = Rule(words=5, num=85, den=100),
         holders = nodes.points.join(met.select("node").distinct(), "node", "left_semi").select(F.col("smallest").alias("doc_id"))
         sets = scratch.put(nodes.named(sets_of(docs, holders, rule, id_col, text)))
         component = Linker(scratch, nodes, rule, _within_radius, sets).run(met, every_pair(_within_radius))
-        placed = nodes.points.join(component, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("component"))
-        smallest = placed.groupBy("component").agg(F.min("smallest").alias("component_id"))
-        known = scratch.put(placed.join(smallest, "component").select("node", "component_id"))
-        rows = nodes.documents if not nodes.clash else scratch.put(nodes.named(nodes.documents))
-        scratch.clear(known, rows)
-    rows = rows if nodes.clash else rows.withColumnRenamed("h1", "node")
-    return (rows.join(known, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+        return groups_of(nodes, component)

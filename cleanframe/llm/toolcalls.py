@@ -4,20 +4,23 @@ An assistant message may hold {"tool_calls": [{"id", "name", "arguments"}, ...]}
 call whose arguments hold the text "$x" needs the result of the call x of its conversation.
 
 Calls and results are joined by (conversation, id). Calls are ordered by levels: a call without needs has level 0, any other one
-more than the highest of those it needs, so (level, turn, place) is a topological order; rounds of joins take away what the last
-level satisfies, as many as the longest chain of needs. Calls that remain need each other. Arguments are parsed as variants,
+more than the highest of those it needs, so (level, turn, place) is a topological order. Calls with one need form chains, whose
+ends are found by pointer doubling in rounds that grow with the logarithm of the longest one; calls with several needs are then settled
+in rounds of their own, as many as such calls follow each other. Calls that remain need each other. Arguments are parsed as variants,
 whose objects have sorted keys: the canonical JSON is written from them, and they are checked against the tool's schema from the
-outside in. Each step checks the values of one depth and pairs what they hold with its schema, so there are as many steps as the
-deepest schema has levels. Keywords of a schema that are not checked here are reported, not passed over.
+outside in. Each step checks the values of one depth, as rows, and pairs what they hold with its schema, so there are as many steps as
+the deepest schema has levels. Keywords of a schema that are not checked here are reported, not passed over.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref
-from cleanframe.plans.storage import cut_lineage, stored
+from cleanframe.plans.storage import Scratch, new_folder, stored
 
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
@@ -56,20 +59,70 @@ def read_results(messages: DataFrame) -> DataFrame:
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the calls that a topological order holds; `needs` has (conv_id, call_id, need), where both
     are among `calls`. Calls in a circle, and those that need them, are left out."""
+    scratch = Scratch(calls.sparkSession, "levels")
     key = ["conv_id", "call_id"]
-    unmet = cut_lineage(needs.distinct())
-    level, place = calls.join(unmet.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)), 0
-    found = front = stored(level)
-    while not unmet.isEmpty():
-        met = front.select("conv_id", F.col("call_id").alias("need"))
-        rest = cut_lineage(unmet.join(met, ["conv_id", "need"], "left_anti"))
-        place += 1
-        front = stored(unmet.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti")
-                       .withColumn("level", F.lit(place)))
+    needs = scratch.put(needs.distinct())
+    counted = scratch.put(needs.groupBy(*key).agg(F.count("*").alias("needs"), F.min("need").alias("need")))
+    roots = calls.join(counted, key, "left_anti").select(*key)
+    forks = counted.where("needs > 1").select(*key)
+    single = _chains(scratch, counted.where("needs = 1").select(*key, "need"))
+    found = _forks(scratch, needs.join(forks, key, "left_semi"), roots, forks, single)
+    ends = found.unionByName(roots.withColumn("level", F.lit(0))).select("conv_id", F.col("call_id").alias("anchor"), "level")
+    behind = single.where("NOT open").join(ends, ["conv_id", "anchor"]).select(*key, (F.col("level") + F.col("distance")).cast("int").alias("level"))
+    out = scratch.put(found.unionByName(roots.withColumn("level", F.lit(0))).unionByName(behind))
+    scratch.clear(out)
+    return out
+
+
+def _chains(scratch: Scratch, single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, anchor, distance, open): for calls with one need, the call at the end of the chain of such needs, which has none
+    or several, and how far it is.
+
+    A call points to what it needs, then to where that points, and so on, twice as far in each round. A round that brings no
+    call to an end leaves only calls that never come to one, as they lead into a circle; they stay `open`.
+    """
+    at = single.select("conv_id", F.col("call_id").alias("anchor"), F.lit(True).alias("there"))
+    state = scratch.put(single.withColumnRenamed("need", "anchor").join(at, ["conv_id", "anchor"], "left").select(
+        "conv_id", "call_id", "anchor", F.lit(1).alias("distance"), F.coalesce("there", F.lit(False)).alias("open")))
+    left = state.where("open").count()
+    while left:
+        ahead = state.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("to"), F.col("distance").alias("more"),
+                             F.col("open").alias("still"))
+        jumped = state.where("open").join(ahead, ["conv_id", "anchor"]).select(
+            "conv_id", "call_id", F.col("to").alias("anchor"), (F.col("distance") + F.col("more")).alias("distance"), F.col("still").alias("open"))
+        moved = scratch.put(state.where("NOT open").unionByName(jumped))
+        scratch.drop(state)
+        state, before, left = moved, left, moved.where("open").count()
+        if left == before:
+            break
+    return state
+
+
+def _forks(scratch: Scratch, needs: DataFrame, roots: DataFrame, forks: DataFrame, single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of the calls with several needs. Each need is followed along its chain to a call without needs, which
+    gives a height, or to another fork. A round of joins settles the forks that wait for no other one."""
+    key = ["conv_id", "call_id"]
+    chain = single.where("NOT open").select("conv_id", F.col("call_id").alias("need"), "anchor", "distance")
+    followed = needs.join(chain, ["conv_id", "need"], "left").select(
+        *key, F.coalesce("anchor", "need").alias("anchor"), (F.coalesce("distance", F.lit(0)) + 1).alias("height"))
+    settled = roots.select("conv_id", F.col("call_id").alias("anchor"), F.lit(0).alias("level"))
+    folder, waiting = new_folder(scratch.spark, "forks"), scratch.put(followed)
+    scratch.put(forks.withColumn("level", F.lit(0)).limit(0)).write.mode("append").parquet(folder)
+    while True:
+        # A need that is settled has no anchor any more, just a height.
+        reached = waiting.join(settled.withColumn("there", F.lit(True)), ["conv_id", "anchor"], "left").select(
+            *key, F.when(F.col("there").isNull(), F.col("anchor")).alias("anchor"), (F.col("height") + F.coalesce("level", F.lit(0))).alias("height"))
+        merged = scratch.put(reached.groupBy(*key, "anchor").agg(F.max("height").alias("height")))
+        front = scratch.put(merged.groupBy(*key).agg(F.max("height").cast("int").alias("level"), F.count("anchor").alias("open"))
+                            .where("open = 0").select(*key, "level"))
+        scratch.drop(waiting)
         if front.isEmpty():
             break
-        found, unmet = found.unionByName(front), rest
-    return found
+        front.write.mode("append").parquet(folder)
+        waiting = scratch.put(merged.join(front, key, "left_anti"))
+        settled = front.select("conv_id", F.col("call_id").alias("anchor"), "level")
+        scratch.drop(merged)
+    return scratch.spark.read.schema(front.schema).parquet(folder)
 
 
 def json_type(variant: Column) -> Column:
@@ -100,11 +153,11 @@ def same_value(a: Column, b: Column) -> Column:
                                              & (F.try_variant_get(a, "$", "double") == F.try_variant_get(b, "$", "double")))
 
 
-def opened(nodes: Column) -> Column:
-    """Values (path, value, schema), with what they and their schemas hold."""
-    return F.transform(nodes, lambda n: F.struct(
-        n["path"].alias("path"), n["value"].alias("value"), json_type(n["value"]).alias("type"), fields(n["value"]).alias("fields"),
-        elements(n["value"]).alias("elements"), F.to_json(n["schema"]).alias("schema"), fields(n["schema"]).alias("rules")))
+def opened(nodes: DataFrame) -> DataFrame:
+    """Values (row, path, value, schema), with what they and their schemas hold."""
+    return nodes.select("row", F.struct(
+        "path", "value", json_type(F.col("value")).alias("type"), fields(F.col("value")).alias("fields"),
+        elements(F.col("value")).alias("elements"), F.to_json("schema").alias("schema"), fields(F.col("schema")).alias("rules")).alias("node"))
 
 
 def below(path: Column, key: Column) -> Column:
@@ -170,35 +223,27 @@ def held_by(node: Column) -> Column:
     return F.filter(F.coalesce(of_fields, of_elements, none), lambda n: n["schema"].isNotNull())
 
 
-def schema_depth(tools: DataFrame) -> int:
-    """How many levels the deepest schema has."""
-    level, depth = tools.select(F.try_parse_json("schema").alias("s")).where("s IS NOT NULL"), 0
-    while not level.isEmpty():
-        depth += 1
-        rules = fields(F.col("s"))
-        inner = F.filter(F.concat(F.coalesce(F.map_values(fields(F.try_element_at(rules, F.lit("properties")))), F.array().cast("array<variant>")),
-                                  F.array(F.try_element_at(rules, F.lit("items")), F.try_element_at(rules, F.lit("additionalProperties")))),
-                         lambda x: x.isNotNull())
-        level = level.select(F.explode(inner).alias("s"))
-    return depth
-
-
-def with_errors(calls: DataFrame, depth: int) -> DataFrame:
-    """`calls` with the column checked: sorted errors of `arguments` (text) against `schema` (text) of `depth` levels at most; `known` says
-    whether the tool has one."""
+def with_errors(calls: DataFrame) -> DataFrame:
+    """`calls` with the column checked: sorted errors of `arguments` (text) against `schema` (text); `known` says whether the tool has
+    one and `row` tells calls apart. A round checks the values of one depth, a row each, and ends where no schema goes deeper."""
+    spark = calls.sparkSession
     value, schema = F.try_parse_json("arguments"), F.try_parse_json("schema")
-    root = F.struct(F.lit("").alias("path"), value.alias("value"), schema.alias("schema"))
-    out = (calls.withColumn("_root", root).withColumn("_nodes", F.array("_root"))
-           .withColumn("_errors", F.array().cast("array<string>")))
-    for _ in range(depth):
-        out = (out.withColumn("_nodes", opened(F.col("_nodes")))
-               .withColumn("_errors", F.concat("_errors", F.flatten(F.transform("_nodes", node_errors))))
-               .withColumn("_nodes", F.flatten(F.transform("_nodes", held_by))))
-    errors = (F.when(~F.coalesce("known", F.lit(False)), F.array(F.lit("no schema")))
-              .when(json_type(F.col("_root.schema")).eqNullSafe("object") == F.lit(False), F.array(F.lit("bad schema")))
-              .when(json_type(F.col("_root.value")).eqNullSafe("object") == F.lit(False), F.array(F.lit("no object")))
-              .otherwise(F.array_sort(F.array_distinct("_errors"))))
-    return out.withColumn("checked", errors).drop("_root", "_nodes", "_errors")
+    no_array = F.array().cast("array<string>")
+    outer = (F.when(~F.coalesce("known", F.lit(False)), F.array(F.lit("no schema")))
+             .when(json_type(schema).eqNullSafe("object") == F.lit(False), F.array(F.lit("bad schema")))
+             .when(json_type(value).eqNullSafe("object") == F.lit(False), F.array(F.lit("no object"))))
+    scratch, folder = Scratch(spark, "checks"), new_folder(spark, "errors")
+    nodes = calls.where(outer.isNull()).select("row", F.lit("").alias("path"), value.alias("value"), schema.alias("schema"))
+    for depth in count():
+        level = scratch.put(nodes)
+        if depth and level.isEmpty():
+            break
+        node = opened(level)
+        node.select("row", F.explode(node_errors(F.col("node"))).alias("error")).distinct().write.mode("append").parquet(folder)
+        nodes = node.select("row", F.inline(held_by(F.col("node"))).alias("path", "value", "schema"))
+    scratch.clear()
+    errors = spark.read.schema("row long, error string").parquet(folder).groupBy("row").agg(F.array_sort(F.collect_set("error")).alias("_errors"))
+    return (calls.join(errors, "row", "left").withColumn("checked", F.coalesce(outer, F.col("_errors"), no_array)).drop("_errors"))
 
 
 def references(arguments: Column) -> Column:
@@ -225,7 +270,7 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame, conversation: str =
     named = messages.select(ref(conversation).alias("conv_id"), ref(turn).alias("turn"), ref(role).alias("role"), ref(text).alias("text"))
     key = ["conv_id", "call_id"]
     place = F.struct("turn", "place", "name", "arguments")
-    calls = stored(read_calls(named))
+    calls = stored(read_calls(named).withColumn("row", F.monotonically_increasing_id()))
     results = stored(read_results(named))
     firsts = calls.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("calls"))
     marked = calls.join(firsts, key, "left").withColumn(
@@ -243,7 +288,7 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame, conversation: str =
               .otherwise("linked"))
     canonical = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "name",
                                    F.when(F.col("status") == "linked", F.col("result")).alias("result")))
-    tested = with_errors(marked.join(tools, "name", "left"), schema_depth(tools)).drop("schema", "known")
+    tested = with_errors(stored(marked.join(tools, "name", "left"))).drop("schema", "known", "row")
     linked = (tested.join(results, key, "left").join(ordered, key, "left").join(unresolved, key, "left").withColumn("status", status)
               .select("conv_id", "call_id", "turn", "place", "name", "level", "result_turn", F.coalesce("results", F.lit(0)).alias("results"),
                       "status", F.array_join(errors, ",").alias("errors"), canonical.alias("canonical")))

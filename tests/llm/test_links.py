@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import TABLES, bag
-from cleanframe.llm import decontaminate, jaccard, secrets, toolcalls
+from cleanframe.llm import decontaminate, jaccard, linking, secrets, toolcalls
 from cleanframe.llm.queries import ORACLES, QUERIES
 from tests.conftest import rows
 from tests.llm.test_texts import DOC_SCHEMA, ODD_DOCS, WORD, empty, odd  # noqa: F401
@@ -92,7 +92,8 @@ def corpus(seed=1):
 
 @pytest.mark.parametrize("rule", [jaccard.Rule(4, 85, 100), jaccard.Rule()])
 def test_groups(spark, monkeypatch, rule):
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(linking, "BLOCK", 16)
+    monkeypatch.setattr(linking, "SMALL", 4)
     docs = corpus()
     got = jaccard.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"), rule)
     assert sorted(map(tuple, got.collect()), key=str) == brute_groups(docs, rule)
@@ -100,8 +101,9 @@ def test_groups(spark, monkeypatch, rule):
 
 def test_groups_without_pivots(spark, monkeypatch):
     """The R-tree alone finds what the rounds before it would have linked."""
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
-    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(linking, "BLOCK", 16)
+    monkeypatch.setattr(linking, "SMALL", 4)
+    monkeypatch.setattr(linking, "ROUNDS", 0)
     docs = corpus(2)
     rule = jaccard.Rule(4, 85, 100)
     got = jaccard.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"), rule)
@@ -150,6 +152,21 @@ def test_tree_join_loses_no_pair(n, seed):
     assert want <= got
 
 
+def test_counts_beyond_a_byte_exclude_nothing():
+    rule = jaccard.Rule(4, 85, 100)
+    rng = np.random.default_rng(3)
+    large = [np.unique(rng.integers(0, 2**64, 90_000, dtype=np.uint64)) for _ in range(2)]
+    large.append(np.unique(np.concatenate([large[0][:88_000], large[1][:2_000]])))
+    sizes = np.array([len(s) for s in large])
+    codes = np.frombuffer(b"".join(jaccard.count_codes(large)), np.uint8).reshape(3, -1)
+    assert (codes == 255).all()
+    assert jaccard.bounded(rule)(sizes, codes, sizes[::-1], codes[::-1]).all()
+    small = np.frombuffer(b"".join(jaccard.count_codes([large[0][:200], large[1][:200]])), np.uint8).reshape(2, -1)
+    assert not jaccard.bounded(rule)(np.array([200]), small[:1], np.array([200]), small[1:]).any()
+    tree = jaccard.Tree(codes, sizes, np.arange(3))
+    assert {(0, 2), (0, 1)} <= {tuple(p) for p in tree.join(tree, rule, (np.arange(3), np.arange(3))).tolist()}
+
+
 # Benchmark passages
 
 def weighted(words):
@@ -344,6 +361,45 @@ def test_tool_calls(spark):
     assert toolcalls.link_tool_calls(df.limit(0), tools).count() == 0
 
 
+def plain_levels(needs):
+    """{call: level} by following needs; calls that lead into a circle are not in it."""
+    level, rest = {}, dict(needs)
+    while True:
+        ready = [c for c, n in rest.items() if all(x in level for x in n)]
+        if not ready:
+            return level
+        level |= {c: 1 + max((level[x] for x in rest[c]), default=-1) for c in ready}
+        rest = {c: n for c, n in rest.items() if c not in level}
+
+
+def test_levels_of_chains_forks_and_circles(spark):
+    rng = random.Random(4)
+    conversations = {1: {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(40)}, 2: {"a": ["b"], "b": ["a"], "c": ["b"], "d": ["d"], "e": []}}
+    for conv in range(3, 8):
+        names = [f"x{i}" for i in range(30)]
+        conversations[conv] = {c: rng.sample(names[:i], min(i, rng.choice([0, 1, 1, 1, 2, 3]))) for i, c in enumerate(names)}
+    conversations[7]["x5"] = ["x5", "x1"]
+    conversations[6]["x2"] = ["x25", "x0"]
+    calls = spark.createDataFrame([(k, c) for k, v in conversations.items() for c in v], "conv_id long, call_id string")
+    needs = spark.createDataFrame([(k, c, n) for k, v in conversations.items() for c, ns in v.items() for n in ns + ns[:1]],
+                                  "conv_id long, call_id string, need string")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in toolcalls.levels(calls, needs).collect()}
+    assert got == {(k, c): n for k, v in conversations.items() for c, n in plain_levels(v).items()}
+
+
+def test_long_chain_takes_few_jobs(spark):
+    calls = spark.range(1000).selectExpr("1L AS conv_id", "concat('c', id) AS call_id")
+    needs = spark.range(1, 1000).selectExpr("1L AS conv_id", "concat('c', id) AS call_id", "concat('c', id - 1) AS need")
+    context = spark.sparkContext
+    context.setJobGroup("chain", "a chain of 1000 calls")
+    try:
+        got = {r["call_id"]: r["level"] for r in toolcalls.levels(calls, needs).collect()}
+    finally:
+        context._jsc.clearJobGroup()
+    assert got == {f"c{i}": i for i in range(1000)}
+    assert len(context.statusTracker().getJobIdsForGroup("chain")) < 100
+
+
 def test_nested_arguments(spark):
     schema = {"type": "object", "title": "t", "required": ["a"], "additionalProperties": {"type": ["string", "null"]}, "properties": {
         "a": {"type": "integer", "minimum": 1, "exclusiveMaximum": 10}, "kind": {"enum": ["x", 2, None, {"k": [1]}]}, "c": {"const": None},
