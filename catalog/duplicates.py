@@ -127,6 +127,16 @@ def pair_vectors(spark, d):
     return _part_vectors(spark, d)
 
 
+@query("pair_summaries", f"""{part_vectors_sql('part')} SELECT p_name, p_brand, p_type, CAST(count(*) AS DOUBLE) AS pairs,
+    CAST(count(*) FILTER (p_retailprice > 1e-6) AS DOUBLE) AS near, round(sum(p_retailprice), 3) AS level_sum,
+    round(sum(p_retailprice * p_retailprice), 3) AS level_squares FROM p GROUP BY ALL""")
+def pair_summaries(spark, d):
+    """By running sums over sorted prices, without looking at pairs."""
+    found = detect.pair_summary(table(spark, d, "part"), PART_KEY, PART_EXACT, PART_SIMILAR, "p_partkey")
+    return found.select("p_name", "p_brand", "p_type", F.col("pairs").cast("double"), F.col("near").cast("double"),
+                        F.round("level_sum", 3).alias("level_sum"), F.round("level_squares", 3).alias("level_squares"))
+
+
 def _score_sql(vector: str) -> str:
     return " + ".join(f"(z.m{i} - z.n{i}) * {vector}.{c} - (z.m{i} * z.m{i} - z.n{i} * z.n{i}) / 2"
                       for i, c in enumerate(PART_DIMS))

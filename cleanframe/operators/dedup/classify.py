@@ -36,30 +36,20 @@ class Rule:
 TIE = 1e-9
 
 
-def two_means(vectors: DataFrame, columns: list[str], weight: str = "pairs",
-              max_rounds: int = MAX_ROUNDS) -> Rule | None:
-    """Cluster weighted vectors from fixed start centres; None when no vector is nearer to the match centre,
-    an error when the centres have not settled after `max_rounds`.
-
-    Each round is one aggregate over distinct vectors, and the driver sees the two centres only.
-    """
-    w = F.col(weight).cast("double")
-    spread = vectors.agg(F.sum(w).alias("n"), *[F.sum(w * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-                         *[F.sum(w * F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    if not spread["n"]:
-        return None
-    variances = [spread[f"q{i}"] / spread["n"] - (spread[f"s{i}"] / spread["n"]) ** 2 for i in range(len(columns))]
+def settle(total: float, sums: list[float], squares: list[float], halves, max_rounds: int = MAX_ROUNDS) -> Rule | None:
+    """The clustering's rounds from fixed start centres; None when no vector is nearer to the match centre, an error when the centres have
+    not settled after `max_rounds`. `halves(rule)` gives {match: (pairs, sum of each column)} of the sides that have pairs."""
+    columns = range(len(sums))
+    variances = [squares[i] / total - (sums[i] / total) ** 2 for i in columns]
     enough = TOLERANCE * sum(variances) / len(variances)
-    rule = Rule((START_NO_MATCH,) * len(columns), (START_MATCH,) * len(columns))
+    rule = Rule((START_NO_MATCH,) * len(sums), (START_MATCH,) * len(sums))
     for _ in range(max_rounds):
-        match = (rule.score([F.col(c) for c in columns]) > TIE).alias("match")
-        sums = {r["match"]: r for r in vectors.groupBy(match).agg(
-            F.sum(w).alias("n"), *[F.sum(w * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)]).collect()}
-        if True not in sums:
+        found = halves(rule)
+        if True not in found:
             return None
 
         def centre(label, old):
-            return tuple(sums[label][f"s{i}"] / sums[label]["n"] for i in range(len(columns))) if label in sums else old
+            return tuple(found[label][1][i] / found[label][0] for i in columns) if label in found else old
 
         moved = Rule(centre(False, rule.no_match), centre(True, rule.match))
         shift = sum((a - b) ** 2 for a, b in zip(moved.no_match + moved.match, rule.no_match + rule.match))
@@ -69,5 +59,22 @@ def two_means(vectors: DataFrame, columns: list[str], weight: str = "pairs",
     raise RuntimeError(f"the centres still move after {max_rounds} rounds")
 
 
+def two_means(vectors: DataFrame, columns: list[str], weight: str = "pairs",
+              max_rounds: int = MAX_ROUNDS) -> Rule | None:
+    """Cluster weighted vectors. Each round is one aggregate over distinct vectors, and the driver sees the two centres only."""
+    w = F.col(weight).cast("double")
+    spread = vectors.agg(F.sum(w).alias("n"), *[F.sum(w * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)],
+                         *[F.sum(w * F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    if not spread["n"]:
+        return None
+
+    def halves(rule: Rule):
+        match = (rule.score([F.col(c) for c in columns]) > TIE).alias("match")
+        return {r["match"]: (r["n"], [r[f"s{i}"] for i in range(len(columns))]) for r in vectors.groupBy(match).agg(
+            F.sum(w).alias("n"), *[F.sum(w * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)]).collect()}
+
+    return settle(spread["n"], [spread[f"s{i}"] for i in range(len(columns))], [spread[f"q{i}"] for i in range(len(columns))], halves, max_rounds)
+
+
 def classify(vectors: DataFrame, columns: list[str], rule: Rule) -> DataFrame:
     return vectors.withColumn("match", rule.score([F.col(c) for c in columns]) > TIE)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cleanframe.functions.columns import ref
 from cleanframe.functions.similarity import date_level, exact_level, number_level, text_level
-from cleanframe.operators.dedup.blocks import DATE, EXACT, NUMBER, TEXTUAL, Dimension, dimensions, rank_rows
+from cleanframe.operators.dedup.blocks import DATE, EXACT, NUMBER, PAIR_COUNT, TEXTUAL, Dimension, dimensions, rank_rows
 from cleanframe.operators.dedup.classify import TIE, Rule, classify, two_means
 from cleanframe.operators.dedup.components import connected_components
 from cleanframe.operators.dedup.exact import remove_identical_rows
-from cleanframe.operators.dedup.vectors import (group_key, groups_of, level_columns, similar_groups, subsets_of,
+from cleanframe.operators.dedup.sweep import Summary, near_links, only_number
+from cleanframe.operators.dedup.vectors import (group_key, groups_of, has, level_columns, similar_groups, subsets_of,
                                                 tuples_of, value_columns, vector_counts)
 from cleanframe.plans.ordering import with_position
 from cleanframe.plans.skew import spread_lookup
@@ -39,6 +42,21 @@ def pair_vectors(df: DataFrame, key: str, exact: list[str], similar: list[str],
         F.col(level).alias(d.column) for level, d in zip(level_columns(dims), dims)], "pairs")
 
 
+def pair_summary(df: DataFrame, key: str, exact: list[str], similar: list[str], id_col: str = "id") -> DataFrame:
+    """(key, one column per compared column but the number, pairs, near, level_sum, level_squares): the candidate pairs per similarity of
+    these columns, how many have near numbers, and the sum and sum of squares of their similarity. One of the columns compared must be a
+    number. Work grows with the values, not with the pairs."""
+    dims = dimensions(df, key, exact, similar)
+    number = only_number(dims)
+    if number is None:
+        raise ValueError("just one of the compared columns must be a number")
+    found = Summary(cut_lineage(tuples_of(rank_rows(df, id_col, key, dims), dims)), dims)
+    names = [key, *[d.column for i, d in enumerate(dims) if i != number]]
+    fields = [T.StructField(n, T.DoubleType()) for n in names] + [T.StructField("pairs", PAIR_COUNT), T.StructField("near", PAIR_COUNT),
+                                                                  T.StructField("level_sum", T.DoubleType()), T.StructField("level_squares", T.DoubleType())]
+    return df.sparkSession.createDataFrame([(*v, Decimal(n), Decimal(m), s, q) for v, n, m, s, q in found.rows()], T.StructType(fields))
+
+
 def _against(rule: Rule) -> float:
     """What the columns that speak against a match can take off a score at most."""
     return sum(w for w in rule.weights[1:] if w < 0)
@@ -101,9 +119,19 @@ def match_edges(tuples: DataFrame, dims: list[Dimension], rule: Rule, undecided:
     """
     spread = subsets_of(tuples, dims, deciding_subsets(rule, dims, undecided))
     groups = groups_of(spread, dims)
-    pairs = similar_groups(groups, tuples, dims)
     score = _helpful_score(rule, dims)
-    links = cut_lineage(pairs.where(score + _against(rule) > TIE).select("_own", "_rep", "_other", "_rep_other"))
+    ends = ["_own", "_rep", "_other", "_rep_other"]
+    number = only_number(dims)
+    if number is None or undecided or rule.weights[number + 1] <= 0:
+        pairs = similar_groups(groups, tuples, dims)
+        links = cut_lineage(pairs.where(score + _against(rule) > TIE).select(*ends))
+    else:
+        groups, weight = cut_lineage(groups), rule.weights[number + 1]
+        others = sum((max(w, 0.0) * F.col(f"l{i}") for i, w in enumerate(rule.weights[1:]) if i != number),
+                     F.col("same") * rule.weights[0] - rule.limit + _against(rule))
+        plain = similar_groups(groups.where(~has(F.col("_set"), number)), tuples, dims)
+        near = near_links(groups, tuples, dims, (F.lit(TIE) - others) / weight)
+        links = cut_lineage(plain.where(score + _against(rule) > TIE).select(*ends).unionByName(near))
     # NULLs inside a struct compare as equal, which a column left out of the subset needs.
     members = spread.select(F.col("_rep").alias("src"), group_key(dims).alias("_group"))
     edges = _tie(links, members)
@@ -152,13 +180,18 @@ def find_duplicates(df: DataFrame, key: str, exact: list[str] = (), similar: lis
     dims = dimensions(reduced, key, list(exact), list(similar))
     rows = cut_lineage(rank_rows(reduced, id_col, key, dims))
     tuples = cut_lineage(tuples_of(rows, dims))
-    vectors = cut_lineage(vector_counts(tuples, dims))
-    levels = level_columns(dims)
-    rule = two_means(vectors, ["same", *levels])
+    if only_number(dims) is None:
+        vectors = cut_lineage(vector_counts(tuples, dims))
+        rule = two_means(vectors, ["same", *level_columns(dims)])
+        undecided = rule is not None and has_undecided(vectors, dims, rule)
+    else:
+        summary = Summary(tuples, dims)
+        rule = summary.two_means()
+        undecided = rule is not None and summary.undecided(rule)
     if rule is None:
         nothing = reduced.select(ref(id_col), F.lit(0).cast("long").alias("group_id"), F.lit(False).alias("delete"))
         return Duplicates(reduced, nothing.where(F.lit(False)))
-    labels = connected_components(match_edges(tuples, dims, rule, has_undecided(vectors, dims, rule)))
+    labels = connected_components(match_edges(tuples, dims, rule, undecided))
     of_tuple = F.struct(F.col("_rank").alias("r"), *[F.col(v) for v in value_columns(dims)])
     component = spread_lookup(tuples.select(of_tuple.alias("_tuple"), F.col("_rep").alias("node")), labels, ["node"])
     labelled = spread_lookup(rows.select(F.col("_id").alias(id_col), of_tuple.alias("_tuple")),

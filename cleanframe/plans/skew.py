@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cleanframe.functions.columns import ref
 
@@ -20,6 +21,11 @@ def all_salts(salts: int = SALTS) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
 
 
+def _nullable(dtype: T.DataType) -> T.DataType:
+    """A struct type whose fields may be NULL: a table read from files has these, the same one computed may not."""
+    return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in dtype]) if isinstance(dtype, T.StructType) else dtype
+
+
 def spread_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
                   counted: DataFrame | None = None, most_rows: int | None = None) -> DataFrame:
     """Equi-join `big` to `small`, where `small` holds few rows per key but a key of `big` may be hot.
@@ -37,7 +43,7 @@ def spread_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str =
         return big.join(small, keys, how)
 
     def key_hash() -> Column:
-        return F.xxhash64(*[ref(k).cast(big.schema[k].dataType) for k in keys])
+        return F.xxhash64(*[ref(k).cast(_nullable(big.schema[k].dataType)) for k in keys])
 
     hot = (counted.select(key_hash().alias("_hash")).groupBy("_hash").agg(F.count("*").alias("_n"))
            .where(F.col("_n") > HOT_ROWS).select("_hash", F.lit(True).alias("_hot")))

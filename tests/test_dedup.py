@@ -290,3 +290,38 @@ def test_edit_distance_within_a_band(limit):
         a, b = ("".join(rng.choices("abc", k=rng.randrange(10))) for _ in range(2))
         whole, near = edit_distance(a, b), edit_distance(a, b, limit)
         assert near == whole if whole <= limit else near > limit
+
+
+def part_sides(spark, sf):
+    """Rows that the sweep over prices goes through, and the pairs of near prices among them."""
+    from cleanframe.operators.dedup.sweep import Sides, Summary
+    from cleanframe.operators.dedup.vectors import groups_of, subsets_of
+    part = spark.read.parquet(f"/root/testdata/sf{sf}/part.parquet")
+    dims = dimensions(part, "p_name", ["p_brand"], ["p_type", "p_retailprice"])
+    tuples = cut_lineage(tuples_of(rank_rows(part, "p_partkey", "p_name", dims), dims))
+    found = Sides(cut_lineage(groups_of(subsets_of(tuples, dims), dims)), tuples, dims)
+    return found.sources.count() + found.targets.count(), sum(near for _, _, near, _, _ in Summary(tuples, dims).rows())
+
+
+def test_sweep_grows_with_rows_not_pairs(spark):
+    """Ten times the rows of `part` are at most twelve times the rows swept, though many times the pairs."""
+    (rows_small, pairs_small), (rows_large, pairs_large) = part_sides(spark, "0.001"), part_sides(spark, "0.01")
+    assert rows_large <= 12 * rows_small and pairs_large > 20 * pairs_small
+
+
+@pytest.mark.parametrize("exact,similar", [([], ["amount"]), (["kind"], ["name", "amount", "born"])])
+def test_summary_equals_all_pairs(spark, exact, similar):
+    from cleanframe.operators.dedup.detect import pair_summary
+    table = people(110, 8) + [(1000, "hot town", "a", "a", 1e17, None), (1001, "hot town", "a", "a", 1e17, None), (1002, "hot town", "a", "a", 3e17, None),
+                              (1003, "hot town", "b", "a", 3e17, None), (1004, "hot town", "b", "a", float("inf"), None), (1005, "hot town", "b", "a", float("inf"), None)]
+    at = 1 + len(exact) + similar.index("amount")
+    want = defaultdict(lambda: [0, 0, 0.0, 0.0])
+    for _, _, vector in brute(table, "city", exact, similar):
+        level = 0.0 if vector[at] != vector[at] else vector[at]
+        sums = want[vector[:at] + vector[at + 1:]]
+        want[vector[:at] + vector[at + 1:]] = [sums[0] + 1, sums[1] + (level > 0), sums[2] + level, sums[3] + level**2]
+    got = {tuple(r[:-4]): [int(r["pairs"]), int(r["near"]), r["level_sum"], r["level_squares"]]
+           for r in pair_summary(spark.createDataFrame(table, SCHEMA), "city", exact, similar).collect()}
+    assert set(got) == set(want)
+    for vector, sums in want.items():
+        assert got[vector][:2] == sums[:2] and np.allclose(got[vector][2:], sums[2:])
