@@ -25,11 +25,9 @@ from pyspark.sql import functions as F
 from cleanframe.functions.columns import ref
 from cleanframe.llm.common import mix
 from cleanframe.llm.linking import Close, Compare, Linker, Nodes, bounded_batches, buckets, described, groups_of, sets_of
-from cleanframe.llm.shingles import ODD, Rule
+from cleanframe.llm.shingles import ODD, Rule, count_codes, overlap_bound
 from cleanframe.plans.storage import Scratch, stored
 
-DIMENSIONS = 256
-MOST = 0xFF
 LEAF = 32
 LEVEL_RATIO = 1.6
 
@@ -60,21 +58,6 @@ def _class_of(rule: Rule, size: int) -> int:
     return level
 
 
-def count_codes(sets: list[np.ndarray]) -> list[bytes]:
-    """The group counts of each set, a byte each. A set with a count too large for it gets `MOST` everywhere, which no bound excludes."""
-    out = []
-    for found in sets:
-        counts = np.bincount((found >> np.uint64(8)) % np.uint64(DIMENSIONS), minlength=DIMENSIONS)
-        out.append((counts if counts.max() < MOST else np.full(DIMENSIONS, MOST)).astype(np.uint8).tobytes())
-    return out
-
-
-def overlap_bound(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """What two sets can have in common at most: the sum of the smaller counts, or anything if both have counts beyond a byte."""
-    least = np.minimum(one, two).sum(axis=-1, dtype=np.int64)
-    return np.where((one[..., 0] == MOST) & (two[..., 0] == MOST), np.int64(2**62), least)
-
-
 def bucket_keys(found: np.ndarray, rule: Rule) -> np.ndarray:
     """The buckets of a set: 48-bit hashes of (level, group, shingles in the group), from the level of the smallest
     possible partner to its own. Empty groups are listed by sets with more of them than the level spares."""
@@ -172,7 +155,7 @@ def _children(left, right, left_count, right_count):
 def tree_join(rule: Rule) -> Compare:
     """Compares two blocks, or one with itself, by their R-trees."""
 
-    def compare(size: np.ndarray, points: np.ndarray, component: np.ndarray, side: np.ndarray) -> np.ndarray:
+    def compare(size: np.ndarray, points: np.ndarray, component: np.ndarray, side: np.ndarray, key: int) -> np.ndarray:
         _, component = np.unique(component, return_inverse=True)
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(x) or not len(y):

@@ -4,7 +4,8 @@ Sets come as rows (doc_id, n, h1, h2, code): the size, a hash of 128 bits, and s
 can be. Equal sets are one node. Given (key, node), every two nodes of a key are compared unless links join them already or the
 bound excludes them. Pairs are never listed for a whole bucket:
 
-1. each node is held against the smallest or largest node of its buckets, the one of these it meets most often;
+1. each node is held against the centre of one of its buckets: the node that meets most others over all its own buckets, as the text
+   does that near copies were made from. Of its centres it takes the one that it meets most often;
 2. where a bucket then holds several groups, each node outside the largest one is held against one node of it, chosen anew in every
    round, until a round links nothing or `ROUNDS` are over. This is linear in the bucket;
 3. what is left of such buckets is cut into blocks of `BLOCK` nodes, and a task compares the codes of two blocks.
@@ -39,8 +40,9 @@ BATCH_BYTES = "16m"
 
 #: (sizes, codes, sizes, codes) of two equally long lists of sets -> which of these pairs may be links.
 Close = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-#: (sizes, codes, components, sides) of two blocks (sides 0 and 1), or one (side 0) -> pairs of rows of different components that may be links.
-Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: (sizes, codes, components, sides, key) of two blocks of a bucket (sides 0 and 1), or one (side 0) -> pairs of rows of different components that
+#: may be links. It may leave out pairs that meet in a bucket of a smaller key as well.
+Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
 @contextmanager
@@ -170,7 +172,7 @@ class Linker:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x, y = batch.column("x"), batch.column("y")
-                keep = close(x.field("n").to_numpy(), _bytes(x.field("code")), y.field("n").to_numpy(), _bytes(y.field("code")))
+                keep = close(x.field("n").to_numpy(), bytes_of(x.field("code")), y.field("n").to_numpy(), bytes_of(y.field("code")))
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
         described = self.points.select("node", F.struct("n", "code").alias("point"))
@@ -227,11 +229,14 @@ class Linker:
 
     def run(self, buckets: DataFrame, compare: Compare) -> DataFrame:
         """(node, component) of all linked nodes, from buckets (key, node, low, high, nodes)."""
-        ends = buckets.where("nodes > 2").select("node", F.explode(F.array("low", "high")).alias("end")).where("node != end")
+        larger = buckets.where("nodes > 2").select("key", "node", "nodes")
+        met = larger.groupBy("node").agg(F.sum("nodes").alias("met"))
+        centres = larger.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("centre")).select("key", F.col("centre.node").alias("end"))
+        ends = larger.join(centres, "key").where("node != end").select("node", "end")
         star = _most_often(ends).unionByName(buckets.where("nodes = 2 AND node = low").select("node", F.col("high").alias("end")))
         tried: list[DataFrame] = []
         self._try(_pairs(star), tried)
-        members = self.scratch.put(self.divided(buckets.where("nodes > 2")))
+        members = self.scratch.put(self.divided(larger))
         for turn in range(ROUNDS):
             if members.isEmpty():
                 break
@@ -252,7 +257,7 @@ class Linker:
         return self.component
 
 
-def _bytes(column: pa.Array) -> np.ndarray:
+def bytes_of(column: pa.Array) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
@@ -297,29 +302,6 @@ def _within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield i[i < j], j[i < j]
 
 
-def _between(one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    step = max(1, CHUNK_PAIRS // max(1, len(two)))
-    for k in range(0, len(one), step):
-        part = one[k:k + step]
-        yield np.repeat(part, len(two)), np.tile(two, len(part))
-
-
-def every_pair(close: Close) -> Compare:
-    """Compares the codes of all pairs of two blocks."""
-
-    def compare(n: np.ndarray, codes: np.ndarray, component: np.ndarray, side: np.ndarray) -> np.ndarray:
-        here, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = [np.zeros((0, 2), np.int64)]
-        for i, j in _between(here, there if len(there) else here):
-            apart = component[i] != component[j]
-            i, j = i[apart], j[apart]
-            keep = close(n[i], codes[i], n[j], codes[j])
-            found.append(np.column_stack([i[keep], j[keep]]))
-        return np.concatenate(found)
-
-    return compare
-
-
 def _residual(placed: DataFrame, points: DataFrame, close: Close, compare: Compare) -> DataFrame:
     """(a, b) that may be links across the components of a bucket.
 
@@ -355,9 +337,9 @@ def _residual(placed: DataFrame, points: DataFrame, close: Close, compare: Compa
         if table.column("small")[0].as_py():
             table = table.sort_by("key")
         node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
-        codes, component = _bytes(table.column("code").combine_chunks()), table.column("component").to_numpy()
+        codes, component = bytes_of(table.column("code").combine_chunks()), table.column("component").to_numpy()
         if not table.column("small")[0].as_py():
-            found = compare(n, codes, component, table.column("side").to_numpy())
+            found = compare(n, codes, component, table.column("side").to_numpy(), table.column("key")[0].as_py())
         else:
             key = table.column("key").to_numpy()
             starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)

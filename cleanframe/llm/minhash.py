@@ -7,8 +7,8 @@ values of b = 16 bits, each from the smallest of the shingles under one hash fun
 The signature is split into `CHUNKS` chunks. If two differ in at most `RADIUS` values, some chunk differs in at most
 `ERRORS` = RADIUS // CHUNKS of its own, by the pigeonhole principle. So each chunk is listed once for each choice of `ERRORS` values
 to leave out, as (chunk, left out, remaining values), and every pair within the radius meets in one of these buckets. Pairs that meet
-and lie within the radius are verified on their full sets. At J = 0.85 a pair lies beyond the radius of 23 of 60 with probability
-2.3e-6, and above that less often; no pair within it can be missed.
+and lie within the radius are verified on their full sets, unless counts of their shingles by group show that they share too few. At
+J = 0.85 a pair lies beyond the radius of 23 of 60 with probability 2.3e-6, and above that less often; none within it is missed.
 
 Equal sets are one node, so exact copies cost nothing. How buckets are worked off without listing their pairs stands in `linking`.
 """
@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.llm.common import mix
-from cleanframe.llm.linking import Linker, Nodes, bounded_batches, buckets, described, every_pair, groups_of, sets_of
-from cleanframe.llm.shingles import ODD, Rule
+from cleanframe.llm.linking import (CHUNK_PAIRS, Close, Compare, Linker, Nodes, bounded_batches, buckets, bytes_of, described, groups_of,
+                                    sets_of)
+from cleanframe.llm.shingles import ODD, Rule, count_codes, overlap_bound
 from cleanframe.plans.storage import Scratch
 
 HASHES, CHUNKS, RADIUS = 60, 12, 23
@@ -46,26 +47,79 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _code(sets: list[np.ndarray]) -> list[bytes]:
-    return [row.tobytes() for row in signatures(sets)]
+    """The signature and, behind it, the counts that bound an overlap."""
+    return [row.tobytes() + counts for row, counts in zip(signatures(sets), count_codes(sets))]
 
 
-def bucket_keys(codes: np.ndarray) -> np.ndarray:
-    """For each signature the hashes of (chunk, values left out, remaining values)."""
-    left_out = list(combinations(range(WIDTH), ERRORS))
-    out = np.empty((len(codes), CHUNKS * len(left_out)), np.uint64)
-    values = codes.astype(np.uint64) + np.uint64(1)
-    for chunk in range(CHUNKS):
-        for k, errors in enumerate(left_out):
-            key = np.full(len(codes), chunk * len(left_out) + k + 1, np.uint64)
-            for at in range(WIDTH):
-                if at not in errors:
-                    key = mix(key * ODD + values[:, chunk * WIDTH + at])
-            out[:, chunk * len(left_out) + k] = key
+def _values(codes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(codes[:, :2 * HASHES]).view("<u2")
+
+
+LEFT_OUT = list(combinations(range(WIDTH), ERRORS))
+
+
+def bucket_keys(values: np.ndarray) -> np.ndarray:
+    """For each signature its buckets: the number of (chunk, values left out) in the highest byte, then a hash of the remaining values."""
+    out = np.empty((len(values), CHUNKS * len(LEFT_OUT)), np.uint64)
+    values = values.astype(np.uint64) + np.uint64(1)
+    for number in range(out.shape[1]):
+        chunk, errors = number // len(LEFT_OUT), LEFT_OUT[number % len(LEFT_OUT)]
+        key = np.full(len(values), number + 1, np.uint64)
+        for at in range(WIDTH):
+            if at not in errors:
+                key = mix(key * ODD + values[:, chunk * WIDTH + at])
+        out[:, number] = np.uint64(number) << np.uint64(56) | key >> np.uint64(8)
     return out.view(np.int64)
 
 
-def _within_radius(n: np.ndarray, codes: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
-    return (codes.view("<u2") != others.view("<u2")).sum(axis=1) <= RADIUS
+def within_radius(rule: Rule) -> Close:
+    """Whether signatures lie within the radius and counts allow a link."""
+
+    def close(n: np.ndarray, codes: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
+        keep = (_values(codes) != _values(others)).sum(axis=1) <= RADIUS
+        at = np.flatnonzero(keep)
+        keep[at] = overlap_bound(codes[at, 2 * HASHES:], others[at, 2 * HASHES:]) >= rule.needed(n[at] + m[at])
+        return keep
+
+    return close
+
+
+def compare_signatures(rule: Rule) -> Compare:
+    """Compares two blocks of a bucket, but for the pairs that meet in an earlier bucket too, as most pairs of a large group do: those with an equal
+    earlier chunk, or with equal values at the places that this bucket leaves out, where it is not the chunk's first."""
+    close = within_radius(rule)
+
+    def compare(n: np.ndarray, codes: np.ndarray, component: np.ndarray, side: np.ndarray, key: int) -> np.ndarray:
+        values, number = _values(codes), key >> 56
+        chunk, errors = number // len(LEFT_OUT), LEFT_OUT[number % len(LEFT_OUT)]
+        names = []
+        for c in range(chunk):
+            name = np.full(len(n), 1, np.uint64)
+            for at in range(WIDTH):
+                name = mix(name * ODD + values[:, c * WIDTH + at])
+            names.append(name)
+        if number % len(LEFT_OUT):
+            name = np.full(len(n), 1, np.uint64)
+            for at in errors:
+                name = mix(name * ODD + values[:, chunk * WIDTH + at])
+            names.append(name)
+        here, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        there = there if len(there) else here
+        found = [np.zeros((0, 2), np.int64)]
+        step = max(1, 10 * CHUNK_PAIRS // max(1, len(there)))
+        for k in range(0, len(here), step):
+            part = here[k:k + step]
+            apart = component[part][:, None] != component[there][None, :]
+            for name in names:
+                apart &= name[part][:, None] != name[there][None, :]
+            i, j = np.nonzero(apart)
+            for s in range(0, len(i), CHUNK_PAIRS):
+                x, y = part[i[s:s + CHUNK_PAIRS]], there[j[s:s + CHUNK_PAIRS]]
+                keep = close(n[x], codes[x], n[y], codes[y])
+                found.append(np.column_stack([x[keep], y[keep]]))
+        return np.concatenate(found)
+
+    return compare
 
 
 def _members(points: DataFrame) -> DataFrame:
@@ -73,7 +127,7 @@ def _members(points: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = bucket_keys(np.frombuffer(b"".join(batch.column("code").to_pylist()), "<u2").reshape(batch.num_rows, HASHES))
+            keys = bucket_keys(_values(bytes_of(batch.column("code"))))
             offsets = pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["node", "keys"])
 
@@ -94,5 +148,5 @@ def minhash_groups(docs: DataFrame, rule: Rule = Rule(words=5, num=85, den=100),
         met = scratch.put(buckets(_members(nodes.points)))
         holders = nodes.points.join(met.select("node").distinct(), "node", "left_semi").select(F.col("smallest").alias("doc_id"))
         sets = scratch.put(nodes.named(sets_of(docs, holders, rule, id_col, text)))
-        component = Linker(scratch, nodes, rule, _within_radius, sets).run(met, every_pair(_within_radius))
+        component = Linker(scratch, nodes, rule, within_radius(rule), sets).run(met, compare_signatures(rule))
         return groups_of(nodes, component)

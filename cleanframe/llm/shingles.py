@@ -10,6 +10,8 @@ import xxhash
 from cleanframe.llm.common import mix
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
+DIMENSIONS = 256
+MOST = 0xFF
 
 
 @dataclass(frozen=True)
@@ -57,3 +59,18 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
             out.append(np.zeros(0, np.uint64))
         at += n
     return out
+
+
+def count_codes(sets: list[np.ndarray]) -> list[bytes]:
+    """The group counts of each set, a byte each. A set with a count too large for it gets `MOST` everywhere, which no bound excludes."""
+    out = []
+    for found in sets:
+        counts = np.bincount((found >> np.uint64(8)) % np.uint64(DIMENSIONS), minlength=DIMENSIONS)
+        out.append((counts if counts.max() < MOST else np.full(DIMENSIONS, MOST)).astype(np.uint8).tobytes())
+    return out
+
+
+def overlap_bound(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """What two sets can have in common at most: the sum of the smaller counts, or anything if both have counts beyond a byte."""
+    least = np.minimum(one, two).sum(axis=-1, dtype=np.int64)
+    return np.where((one[..., 0] == MOST) & (two[..., 0] == MOST), np.int64(2**62), least)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import TABLES, bag
-from cleanframe.llm import decontaminate, jaccard, linking, secrets, toolcalls
+from cleanframe.llm import decontaminate, jaccard, linking, secrets, shingles, toolcalls
 from cleanframe.llm.queries import ORACLES, QUERIES
 from tests.conftest import rows
 from tests.llm.test_texts import DOC_SCHEMA, ODD_DOCS, WORD, empty, odd  # noqa: F401
@@ -38,13 +38,13 @@ def test_sql(spark, data, con, name):
 
 # Groups
 
-def shingles(text, words):
+def shingle_words(text, words):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i:i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
 
 
 def brute_groups(docs, rule):
-    sets = [(i, shingles(t, rule.words)) for i, t in docs]
+    sets = [(i, shingle_words(t, rule.words)) for i, t in docs]
     parent = list(range(len(sets)))
 
     def root(x):
@@ -142,7 +142,7 @@ def test_links_share_a_bucket(size, edits, seed):
 def test_tree_join_loses_no_pair(n, seed):
     rng = np.random.default_rng(seed)
     rule = jaccard.Rule(4, 85, 100)
-    points = rng.poisson(rng.integers(1, 4, (n, 1)), (n, jaccard.DIMENSIONS)).astype("<u2")
+    points = rng.poisson(rng.integers(1, 4, (n, 1)), (n, shingles.DIMENSIONS)).astype("<u2")
     points[n // 2:] = points[:n - n // 2]
     sizes, component = points.sum(axis=1).astype(np.int64), rng.integers(0, max(1, n // 2), n)
     got = {tuple(p) for p in jaccard.Tree(points, sizes, component).join(jaccard.Tree(points, sizes, component), rule, (component, component)).tolist()}
@@ -158,10 +158,10 @@ def test_counts_beyond_a_byte_exclude_nothing():
     large = [np.unique(rng.integers(0, 2**64, 90_000, dtype=np.uint64)) for _ in range(2)]
     large.append(np.unique(np.concatenate([large[0][:88_000], large[1][:2_000]])))
     sizes = np.array([len(s) for s in large])
-    codes = np.frombuffer(b"".join(jaccard.count_codes(large)), np.uint8).reshape(3, -1)
+    codes = np.frombuffer(b"".join(shingles.count_codes(large)), np.uint8).reshape(3, -1)
     assert (codes == 255).all()
     assert jaccard.bounded(rule)(sizes, codes, sizes[::-1], codes[::-1]).all()
-    small = np.frombuffer(b"".join(jaccard.count_codes([large[0][:200], large[1][:200]])), np.uint8).reshape(2, -1)
+    small = np.frombuffer(b"".join(shingles.count_codes([large[0][:200], large[1][:200]])), np.uint8).reshape(2, -1)
     assert not jaccard.bounded(rule)(np.array([200]), small[:1], np.array([200]), small[1:]).any()
     tree = jaccard.Tree(codes, sizes, np.arange(3))
     assert {(0, 2), (0, 1)} <= {tuple(p) for p in tree.join(tree, rule, (np.arange(3), np.arange(3))).tolist()}
@@ -243,9 +243,9 @@ def test_no_similar_window_is_lost(spark):
     bench = spark.createDataFrame([*enumerate(map(" ".join, items)), (99, " ".join(items[3]))], "item_id long, text string")
     want = {}
     for i, words in docs:
-        shingles = set(weighted(words))
+        held = set(weighted(words))
         for k, item in [*enumerate(items), (99, items[3])]:
-            if shingles & set(weighted(item)):
+            if held & set(weighted(item)):
                 n = len(item)
                 best = max(similarity(words[s:s + n], item) for s in range(max(1, len(words) - n + 1)))
                 if best >= 0.8:
