@@ -4,8 +4,8 @@ import operator
 import pytest
 
 from cleanframe.operators.joins import Pair, join_tables, plan_joins
-from cleanframe.plans import ordering
-from cleanframe.plans.inequality import inequality_join
+from cleanframe.plans import inequality
+from cleanframe.plans.inequality import inequality_join, ranges_of_both
 from tests.conftest import rows
 
 OPS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "<>": operator.ne}
@@ -57,9 +57,10 @@ def test_plan_errors(tables):
 
 
 @pytest.mark.parametrize("op", OPS)
-@pytest.mark.parametrize("range_rows", [200_000, 4])
-def test_inequality_join(spark, monkeypatch, op, range_rows):
-    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", range_rows)
+@pytest.mark.parametrize("side,pairs", [(10_000, 100_000_000), (3, 9), (2, 30)])
+def test_inequality_join(spark, monkeypatch, op, side, pairs):
+    monkeypatch.setattr(inequality, "SIDE_ROWS", side)
+    monkeypatch.setattr(inequality, "RECTANGLE_PAIRS", pairs)
     left = [(i, v) for i, v in enumerate([1, 5, 5, 5, 9, 20, None, -3])]
     right = [(i, v) for i, v in enumerate([5.0] * 12 + [1.0, 0.5, 9.0, 9.5, None, 100.0, -7.0])]
     got = inequality_join(spark.createDataFrame(left, "i int, a int"), spark.createDataFrame(right, "j int, b double"),
@@ -76,3 +77,24 @@ def test_inequality_join_on_text(spark):
     right = spark.createDataFrame([("a",), ("b",), ("c",)], "b string")
     assert rows(inequality_join(left, right, "a", ">", "b"), "a", "b") == [
         ("b", "a"), ("d", "a"), ("d", "b"), ("d", "c")]
+
+
+def test_rectangles_follow_both_sides():
+    assert ranges_of_both(1_000, 1_000) == (1, 1)
+    assert ranges_of_both(1_000_000, 1_000_000) == (100, 100)
+    assert ranges_of_both(50_000_000, 100) == (50, 1) and ranges_of_both(100, 50_000_000) == (1, 50)
+    assert ranges_of_both(0, 10) == (1, 1)
+
+
+def test_tasks_grow_with_the_left_side(spark, monkeypatch):
+    """A small right side and a large left one: the join has a task per rectangle, and a hot left value spans several."""
+    monkeypatch.setattr(inequality, "SIDE_ROWS", 100)
+    monkeypatch.setattr(inequality, "RECTANGLE_PAIRS", 1_000)
+    right = spark.createDataFrame([(i,) for i in range(10)], "b long")
+    tasks = {}
+    for n in (1_000, 4_000):
+        left = spark.range(n).selectExpr("id AS i", "CASE WHEN id % 3 = 0 THEN 5L ELSE id % 10 END AS a")
+        joined = inequality_join(left, right, "a", "<", "b")
+        tasks[n] = joined.rdd.getNumPartitions()
+        assert joined.count() == sum(9 - (5 if i % 3 == 0 else i % 10) for i in range(n))
+    assert tasks[1_000] == 10 and tasks[4_000] == 40
