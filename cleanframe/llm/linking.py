@@ -33,7 +33,7 @@ from cleanframe.plans.storage import Scratch
 BLOCK = 2_000
 SMALL = 64
 BUNDLE_ROWS = 20_000
-CHUNK_PAIRS = 100_000
+CHUNK_PAIRS = 20_000
 ROUNDS = 8
 MAP_BITS = 1 << 26
 BATCH_BYTES = "16m"
