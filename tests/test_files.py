@@ -152,3 +152,39 @@ def test_load_appends(spark, folder):
         load(spark, f"{folder}/cars2.csv", "cats", existing={"cars": cars}, append=True)
     with pytest.raises(ValueError, match="exist already"):
         load(spark, f"{folder}/cars2.csv", "cars", existing={"cars": cars}, append=False)
+
+
+@pytest.mark.parametrize("size", [700, 6000, 100_000])
+def test_csv_with_quoted_line_ends_in_many_splits(spark, folder, size):
+    """Rows cut by any split, values longer than a split, empty lines, quotes inside, \\r\\n, and a second file."""
+    import csv
+    import random
+    rng = random.Random(size)
+
+    def value():
+        return "".join(rng.choice(["a", "b", ",", '"', "\n", " ", "é", "line\n\nend"]) for _ in range(rng.choice([1, 3, 8, 300]))) + "x"
+
+    want = []
+    for name, end in (("a.csv", "\n"), ("b.csv", "\r\n")):
+        table = [(f"r{i}", value(), value()) for i in range(60)]
+        path = os.path.join(folder, "many", name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w", newline="") as out:
+            writer = csv.writer(out, lineterminator=end)
+            writer.writerow(["k", "first", "second"])
+            for i, row in enumerate(table):
+                writer.writerow(row)
+                if i % 20 == 0:
+                    out.write(end)
+        want += table
+    settings = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+    for key, v in settings.items():
+        spark.conf.set(key, v)
+    try:
+        tasks = spark.read.text(os.path.join(folder, "many", "a.csv")).rdd.getNumPartitions()
+        got = rows(read_csv(spark, os.path.join(folder, "many")))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert [r[0] for r in got] == list(range(1, 121)) and [r[1:] for r in got] == want
+    assert size > 6000 or tasks > 1
