@@ -256,3 +256,14 @@ def review_next(spark, d):
 def find_duplicates(spark, d):
     found = detect.find_duplicates(table(spark, d, "part"), PART_KEY, PART_EXACT, PART_SIMILAR, "p_partkey")
     return found.clusters
+
+
+@query("review_stay", f"""
+    {SAME_TEXT} SELECT doc_id, group_id, group_id = 1 AND doc_id > first AS delete FROM documents JOIN g USING (text)""")
+def review_stay(spark, d):
+    """All but the first member of the first cluster are marked, and the review stays at that cluster."""
+    documents, clusters = _same_text(spark, d)
+    current = clusters.where(F.col("group_id") == review.next_group(clusters))
+    first = current.agg(F.min("doc_id")).first()[0]
+    marks = current.where(F.col("doc_id") > first).select("doc_id")
+    return review.mark_and_stay(documents, clusters, marks, "doc_id").clusters

@@ -181,6 +181,24 @@ def undo(spark, d):
     return changes.undo(after, changes.diff(before, after, "o_orderkey"))
 
 
+@query("undo_logged", """
+    SELECT o_orderkey, o_totalprice, o_orderpriority, 2 AS actions, 1 AS undone, 'Removed outliers' AS still_open FROM orders
+    WHERE NOT o_totalprice > 400000""")
+def undo_logged(spark, d):
+    """Two logged changes of the orders, the second one undone: the rows as after the first, and what the log says."""
+    log = history.ActionLog(spark, new_folder(spark, "log"))
+    raw = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    first = predicates.remove_outliers(raw, "o_totalprice", 400000)
+    log.add("orders", "Removed outliers")
+    second = replace.find_replace(first, "o_orderpriority", "full replace", "5-LOW", "5-LATER").where("o_orderkey % 5 <> 0")
+    action = log.add("orders", "Replaced 5-LOW and removed rows")
+    back = changes.undo(second, changes.diff(first, second, "o_orderkey"))
+    log.undo(action)
+    said = log.read().agg(F.count("*").cast("int").alias("actions"), F.count_if("undone").cast("int").alias("undone"),
+                          F.max(F.when(~F.col("undone"), F.col("action_desc"))).alias("still_open")).first()
+    return back.select("*", *[F.lit(said[c]).alias(c) for c in ("actions", "undone", "still_open")])
+
+
 @query("snapshot_restore", "SELECT * FROM orders WHERE NOT o_totalprice > 200000")
 def snapshot_restore(spark, d):
     store = versions.VersionStore(spark, new_folder(spark, "versions"))

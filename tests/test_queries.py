@@ -6,7 +6,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, bag
 
-SLOW = {"classify_pairs", "find_duplicates"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
