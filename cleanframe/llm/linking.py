@@ -4,9 +4,10 @@ Sets come as rows (doc_id, n, h1, h2, code): the size, a hash of 128 bits, and s
 can be. Equal sets are one node. Given (key, node), every two nodes of a key are compared unless links join them already or the
 bound excludes them. Pairs are never listed for a whole bucket:
 
-1. each node is held against the centre of one of its buckets: the node that meets most others over all its own buckets, as the text
-   does that near copies were made from. Of its centres it takes the one that it meets most often;
-2. where a bucket then holds several groups, each node outside the largest one is held against one node of it, chosen anew in every
+1. each node is held against the smallest or largest node of its buckets, the one of these it meets most often; then, where a bucket
+   holds several groups, against its centre: the node that meets most others over all its own buckets, as the text does that near
+   copies were made from;
+2. where a bucket still holds several groups, each node outside the largest one is held against one node of it, chosen anew in every
    round, until a round links nothing or `ROUNDS` are over. This is linear in the bucket;
 3. what is left of such buckets is cut into blocks of `BLOCK` nodes, and a task compares the codes of two blocks.
 
@@ -216,6 +217,11 @@ class Linker:
                    .where("low != high").select("key"))
         return placed.join(several, "key", "left_semi")
 
+    def _fewer(self, members: DataFrame) -> DataFrame:
+        left = self.scratch.put(self.divided(members))
+        self.scratch.drop(members)
+        return left
+
     def _try(self, pairs: DataFrame, tried: list[DataFrame]) -> tuple[bool, bool]:
         """(was a pair possible, was one a link) of pairs that were not tried before."""
         for table in tried:
@@ -229,23 +235,21 @@ class Linker:
 
     def run(self, buckets: DataFrame, compare: Compare) -> DataFrame:
         """(node, component) of all linked nodes, from buckets (key, node, low, high, nodes)."""
-        larger = buckets.where("nodes > 2").select("key", "node", "nodes")
-        met = larger.groupBy("node").agg(F.sum("nodes").alias("met"))
-        centres = larger.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("centre")).select("key", F.col("centre.node").alias("end"))
-        ends = larger.join(centres, "key").where("node != end").select("node", "end")
+        larger = buckets.where("nodes > 2")
+        ends = larger.select("node", F.explode(F.array("low", "high")).alias("end")).where("node != end")
         star = _most_often(ends).unionByName(buckets.where("nodes = 2 AND node = low").select("node", F.col("high").alias("end")))
         tried: list[DataFrame] = []
         self._try(_pairs(star), tried)
         members = self.scratch.put(self.divided(larger))
+        if not members.isEmpty() and self._try(_pairs(_most_often(_centres(members))), tried)[1]:
+            members = self._fewer(members)
         for turn in range(ROUNDS):
             if members.isEmpty():
                 break
             _, linked = self._try(_pairs(_most_often(_pivots(members, turn))), tried)
             if not linked:
                 break
-            fewer = self.scratch.put(self.divided(members))
-            self.scratch.drop(members)
-            members = fewer
+            members = self._fewer(members)
         further = _residual(members, self.points, self.close, compare)
         for table in tried:
             further = further.join(table, ["a", "b"], "left_anti")
@@ -272,6 +276,15 @@ def _most_often(ends: DataFrame) -> DataFrame:
     return times.groupBy("node").agg(F.max(F.struct("times", "end")).alias("best")).select("node", F.col("best.end").alias("end"))
 
 
+def _centres(placed: DataFrame) -> DataFrame:
+    """(node, end): in each bucket, every node with the one that meets most others over all its own buckets."""
+    sizes = placed.groupBy("key").agg(F.count("*").alias("nodes"))
+    met = placed.join(sizes, "key").groupBy("node").agg(F.sum("nodes").alias("met"))
+    centres = (placed.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node", "component")).alias("centre"))
+               .select("key", F.col("centre.node").alias("end"), F.col("centre.component").alias("own")))
+    return placed.join(centres, "key").where("component != own").select("node", "end")
+
+
 def _pivots(placed: DataFrame, turn: int) -> DataFrame:
     """(node, end): in each bucket, every node outside the largest component with one node of the largest."""
     per = placed.groupBy("key", "component").agg(
