@@ -4,32 +4,47 @@ A document is the set of its distinct k-word shingles. Two documents link when d
 
 Equal sets are one node, described once. For unequal ones, the sets of a link differ in at most d = (|A| + |B|) (den - num) / (den + num)
 shingles. Shingles are hashed into more than d groups, so some group holds the same shingles in both: documents meet in a
-bucket for each (size level, group, group's shingles), and no link can miss all of its buckets.
-
-Buckets with the same members count once. `linking` says how they are worked off without listing their pairs. Documents are points:
-their shingles are hashed into `DIMENSIONS` groups, and the group counts are the coordinates. The overlap of two sets is at most the
-sum of the smaller coordinates, which decides whether a pair is verified on its exact sets. Blocks of a bucket that still holds several
-groups are packed into R-trees; two tree nodes whose upper corners sum to less than a link of their sizes needs, or that hold one
-group alone, are passed over as a whole.
+bucket for each (size level, group, group's shingles), and no link can miss all of its buckets. In a bucket
+
+Buckets with the same members count once. Then
+
+1. the two nodes of a bucket of two are a candidate pair; in a larger bucket every node is held against the bucket's smallest
+   and largest node, and it keeps the one of these that it meets in most buckets. Where a bucket then holds several
+   components, each node outside the largest one is held against one node of it, chosen anew in every round, until a round
+   links nothing or `ROUNDS` are over. This joins groups of near copies in linear work a round;
+2. where a bucket still holds several components, its documents become points: their shingles are hashed into `DIMENSIONS`
+   groups, and the group counts are the coordinates. Points are packed into the nodes of an R-tree. The overlap of two sets is at
+   most the sum of the smaller coordinates; two tree nodes whose upper corners sum to less than a link of their sizes needs, or
+   that hold one component alone, are passed over as a whole. Buckets are cut into blocks of `BLOCK` documents, so no task
+   holds a whole frequent bucket;
+3. pairs that survive the bound are verified on their exact sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil, exp, floor, sqrt
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref
-from cleanframe.llm.common import mix
-from cleanframe.llm.linking import Close, Compare, Linker, Nodes, bounded_batches, buckets, described, groups_of, sets_of
-from cleanframe.llm.shingles import ODD, Rule, count_codes, overlap_bound
+from cleanframe.llm.common import map_texts, mix
+from cleanframe.llm.linking import bounded_batches
+from cleanframe.llm.shingles import DIMENSIONS, ODD, Rule, shingle_sets
+from cleanframe.operators.dedup.components import connected_components
 from cleanframe.plans.storage import Scratch, stored
 
+MOST = 0xFFFF
 LEAF = 32
+BLOCK = 2_000
 LEVEL_RATIO = 1.6
+ROUNDS = 8
+MAP_BITS = 1 << 26
 
 
 @lru_cache(maxsize=None)
@@ -58,6 +73,16 @@ def _class_of(rule: Rule, size: int) -> int:
     return level
 
 
+def _node(found: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(found.tobytes()), "little", signed=True)
+
+
+def _counts(found: np.ndarray) -> bytes:
+    """The group counts. A set with a count too large for 16 bits gets the largest everywhere, which no bound excludes."""
+    counts = np.bincount((found >> np.uint64(8)) % np.uint64(DIMENSIONS), minlength=DIMENSIONS)
+    return (counts if counts.max() < MOST else np.full(DIMENSIONS, MOST)).astype("<u2").tobytes()
+
+
 def bucket_keys(found: np.ndarray, rule: Rule) -> np.ndarray:
     """The buckets of a set: 48-bit hashes of (level, group, shingles in the group), from the level of the smallest
     possible partner to its own. Empty groups are listed by sets with more of them than the level spares."""
@@ -76,6 +101,90 @@ def bucket_keys(found: np.ndarray, rule: Rule) -> np.ndarray:
     return (np.concatenate(parts) >> np.uint64(16)).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
+def _described(docs: DataFrame, rule: Rule, id_col: str, text: str) -> DataFrame:
+    """(doc_id, n, node, counts, keys). node, counts and keys are NULL for an empty set."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def work():
+        def step(batch: pa.RecordBatch) -> dict:
+            sets = shingle_sets(batch.column("_text").to_pylist(), rule.words)
+            nodes = [_node(s) if len(s) else None for s in sets]
+            return {"doc_id": batch.column("_id"), "n": [len(s) for s in sets], "node": nodes,
+                    "counts": [_counts(s) if len(s) else None for s in sets], "keys": [bucket_keys(s, rule) if len(s) else None for s in sets]}
+
+        return step
+
+    named = docs.select(ref(id_col).alias("_id"), ref(text).alias("_text"))
+    return map_texts(named, "_text", f"doc_id {kind}, n long, node long, counts binary, keys array<long>", work)
+
+
+def _sets_of(docs: DataFrame, holders: DataFrame, rule: Rule, id_col: str, text: str) -> DataFrame:
+    """(node, shingles) of the documents whose ids are in `holders` (doc_id). A bitmap of at most `MAP_BITS` bits, which every
+    holder passes, keeps most other documents out; some may be listed that are no holders, and nodes more than once."""
+    bits = min(MAP_BITS, 1 << max(10, (32 * holders.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    cells = (holders.groupBy(F.shiftright(place, 5).alias("cell"))
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(31).cast("int"))).alias("set")).toPandas())
+    bitmap = np.zeros(bits >> 5, np.uint32)
+    bitmap[cells["cell"].to_numpy(np.int64)] = cells["set"].to_numpy(np.int64).astype(np.uint32)
+
+    def work():
+        def step(batch: pa.RecordBatch) -> dict:
+            at = batch.column("_place").to_numpy()
+            held = (bitmap[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+            sets = shingle_sets(batch.column("_text").filter(pa.array(held)).to_pylist(), rule.words)
+            sets = [s for s in sets if len(s)]
+            return {"node": [_node(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+
+        return step
+
+    named = docs.select(F.pmod(F.xxhash64(ref(id_col)), F.lit(bits)).alias("_place"), ref(text).alias("_text"))
+    return map_texts(named, "_text", "node long, shingles binary", work)
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sizes and summed smaller coordinates allow a link."""
+    points = _of_pairs(points.select("node", "n", "counts"), pairs)
+    both = (pairs.join(points.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("counts").alias("ac")), "a")
+            .join(points.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("counts").alias("bc")), "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("an").to_numpy() + batch.column("bn").to_numpy()
+            least = np.minimum(_points(batch.column("ac")), _points(batch.column("bc"))).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(least >= rule.needed(total)))
+
+    return both.select("a", "b", "an", "bn", "ac", "bc").mapInArrow(run, "a long, b long")
+
+
+def _of_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The table's rows of nodes in the pairs, so that no others are shuffled."""
+    return table.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), "<u2").reshape(len(values), DIMENSIONS)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that are links."""
+    sets = _of_pairs(sets, pairs)
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("as")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("bs")), "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("as"), batch.column("bs")):
+                one, two = (np.frombuffer(s.as_buffer(), "<u8") for s in (x, y))
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(rule.den * common >= rule.num * (len(one) + len(two) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "as", "bs").mapInArrow(run, "a long, b long").distinct()
+
+
 class Tree:
     """A packed R-tree over count vectors: leaves of `LEAF` points in the order of (component, size, coordinates), and
     above them nodes of as many children, each with its upper corner, its smallest and largest size and its component
@@ -113,7 +222,7 @@ class Tree:
         found = []
         for i, j in zip(left.tolist(), right.tolist()):
             x, y = slice(i * LEAF, (i + 1) * LEAF), slice(j * LEAF, (j + 1) * LEAF)
-            least = overlap_bound(self.points[x][:, None, :], other.points[y][None, :, :])
+            least = np.minimum(self.points[x][:, None, :], other.points[y][None, :, :]).sum(axis=2, dtype=np.int64)
             total = self.sizes[x][:, None] + other.sizes[y][None, :]
             p, q = np.nonzero((least >= rule.needed(total)) & (mine[x][:, None] != theirs[y][None, :]))
             if len(p):
@@ -125,7 +234,7 @@ class Tree:
         keep = np.zeros(len(left), bool)
         for s in range(0, len(left), 16_384):
             i, j = left[s:s + 16_384], right[s:s + 16_384]
-            least = overlap_bound(a[0][i], b[0][j])
+            least = np.minimum(a[0][i], b[0][j]).sum(axis=1, dtype=np.int64)
             sizes = (rule.den * b[2][j] >= rule.num * a[1][i]) & (rule.den * a[2][i] >= rule.num * b[1][j])
             keep[s:s + 16_384] = (least >= rule.needed(a[1][i] + b[1][j])) & sizes & ((a[3][i] < 0) | (a[3][i] != b[3][j]))
         return keep
@@ -152,51 +261,168 @@ def _children(left, right, left_count, right_count):
     return np.repeat(a, pairs) + place // wide, np.repeat(b, pairs) + place % wide
 
 
-def tree_join(rule: Rule) -> Compare:
-    """Compares two blocks, or one with itself, by their R-trees."""
-
-    def compare(size: np.ndarray, points: np.ndarray, component: np.ndarray, side: np.ndarray, key: int) -> np.ndarray:
-        _, component = np.unique(component, return_inverse=True)
+def _cross_component(table: pa.Table, rule: Rule) -> pa.Table:
+    """Candidate pairs of one block pair: side 0 against side 1, or the rows of one block among themselves."""
+    side = table.column("side").to_numpy()
+    node, size = table.column("node").to_numpy(), table.column("n").to_numpy()
+    points = _points(table.column("counts").combine_chunks())
+    _, component = np.unique(table.column("component").to_numpy(), return_inverse=True)
+    if side.min() == side.max():
+        tree = Tree(points, size, component)
+        pairs = tree.join(tree, rule, (component, component))
+        a, b = node[pairs[:, 0]], node[pairs[:, 1]]
+    else:
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(x) or not len(y):
-            tree = Tree(points, size, component)
-            return tree.join(tree, rule, (component, component))
         # Components of the two trees are compared point by point; whole nodes of one component are not passed over here.
         one, two = Tree(points[x], size[x], component[x]), Tree(points[y], size[y], component[y])
         for tree, own in ((one, component[x]), (two, component[y])):
             tree.levels = [(t, lo, hi, np.where(c >= 0, own[tree.order][np.minimum(np.arange(len(c)) * LEAF ** (k + 1), len(own) - 1)], -1))
                            for k, (t, lo, hi, c) in enumerate(tree.levels)]
         pairs = one.join(two, rule, (component[x], component[y]))
-        return np.column_stack([x[pairs[:, 0]], y[pairs[:, 1]]])
+        a, b = node[x[pairs[:, 0]]], node[y[pairs[:, 1]]]
+    keep = a != b
+    return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
 
-    return compare
+def _residual(placed: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
+    """Candidate pairs across components in the buckets that hold several.
 
+    The rows of a bucket's largest component form one side, all others the other; both are cut into blocks by a hash. Only
+    the smaller side is repeated, once per block of the larger."""
+    per = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    buckets = (per.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"))
+               .select("key", F.col("main.component").alias("main"), F.ceil(F.col("main.rows") / BLOCK).cast("int").alias("mains"),
+                       F.ceil((F.col("all") - F.col("main.rows")) / BLOCK).cast("int").alias("others")))
+    own = placed.join(buckets, "key").withColumn("is_main", F.col("component") == F.col("main"))
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
 
-def bounded(rule: Rule) -> Close:
-    """Whether sizes and counts allow a link."""
+    def cells(one, two, side):
+        return F.struct(one.cast("int").alias("one"), two.cast("int").alias("two"), side.alias("side"))
 
-    def close(n: np.ndarray, counts: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
-        return overlap_bound(counts, others) >= rule.needed(n + m)
+    def upto(n):
+        return F.sequence(F.lit(0), n - 1)
 
-    return close
+    across = F.when(F.col("is_main"), F.transform(upto(F.col("others")), lambda k: cells(F.col("block"), k, F.lit(0)))).otherwise(
+        F.transform(upto(F.col("mains")), lambda k: cells(k, F.col("block"), F.lit(1))))
+    among = F.when(F.col("is_main"), F.array().cast("array<struct<one:int,two:int,side:int>>")).otherwise(
+        F.transform(upto(F.col("others")), lambda k: cells(
+            -1 - F.least(F.col("block"), k), F.greatest(F.col("block"), k), F.when(F.col("block") <= k, 0).otherwise(1))))
+    spread = (own.withColumn("block", block).select("key", "node", "component", F.explode(F.concat(across, among)).alias("cell"))
+              .select("key", "node", "component", "cell.*").join(points, "node"))
+    pairs = (spread.select("key", "one", "two", "side", "node", "component", "n", "counts").groupBy("key", "one", "two")
+             .applyInArrow(lambda table: _cross_component(table, rule), "a long, b long"))
+    return pairs.distinct()
 
 
 def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; component_id is the smallest id reachable by links.
 
     A NULL text or one without words has no shingles and stays alone. Rows that repeat an id or a text are linked like any
-    others; a row without id is linked too and gets the smallest id of its group, NULL if there is none. No rows give none. The tables
-    that the result is read from stay in the shared folder.
+    others; a row without id is linked too and gets the smallest id of its group, NULL if there is none. No rows give none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     with bounded_batches(spark):
-        nodes = Nodes(scratch, described(docs, rule, id_col, text, count_codes, lambda found: bucket_keys(found, rule)))
-        met = scratch.put(buckets(nodes.points.select("node", F.explode("keys").alias("key"))))
-        holders = nodes.points.join(met.select("node").distinct(), "node", "left_semi").select(F.col("smallest").alias("doc_id"))
-        sets = scratch.put(nodes.named(sets_of(docs, holders, rule, id_col, text)))
-        component = Linker(scratch, nodes, rule, bounded(rule), sets).run(met, tree_join(rule))
-        return groups_of(nodes, component)
+        described = scratch.put(_described(docs, rule, id_col, text))
+        first = [F.first(c).alias(c) for c in ("n", "counts", "keys")]
+        whole = scratch.put(described.where(F.col("node").isNotNull()).groupBy("node").agg(*first, F.min("doc_id").alias("smallest")))
+        named = scratch.put(described.select("doc_id", "n", "node"))
+        scratch.drop(described)
+        met = scratch.put(_buckets(whole.select("node", F.explode("keys").alias("key"))))
+        points = scratch.put(whole.drop("keys"))
+        scratch.drop(whole)
+        holders = points.join(met.select("node").distinct(), "node", "left_semi").select(F.col("smallest").alias("doc_id"))
+        sets = scratch.put(_sets_of(docs, holders, rule, id_col, text))
+
+        ends = met.where("nodes > 2").select("node", F.explode(F.array("low", "high")).alias("end")).where("node != end")
+        star = _most_often(ends).unionByName(met.where("nodes = 2 AND node = low").select("node", F.col("high").alias("end")))
+        pairs = scratch.put(_pairs(star))
+        tried = [scratch.put(_bounded(pairs, points, rule))]
+        scratch.drop(pairs)
+        links = [scratch.put(_verified(tried[0], sets, rule))]
+        component = scratch.put(connected_components(links[0], "a", "b"))
+        members = scratch.put(_divided(met.where("nodes > 2").select("key", "node"), component))
+        scratch.drop(met)
+        for turn in range(ROUNDS):
+            pairs = scratch.put(_without(_pairs(_most_often(_pivots(members, turn))), tried))
+            tried.append(scratch.put(_bounded(pairs, points, rule)))
+            fresh = scratch.put(_verified(tried[-1], sets, rule))
+            scratch.drop(pairs)
+            if fresh.isEmpty():
+                break
+            links.append(fresh)
+            component = _joined(scratch, component, fresh)
+            fewer = scratch.put(_divided(members, component))
+            scratch.drop(members)
+            members = fewer
+        further = scratch.put(_without(_residual(members, points.select("node", "n", "counts"), rule), tried))
+        scratch.drop(members, *tried)
+        if not further.isEmpty():
+            component = _joined(scratch, component, scratch.put(_verified(further, sets, rule)))
+        scratch.drop(sets)
+        placed = points.join(component, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("component"))
+        smallest = placed.groupBy("component").agg(F.min("smallest").alias("component_id"))
+        known = scratch.put(placed.join(smallest, "component").select("node", "component_id"))
+        scratch.clear(named, known)
+    return (named.join(known, "node", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+
+
+def _without(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    for table in tried:
+        pairs = pairs.join(table, ["a", "b"], "left_anti")
+    return pairs
+
+
+def _joined(scratch: Scratch, component: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) with the components that the links connect joined; only components take part, and nodes that had none."""
+    between = (links.join(component.withColumnRenamed("node", "a"), "a", "left").withColumn("x", F.coalesce("component", "a")).drop("component")
+               .join(component.withColumnRenamed("node", "b"), "b", "left").withColumn("y", F.coalesce("component", "b")))
+    joined = scratch.put(connected_components(between.select("x", "y"), "x", "y"))
+    moved = component.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
+        "node", F.coalesce("to", "component").alias("component"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(component.select("node"), "node", "left_anti")
+    out = scratch.put(moved.unionByName(ends.join(joined, "node").select("node", "component")))
+    scratch.drop(joined, component)
+    return out
+
+
+def _pairs(ends: DataFrame) -> DataFrame:
+    return ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+
+
+def _most_often(ends: DataFrame) -> DataFrame:
+    """(node, end): for each node the end that it is listed with most often."""
+    times = ends.groupBy("node", "end").agg(F.count("*").alias("times"))
+    return times.groupBy("node").agg(F.max(F.struct("times", "end")).alias("best")).select("node", F.col("best.end").alias("end"))
+
+
+def _divided(members: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, node, component) in the buckets that hold several components; others need no further look."""
+    placed = (members.select("key", "node").join(component.select("node", "component"), "node", "left")
+              .select("key", "node", F.coalesce("component", "node").alias("component")))
+    several = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+               .where("low != high").select("key"))
+    return placed.join(several, "key", "left_semi")
+
+
+def _pivots(placed: DataFrame, turn: int) -> DataFrame:
+    """(node, end): in each bucket, every node outside the largest component with one node of the largest."""
+    per = placed.groupBy("key", "component").agg(
+        F.count("*").alias("rows"), F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node")).alias("pivot"))
+    main = (per.groupBy("key").agg(F.max(F.struct("rows", "component", "pivot")).alias("main"))
+            .select("key", F.col("main.component").alias("main"), F.col("main.pivot.node").alias("end")))
+    return placed.join(main, "key").where("component != main").select("node", "end")
+
+
+def _buckets(signatures: DataFrame) -> DataFrame:
+    """(key, node, low, high, nodes) of the buckets of several nodes; of buckets with the same members one. Their smallest
+    and largest node, their number and the members' hashes together tell whether they are the same."""
+    held = (signatures.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("nodes"),
+                                          F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark")).where("nodes > 1"))
+    one = held.groupBy("low", "high", "nodes", "mark").agg(F.min("key").alias("key"))
+    return signatures.join(one.select("key", "low", "high", "nodes"), "key")
 
 
 def one_of_each_group(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import TABLES, bag
-from cleanframe.llm import decontaminate, jaccard, linking, secrets, shingles, toolcalls
+from cleanframe.llm import decontaminate, jaccard, secrets, shingles, toolcalls
 from cleanframe.llm.queries import ORACLES, QUERIES
 from tests.conftest import rows
 from tests.llm.test_texts import DOC_SCHEMA, ODD_DOCS, WORD, empty, odd  # noqa: F401
@@ -92,8 +92,7 @@ def corpus(seed=1):
 
 @pytest.mark.parametrize("rule", [jaccard.Rule(4, 85, 100), jaccard.Rule()])
 def test_groups(spark, monkeypatch, rule):
-    monkeypatch.setattr(linking, "BLOCK", 16)
-    monkeypatch.setattr(linking, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
     docs = corpus()
     got = jaccard.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"), rule)
     assert sorted(map(tuple, got.collect()), key=str) == brute_groups(docs, rule)
@@ -101,9 +100,8 @@ def test_groups(spark, monkeypatch, rule):
 
 def test_groups_without_pivots(spark, monkeypatch):
     """The R-tree alone finds what the rounds before it would have linked."""
-    monkeypatch.setattr(linking, "BLOCK", 16)
-    monkeypatch.setattr(linking, "SMALL", 4)
-    monkeypatch.setattr(linking, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
     docs = corpus(2)
     rule = jaccard.Rule(4, 85, 100)
     got = jaccard.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"), rule)
@@ -152,21 +150,6 @@ def test_tree_join_loses_no_pair(n, seed):
     assert want <= got
 
 
-def test_counts_beyond_a_byte_exclude_nothing():
-    rule = jaccard.Rule(4, 85, 100)
-    rng = np.random.default_rng(3)
-    large = [np.unique(rng.integers(0, 2**64, 90_000, dtype=np.uint64)) for _ in range(2)]
-    large.append(np.unique(np.concatenate([large[0][:88_000], large[1][:2_000]])))
-    sizes = np.array([len(s) for s in large])
-    codes = np.frombuffer(b"".join(shingles.count_codes(large)), np.uint8).reshape(3, -1)
-    assert (codes == 255).all()
-    assert jaccard.bounded(rule)(sizes, codes, sizes[::-1], codes[::-1]).all()
-    small = np.frombuffer(b"".join(shingles.count_codes([large[0][:200], large[1][:200]])), np.uint8).reshape(2, -1)
-    assert not jaccard.bounded(rule)(np.array([200]), small[:1], np.array([200]), small[1:]).any()
-    tree = jaccard.Tree(codes, sizes, np.arange(3))
-    assert {(0, 2), (0, 1)} <= {tuple(p) for p in tree.join(tree, rule, (np.arange(3), np.arange(3))).tolist()}
-
-
 # Benchmark passages
 
 def weighted(words):

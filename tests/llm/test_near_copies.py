@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cleanframe.llm import linking, minhash
 from cleanframe.llm.common import documents
 from cleanframe.llm.queries import QUERIES
-from cleanframe.llm.shingles import Rule
+from cleanframe.llm.shingles import Rule, count_codes, overlap_bound
 from cleanframe.plans.storage import Scratch
 from tests.conftest import rows
 from tests.llm.test_links import brute_groups
@@ -95,6 +95,15 @@ def test_every_pair_within_the_radius_meets(seed, distance):
     assert set(a) & set(b)
 
 
+def test_counts_beyond_a_byte_exclude_nothing():
+    rng = np.random.default_rng(3)
+    large = [np.unique(rng.integers(0, 2**64, 90_000, dtype=np.uint64)) for _ in range(2)]
+    codes = np.frombuffer(b"".join(count_codes(large)), np.uint8).reshape(2, -1)
+    assert (codes == 255).all() and (overlap_bound(codes, codes[::-1]) > 90_000).all()
+    small = np.frombuffer(b"".join(count_codes([s[:200] for s in large])), np.uint8).reshape(2, -1)
+    assert overlap_bound(small, small).tolist() == [200, 200] and (overlap_bound(small, small[::-1]) < 170).all()
+
+
 def test_distance_follows_similarity():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.85, 0.95):
