@@ -36,7 +36,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
 
     def work():
         def step(batch: pa.RecordBatch) -> dict:
-            flat, sizes = encoder(path).encode(batch.column("_text").to_pylist(), end)
+            flat, sizes = encoder(path, special=True).encode(batch.column("_text").to_pylist(), end)
             pieces = -(-sizes // capacity)
             row = np.repeat(np.arange(len(sizes)), pieces)
             number = gather(np.zeros(len(sizes), np.int64), pieces)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import os
 import re
 
 import numpy as np
@@ -32,14 +34,16 @@ class _Index(dict):
 
 
 class Encoder:
-    """Ids of a byte-level BPE, special strings being ordinary text.
+    """Ids of a byte-level BPE. The `special` strings (with their ids) are cut out before, others are ordinary text.
 
     The vocabulary's split pattern always cuts before a single blank, so a text is the sequence of its blank-separated
     parts, and each distinct part is encoded once. Texts where a blank stands between white space are encoded whole.
     At most `CACHED` parts are held, besides those of one batch.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: dict[str, int] | None = None):
+        self.special = special or {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if special else None
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encoding = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -70,7 +74,7 @@ class Encoder:
             starts[together] = np.append(0, ends[:-1] + 1)
             lengths[together] = ends - starts[together]
         alone = sorted(set(range(len(new))).difference(together))
-        got = [np.array(self.plain(k[0] if isinstance(k, tuple) else " " + k), np.uint32) for k in map(new.__getitem__, alone)]
+        got = [np.array(self._whole(k[0]) if isinstance(k, tuple) else self.plain(" " + k), np.uint32) for k in map(new.__getitem__, alone)]
         if alone:
             lengths[alone] = sizes = np.array([len(ids) for ids in got], np.int64)
             starts[alone] = len(flat) + np.cumsum(sizes) - sizes
@@ -78,6 +82,10 @@ class Encoder:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, flat, *got])
 
+    def _whole(self, text: str) -> list[int]:
+        """A special string, or text without any."""
+        return [self.special[text]] if text in self.special else self.plain(text)
+
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by `end`; ids of each text with its end)."""
         if len(self.index) > CACHED:
@@ -89,6 +97,8 @@ class Encoder:
             before = len(places)
             if not text:
                 pass
+            elif self.cut and self.cut.search(text):
+                places.extend(find((part,)) for part in self.cut.split(text) if part)
             elif UNSPLIT.search(text):
                 places.append(find((text,)))
             else:
@@ -106,7 +116,16 @@ class Encoder:
         return flat, np.diff(ends, prepend=0)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The special strings of the tokenizer file that lies beside a rank file, with their ids; none if there is no such file."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """One encoder for all tasks of a Python worker, so that its parts stay known."""
-    return Encoder(path)
+    return Encoder(path, added_tokens(path) if special else None)

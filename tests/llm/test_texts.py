@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from cleanframe.llm import chunks, langid, packing, repetition, separators, toxicity
 from cleanframe.llm.common import folds
 from cleanframe.llm.queries import QUERIES
-from cleanframe.llm.tokens import MANY_LANGUAGES, VOCABULARY, Encoder
+from cleanframe.llm.tokens import MANY_LANGUAGES, VOCABULARY, Encoder, added_tokens
 from cleanframe.plans.storage import new_folder
 from tests.conftest import rows
 
@@ -51,9 +51,16 @@ def test_ids_are_those_of_the_tokenizer(texts):
         assert flat[a:b].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids + [2]
 
 
-ENCODER = Encoder(public_tokenizers.path(VOCABULARY))
+ENCODER = Encoder(public_tokenizers.path(VOCABULARY), added_tokens(public_tokenizers.path(VOCABULARY)))
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
+
+
+def test_special_strings_are_cut_out():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> ", "<|endoftext", "plain  text <|endoftext|>\n\n y"]
+    flat, sizes = ENCODER.encode(texts, 2)
+    got = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+    assert got == [TOKENIZER.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert got[0] == [64, 220, 50256, 275, 2]
 
 
 def optimum(sizes, capacity):
