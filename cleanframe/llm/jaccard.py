@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref
-from cleanframe.llm.common import map_texts, mix
+from cleanframe.llm.common import map_texts, mix, unused
 from cleanframe.llm.linking import bounded_batches
 from cleanframe.llm.shingles import DIMENSIONS, ODD, Rule, shingle_sets
 from cleanframe.operators.dedup.components import connected_components
@@ -426,15 +426,23 @@ def _buckets(signatures: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose id is the smallest of its group. Of rows that repeat such an id the smallest
-    row stays. Rows without id stay, as nothing names them."""
-    groups = stored(jaccard_groups(docs, rule, id_col, text).where(F.col("doc_id").isNotNull()))
-    dropped = groups.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(dropped, id_col, "left_anti").select(*[ref(c) for c in docs.columns])
-    repeated = stored(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col))
-                      .agg(F.count("*").alias("rows")).where("rows > 1").select(id_col))
+    """The rows, with all their columns, that come first in their group by id, rows without id last, then by a hash of the text.
+
+    Rows are told apart by id and text, so of two texts under one id only the one that has an earlier near copy goes. Of rows that
+    repeat id and text the smallest stays.
+    """
+    key = unused(docs, "_row")
+    value = F.struct(ref(id_col).isNull().alias("none"), ref(id_col).alias("id"), F.xxhash64(ref(text)).alias("text"))
+    named = docs.withColumn(key, F.to_json(value, {"ignoreNullFields": "false"}))
+    order = F.struct(ref(id_col).isNull().alias("none"), ref(id_col).alias("id"), F.xxhash64(ref(text)).alias("text"), F.col(key).alias("row"))
+    groups = stored(jaccard_groups(named, rule, key, text).select(F.col("doc_id").alias(key), F.col("component_id").alias("_group")))
+    members = stored(named.select(key, order.alias("_order")).join(groups.distinct(), key))
+    first = members.groupBy("_group").agg(F.min("_order").alias("_order")).select(F.col("_order.row").alias(key))
+    columns = [ref(c) for c in docs.columns]
+    kept = named.join(stored(first), key, "left_semi")
+    repeated = stored(members.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key))
     if repeated.isEmpty():
-        return kept
-    least = (kept.join(repeated, id_col, "left_semi").groupBy(ref(id_col))
-             .agg(F.min(F.struct(*[ref(c) for c in docs.columns])).alias("row")).select("row.*"))
-    return kept.join(repeated, id_col, "left_anti").select(*[ref(c) for c in docs.columns]).unionByName(least)
+        return kept.select(*columns)
+    least = (kept.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*columns)).alias(key + "_least"))
+             .select(F.col(key + "_least").alias("least")).select("least.*"))
+    return kept.join(repeated, key, "left_anti").select(*columns).unionByName(least)

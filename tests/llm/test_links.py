@@ -117,6 +117,14 @@ def test_groups_of_odd_rows(spark, odd, empty):  # noqa: F811
     assert jaccard.jaccard_groups(empty).count() == 0 and jaccard.one_of_each_group(empty).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_text(spark):
+    one, own = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    docs = [(1, one, "a"), (2, one + " end", "b"), (2, own, "c"), (None, one, "d"), (None, own + " alone", "e"), (None, "only here", "f"), (3, None, "g"),
+            (3, None, "h"), (4, own, "i")]
+    kept = jaccard.one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string, mark string"), jaccard.Rule())
+    assert rows(kept, "mark") == [("a",), ("c",), ("f",), ("g",)]
+
+
 def test_groups_query(spark, data):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     got = QUERIES["op10_jaccard_join"](spark, data).collect()
