@@ -1,26 +1,34 @@
-"""Benchmark passages in documents, over all windows as long as the item, in DataFrame functions alone.
+"""Benchmark passages in documents, by SimHash over windows as long as the item, in DataFrame functions alone.
 
 1. Words are runs without ASCII white space, letters lowered. Texts are compared by their distinct five-word shingles, each weighted
    by its number of characters: the weight of common shingles must be at least THRESHOLD of the weight of all.
 2. Shingles that a document shares with an item are joined by their hash. Documents are cut into stretches as long as the item; a
-   window that begins in one ends in the next at the latest, so the hits in both hold all that it has in common with the item.
-3. Stretches whose hits weigh less than THRESHOLD of the item hold no similar window. In the others the hits of every window are
-   weighed; those that have enough are compared in full, and the most similar one counts.
-4. Nothing else drops a window. The 64-bit SimHash of the words only tells how far the best window is from the item.
+   window that begins in one ends in the next at the latest, so the hits in both hold all that it has in common with the item, and
+   stretches whose hits weigh less than THRESHOLD of the item hold no similar window.
+3. In each other stretch the window that most hits align with the item gets a 64-bit SimHash of its words. Fingerprints are cut into
+   RADIUS + 1 blocks, so two within RADIUS bits agree on a whole block: windows and items meet on (item, block, its bits), and
+   their distance decides.
+4. Each shingle counts for the windows in which it stands first, a range of starts. Running sums over these ranges give the exact
+   similarity of every window of the stretch, in time linear in the item. They verify what the fingerprints found, choose the best
+   window, and find what no fingerprint within RADIUS led to, so nothing is lost. `found_by` tells the two ways apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref
-from cleanframe.plans.storage import stored
+from cleanframe.llm.common import unused
+from cleanframe.plans.storage import Scratch
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BROADCAST_ROWS = 2_000_000
+RADIUS = 20
+#: Rows of a few numbers each; more are joined without broadcast.
+BROADCAST_ROWS = 500_000
 BLANKS = r"[\x20\x09-\x0D]+"
+STRETCH = ["doc_id", "digest", "item", "n_words", "item_weight", "stretch", "first", "last"]
 
 
 def words_of(text: Column) -> Column:
@@ -36,15 +44,10 @@ def shingle_hashes(words: Column) -> Column:
 
 
 def weighted_shingles(words: Column) -> Column:
-    """Distinct (hash, characters) of the shingles."""
-    last = F.size(words) - SHINGLE
-
-    def one(i):
-        parts = [F.get(words, i + k) for k in range(SHINGLE)]
-        return F.struct(F.xxhash64(*parts).alias("hash"), F.char_length(F.concat(*parts)).cast("long").alias("weight"))
-
-    found = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one))
-    return F.when(last >= 0, found)
+    """(hash, weight) of the shingle at each position; the weight is its number of characters."""
+    sums = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), lambda i: F.char_length(F.concat(
+        *[F.get(words, i + k) for k in range(SHINGLE)])).cast("long"))
+    return F.when(F.size(words) >= SHINGLE, F.arrays_zip(shingle_hashes(words).alias("hash"), sums.alias("weight")))
 
 
 def simhash(words: Column) -> Column:
@@ -59,111 +62,178 @@ def simhash(words: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda all_bits, b: all_bits.bitwiseOR(sign(b)))
 
 
-def weight(shingles: Column) -> Column:
-    return F.aggregate(shingles, F.lit(0).cast("long"), lambda s, x: s + x["weight"])
+def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
+    """(block, its bits): radius + 1 blocks, as even as 64 bits allow."""
+    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft(fingerprint, 64 - b), 64 - b + a).alias("bits"))
+                     for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+
 
+def distinct_weight(shingles: Column) -> Column:
+    """The weight of the distinct shingles among some with repeats. Sorted, as array_distinct compares all structs with each other."""
+    ordered = F.sort_array(F.transform(shingles, lambda x: F.struct(x["hash"].alias("hash"), x["weight"].alias("weight"))))
 
-def distinct_weight(hashes: Column, weights: Column) -> Column:
-    """The weight of the distinct shingles among some with repeats."""
-    each = F.array_distinct(F.arrays_zip(hashes.alias("hash"), weights.alias("weight")))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.aggregate(weights, F.lit(0).cast("long"), lambda s, w: s + w)) \
-        .otherwise(weight(each))
+    def step(state, x):
+        fresh = state["last"].isNull() | (state["last"] != x["hash"])
+        return F.struct(x["hash"].alias("last"), (state["sum"] + F.when(fresh, x["weight"]).otherwise(0)).alias("sum"))
+
+    first = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("sum"))
+    return F.aggregate(ordered, first, step, lambda state: state["sum"])
 
 
 def items_of(benchmark: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(item, n_words, item_weight, item_print, item_shingles, item_ids): each text of enough words once."""
+    """(item, n_words, item_weight, item_print, item_words, item_ids): each text of enough words once, numbered."""
     named = benchmark.select(ref(id_col).alias("item_id"), words_of(ref(text)).alias("words")).where(F.size("words") >= SHINGLE)
     # A struct, as NULL ids count too.
     texts = named.groupBy("words").agg(F.collect_set(F.struct("item_id")).alias("item_ids"))
-    shingled = texts.withColumn("item_shingles", weighted_shingles(F.col("words")))
-    return shingled.select(F.sha2(F.array_join("words", " "), 256).alias("item"), F.size("words").alias("n_words"),
-                           weight(F.col("item_shingles")).alias("item_weight"), simhash(F.col("words")).alias("item_print"),
-                           "item_shingles", "item_ids")
-
-
-def stretches_of(docs: DataFrame, items: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
-    """(doc_id, digest, item, n_words, item_weight, windows): the windows (start, common weight) whose common shingles alone could make
-    them similar, by stretches of the document. `digest` tells apart the rows of an id."""
-    places = items.select("item", "n_words", "item_weight", F.inline("item_shingles"))
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
+    return texts.select(F.monotonically_increasing_id().alias("item"), F.size("words").alias("n_words"),
+                        distinct_weight(weighted_shingles(F.col("words"))).alias("item_weight"), simhash(F.col("words")).alias("item_print"),
+                        F.col("words").alias("item_words"), "item_ids")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of few narrow rows is broadcast."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def places_of(items: DataFrame) -> DataFrame:
+    """(item, n_words, item_weight, hash, weight, place): the distinct shingles of the items, each at its first place."""
+    at = items.select("item", "n_words", "item_weight", F.posexplode(weighted_shingles(F.col("item_words"))).alias("place", "one"))
+    return (at.groupBy("item", "n_words", "item_weight", "one.hash").agg(F.min(F.struct("place", "one.weight")).alias("first"))
+            .select("item", "n_words", "item_weight", "hash", "first.weight", "first.place"))
+
+
+def stretches_of(docs: DataFrame, places: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
+    """The columns STRETCH and `hits` (at, hash, weight, place) of the stretches that can hold a similar window; windows begin at
+    `first` to `last`. `digest` tells apart the rows of an id."""
     # posexplode_outer: for posexplode a filter on the array's size is inferred, which would hash every text twice.
     positions = (docs.select(ref(id_col).alias("doc_id"), F.xxhash64(ref(text)).alias("digest"), words_of(ref(text)).alias("words"))
                  .select("doc_id", "digest", F.size("words").alias("doc_words"), shingle_hashes(F.col("words")).alias("hashes"))
                  .select("doc_id", "digest", "doc_words", F.posexplode_outer("hashes").alias("at", "hash")))
     own = F.floor(F.col("at") / F.col("n_words")).cast("int")
-    met = (positions.join(places, "hash").withColumn("stretch", F.explode(F.array(own, own - 1)))
+    met = (positions.join(small(places), "hash").withColumn("stretch", F.explode(F.array(own, own - 1)))
            .where(F.col("stretch") >= 0))
-    key = ["doc_id", "digest", "doc_words", "item", "n_words", "item_weight", "stretch"]
-    hits = met.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("at", "hash", "weight"))).alias("hits"))
-    enough = F.lit(threshold) * F.col("item_weight")
-    near = hits.where(distinct_weight(F.col("hits.hash"), F.col("hits.weight")) >= enough)
+    hits = met.groupBy("doc_id", "digest", "doc_words", "item", "n_words", "item_weight", "stretch").agg(
+        F.collect_set(F.struct("at", "hash", "weight", "place")).alias("hits"))
     first = F.col("stretch") * F.col("n_words")
     last = F.least(first + F.col("n_words") - 1, F.greatest(F.col("doc_words") - F.col("n_words"), F.lit(0)))
-
-    def window(s):
-        inside = F.filter("hits", lambda h: (h["at"] >= s) & (h["at"] <= s + F.col("n_words") - SHINGLE))
-        return F.struct(s.alias("start"), inside.alias("hits"))
-
-    found = F.transform(F.sequence(first, last), window)
-    common = F.transform(found, lambda w: F.struct(w["start"].alias("start"), distinct_weight(
-        w["hits"]["hash"], w["hits"]["weight"]).alias("common")))
-    able = near.where(first <= last).withColumn("windows", F.filter(common, lambda w: w["common"] >= enough))
-    return able.where(F.size("windows") > 0).select("doc_id", "digest", "item", "n_words", "item_weight", "windows")
+    return (hits.where(distinct_weight(F.col("hits")) >= F.lit(threshold) * F.col("item_weight"))
+            .withColumn("first", first).withColumn("last", last).where("first <= last").select(*STRETCH, "hits"))
+
+
+def looked_up(cut: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, digest, item, stretch, start): the aligned windows whose fingerprints the index finds within the radius."""
+    theirs = items.select("item", "item_print", F.inline(blocks(F.col("item_print"), radius)))
+    window = F.slice("words", F.col("start") - F.col("first") + 1, F.col("n_words"))
+    printed = cut.select("doc_id", "digest", "item", "stretch", "start", simhash(window).alias("print"))
+    mine = printed.select("*", F.inline(blocks(F.col("print"), radius)))
+    near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius
+    return mine.join(theirs, ["item", "block", "bits"]).where(near).select("doc_id", "digest", "item", "stretch", "start").distinct()
+
+
+def aligned(near: DataFrame) -> DataFrame:
+    """STRETCH and `start`: the window that most hits align with the item; the first of several."""
+    fit = F.col("hit.at") - F.col("hit.place")
+    each = near.select(*STRETCH, F.explode("hits").alias("hit")).select(*STRETCH, F.greatest(F.least(fit, "last"), "first").alias("start"))
+    votes = each.groupBy(*STRETCH, "start").agg(F.count("*").alias("votes"))
+    return votes.groupBy(*STRETCH).agg((-F.max(F.struct("votes", (-F.col("start")).alias("s")))["s"]).alias("start"))
+
+
+def _ranges(shingles: DataFrame, name: str) -> DataFrame:
+    """STRETCH, `start`, `own`, `common`: by how much the weight of windows changes where they begin at `start`. A shingle (at, hash,
+    weight) counts, under `name`, for the windows that hold it and not its predecessor of the same hash."""
+    before = F.lag("at").over(Window.partitionBy(*STRETCH, "hash").orderBy("at"))
+    since = F.greatest(F.col("at") - F.col("n_words") + SHINGLE, "first", F.col("before") + 1)
+    spans = (shingles.withColumn("before", before).withColumn("since", since).withColumn("till", F.least("at", "last"))
+             .where("since <= till"))
+    edges = F.array(F.struct(F.col("since").alias("start"), "weight"),
+                    F.struct((F.col("till") + 1).alias("start"), (-F.col("weight")).alias("weight")))
+    return spans.select(*STRETCH, F.inline(edges)).select(
+        *STRETCH, "start", *[(F.col("weight") if c == name else F.lit(0).cast("long")).alias(c) for c in ("own", "common")])
+
+
+def rated(near: DataFrame, cut: DataFrame) -> DataFrame:
+    """STRETCH, `start`, `end`, `similarity`: the windows that begin at `start` to `end` are all as similar to the item."""
+    held = (cut.select(*STRETCH, F.posexplode(weighted_shingles(F.col("words"))).alias("at", "one"))
+            .select(*STRETCH, (F.col("first") + F.col("at")).alias("at"), "one.hash", "one.weight"))
+    shared = near.select(*STRETCH, F.inline("hits")).select(*STRETCH, "at", "hash", "weight")
+    edges = _ranges(held, "own").unionByName(_ranges(shared, "common"))
+    steps = edges.groupBy(*STRETCH, "start").agg(F.sum("own").alias("own"), F.sum("common").alias("common"))
+    order = Window.partitionBy(*STRETCH).orderBy("start")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = (steps.withColumn("own", F.sum("own").over(upto)).withColumn("common", F.sum("common").over(upto))
+            .withColumn("end", F.coalesce(F.lead("start").over(order) - 1, "last")).where("start <= last"))
+    return sums.select(*STRETCH, "start", "end", (F.col("common") / (F.col("own") + F.col("item_weight") - F.col("common"))).alias("similarity"))
+
+
+def best_windows(docs: DataFrame, items: DataFrame, id_col: str, text: str, threshold: float, radius: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, digest, item, start, n_words, distance, similarity, found_by): for each text of an id and each item found in it the
+    most similar window, of several the first."""
+    near = scratch.put(stretches_of(docs, scratch.put(places_of(items)), id_col, text, threshold))
+    marks = [F.xxhash64("doc_id").alias("_id"), F.col("digest").alias("_text")]
+    holders = scratch.put(near.select(*marks).distinct())
+    named = docs.select(ref(id_col).alias("doc_id"), F.xxhash64(ref(text)).alias("digest"), ref(text).alias("text"))
+    same = (F.xxhash64("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_text"))
+    texts = scratch.put(named.join(small(holders), same, "left_semi").distinct()
+                        .select(F.col("doc_id").alias("text_id"), F.col("digest").alias("text_digest"), words_of(F.col("text")).alias("words")))
+    own = F.col("doc_id").eqNullSafe(F.col("text_id")) & (F.col("digest") == F.col("text_digest"))
+    span = F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + F.col("n_words"))
+    cut = scratch.put(aligned(near).join(texts, own).select(*STRETCH, "start", span.alias("words")))
+    scratch.drop(texts, holders)
+    by_print = looked_up(cut, items, radius)
+    windows = scratch.put(rated(near, cut.drop("start")).where(F.col("similarity") >= threshold))
+    scratch.drop(near)
+    place = ["doc_id", "digest", "item", "stretch"]
+    met = [windows[c].eqNullSafe(by_print[c]) for c in place]
+    verified = (windows.join(by_print, [*met, (by_print["start"] >= windows["start"]) & (by_print["start"] <= windows["end"])], "left_semi")
+                .select("doc_id", "digest", "item").distinct().withColumn("indexed", F.lit(True)))
+    top = windows.groupBy("doc_id", "digest", "item").agg(
+        F.max(F.struct("similarity", (-F.col("start")).alias("s"), "stretch", "n_words")).alias("best"))
+    top = top.select("doc_id", "digest", "item", "best.stretch", "best.n_words", "best.similarity", (-F.col("best.s")).alias("start"))
+    top = scratch.put(_null_safe(top, verified, ["doc_id", "digest", "item"]))
+    words = cut.select(*place, "first", "words")
+    window = F.slice("words", F.col("start") - F.col("first") + 1, F.col("n_words"))
+    printed = _null_safe(top, words, place).withColumn("print", simhash(window)).join(items.select("item", "item_print"), "item")
+    return printed.select(
+        "doc_id", "digest", "item", "start", "n_words", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("distance"),
+        "similarity", F.when(F.col("indexed"), "fingerprint").otherwise("weight").alias("found_by"))
+
+
+def _null_safe(one: DataFrame, two: DataFrame, on: list[str]) -> DataFrame:
+    """A left join in which NULL ids are equal."""
+    other = two.select(*[F.col(c).alias(f"_{c}") for c in on], *[c for c in two.columns if c not in on])
+    return one.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on], "left").drop(*[f"_{c}" for c in on])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                 item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, start, n_words, distance, similarity): the most similar window for each document and item found in it;
-    start counts words before it. Clean documents give no row.
+                 item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, item_id, start, n_words, distance, similarity, found_by): the most similar window for each document and item found
+    in it, of equal ones the first; start counts words before it. Clean documents give no row.
 
     Every window of as many words as the item counts, or the whole of a shorter document. NULL or empty texts give none. Items with
     fewer words than a shingle are too short to tell from chance and match nothing. Rows that repeat an id are searched like others, and
-    the best window of the id counts. Equal items are all listed.
+    the best window of the id counts. Equal items are all listed. `found_by` is `fingerprint` where a SimHash within `radius` led to a
+    similar window of the text, `weight` where only the running sums did.
     """
-    items = stored(items_of(benchmark, item_id, item_text))
-    able = stored(stretches_of(docs, items, id_col, text, threshold))
-    if able.count() <= BROADCAST_ROWS:
-        able = F.broadcast(able)
-    named = docs.select(ref(id_col).alias("text_id"), F.xxhash64(ref(text)).alias("text_digest"), ref(text).alias("text"))
-    same = F.col("text_id").eqNullSafe(F.col("doc_id")) & (F.col("text_digest") == F.col("digest"))
-    first = F.array_min("windows.start")
-    whole = F.array_max("windows.start") - first + F.col("n_words")
-    # Written out, so that no window works out its text anew.
-    cut = stored(named.join(able, same).select("doc_id", "item", "n_words", "item_weight", "windows", first.alias("first"),
-                                               F.slice(words_of(F.col("text")), first + 1, whole).alias("words"))
-                 .distinct())
-    last = F.size("words") - SHINGLE
-    lengths = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(
-        F.slice("words", i + 1, SHINGLE), F.lit(0).cast("long"), lambda s, w: s + F.char_length(w)))
-    shingled = stored(cut.withColumn("hashes", shingle_hashes(F.col("words"))).withColumn("weights", lengths))
-
-    def parts(w):
-        at = w["start"] - F.col("first") + 1
-        return F.struct(w["start"].alias("start"), w["common"].alias("common"), F.slice("hashes", at, F.col("n_words") - SHINGLE + 1).alias("h"),
-                        F.slice("weights", at, F.col("n_words") - SHINGLE + 1).alias("w"))
-
-    sums = F.transform(F.transform("windows", parts), lambda p: F.struct(
-        p["start"].alias("start"), p["common"].alias("common"), distinct_weight(p["h"], p["w"]).alias("own")))
-    alike = F.transform(sums, lambda p: F.struct(
-        (p["common"] / (p["own"] + F.col("item_weight") - p["common"])).alias("similarity"), p["start"].alias("start")))
-    rated = stored(shingled.select("doc_id", "item", "n_words", "words", "first", alike.alias("alike")))
-    top = F.array_max("alike.similarity")
-    best = (rated.withColumn("top", top).where(F.col("top") >= threshold)
-            .select("doc_id", "item", "n_words", "words", "first", F.explode(F.filter("alike", lambda p: p["similarity"] == F.col("top"))).alias("p")))
-    window = F.slice("words", F.col("p.start") - F.col("first") + 1, F.col("n_words"))
-    printed = best.select("doc_id", "item", "n_words", "p", simhash(window).alias("print")).join(
-        items.select("item", "item_print", "item_ids"), "item")
-    distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    closest = F.max(F.struct(F.col("p.similarity").alias("similarity"), (-distance).alias("d"), (-F.col("p.start")).alias("s"), "n_words"))
-    named_items = printed.withColumn("item_id", F.explode("item_ids.item_id"))
-    return (named_items.groupBy("doc_id", "item_id").agg(closest.alias("best"))
-            .select("doc_id", "item_id", (-F.col("best.s")).alias("start"), F.col("best.n_words").alias("n_words"),
-                    (-F.col("best.d")).alias("distance"), F.col("best.similarity").alias("similarity")))
+    scratch = Scratch(docs.sparkSession, "benchmark")
+    items = scratch.put(items_of(benchmark, item_id, item_text))
+    found = scratch.put(best_windows(docs, items, id_col, text, threshold, radius, scratch))
+    scratch.clear(items, found)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("distance")).alias("d"), "n_words", "found_by"))
+    named = found.join(items.select("item", F.explode("item_ids.item_id").alias("item_id")), "item")
+    return (named.groupBy("doc_id", "item_id").agg(best.alias("best"))
+            .select("doc_id", "item_id", (-F.col("best.s")).alias("start"), "best.n_words", (-F.col("best.d")).alias("distance"),
+                    "best.similarity", "best.found_by"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows, with all their columns, in which no item is found. A row whose id repeats goes if one of its rows has an item;
-    a row without id is never named, so it stays."""
-    found = contaminated(docs, benchmark, id_col, text).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(*[ref(c) for c in docs.columns])
+    """The rows, with all their columns, in which no item is found. Rows are judged by id and text, so of two texts under one id only
+    the one with an item goes; rows without id are judged like others."""
+    scratch = Scratch(docs.sparkSession, "benchmark")
+    items = scratch.put(items_of(benchmark, "item_id", "text"))
+    found = best_windows(docs, items, id_col, text, THRESHOLD, RADIUS, scratch)
+    key, digest = unused(docs, "_key"), unused(docs, "_digest")
+    gone = scratch.put(found.select(F.col("doc_id").alias(key), F.col("digest").alias(digest)).distinct())
+    scratch.clear(gone)
+    same = ref(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(ref(text)) == F.col(digest))
+    return docs.join(small(gone), same, "left_anti").select(*[ref(c) for c in docs.columns])

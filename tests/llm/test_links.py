@@ -250,6 +250,33 @@ def test_no_similar_window_is_lost(spark):
         assert abs(similarity(docs[i][1][r["start"]:r["start"] + len(item)], item) - want[i, k]) < 1e-9
 
 
+def test_fingerprints_find_most_and_rows_are_judged_by_text(spark):
+    """Edited copies of all lengths are found by fingerprint; without a radius the running sums find the same. Long items end."""
+    rng = random.Random(5)
+
+    def words(n):
+        return ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n)]
+
+    items = [words(n) for n in [13, 22, 31, 58, 120, 20_000]] + [["la", "le", "li", "lo", "lu", "ly"] * 900]
+    docs = []
+    for i in range(70):
+        passage = list(items[i % 7 if i < 14 else i % 5])
+        if i >= 14 and i % 5 > 1:
+            passage[-1 - i % 2] = "new"
+        docs.append((i, " ".join(words(20) + passage + words(20))))
+    docs += [(3, " ".join(words(90))), (None, " ".join(items[2])), (None, "some other text of no item"), (80, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(map(" ".join, items))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(df, bench).collect()}
+    assert {(i, i % 7 if i < 14 else i % 5) for i in range(70)} <= set(found) and (None, 2) in found
+    assert sum(r["found_by"] == "fingerprint" for r in found.values()) > 0.95 * len(found)
+    none = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(df, bench, radius=0).collect()}
+    assert {k: tuple(r)[:-1] for k, r in none.items()} == {k: tuple(r)[:-1] for k, r in found.items()}
+    assert {r["found_by"] for r in none.values()} == {"fingerprint", "weight"}
+    kept = [tuple(r) for r in decontaminate.clean(df, bench).collect()]
+    assert {docs[70], docs[72], docs[73]} <= set(kept) and docs[71] not in kept and docs[3] not in kept
+
+
 def test_decontamination_query(spark, data):
     docs = {r["doc_id"]: r["text"].lower().split() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     items = {r["item_id"]: r["text"].lower().split() for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
