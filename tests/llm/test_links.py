@@ -257,7 +257,7 @@ def test_fingerprints_find_most_and_rows_are_judged_by_text(spark):
     def words(n):
         return ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n)]
 
-    items = [words(n) for n in [13, 22, 31, 58, 120, 20_000]] + [["la", "le", "li", "lo", "lu", "ly"] * 900]
+    items = [words(n) for n in [13, 22, 31, 58, 120, 5_000]] + [["la", "le", "li", "lo", "lu", "ly"] * 200]
     docs = []
     for i in range(70):
         passage = list(items[i % 7 if i < 14 else i % 5])
