@@ -9,7 +9,7 @@
    RADIUS + 1 blocks, so two within RADIUS bits agree on a whole block: windows and items meet on (item, block, its bits), and
    their distance decides.
 4. Each shingle counts for the windows in which it stands first, a range of starts. Running sums over these ranges give the exact
-   similarity of every window of the stretch, in time linear in the item. They verify what the fingerprints found, choose the best
+   similarity of every window of the stretch. They verify what the fingerprints found, choose the best
    window, and find what no fingerprint within RADIUS led to, so nothing is lost. `found_by` tells the two ways apart.
 """
 
