@@ -4,12 +4,12 @@ Sets come as rows (doc_id, n, h1, h2, code): the size, a hash of 128 bits, and s
 can be. Equal sets are one node. Given (key, node), every two nodes of a key are compared unless links join them already or the
 bound excludes them. Pairs are never listed for a whole bucket:
 
-1. each node is held against the smallest or largest node of its buckets, the one of these it meets most often; then, where a bucket
-   holds several groups, against its centre: the node that meets most others over all its own buckets, as the text does that near
-   copies were made from;
-2. where a bucket still holds several groups, each node outside the largest one is held against one node of it, chosen anew in every
-   round, until a round links nothing or `ROUNDS` are over. This is linear in the bucket;
-3. what is left of such buckets is cut into blocks of `BLOCK` nodes, and a task compares the codes of two blocks.
+1. each node is held against the smallest or largest node of its buckets, the one of these it meets most often;
+2. while a bucket of more than `BLOCK` nodes holds several groups, each node outside the largest one is held against one node of it,
+   chosen anew in every round, until a round links nothing or `ROUNDS` are over. This is linear in the bucket;
+3. buckets that still hold several groups are cut into blocks of `BLOCK` nodes, and a task compares the codes of two blocks. Of the
+   pairs that may be links it gives a forest: no more than it takes to connect the groups that all of them connect;
+4. only where a pair of a forest turns out to be no link, its bucket is compared once more, and all that may be links are given.
 
 Pairs that pass are verified on the sets. After each round only its new links are joined to the groups known.
 """
@@ -32,11 +32,12 @@ from cleanframe.operators.dedup.components import connected_components
 from cleanframe.plans.storage import Scratch
 
 BLOCK = 2_000
-SMALL = 64
-BUNDLE_ROWS = 20_000
+SMALL = 256
+BUNDLE_ROWS = 5_000
 CHUNK_PAIRS = 20_000
 ROUNDS = 8
 MAP_BITS = 1 << 26
+TASK_LINKS = 50_000
 BATCH_BYTES = "16m"
 
 #: (sizes, codes, sizes, codes) of two equally long lists of sets -> which of these pairs may be links.
@@ -124,11 +125,18 @@ class Nodes:
         #: First halves of the hash that unequal sets share: one in 10^10 sets or so. Normally there are none.
         self.shared = scratch.put(several.groupBy("h1").agg(F.count("*").alias("sets"), F.min("h2").alias("first")).where("sets > 1"))
         self.clash = not self.shared.isEmpty()
-        self.points = several.withColumnRenamed("h1", "node").drop("h2")
+        self.points, self.kept = several.withColumnRenamed("h1", "node").drop("h2"), several
         if self.clash:
-            self.points = scratch.put(self.named(several))
+            self.points = self.kept = scratch.put(self.named(several))
+            scratch.drop(several)
         scratch.drop(rows)
 
+    def forget(self, column: str) -> None:
+        """Delete a column of `points` that nothing reads any more."""
+        slim = self.scratch.put(self.points.drop(column))
+        self.scratch.drop(self.kept)
+        self.points = self.kept = slim
+
     def named(self, table: DataFrame) -> DataFrame:
         """`node` instead of the hash."""
         if not self.clash:
@@ -193,15 +201,16 @@ class Linker:
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         both = self._with(pairs, self.sets, "shingles")
-        links = self.scratch.put(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
-        if links.isEmpty():
+        links = self.scratch.put(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+        count = links.count()
+        if not count:
             self.scratch.drop(links)
             return False
         old = self.component
-        root = old.select(F.col("node"), F.col("component"))
-        between = (links.join(root.withColumnRenamed("node", "a"), "a", "left").withColumn("x", F.coalesce("component", "a")).drop("component")
-                   .join(root.withColumnRenamed("node", "b"), "b", "left").withColumn("y", F.coalesce("component", "b")))
-        joined = self.scratch.put(connected_components(between.select("x", "y"), "x", "y"))
+        between = (links.join(old.withColumnRenamed("node", "a"), "a", "left").withColumn("x", F.coalesce("component", "a")).drop("component")
+                   .join(old.withColumnRenamed("node", "b"), "b", "left").withColumn("y", F.coalesce("component", "b")))
+        forest = between.select("x", "y").coalesce(max(1, count // TASK_LINKS)).mapInArrow(_contracted, "x long, y long")
+        joined = self.scratch.put(connected_components(forest, "x", "y"))
         moved = old.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
             "node", F.coalesce("to", "component").alias("component"))
         ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(old.select("node"), "node", "left_anti")
@@ -222,42 +231,51 @@ class Linker:
         self.scratch.drop(members)
         return left
 
-    def _try(self, pairs: DataFrame, tried: list[DataFrame]) -> tuple[bool, bool]:
-        """(was a pair possible, was one a link) of pairs that were not tried before."""
+    def _fresh(self, pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+        """The pairs that were not tried before."""
         for table in tried:
             pairs = pairs.join(table, ["a", "b"], "left_anti")
-        pairs = self.scratch.put(pairs)
+        return self.scratch.put(pairs)
+
+    def _try(self, pairs: DataFrame, tried: list[DataFrame]) -> bool:
+        """Was one of the pairs that were not tried before a link?"""
+        pairs = self._fresh(pairs, tried)
         possible = self.scratch.put(self.possible(pairs))
         self.scratch.drop(pairs)
         tried.append(possible)
-        some = not possible.isEmpty()
-        return some, some and self.verify(possible)
+        return self.verify(possible)
+
+    def _apart(self, found: DataFrame) -> DataFrame:
+        """(key) of the pairs (key, a, b) that links do not join, not even by way of others."""
+        root = self.component
+        both = (found.join(root.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
+                .join(root.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left"))
+        return both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("key").distinct()
 
-    def run(self, buckets: DataFrame, compare: Compare) -> DataFrame:
+    def run(self, buckets: DataFrame, compare: Compare, block: int | None = None, rounds: int | None = None) -> DataFrame:
         """(node, component) of all linked nodes, from buckets (key, node, low, high, nodes)."""
+        block, rounds = BLOCK if block is None else block, ROUNDS if rounds is None else rounds
         larger = buckets.where("nodes > 2")
         ends = larger.select("node", F.explode(F.array("low", "high")).alias("end")).where("node != end")
         star = _most_often(ends).unionByName(buckets.where("nodes = 2 AND node = low").select("node", F.col("high").alias("end")))
         tried: list[DataFrame] = []
         self._try(_pairs(star), tried)
         members = self.scratch.put(self.divided(larger))
-        if not members.isEmpty() and self._try(_pairs(_most_often(_centres(members))), tried)[1]:
-            members = self._fewer(members)
-        for turn in range(ROUNDS):
-            if members.isEmpty():
-                break
-            _, linked = self._try(_pairs(_most_often(_pivots(members, turn))), tried)
-            if not linked:
+        widest = buckets.agg(F.max("nodes")).first()[0] or 0
+        for turn in range(rounds if widest > block else 0):
+            if not self._try(_pairs(_most_often(_pivots(_wide(members, block), turn))), tried):
                 break
             members = self._fewer(members)
-        further = _residual(members, self.points, self.close, compare)
-        for table in tried:
-            further = further.join(table, ["a", "b"], "left_anti")
-        further = self.scratch.put(further)
-        self.scratch.drop(members, *tried)
-        if not further.isEmpty():
+        found = self.scratch.put(_residual(members, self.points, self.close, compare, block, forest=True))
+        tried.append(self._fresh(found.select("a", "b").distinct(), tried))
+        self.verify(tried[-1])
+        apart = self.scratch.put(self._apart(found))
+        if not apart.isEmpty():
+            rest = self.scratch.put(self.divided(members.join(apart, "key", "left_semi")))
+            further = self._fresh(_residual(rest, self.points, self.close, compare, block, forest=False).select("a", "b").distinct(), tried)
             self.verify(further)
-        self.scratch.drop(further)
+            self.scratch.drop(rest, further)
+        self.scratch.drop(members, found, apart, *tried)
         return self.component
 
 
@@ -276,13 +294,9 @@ def _most_often(ends: DataFrame) -> DataFrame:
     return times.groupBy("node").agg(F.max(F.struct("times", "end")).alias("best")).select("node", F.col("best.end").alias("end"))
 
 
-def _centres(placed: DataFrame) -> DataFrame:
-    """(node, end): in each bucket, every node with the one that meets most others over all its own buckets."""
-    sizes = placed.groupBy("key").agg(F.count("*").alias("nodes"))
-    met = placed.join(sizes, "key").groupBy("node").agg(F.sum("nodes").alias("met"))
-    centres = (placed.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node", "component")).alias("centre"))
-               .select("key", F.col("centre.node").alias("end"), F.col("centre.component").alias("own")))
-    return placed.join(centres, "key").where("component != own").select("node", "end")
+def _wide(placed: DataFrame, block: int) -> DataFrame:
+    """The rows of buckets of more than `block` nodes."""
+    return placed.join(placed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > block).select("key"), "key", "left_semi")
 
 
 def _pivots(placed: DataFrame, turn: int) -> DataFrame:
@@ -297,12 +311,59 @@ def _pivots(placed: DataFrame, turn: int) -> DataFrame:
 def buckets(members: DataFrame) -> DataFrame:
     """(key, node, low, high, nodes) of the keys of several nodes; of keys with the same nodes one. Their smallest and largest node,
     their number and the nodes' hashes together tell whether they are the same."""
+    # Both the counts and the join read this shuffle.
+    members = members.where("key IS NOT NULL").repartition("key")
     held = (members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("nodes"),
                                        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark")).where("nodes > 1"))
     one = held.groupBy("low", "high", "nodes", "mark").agg(F.min("key").alias("key"))
     return members.join(one.select("key", "low", "high", "nodes"), "key")
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Instead of a task's links (x, y) one to the smallest node that they connect for each node."""
+    root: dict[int, int] = {}
+
+    def find(node: int) -> int:
+        top = node
+        while root[top] != top:
+            top = root[top]
+        while root[node] != top:
+            root[node], node = top, root[node]
+        return top
+
+    def stars() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"x": list(root), "y": [find(node) for node in root]}, pa.schema([("x", pa.int64()), ("y", pa.int64())]))
+
+    for batch in batches:
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+            root.setdefault(x, x)
+            root.setdefault(y, y)
+            one, two = sorted((find(x), find(y)))
+            root[two] = one
+        if len(root) > 4 * TASK_LINKS:
+            yield stars()
+            root.clear()
+    if root:
+        yield stars()
+
+
+def _forest(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows (i, j) it takes to connect all labels that they connect."""
+    one, two = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+    _, first = np.unique(one * (label.max(initial=0) + 1) + two, return_index=True)
+    root = np.arange(label.max(initial=0) + 1).tolist()
+    keep = []
+    for k, x, y in zip(first.tolist(), one[first].tolist(), two[first].tolist()):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[y] = x
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
 def _within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs (i, j), i < j, of rows of the same run, some runs at a time."""
     pairs = np.cumsum(sizes * sizes)
@@ -315,18 +376,20 @@ def _within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield i[i < j], j[i < j]
 
 
-def _residual(placed: DataFrame, points: DataFrame, close: Close, compare: Compare) -> DataFrame:
-    """(a, b) that may be links across the components of a bucket.
+def _residual(placed: DataFrame, points: DataFrame, close: Close, compare: Compare, block_rows: int, forest: bool) -> DataFrame:
+    """(key, a, b) that may be links across the components of a bucket; with `forest`, of those that two blocks give, no more than
+    connect the components that they connect.
 
     Buckets of at most `SMALL` nodes are bundled, so that a call sees many, and their pairs compared by code. In larger ones the rows
     of the largest component form one side, all others the other; both are cut into blocks by a hash. Only the smaller side is
     repeated, once per block of the larger.
     """
+    small = min(SMALL, block_rows)
     bundles = max(1, placed.count() // BUNDLE_ROWS)
     per = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
     sizes = (per.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"))
-             .select("key", F.col("main.component").alias("main"), F.ceil(F.col("main.rows") / BLOCK).cast("int").alias("mains"),
-                     F.ceil((F.col("all") - F.col("main.rows")) / BLOCK).cast("int").alias("others"), (F.col("all") <= SMALL).alias("small")))
+             .select("key", F.col("main.component").alias("main"), F.ceil(F.col("main.rows") / block_rows).cast("int").alias("mains"),
+                     F.ceil((F.col("all") - F.col("main.rows")) / block_rows).cast("int").alias("others"), (F.col("all") <= small).alias("small")))
     own = placed.join(sizes, "key").withColumn("is_main", F.col("component") == F.col("main"))
     block = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
 
@@ -347,26 +410,41 @@ def _residual(placed: DataFrame, points: DataFrame, close: Close, compare: Compa
               .select("key", "small", "group", "node", "component", "cell.*").join(points, "node"))
 
     def run(table: pa.Table) -> pa.Table:
-        if table.column("small")[0].as_py():
+        bundled = table.column("small")[0].as_py()
+        if bundled:
             table = table.sort_by("key")
-        node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+        node, n, key = table.column("node").to_numpy(), table.column("n").to_numpy(), table.column("key").to_numpy()
         codes, component = bytes_of(table.column("code").combine_chunks()), table.column("component").to_numpy()
-        if not table.column("small")[0].as_py():
-            found = compare(n, codes, component, table.column("side").to_numpy(), table.column("key")[0].as_py())
-        else:
-            key = table.column("key").to_numpy()
+        if bundled:
             starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
-            parts = [np.zeros((0, 2), np.int64)]
-            for i, j in _within(starts, np.diff(np.append(starts, len(key)))):
-                apart = component[i] != component[j]
-                i, j = i[apart], j[apart]
-                keep = close(n[i], codes[i], n[j], codes[j])
-                parts.append(np.column_stack([i[keep], j[keep]]))
-            found = np.concatenate(parts)
-        a, b = node[found[:, 0]], node[found[:, 1]]
-        both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b], axis=0)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
-
-    pairs = (spread.select("key", "small", "group", "one", "two", "side", "node", "component", "n", "code").groupBy("small", "group", "one", "two")
-             .applyInArrow(run, "a long, b long"))
-    return pairs.distinct()
+            sizes = np.diff(np.append(starts, len(key)))
+            runs = np.repeat(np.arange(len(sizes)), sizes)
+            found = _bundle(starts, sizes, lambda i, j: component[i] != component[j], lambda i, j: close(n[i], codes[i], n[j], codes[j]))
+        else:
+            runs = np.zeros(len(key), np.int64)
+            found = compare(n, codes, component, table.column("side").to_numpy(), int(key[0]))
+        i, j = found[:, 0], found[:, 1]
+        if forest and len(i):
+            _, label = np.unique(component, return_inverse=True)
+            _, label = np.unique(runs * len(key) + label, return_inverse=True)
+            kept = _forest(i, j, label)
+            i, j = i[kept], j[kept]
+        a, b = node[i], node[j]
+        apart = a != b
+        return pa.table({"key": key[i][apart], "a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]})
+
+    return (spread.select("key", "small", "group", "one", "two", "side", "node", "component", "n", "code").groupBy("small", "group", "one", "two")
+            .applyInArrow(run, "key long, a long, b long"))
+
+
+def _bundle(starts: np.ndarray, sizes: np.ndarray, apart: Callable, close: Callable) -> np.ndarray:
+    """The pairs of rows of the same run that may be links."""
+    found = [np.zeros((0, 2), np.int64)]
+    for i, j in _within(starts, sizes):
+        keep = apart(i, j)
+        i, j = i[keep], j[keep]
+        for s in range(0, len(i), CHUNK_PAIRS):
+            x, y = i[s:s + CHUNK_PAIRS], j[s:s + CHUNK_PAIRS]
+            keep = close(x, y)
+            found.append(np.column_stack([x[keep], y[keep]]))
+    return np.concatenate(found)

@@ -69,6 +69,39 @@ def test_crowds_against_all_pairs(spark, monkeypatch):
     assert found(minhash.minhash_groups(df)) == want
 
 
+def test_groups_take_three_rounds_at_most(spark, monkeypatch):
+    """However many groups meet in a bucket: one against its ends, one of forests, one where a pair of a forest is no link."""
+    rounds, verify = [], linking.Linker.verify
+    monkeypatch.setattr(linking.Linker, "verify", lambda self, pairs: rounds.append(1) or verify(self, pairs))
+    docs = crowd(8, bases=4)
+    assert found(minhash.minhash_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == expected(docs)
+    assert 2 <= len(rounds) <= 3
+
+
+def test_forests_of_pairs_that_are_no_links(spark, monkeypatch):
+    """If any pair may be a link, most pairs of a forest are none, and the buckets are compared once more."""
+    monkeypatch.setattr(minhash, "within_radius", lambda rule: lambda n, codes, m, others: np.ones(len(n), bool))
+    docs = crowd(9, bases=3, copies=25)
+    assert found(minhash.minhash_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == expected(docs)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 200), st.integers(0, 2**32))
+def test_forest_connects_what_its_pairs_connect(rows, pairs, seed):
+    rng = np.random.default_rng(seed)
+    label, i, j = rng.integers(0, rows, rows), rng.integers(0, rows, pairs), rng.integers(0, rows, pairs)
+
+    def groups(places):
+        name = list(range(rows))
+        for x, y in zip(label[i[places]].tolist(), label[j[places]].tolist()):
+            name = [name[x] if n == name[y] else n for n in name]
+        return {frozenset(k for k in range(rows) if name[k] == n) for n in name}
+
+    kept = linking._forest(i, j, label)
+    assert groups(kept) == groups(np.arange(pairs))
+    assert len(kept) == rows - len(groups(kept))
+
+
 def test_odd_rows(spark, odd, empty):  # noqa: F811
     got = minhash.minhash_groups(odd)
     assert found(got) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (None, 1, None), (5, 1, 5), (6, 1, 6)], key=str)
