@@ -47,18 +47,23 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) ->
 
 
 def map_texts(df: DataFrame, text: str, schema: str | T.StructType,
-              work: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
-    """Run `work()` once per task and what it returns on bounded slices of the task's rows. It gives a dict of columns."""
+              work: Callable[[], Callable[[pa.RecordBatch], dict]], done: Callable[[], None] | None = None) -> DataFrame:
+    """Run `work()` once per task and what it returns on bounded slices of the task's rows. It gives a dict of columns. `done()` runs at
+    the end of a task, to let go of what the worker would hold while it runs tasks of other stages."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
-        for batch in batches:
-            for part in text_slices(batch, text):
-                got = step(part)
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=False) for f in out],
-                                                 schema=out)
+        try:
+            for batch in batches:
+                for part in text_slices(batch, text):
+                    got = step(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=False) for f in out],
+                                                     schema=out)
+        finally:
+            if done:
+                done()
 
     return df.mapInArrow(run, fields)
 

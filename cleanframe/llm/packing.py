@@ -51,7 +51,8 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
         return step
 
     named = docs.select(ref(id_col).alias("_id"), ref(text).alias("_text"))
-    return map_texts(named, "_text", f"doc_id {kind}, piece int, start long, length long, ids binary", work)
+    return map_texts(named, "_text", f"doc_id {kind}, piece int, start long, length long, ids binary", work,
+                     lambda: encoder(path, special=True).clear())
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:

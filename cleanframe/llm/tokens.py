@@ -127,5 +127,5 @@ def added_tokens(path: str) -> dict[str, int]:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, special: bool = False) -> Encoder:
-    """One encoder for all tasks of a Python worker, so that its parts stay known."""
+    """One encoder for all tasks of a Python worker, so that the vocabulary is read once. Its parts stay known until `clear`."""
     return Encoder(path, added_tokens(path) if special else None)

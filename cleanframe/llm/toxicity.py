@@ -38,6 +38,8 @@ ROUNDS = 4
 WITNESSES = 4
 WITNESS_ODDS = 1.0
 THRESHOLD = 0.7
+#: Whole rows are held beside the texts that are scored at once.
+SCORED_CHARS = 500_000
 SENTENCE = re.compile(r"[.!?]+(?=\s|\Z)|\n+")
 NO_LETTER = re.compile(r"[\W\d_]+")
 OFFSETS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
@@ -340,7 +342,7 @@ def keep_harmless(docs: DataFrame, model: Model, text: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, SCORED_CHARS):
                 yield part.filter(pa.array(scores(model, part.column(text).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 from cleanframe.llm import chunks, langid, packing, repetition, separators, toxicity
 from cleanframe.llm.common import folds
 from cleanframe.llm.queries import QUERIES
-from cleanframe.llm.tokens import MANY_LANGUAGES, VOCABULARY, Encoder, added_tokens
+from cleanframe.llm.tokens import MANY_LANGUAGES, VOCABULARY, Encoder, added_tokens, encoder
 from cleanframe.plans.storage import new_folder
 from tests.conftest import rows
 
@@ -129,6 +130,19 @@ def test_packing_round_trip(spark, odd, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_lets_go_of_its_parts(spark):
+    """Workers run tasks of other stages afterwards; what they know of texts must not stay with them."""
+    path = public_tokenizers.path(VOCABULARY)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.md5(F.col("id").cast("string")), F.lit("some words")).alias("text"))
+    assert packing.pack_documents(docs.repartition(4), path).count() == 400
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"parts": pa.array([len(encoder(path, special=True).index)], pa.int64())})
+
+    assert {r["parts"] for r in spark.range(40).repartition(4).mapInArrow(held, "parts long").collect()} == {0}
+
+
 def test_packing_query(spark, data):
     got = QUERIES["op9_best_fit_packing"](spark, data).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
