@@ -15,6 +15,7 @@ group alone, are passed over as a whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil, exp, floor, sqrt
 
@@ -29,7 +30,8 @@ from cleanframe.llm.shingles import ODD, Rule, count_codes, overlap_bound
 from cleanframe.plans.storage import Scratch, stored
 
 LEAF = 32
-BLOCK = 2_000
+BLOCK = 4_000
+FOUND = 20_000
 LEVEL_RATIO = 1.6
 ROUNDS = 8
 
@@ -102,17 +104,23 @@ class Tree:
     def join(self, other: "Tree", rule: Rule, components: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Pairs (row here, row there) of different components whose bound allows a link. `components` gives the points'
         components on one scale for both trees."""
+        return np.concatenate([np.zeros((0, 2), np.int64), *self.pairs(other, rule, components)])
+
+    def pairs(self, other: "Tree", rule: Rule, components: tuple[np.ndarray, np.ndarray]) -> Iterator[np.ndarray]:
+        """What `join` gives, some at a time. Of a tree with itself, a pair comes in one order or in both."""
         mine, theirs = components[0][self.order], components[1][other.order]
         depth = max(len(self.levels), len(other.levels))
         left = right = np.zeros(1, np.int64)
         for level in range(depth - 1, -1, -1):
             a, b = self.levels[min(level, len(self.levels) - 1)], other.levels[min(level, len(other.levels) - 1)]
+            if other is self:
+                left, right = left[left <= right], right[left <= right]
             keep = self._may_link(a, b, left, right, rule)
             left, right = left[keep], right[keep]
             if not level:
                 break
             left, right = _children(left, right, _fan(self, level), _fan(other, level))
-        found = []
+        found, held = [], 0
         for i, j in zip(left.tolist(), right.tolist()):
             x, y = slice(i * LEAF, (i + 1) * LEAF), slice(j * LEAF, (j + 1) * LEAF)
             least = overlap_bound(self.points[x][:, None, :], other.points[y][None, :, :])
@@ -120,7 +128,12 @@ class Tree:
             p, q = np.nonzero((least >= rule.needed(total)) & (mine[x][:, None] != theirs[y][None, :]))
             if len(p):
                 found.append(np.column_stack([self.order[p + i * LEAF], other.order[q + j * LEAF]]))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                held += len(p)
+            if held > FOUND:
+                yield np.concatenate(found)
+                found, held = [], 0
+        if found:
+            yield np.concatenate(found)
 
     @staticmethod
     def _may_link(a, b, left, right, rule: Rule) -> np.ndarray:
@@ -157,19 +170,20 @@ def _children(left, right, left_count, right_count):
 def tree_join(rule: Rule) -> Compare:
     """Compares two blocks, or one with itself, by their R-trees."""
 
-    def compare(size: np.ndarray, points: np.ndarray, component: np.ndarray, side: np.ndarray, key: int) -> np.ndarray:
+    def compare(size: np.ndarray, points: np.ndarray, component: np.ndarray, side: np.ndarray, key: int) -> Iterator[np.ndarray]:
         _, component = np.unique(component, return_inverse=True)
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(x) or not len(y):
             tree = Tree(points, size, component)
-            return tree.join(tree, rule, (component, component))
+            yield from tree.pairs(tree, rule, (component, component))
+            return
         # Components of the two trees are compared point by point; whole nodes of one component are not passed over here.
         one, two = Tree(points[x], size[x], component[x]), Tree(points[y], size[y], component[y])
         for tree, own in ((one, component[x]), (two, component[y])):
             tree.levels = [(t, lo, hi, np.where(c >= 0, own[tree.order][np.minimum(np.arange(len(c)) * LEAF ** (k + 1), len(own) - 1)], -1))
                            for k, (t, lo, hi, c) in enumerate(tree.levels)]
-        pairs = one.join(two, rule, (component[x], component[y]))
-        return np.column_stack([x[pairs[:, 0]], y[pairs[:, 1]]])
+        for pairs in one.pairs(two, rule, (component[x], component[y])):
+            yield np.column_stack([x[pairs[:, 0]], y[pairs[:, 1]]])
 
     return compare
 

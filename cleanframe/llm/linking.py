@@ -5,13 +5,16 @@ can be. Equal sets are one node. Given (key, node), every two nodes of a key are
 bound excludes them. Pairs are never listed for a whole bucket:
 
 1. each node is held against the smallest or largest node of its buckets, the one of these it meets most often;
-2. while a bucket of more than `BLOCK` nodes holds several groups, each node outside the largest one is held against one node of it,
-   chosen anew in every round, until a round links nothing or `ROUNDS` are over. This is linear in the bucket;
-3. buckets that still hold several groups are cut into blocks of `BLOCK` nodes, and a task compares the codes of two blocks. Of the
-   pairs that may be links it gives a forest: no more than it takes to connect the groups that all of them connect;
-4. only where a pair of a forest turns out to be no link, its bucket is compared once more, and all that may be links are given.
-
-Pairs that pass are verified on the sets. After each round only its new links are joined to the groups known.
+2. where one group has at least a `SHARE`th of a bucket of more than `BLOCK` nodes, or the bucket would make more than `BLOCKS` blocks, each
+   node outside its largest group is held against one node of that, chosen anew in every round, as long as a round spares a tenth of
+   the nodes that are left in buckets, and `ROUNDS` times at most. This is linear in the bucket;
+3. buckets that still hold several groups are compared by code, in one task up to `BLOCK` nodes, beyond that in blocks, two to a task. Of
+   the pairs that may be links a task gives a forest: no more than it takes to connect the groups that all of them connect;
+4. where pairs of a forest turn out to be no links, the groups that these pairs connect are compared with each other, each node once however
+   many buckets it is in, and with its set, so that tasks give forests of verified links. Two groups with a pair that may be a link are
+   always connected in that way, since every forest connects what the pairs it stands for connect.
+
+Pairs of the rounds before are verified on the sets. After each round only its new links are joined to the groups known.
 """
 
 from __future__ import annotations
@@ -31,9 +34,12 @@ from cleanframe.llm.shingles import Rule, shingle_sets
 from cleanframe.operators.dedup.components import connected_components
 from cleanframe.plans.storage import Scratch
 
-BLOCK = 2_000
+BLOCK = 4_000
+BLOCKS = 8
+SHARE = 4
 SMALL = 256
 BUNDLE_ROWS = 5_000
+SETS = 500
 CHUNK_PAIRS = 20_000
 ROUNDS = 8
 MAP_BITS = 1 << 26
@@ -43,8 +49,8 @@ BATCH_BYTES = "16m"
 #: (sizes, codes, sizes, codes) of two equally long lists of sets -> which of these pairs may be links.
 Close = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: (sizes, codes, components, sides, key) of two blocks of a bucket (sides 0 and 1), or one (side 0) -> pairs of rows of different components that
-#: may be links. It may leave out pairs that meet in a bucket of a smaller key as well.
-Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+#: may be links, some at a time. It may leave out pairs that meet in a bucket of a smaller key as well.
+Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], Iterator[np.ndarray]]
 
 
 @contextmanager
@@ -171,6 +177,9 @@ class Linker:
         """The pairs with a column of both ends, as x and y. Only rows of nodes in the pairs are shuffled with it."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         held = table.join(ends, "node", "left_semi")
+        if table is self.sets:
+            # A set may be listed more than once, that of a text with many copies very often.
+            held = held.dropDuplicates(["node"])
         return (pairs.join(held.select(F.col("node").alias("a"), F.col(column).alias("x")), "a")
                 .join(held.select(F.col("node").alias("b"), F.col(column).alias("y")), "b"))
 
@@ -189,19 +198,20 @@ class Linker:
 
     def verify(self, pairs: DataFrame) -> bool:
         """Join the groups that the links among these pairs connect. Was there any?"""
-        num, den = self.rule.num, self.rule.den
+        rule = self.rule
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = []
                 for x, y in zip(batch.column("x"), batch.column("y")):
-                    one, two = (np.frombuffer(s.as_buffer(), "<u8") for s in (x, y))
-                    common = len(np.intersect1d(one, two, assume_unique=True))
-                    keep.append(den * common >= num * (len(one) + len(two) - common))
+                    keep.append(_linked(rule, *(np.frombuffer(s.as_buffer(), "<u8") for s in (x, y))))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         both = self._with(pairs, self.sets, "shingles")
-        links = self.scratch.put(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+        return self._join(self.scratch.put(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")))
+
+    def _join(self, links: DataFrame) -> bool:
+        """Join the groups that these links connect, and delete the table. Was there any?"""
         count = links.count()
         if not count:
             self.scratch.drop(links)
@@ -245,12 +255,23 @@ class Linker:
         tried.append(possible)
         return self.verify(possible)
 
-    def _apart(self, found: DataFrame) -> DataFrame:
-        """(key) of the pairs (key, a, b) that links do not join, not even by way of others."""
+    def _doubtful(self, found: DataFrame, members: DataFrame) -> DataFrame:
+        """(key, node, component) of the members whose groups are connected by pairs (a, b) that links do not join, not even by way of others.
+        The key is the same for all that such pairs connect."""
         root = self.component
         both = (found.join(root.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
-                .join(root.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left"))
-        return both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("key").distinct()
+                .join(root.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
+                .select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x != y").distinct())
+        between = self.scratch.put(both)
+        if between.isEmpty():
+            self.scratch.drop(between)
+            return members.limit(0)
+        around = connected_components(between, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("key"))
+        placed = (members.select("node").distinct().join(root, "node", "left")
+                  .select("node", F.coalesce("component", "node").alias("component")))
+        doubtful = self.scratch.put(placed.join(around, "component").select("key", "node", "component"))
+        self.scratch.drop(between)
+        return doubtful
 
     def run(self, buckets: DataFrame, compare: Compare, block: int | None = None, rounds: int | None = None) -> DataFrame:
         """(node, component) of all linked nodes, from buckets (key, node, low, high, nodes)."""
@@ -262,22 +283,52 @@ class Linker:
         self._try(_pairs(star), tried)
         members = self.scratch.put(self.divided(larger))
         widest = buckets.agg(F.max("nodes")).first()[0] or 0
+        left = members.count() if widest > block else 0
         for turn in range(rounds if widest > block else 0):
-            if not self._try(_pairs(_most_often(_pivots(_wide(members, block), turn))), tried):
+            if not self._try(_pairs(_most_often(_pivots(_wide(members, block), turn, block))), tried):
+                break
+            before, members = left, self._fewer(members)
+            left = members.count()
+            if 10 * left > 9 * before:
                 break
-            members = self._fewer(members)
-        found = self.scratch.put(_residual(members, self.points, self.close, compare, block, forest=True))
-        tried.append(self._fresh(found.select("a", "b").distinct(), tried))
+        found = self.scratch.put(_residual(members, self.points, self.close, compare, block).select("a", "b").distinct())
+        tried.append(self._fresh(found, tried))
         self.verify(tried[-1])
-        apart = self.scratch.put(self._apart(found))
-        if not apart.isEmpty():
-            rest = self.scratch.put(self.divided(members.join(apart, "key", "left_semi")))
-            further = self._fresh(_residual(rest, self.points, self.close, compare, block, forest=False).select("a", "b").distinct(), tried)
-            self.verify(further)
-            self.scratch.drop(rest, further)
-        self.scratch.drop(members, found, apart, *tried)
+        doubtful = self._doubtful(found, members)
+        if not doubtful.isEmpty():
+            self._join(self.scratch.put(self._verified(doubtful, min(SETS, block))))
+            self.scratch.drop(doubtful)
+        self.scratch.drop(members, found, *tried)
         return self.component
 
+    def _verified(self, placed: DataFrame, block: int) -> DataFrame:
+        """(a, b): links that connect, within each key, all that links between its nodes connect."""
+        sets = self.sets.join(placed.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        described = self.points.join(placed.select("node"), "node", "left_semi").join(sets, "node")
+        return _residual(placed, described, self.close, _all_pairs(self.close), block, self.rule).select("a", "b").distinct()
+
+
+def _linked(rule: Rule, one: np.ndarray, two: np.ndarray) -> bool:
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return rule.den * common >= rule.num * (len(one) + len(two) - common)
+
+
+def _all_pairs(close: Close) -> Compare:
+    """Compares all pairs of two blocks, or of one."""
+
+    def compare(n: np.ndarray, codes: np.ndarray, component: np.ndarray, side: np.ndarray, key: int) -> Iterator[np.ndarray]:
+        here, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for row in here.tolist():
+            others = there if len(there) else here[here > row]
+            others = others[component[others] != component[row]]
+            for s in range(0, len(others), CHUNK_PAIRS):
+                y = others[s:s + CHUNK_PAIRS]
+                x = np.full(len(y), row)
+                keep = close(n[x], codes[x], n[y], codes[y])
+                yield np.column_stack([x[keep], y[keep]])
+
+    return compare
+
 
 def bytes_of(column: pa.Array) -> np.ndarray:
     values = column.to_pylist()
@@ -299,11 +350,12 @@ def _wide(placed: DataFrame, block: int) -> DataFrame:
     return placed.join(placed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > block).select("key"), "key", "left_semi")
 
 
-def _pivots(placed: DataFrame, turn: int) -> DataFrame:
-    """(node, end): in each bucket, every node outside the largest component with one node of the largest."""
+def _pivots(placed: DataFrame, turn: int, block: int) -> DataFrame:
+    """(node, end): in each bucket where this may link many, every node outside the largest component with one node of the largest."""
     per = placed.groupBy("key", "component").agg(
         F.count("*").alias("rows"), F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node")).alias("pivot"))
-    main = (per.groupBy("key").agg(F.max(F.struct("rows", "component", "pivot")).alias("main"))
+    main = (per.groupBy("key").agg(F.max(F.struct("rows", "component", "pivot")).alias("main"), F.sum("rows").alias("all"))
+            .where((F.col("main.rows") * SHARE >= F.col("all")) | (F.col("all") > BLOCKS * block))
             .select("key", F.col("main.component").alias("main"), F.col("main.pivot.node").alias("end")))
     return placed.join(main, "key").where("component != main").select("node", "end")
 
@@ -364,6 +416,21 @@ def _forest(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
+def _merged(label: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The labels after one[k] and two[k] became the same label, for every k."""
+    root = np.arange(label.max(initial=0) + 1).tolist()
+    for x, y in zip(one.tolist(), two.tolist()):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        root[max(x, y)] = min(x, y)
+    root = np.array(root, np.int64)
+    while (root[root] != root).any():
+        root = root[root]
+    return root[label]
+
+
 def _within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs (i, j), i < j, of rows of the same run, some runs at a time."""
     pairs = np.cumsum(sizes * sizes)
@@ -376,20 +443,21 @@ def _within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield i[i < j], j[i < j]
 
 
-def _residual(placed: DataFrame, points: DataFrame, close: Close, compare: Compare, block_rows: int, forest: bool) -> DataFrame:
-    """(key, a, b) that may be links across the components of a bucket; with `forest`, of those that two blocks give, no more than
-    connect the components that they connect.
+def _residual(placed: DataFrame, points: DataFrame, close: Close, compare: Compare, block_rows: int, rule: Rule | None = None) -> DataFrame:
+    """(key, a, b) that may be links across the components of a bucket, of those that a task finds no more than connect the components
+    that they connect. With `rule`, points have their `shingles` too, and links by them count instead.
 
-    Buckets of at most `SMALL` nodes are bundled, so that a call sees many, and their pairs compared by code. In larger ones the rows
-    of the largest component form one side, all others the other; both are cut into blocks by a hash. Only the smaller side is
-    repeated, once per block of the larger.
+    Buckets of at most `SMALL` nodes are bundled, so that a call sees many, and their pairs compared by code. Others of at most
+    `block_rows` are compared with themselves. In larger ones the rows of the largest component form one side, all others the other;
+    both are cut into blocks by a hash. Only the smaller side is repeated, once per block of the larger.
     """
     small = min(SMALL, block_rows)
-    bundles = max(1, placed.count() // BUNDLE_ROWS)
+    bundles = max(1, placed.count() // (SETS if rule else BUNDLE_ROWS))
     per = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
     sizes = (per.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"))
              .select("key", F.col("main.component").alias("main"), F.ceil(F.col("main.rows") / block_rows).cast("int").alias("mains"),
-                     F.ceil((F.col("all") - F.col("main.rows")) / block_rows).cast("int").alias("others"), (F.col("all") <= small).alias("small")))
+                     F.ceil((F.col("all") - F.col("main.rows")) / block_rows).cast("int").alias("others"), (F.col("all") <= small).alias("small"),
+                     (F.col("all") <= block_rows).alias("whole")))
     own = placed.join(sizes, "key").withColumn("is_main", F.col("component") == F.col("main"))
     block = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
 
@@ -404,10 +472,13 @@ def _residual(placed: DataFrame, points: DataFrame, close: Close, compare: Compa
     among = F.when(F.col("is_main"), F.array().cast("array<struct<one:int,two:int,side:int>>")).otherwise(
         F.transform(upto(F.col("others")), lambda k: cells(
             -1 - F.least(F.col("block"), k), F.greatest(F.col("block"), k), F.when(F.col("block") <= k, 0).otherwise(1))))
-    cut = F.when(F.col("small"), F.array(cells(F.lit(0), F.lit(0), F.lit(0)))).otherwise(F.concat(across, among))
     group = F.when(F.col("small"), F.pmod(F.xxhash64("key"), F.lit(bundles))).otherwise(F.col("key"))
-    spread = (own.withColumn("block", block).select("key", "small", group.alias("group"), "node", "component", F.explode(cut).alias("cell"))
-              .select("key", "small", "group", "node", "component", "cell.*").join(points, "node"))
+    own = own.withColumn("block", block).withColumn("group", group)
+    names = ["key", "small", "group", "node", "component"]
+    # Only buckets of several blocks have rows that are repeated.
+    whole = own.where("whole").select(*names, F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"))
+    cut = own.where("NOT whole").select(*names, F.explode(F.concat(across, among)).alias("cell")).select(*names, "cell.*")
+    spread = whole.unionByName(cut).join(points, "node")
 
     def run(table: pa.Table) -> pa.Table:
         bundled = table.column("small")[0].as_py()
@@ -415,36 +486,38 @@ def _residual(placed: DataFrame, points: DataFrame, close: Close, compare: Compa
             table = table.sort_by("key")
         node, n, key = table.column("node").to_numpy(), table.column("n").to_numpy(), table.column("key").to_numpy()
         codes, component = bytes_of(table.column("code").combine_chunks()), table.column("component").to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), "<u8") for s in table.column("shingles")] if rule else []
+        _, label = np.unique(component, return_inverse=True)
         if bundled:
             starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
             sizes = np.diff(np.append(starts, len(key)))
-            runs = np.repeat(np.arange(len(sizes)), sizes)
-            found = _bundle(starts, sizes, lambda i, j: component[i] != component[j], lambda i, j: close(n[i], codes[i], n[j], codes[j]))
+            _, label = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(key) + label, return_inverse=True)
+            found = _bundle(starts, sizes, lambda i, j: label[i] != label[j], lambda i, j: close(n[i], codes[i], n[j], codes[j]))
         else:
-            runs = np.zeros(len(key), np.int64)
             found = compare(n, codes, component, table.column("side").to_numpy(), int(key[0]))
-        i, j = found[:, 0], found[:, 1]
-        if forest and len(i):
-            _, label = np.unique(component, return_inverse=True)
-            _, label = np.unique(runs * len(key) + label, return_inverse=True)
-            kept = _forest(i, j, label)
-            i, j = i[kept], j[kept]
-        a, b = node[i], node[j]
-        apart = a != b
-        return pa.table({"key": key[i][apart], "a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]})
-
-    return (spread.select("key", "small", "group", "one", "two", "side", "node", "component", "n", "code").groupBy("small", "group", "one", "two")
-            .applyInArrow(run, "key long, a long, b long"))
-
-
-def _bundle(starts: np.ndarray, sizes: np.ndarray, apart: Callable, close: Callable) -> np.ndarray:
-    """The pairs of rows of the same run that may be links."""
-    found = [np.zeros((0, 2), np.int64)]
+        kept = [np.zeros((0, 2), np.int64)]
+        for pairs in found:
+            # What pairs before these connect needs no more of them, so neither pairs nor time pile up in a large group.
+            pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+            if rule:
+                pairs = pairs[np.array([_linked(rule, sets[i], sets[j]) for i, j in pairs.tolist()], bool)]
+            if len(pairs):
+                pairs = pairs[_forest(pairs[:, 0], pairs[:, 1], label)]
+                label = _merged(label, label[pairs[:, 0]], label[pairs[:, 1]])
+                kept.append(pairs)
+        i, j = np.concatenate(kept).T
+        return pa.table({"key": key[i], "a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+    columns = [*names, "one", "two", "side", "n", "code", *(["shingles"] if rule else [])]
+    return spread.select(*columns).groupBy("small", "group", "one", "two").applyInArrow(run, "key long, a long, b long")
+
+
+def _bundle(starts: np.ndarray, sizes: np.ndarray, apart: Callable, close: Callable) -> Iterator[np.ndarray]:
+    """The pairs of rows of the same run that may be links, some at a time."""
     for i, j in _within(starts, sizes):
         keep = apart(i, j)
         i, j = i[keep], j[keep]
         for s in range(0, len(i), CHUNK_PAIRS):
             x, y = i[s:s + CHUNK_PAIRS], j[s:s + CHUNK_PAIRS]
             keep = close(x, y)
-            found.append(np.column_stack([x[keep], y[keep]]))
-    return np.concatenate(found)
+            yield np.column_stack([x[keep], y[keep]])

@@ -89,7 +89,7 @@ def compare_signatures(rule: Rule) -> Compare:
     earlier chunk, or with equal values at the places that this bucket leaves out, where it is not the chunk's first."""
     close = within_radius(rule)
 
-    def compare(n: np.ndarray, codes: np.ndarray, component: np.ndarray, side: np.ndarray, key: int) -> np.ndarray:
+    def compare(n: np.ndarray, codes: np.ndarray, component: np.ndarray, side: np.ndarray, key: int) -> Iterator[np.ndarray]:
         values, number = _values(codes), key >> 56
         chunk, errors = number // len(LEFT_OUT), LEFT_OUT[number % len(LEFT_OUT)]
         names = []
@@ -104,20 +104,21 @@ def compare_signatures(rule: Rule) -> Compare:
                 name = mix(name * ODD + values[:, chunk * WIDTH + at])
             names.append(name)
         here, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        there = there if len(there) else here
-        found = [np.zeros((0, 2), np.int64)]
+        alone = not len(there)
+        there = here if alone else there
         step = max(1, 10 * CHUNK_PAIRS // max(1, len(there)))
         for k in range(0, len(here), step):
             part = here[k:k + step]
             apart = component[part][:, None] != component[there][None, :]
+            if alone:
+                apart &= part[:, None] < there[None, :]
             for name in names:
                 apart &= name[part][:, None] != name[there][None, :]
             i, j = np.nonzero(apart)
             for s in range(0, len(i), CHUNK_PAIRS):
                 x, y = part[i[s:s + CHUNK_PAIRS]], there[j[s:s + CHUNK_PAIRS]]
                 keep = close(n[x], codes[x], n[y], codes[y])
-                found.append(np.column_stack([x[keep], y[keep]]))
-        return np.concatenate(found)
+                yield np.column_stack([x[keep], y[keep]])
 
     return compare
 

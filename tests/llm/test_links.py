@@ -118,6 +118,27 @@ def test_groups_take_three_rounds_at_most(spark, monkeypatch):
     assert 2 <= len(rounds) <= 3
 
 
+def test_pairs_that_are_no_links_are_not_listed(spark, monkeypatch):
+    """Where all pairs of a large group may be links but few are, the last comparison still gives fewer rows than there are texts."""
+    given, residual = [], linking._residual
+
+    def counted(*args, **kwargs):
+        found = residual(*args, **kwargs)
+        given.append(found.count())
+        return found
+
+    monkeypatch.setattr(linking, "_residual", counted)
+    monkeypatch.setattr(jaccard, "bounded", lambda rule: lambda n, codes, m, others: np.ones(len(n), bool))
+    rng = random.Random(6)
+    text = " ".join(f"w{i}" for i in range(150))
+    docs = [(i, varied(rng, text, 4)) for i in range(1, 61)]
+    docs += [(100, varied(rng, docs[30][1], 1)), (101, varied(rng, docs[40][1], 1))]
+    got = jaccard.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"), jaccard.Rule())
+    want = brute_groups(docs, jaccard.Rule())
+    assert sorted(map(tuple, got.collect()), key=str) == want and len({c for _, _, c in want}) > 30
+    assert len(given) == 2 and given[-1] < len(docs)
+
+
 def test_groups_of_odd_rows(spark, odd, empty):  # noqa: F811
     got = jaccard.jaccard_groups(odd, jaccard.Rule(4, 85, 100))
     want = brute_groups([(i, t) for i, t, *_ in ODD_DOCS], jaccard.Rule(4, 85, 100))

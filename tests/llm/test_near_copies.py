@@ -85,6 +85,19 @@ def test_forests_of_pairs_that_are_no_links(spark, monkeypatch):
     assert found(minhash.minhash_groups(spark.createDataFrame(docs, "doc_id long, text string"))) == expected(docs)
 
 
+def test_buckets_of_one_block_repeat_no_node(spark, monkeypatch):
+    """A bucket that fits a block is compared as it is, once; only larger ones are cut and the smaller side repeated."""
+    monkeypatch.setattr(linking, "SMALL", 5)
+
+    def compare(n, codes, component, side, key):
+        assert len(n) == 20 and not side.any()
+        yield np.array([[0, 1], [1, 2]])
+
+    placed = spark.createDataFrame([(1, k, max(0, k - 11)) for k in range(20)], "key long, node long, component long")
+    points = spark.createDataFrame([(k, 3, b"x") for k in range(20)], "node long, n long, code binary")
+    assert linking._residual(placed, points, None, compare, 100).count() <= 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 60), st.integers(0, 200), st.integers(0, 2**32))
 def test_forest_connects_what_its_pairs_connect(rows, pairs, seed):
