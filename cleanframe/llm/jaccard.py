@@ -210,9 +210,8 @@ def jaccard_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
         nodes = Nodes(scratch, described(docs, rule, id_col, text, count_codes, lambda found: bucket_keys(found, rule)))
         met = scratch.put(buckets(nodes.points.select("node", F.explode("keys").alias("key"))))
         nodes.forget("keys")
-        holders = nodes.points.join(met.select("node").distinct(), "node", "left_semi").select(F.col("smallest").alias("doc_id"))
-        sets = scratch.put(nodes.named(sets_of(docs, holders, rule, id_col, text)))
-        component = Linker(scratch, nodes, rule, bounded(rule), sets).run(met, tree_join(rule), BLOCK, ROUNDS)
+        linker = Linker(scratch, nodes, rule, bounded(rule), lambda holders: nodes.named(sets_of(docs, holders, rule, id_col, text)))
+        component = linker.run(met, tree_join(rule), BLOCK, ROUNDS)
         return groups_of(nodes, component)
 
 

@@ -14,7 +14,8 @@ bound excludes them. Pairs are never listed for a whole bucket:
    many buckets it is in, and with its set, so that tasks give forests of verified links. Two groups with a pair that may be a link are
    always connected in that way, since every forest connects what the pairs it stands for connect.
 
-Pairs of the rounds before are verified on the sets. After each round only its new links are joined to the groups known.
+Pairs of the rounds before are verified on the sets. Only the sets of such pairs are made, each time from the texts again: a table of all
+sets would be larger than the texts. After each round only its new links are joined to the groups known.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ BATCH_BYTES = "16m"
 
 #: (sizes, codes, sizes, codes) of two equally long lists of sets -> which of these pairs may be links.
 Close = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Holders (doc_id) -> (node, shingles) of these documents; others, and a node more than once, may be listed too.
+Sets = Callable[[DataFrame], DataFrame]
 #: (sizes, codes, components, sides, key) of two blocks of a bucket (sides 0 and 1), or one (side 0) -> pairs of rows of different components that
 #: may be links, some at a time. It may leave out pairs that meet in a bucket of a smaller key as well.
 Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], Iterator[np.ndarray]]
@@ -169,20 +172,24 @@ def groups_of(nodes: Nodes, component: DataFrame) -> DataFrame:
 class Linker:
     """Verified links between nodes, and the groups they form so far."""
 
-    def __init__(self, scratch: Scratch, nodes: Nodes, rule: Rule, close: Close, sets: DataFrame):
+    def __init__(self, scratch: Scratch, nodes: Nodes, rule: Rule, close: Close, sets: Sets):
         self.scratch, self.points, self.rule, self.close, self.sets = scratch, nodes.points, rule, close, sets
         self.component = scratch.put(nodes.points.select("node", F.col("node").alias("component")).limit(0))
 
-    def _with(self, pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        """The pairs with a column of both ends, as x and y. Only rows of nodes in the pairs are shuffled with it."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        held = table.join(ends, "node", "left_semi")
-        if table is self.sets:
-            # A set may be listed more than once, that of a text with many copies very often.
-            held = held.dropDuplicates(["node"])
+    def _with(self, pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
+        """The pairs with a column of both ends, as x and y, from a table that has the rows of these ends alone."""
         return (pairs.join(held.select(F.col("node").alias("a"), F.col(column).alias("x")), "a")
                 .join(held.select(F.col("node").alias("b"), F.col(column).alias("y")), "b"))
 
+    def _sets(self, ends: DataFrame) -> DataFrame:
+        """A scratch table (node, shingles) of the nodes in `ends`."""
+        holders = self.scratch.put(self.points.join(ends, "node", "left_semi").select("node", F.col("smallest").alias("doc_id")))
+        found = self.sets(holders.select("doc_id")).join(holders.select("node"), "node", "left_semi")
+        # A set may be listed more than once, that of a text with many copies very often.
+        found = self.scratch.put(found.dropDuplicates(["node"]))
+        self.scratch.drop(holders)
+        return found
+
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose codes allow a link."""
         close = self.close
@@ -193,11 +200,13 @@ class Linker:
                 keep = close(x.field("n").to_numpy(), bytes_of(x.field("code")), y.field("n").to_numpy(), bytes_of(y.field("code")))
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-        described = self.points.select("node", F.struct("n", "code").alias("point"))
+        described = self.points.join(_ends(pairs), "node", "left_semi").select("node", F.struct("n", "code").alias("point"))
         return self._with(pairs, described, "point").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
     def verify(self, pairs: DataFrame) -> bool:
         """Join the groups that the links among these pairs connect. Was there any?"""
+        if pairs.isEmpty():
+            return False
         rule = self.rule
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +216,11 @@ class Linker:
                     keep.append(_linked(rule, *(np.frombuffer(s.as_buffer(), "<u8") for s in (x, y))))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        both = self._with(pairs, self.sets, "shingles")
-        return self._join(self.scratch.put(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")))
+        sets = self._sets(_ends(pairs))
+        both = self._with(pairs, sets, "shingles")
+        links = self.scratch.put(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+        self.scratch.drop(sets)
+        return self._join(links)
 
     def _join(self, links: DataFrame) -> bool:
         """Join the groups that these links connect, and delete the table. Was there any?"""
@@ -223,7 +235,7 @@ class Linker:
         joined = self.scratch.put(connected_components(forest, "x", "y"))
         moved = old.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
             "node", F.coalesce("to", "component").alias("component"))
-        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(old.select("node"), "node", "left_anti")
+        ends = _ends(links).join(old.select("node"), "node", "left_anti")
         self.component = self.scratch.put(moved.unionByName(ends.join(joined, "node").select("node", "component")))
         self.scratch.drop(links, joined, old)
         return True
@@ -296,16 +308,19 @@ class Linker:
         self.verify(tried[-1])
         doubtful = self._doubtful(found, members)
         if not doubtful.isEmpty():
-            self._join(self.scratch.put(self._verified(doubtful, min(SETS, block))))
+            self._join(self._verified(doubtful, min(SETS, block)))
             self.scratch.drop(doubtful)
         self.scratch.drop(members, found, *tried)
         return self.component
 
     def _verified(self, placed: DataFrame, block: int) -> DataFrame:
-        """(a, b): links that connect, within each key, all that links between its nodes connect."""
-        sets = self.sets.join(placed.select("node"), "node", "left_semi").dropDuplicates(["node"])
-        described = self.points.join(placed.select("node"), "node", "left_semi").join(sets, "node")
-        return _residual(placed, described, self.close, _all_pairs(self.close), block, self.rule).select("a", "b").distinct()
+        """A scratch table (a, b): links that connect, within each key, all that links between its nodes connect."""
+        sets = self._sets(placed.select("node"))
+        described = self.points.join(sets, "node")
+        found = _residual(placed, described, self.close, _all_pairs(self.close), block, self.rule)
+        found = self.scratch.put(found.select("a", "b").distinct())
+        self.scratch.drop(sets)
+        return found
 
 
 def _linked(rule: Rule, one: np.ndarray, two: np.ndarray) -> bool:
@@ -335,6 +350,10 @@ def bytes_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def _pairs(ends: DataFrame) -> DataFrame:
     return ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
 

@@ -147,7 +147,6 @@ def minhash_groups(docs: DataFrame, rule: Rule = Rule(words=5, num=85, den=100),
     with bounded_batches(spark):
         nodes = Nodes(scratch, described(docs, rule, id_col, text, _code))
         met = scratch.put(buckets(_members(nodes.points)))
-        holders = nodes.points.join(met.select("node").distinct(), "node", "left_semi").select(F.col("smallest").alias("doc_id"))
-        sets = scratch.put(nodes.named(sets_of(docs, holders, rule, id_col, text)))
-        component = Linker(scratch, nodes, rule, within_radius(rule), sets).run(met, compare_signatures(rule))
+        linker = Linker(scratch, nodes, rule, within_radius(rule), lambda holders: nodes.named(sets_of(docs, holders, rule, id_col, text)))
+        component = linker.run(met, compare_signatures(rule))
         return groups_of(nodes, component)

@@ -139,6 +139,20 @@ def test_pairs_that_are_no_links_are_not_listed(spark, monkeypatch):
     assert len(given) == 2 and given[-1] < len(docs)
 
 
+def test_only_sets_of_possible_links_are_made(spark, monkeypatch):
+    """Texts that share a passage meet in buckets, but their bound excludes a link, so their sets are not needed."""
+    asked, sets_of = [], jaccard.sets_of
+    monkeypatch.setattr(jaccard, "sets_of", lambda docs, holders, *args: asked.append(holders.count()) or sets_of(docs, holders, *args))
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, passage + " " + " ".join(f"w{i}x{k}" for k in range(100))) for i in range(1, 81)]
+    docs += [(100 + i, varied(rng, docs[i][1], 1)) for i in range(5)]
+    got = jaccard.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"), jaccard.Rule())
+    want = brute_groups(docs, jaccard.Rule())
+    assert sorted(map(tuple, got.collect()), key=str) == want and len({c for _, _, c in want}) == 80
+    assert 10 <= sum(asked) < 40
+
+
 def test_groups_of_odd_rows(spark, odd, empty):  # noqa: F811
     got = jaccard.jaccard_groups(odd, jaccard.Rule(4, 85, 100))
     want = brute_groups([(i, t) for i, t, *_ in ODD_DOCS], jaccard.Rule(4, 85, 100))
