@@ -46,10 +46,16 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) ->
             yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """Return what Arrow keeps of freed buffers: workers outlive their tasks, and their executor's memory is one budget."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(df: DataFrame, text: str, schema: str | T.StructType,
-              work: Callable[[], Callable[[pa.RecordBatch], dict]], done: Callable[[], None] | None = None) -> DataFrame:
-    """Run `work()` once per task and what it returns on bounded slices of the task's rows. It gives a dict of columns. `done()` runs at
-    the end of a task, to let go of what the worker would hold while it runs tasks of other stages."""
+              work: Callable[[], Callable[[pa.RecordBatch], dict]], done: Callable[[], None] | None = None,
+              limit: int = SLICE_CHARS) -> DataFrame:
+    """Run `work()` once per task and what it returns on slices of the task's rows, bounded by `limit`. It gives a dict of columns. `done()`
+    runs at the end of a task, to let go of what the worker would hold while it runs tasks of other stages."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(fields)
 
@@ -57,13 +63,14 @@ def map_texts(df: DataFrame, text: str, schema: str | T.StructType,
         step = work()
         try:
             for batch in batches:
-                for part in text_slices(batch, text):
+                for part in text_slices(batch, text, limit):
                     got = step(part)
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=False) for f in out],
                                                      schema=out)
         finally:
             if done:
                 done()
+            release()
 
     return df.mapInArrow(run, fields)
 

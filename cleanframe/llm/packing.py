@@ -23,6 +23,8 @@ from cleanframe.plans.storage import stored
 
 CAPACITY = 1024
 END = 2
+#: Ids take several times the room of their text while they are put together.
+ENCODED_CHARS = 500_000
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", end: int = END,
@@ -52,7 +54,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
 
     named = docs.select(ref(id_col).alias("_id"), ref(text).alias("_text"))
     return map_texts(named, "_text", f"doc_id {kind}, piece int, start long, length long, ids binary", work,
-                     lambda: encoder(path, special=True).clear())
+                     lambda: encoder(path, special=True).clear(), ENCODED_CHARS)
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:

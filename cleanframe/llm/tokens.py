@@ -16,7 +16,7 @@ from cleanframe.llm.common import gather
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MANY_LANGUAGES = "byte_bpe_multi_50k.tiktoken"
-CACHED = 800_000
+CACHED = 150_000
 #: A blank between white space: only there the pattern does not cut before each blank.
 SPACE = re.compile(r"\s")
 UNSPLIT = re.compile(r"\s \s|\s \Z")

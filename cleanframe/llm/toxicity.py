@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanframe.functions.columns import ref
-from cleanframe.llm.common import map_texts, text_slices
+from cleanframe.llm.common import map_texts, release, text_slices
 
 SPAN, DECAY, SYMBOLS = 7, 0.6, 32
 LANDMARKS = 160
@@ -341,8 +341,11 @@ def keep_harmless(docs: DataFrame, model: Model, text: str = "text", threshold:
     """The rows, with all their columns, that score below the threshold. NULL and empty texts are scored as `classify` does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, text, SCORED_CHARS):
-                yield part.filter(pa.array(scores(model, part.column(text).to_pylist()) < threshold))
+        try:
+            for batch in batches:
+                for part in text_slices(batch, text, SCORED_CHARS):
+                    yield part.filter(pa.array(scores(model, part.column(text).to_pylist()) < threshold))
+        finally:
+            release()
 
     return docs.mapInArrow(run, docs.schema)

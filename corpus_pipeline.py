@@ -13,13 +13,24 @@ from cleanframe.llm.tokens import VOCABULARY
 from cleanframe.plans.storage import stored
 
 
+#: Bytes that Spark hands to a Python worker at once. Both sides hold a batch, the JVM up to twice its size while it grows.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts or of whole sets are large, so that batches bounded by Spark's 64 MB fill an executor's memory beside its heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labelled ones among them."""
+    small_batches(spark)
     return toxicity.keep_harmless(docs, toxicity_model(spark, sf_dir, docs))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    small_batches(spark)
     return one_of_each_group(docs, Rule(words=5, num=80, den=100))
 
 
@@ -35,6 +46,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place; replaces the documents' columns."""
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -143,6 +144,32 @@ def test_packing_lets_go_of_its_parts(spark):
     assert {r["parts"] for r in spark.range(40).repartition(4).mapInArrow(held, "parts long").collect()} == {0}
 
 
+def test_encoder_holds_few_parts():
+    """Two workers share an executor's memory with its heap: what they know of texts is bounded, and ids stay right when it is forgotten."""
+    known = Encoder(public_tokenizers.path(VOCABULARY))
+    texts = [" ".join(f"w{k}x{i}" for i in range(40_000)) for k in range(8)]
+    first = known.encode(texts[:1], 2)[0].tolist()
+    for text in texts:
+        known.encode([text], 2)
+        assert len(known.index) <= 200_000
+    assert known.encode(texts[:1], 2)[0].tolist() == first == [*known.plain(texts[0]), 2]
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.harmless, corpus_pipeline.packing])
+def test_pipeline_hands_workers_small_batches(spark, data, stage):
+    """Rows of 1 MB: a batch may exceed its bound by the last of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        rows = stage(spark, spark.read.parquet(f"{data}/documents.parquet").limit(5), data)
+        wide = spark.range(24).coalesce(1).select(F.repeat(F.lit("some word "), 100_000).alias("text"))
+        sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes]}) for b in batches), "bytes long").collect()
+        assert max(r["bytes"] for r in sizes) < 6_000_000 and sum(r["bytes"] for r in sizes) >= 24_000_000
+        assert rows.count() >= 0
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_packing_query(spark, data):
     got = QUERIES["op9_best_fit_packing"](spark, data).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
